@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import media_ts, pack, shard, simhash_dedup, substring_dedup
+from quarry.llm import decontaminate, license_scan, line_dedup, media_ts, pack, shard, simhash_dedup, substring_dedup
 from quarry.llm.common import load
 
 #: Where the tokenizer's file lies is a parameter of the packing operator.
@@ -24,11 +24,27 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(load(spark, sf_dir, "documents"), window=20)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), shingle=5, similarity=0.8, radius=21)
+    return found.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(load(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.remove_runs(load(spark, sf_dir, "documents"), run_lines=2)
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(load(spark, sf_dir, "documents"))
+    spans = F.to_json("spans").alias("spans")
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", spans)
+
+
 def op8_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = media_ts.from_media(media_ts.to_media(load(spark, sf_dir, "documents")))
     feature = F.concat_ws(";", F.concat(F.lit("packets="), "packets"), F.concat(F.lit("units="), F.size("pts")), F.concat(F.lit("last_pts="), F.element_at("pts", -1)), F.concat(F.lit("access="), F.array_join("access_points", ",")))
@@ -46,7 +62,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_substring_dedup, op4_simhash_dedup, op8_media_ts, op9_two_pass_shards, op10_best_fit_packing]
+    named = [op1_substring_dedup, op3_decontamination, op4_simhash_dedup, op5_line_dedup, op6_license_scan, op8_media_ts, op9_two_pass_shards, op10_best_fit_packing]
     return {f.__name__: f for f in named}
 
 
@@ -63,5 +79,19 @@ FROM docs LEFT JOIN kept USING (doc_id)
 """
 
 
+#: Every two neighbouring lines that occur earlier are removed; no winnowing here.
+OP5_SQL = r"""
+WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+pairs AS (SELECT doc_id, unnest(range(1, len(l))) AS s, l FROM docs),
+keyed AS (SELECT doc_id, s, l[s] AS a, l[s + 1] AS b FROM pairs),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, s) AS r FROM keyed) WHERE r > 1),
+gone AS (SELECT doc_id, s AS p FROM again UNION SELECT doc_id, s + 1 FROM again),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS p FROM docs),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY p) AS t FROM lines ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, (coalesce(len(l), 0) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL}
