@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, license_scan, line_dedup, media_ts, pack, shard, simhash_dedup, substring_dedup
+from quarry.llm import decontaminate, language_id, license_scan, line_dedup, media_ts, pack, shard, simhash_dedup, substring_dedup, toxicity
 from quarry.llm.common import load
 
 #: Where the tokenizer's file lies is a parameter of the packing operator.
@@ -24,6 +24,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(load(spark, sf_dir, "documents"), window=20)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = toxicity.learn(toxicity.training_rows(docs, load(spark, sf_dir, "labels"), most_rows=20_000))
+    scored = toxicity.score(docs, model, threshold=0.7)
+    return scored.select("doc_id", toxicity.held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), shingle=5, similarity=0.8, radius=21)
     return found.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
@@ -45,6 +52,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", spans)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    named = language_id.predict(docs, language_id.learn(docs, per_class=300, landmarks=128))
+    return named.select("doc_id", toxicity.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op8_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = media_ts.from_media(media_ts.to_media(load(spark, sf_dir, "documents")))
     feature = F.concat_ws(";", F.concat(F.lit("packets="), "packets"), F.concat(F.lit("units="), F.size("pts")), F.concat(F.lit("last_pts="), F.element_at("pts", -1)), F.concat(F.lit("access="), F.array_join("access_points", ",")))
@@ -62,7 +75,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_substring_dedup, op3_decontamination, op4_simhash_dedup, op5_line_dedup, op6_license_scan, op8_media_ts, op9_two_pass_shards, op10_best_fit_packing]
+    named = [op1_substring_dedup, op2_toxicity, op3_decontamination, op4_simhash_dedup, op5_line_dedup, op6_license_scan, op7_language_id, op8_media_ts, op9_two_pass_shards, op10_best_fit_packing]
     return {f.__name__: f for f in named}
 
 
