@@ -1,4 +1,407 @@
-"""The registered queries of the library and their DuckDB SQL."""
+"""The registered queries of the library over the shared test tables, and their DuckDB SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Every query runs over whole tables. Searches take as queries every vector whose id is divisible by 50, or every benchmark item.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.operators import answering, bm25, chunking, embedding, evaluation, papers, preparation, retrieval, runs, vector_index
+from quarry.sources import readers
+from quarry.sources.writers import canonical_lines
+
+K = 10
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("vector_id"), "embedding")
+
+
+def vector_queries(spark, sf):
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def exact(spark, sf, k):
+    return vector_index.flat_search(vectors(spark, sf), vector_queries(spark, sf), k)
+
+
+def items(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+def passages(spark, sf):
+    """Documents as one-page chunks whose vector id is the document's."""
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("vector_id"), F.col("doc_id").cast("string").alias("doc_id"), "source", F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "text")
+
+
+def pages(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.lit(1).alias("page"), "text")
+
+
+def lexical_hits(spark, sf, k=K):
+    return bm25.search(bm25.build(passages(spark, sf)), items(spark, sf), k, "question")
+
+
+def judged_hits(spark, sf, k=K):
+    """Lexical hits with chunks and questions; a hit is relevant if the item stands in it word for word."""
+    hits = retrieval.with_chunks(lexical_hits(spark, sf, k), passages(spark, sf)).join(items(spark, sf), "query_id")
+    return hits.withColumn("relevant", F.contains("text", F.col("question")))
+
+
+def answer_pairs(spark, sf):
+    """Each assistant turn as the prediction for the user turn before it."""
+    c = table(spark, sf, "conversations")
+    u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("gold"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction"))
+    return u.join(a, ["conv_id", "turn"]).withColumn("query_id", F.format_string("%d_%d", "conv_id", "turn"))
+
+
+def q01_flat_ip_topk(spark, sf):
+    return exact(spark, sf, K).select("query_id", "rank", "vector_id", F.round("score", 6).alias("score"))
+
+
+def q02_candidate_final_k(spark, sf):
+    return exact(spark, sf, 20).select("query_id", "rank", "vector_id", (F.col("rank") <= 5).alias("selected"))
+
+
+def q03_gated_plan(spark, sf):
+    q = vector_queries(spark, sf)
+    on = F.col("query_id") % 100 == 0
+    plans = q.select("query_id", on.alias("enabled"), F.when(on, 10).otherwise(0).alias("candidate_k"), F.when(on, 1 + (F.col("query_id") / 100).cast("int") % 5).otherwise(0).alias("final_k"))
+    found = vector_index.flat_search(vectors(spark, sf), retrieval.gated(q, plans), 10)
+    rows = retrieval.traces(plans, retrieval.limit_by_plan(found, plans, "final_k", 10))
+    return rows.select("query_id", F.size("results").alias("n_hits"), F.coalesce(F.get("results", F.lit(0))["vector_id"], F.lit(-1)).alias("best"))
+
+
+def q04_presegmented_chunks(spark, sf):
+    return chunking.presegmented(pages(spark, sf)).select("chunk_id", "vector_id", "source", "page_start", "page_end", "token_count")
+
+
+def q05_token_stats(spark, sf):
+    return chunking.token_summary(pages(spark, sf).select(T.token_count("text").alias("token_count")).where("token_count > 0"))
+
+
+def q06_sentence_split(spark, sf):
+    s = T.sentences("text")
+    return table(spark, sf, "documents").select("doc_id", F.size(s).alias("n_sentences"), F.sha2(F.array_join(s, "\x01").cast("binary"), 256).alias("digest"))
+
+
+def q07_fixed_sentence_chunks(spark, sf):
+    c = chunking.fixed_sentence(pages(spark, sf))
+    return c.select("chunk_id", "doc_id", "source", "page_start", "page_end", "token_count", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+def q08_chunk_overlap_stats(spark, sf):
+    return chunking.overlap_summary(chunking.overlaps(chunking.fixed_sentence(pages(spark, sf)), most=50))
+
+
+def q09_hashing_embed(spark, sf):
+    e = embedding.hashing_embed(table(spark, sf, "documents"), "doc_id", "text", 384)
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return e.select("doc_id", F.size(F.filter("embedding", lambda x: x != 0)).alias("n_nonzero"), F.round(F.sqrt(norm), 4).alias("norm"))
+
+
+def q10_bm25_topk(spark, sf):
+    return lexical_hits(spark, sf).select("query_id", "rank", "vector_id", F.round("score", 6).alias("score"))
+
+
+def q11_bm25_index_stats(spark, sf):
+    index = bm25.build(passages(spark, sf))
+    total = index.postings.groupBy("term").agg(F.sum("tf").alias("cf"))
+    return index.terms.join(total, "term").select("term", "df", "cf", F.lit(index.count).alias("n_docs"), F.round(F.lit(index.avgdl), 6).alias("avgdl"))
+
+
+def q12_hit_mrr(spark, sf):
+    scores = evaluation.retrieval_scores(items(spark, sf), judged_hits(spark, sf), K)
+    return evaluation.mean_scores(scores.select(F.col("hit"), F.col("rr")), ["hit", "rr"]).select(F.round("hit", 6).alias("hit"), F.round("rr", 6).alias("rr"), "hit_valid_count", "rr_valid_count")
+
+
+def q13_answer_in_passage(spark, sf):
+    hits = judged_hits(spark, sf).select("query_id", "rank", "vector_id", "text", F.array(F.substring_index("question", " ", 3)).alias("answers"))
+    return evaluation.answer_in_passage(hits).select("query_id", "rank", "vector_id", "relevant")
+
+
+def q14_short_answer_scores(spark, sf):
+    rows = answer_pairs(spark, sf).withColumn("answers", F.array("gold"))
+    return evaluation.short_answer_scores(rows).select("query_id", "em", F.round("f1", 6).alias("f1"))
+
+
+def _paper_rows(spark, sf):
+    p = answer_pairs(spark, sf)
+    ref = lambda **k: F.struct(*[k.get(n, F.lit(None)).cast(t).alias(n) for n, t in (("unanswerable", "boolean"), ("extractive_spans", "array<string>"), ("yes_no", "boolean"), ("free_form_answer", "string"), ("evidence", "array<string>"))])
+    refs = F.array(ref(unanswerable=F.lit(False), extractive_spans=F.array("gold"), evidence=F.array("gold")), ref(unanswerable=F.lit(False), extractive_spans=F.array(), free_form_answer=F.substring_index("prediction", " ", 2), evidence=F.array("prediction", "gold")))
+    return p.withColumn("references", refs).withColumn("evidence", F.array("prediction", F.lit("other")))
+
+
+def q15_paper_answer_scores(spark, sf):
+    s = evaluation.paper_answer_scores(_paper_rows(spark, sf))
+    return s.select("query_id", F.round("answer_f1", 6).alias("answer_f1"), "answer_type", F.round("evidence_f1", 6).alias("evidence_f1"))
+
+
+def _units(spark, sf):
+    """Lines of documents as evidence units."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "evidence"))
+    return d.select("doc_id", (F.col("pos") + 1).alias("page"), "evidence")
+
+
+def _paper_questions(spark, sf):
+    """Items as questions on the paper of their best hit, with the item's lines as evidence, and an unanswerable reference."""
+    hits = lexical_hits(spark, sf).withColumn("doc_id", F.col("vector_id").cast("string"))
+    kind = "struct<unanswerable:boolean,evidence:array<string>>"
+    refs = F.array(F.struct(F.lit(False), F.split("question", "\n", -1)).cast(kind), F.struct(F.lit(True), F.array()).cast(kind))
+    best = hits.where("rank = 1").select("query_id", F.col("doc_id").alias("paper_id"))
+    questions = items(spark, sf).join(best, "query_id").select("query_id", "paper_id", refs.alias("references"))
+    ranged = hits.select("query_id", "rank", "doc_id", F.lit(1).alias("page_start"), (F.col("rank") + 2).alias("page_end"))
+    return questions, ranged
+
+
+def q16_open_corpus_scores(spark, sf):
+    questions, hits = _paper_questions(spark, sf)
+    s = evaluation.open_corpus_scores(questions, hits, _units(spark, sf))
+    return s.select("query_id", "paper_hit", "paper_rr", "evidence_hit", F.round("evidence_recall", 6).alias("evidence_recall"), F.round("evidence_f1", 6).alias("evidence_f1"))
+
+
+def _contexts(spark, sf, budget):
+    hits = judged_hits(spark, sf).where("rank <= 5")
+    return answering.build_context(items(spark, sf), hits, budget)
+
+
+def q17_context(spark, sf):
+    return _contexts(spark, sf, None).select("query_id", "context_tokens", "truncated", "n_chunks", F.sha2(F.col("context").cast("binary"), 256).alias("digest"))
+
+
+def q17b_context_budget(spark, sf):
+    return _contexts(spark, sf, 600).select("query_id", "context_tokens", "truncated", "n_chunks", F.sha2(F.col("context").cast("binary"), 256).alias("digest"))
+
+
+def q18_prompt_sha(spark, sf):
+    rows = _contexts(spark, sf, None).join(items(spark, sf), "query_id")
+    return answering.build_prompt(rows).select("query_id", "template", "prompt_sha256")
+
+
+def q19_extractive_answer(spark, sf):
+    return answering.extractive_answers(items(spark, sf), judged_hits(spark, sf).where("rank <= 5"))
+
+
+def _selected(spark, sf):
+    source = items(spark, sf).select(F.col("query_id").alias("position"), "question")
+    return preparation.select_questions(source, 20, seed="quarry", calibration=5)
+
+
+def q20_question_selection(spark, sf):
+    return _selected(spark, sf).select("position", "question_id", "selection_no", "split")
+
+
+def _wiki(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), "text")
+
+
+def q21_context_resolution(spark, sf):
+    """Every document as a context: by its own id, by a neighbour's, by one that isn't there, or without any."""
+    d = table(spark, sf, "documents")
+    number = F.col("doc_id")
+    named = F.when(number % 4 == 0, number).when(number % 4 == 1, number + 1).when(number % 4 == 2, number + 100_000_000)
+    contexts = d.select(number.alias("ctx_no"), named.cast("string").alias("passage_id"), F.col("source").alias("title"), F.concat(F.lit(" "), "text").alias("text"))
+    return preparation.resolve_contexts(contexts, _wiki(spark, sf)).select("ctx_no", "resolved_id", "problem")
+
+
+def q22_hard_negative_round_robin(spark, sf):
+    hits = judged_hits(spark, sf)
+    excluded = hits.where("relevant").select(F.col("vector_id").alias("id"))
+    negatives = hits.where("not relevant").select(F.col("query_id").alias("selection_no"), (F.col("rank") - 1).alias("pos"), F.col("vector_id").alias("id"))
+    return preparation.round_robin(negatives, excluded, 100, 5)
+
+
+def q23_reservoir(spark, sf):
+    eligible = table(spark, sf, "documents").where("doc_id % 50 <> 0").select(F.col("doc_id").alias("id"))
+    return preparation.reservoir(eligible, 100, "quarry")
+
+
+def _run_rows(spark, sf):
+    e = table(spark, sf, "events")
+    status = F.when(F.col("event_type") == "error", "error").when(F.col("user_id") % 10 == 0, "error").otherwise("success")
+    return e.select(status.alias("status"), F.col("value").alias("total_ms"), F.when(F.col("event_id") % 3 > 0, F.col("value") / 2).alias("retrieval_ms"), F.when(F.col("event_id") % 5 > 0, F.col("user_id")).otherwise(-1).alias("input_tokens"), F.col("event_type"))
+
+
+def q24_run_summary(spark, sf):
+    s = evaluation.run_summary(_run_rows(spark, sf))
+    return s.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+
+
+def q25_failed_row_policies(spark, sf):
+    rows = _run_rows(spark, sf).withColumn("f1", F.col("total_ms") / 500)
+    a = evaluation.score_successes(rows, "f1").withColumn("policy", F.lit("left out"))
+    b = evaluation.score_failures_as_zero(rows, "f1").withColumn("policy", F.lit("zero"))
+    return a.unionByName(b).select("policy", "questions", "scored", F.round("f1", 6).alias("f1"))
+
+
+def q26_resume_pending(spark, sf):
+    q = items(spark, sf).select(F.col("query_id").alias("position"), F.format_string("q%05d", "query_id").alias("question_id"))
+    state = lambda ok: F.when(ok, "success").otherwise("error")
+    results = q.where("position % 3 < 2").select("question_id", state(F.col("position") % 3 == 0).alias("status"))
+    latest = q.where("position % 9 = 1 or position % 9 = 3").select("question_id", state(F.col("position") % 9 == 1).alias("status"))
+    merged = runs.merged_rows(results, latest)
+    left = runs.pending(q, merged).withColumn("pending", F.lit(True)).select("question_id", "pending")
+    return q.join(merged, "question_id", "left").join(left, "question_id", "left").select("position", "question_id", F.coalesce("status", F.lit("new")).alias("status"), F.coalesce("pending", F.lit(False)).alias("pending"))
+
+
+def _inverted(spark, sf, m=None):
+    v = vectors(spark, sf)
+    index = vector_index.train_ivf(v, nlist=16, m=m, nbits=6, train_size=20_000)
+    return vector_index.build_ivf(v, index), index
+
+
+def q27_ivf_full_probe_exact(spark, sf):
+    built, index = _inverted(spark, sf)
+    found = vector_index.ivf_search(built, index, vector_queries(spark, sf), K, nprobe=16)
+    return found.select("query_id", "rank", "vector_id", F.round("score", 6).alias("score"))
+
+
+def _recall_of(spark, sf, found):
+    return vector_index.recall(found, exact(spark, sf, K))
+
+
+def q28_ivf_recall(spark, sf):
+    built, index = _inverted(spark, sf)
+    return _recall_of(spark, sf, vector_index.ivf_search(built, index, vector_queries(spark, sf), K, nprobe=8))
+
+
+def q29_pq_recall(spark, sf):
+    built, index = _inverted(spark, sf, m=32)
+    return _recall_of(spark, sf, vector_index.ivf_search(built, index, vector_queries(spark, sf), 3 * K, nprobe=16))
+
+
+def q30_hnsw_recall(spark, sf):
+    return _recall_of(spark, sf, vector_index.hnsw_search(vectors(spark, sf), vector_queries(spark, sf), K))
+
+
+def _reranked(spark, sf):
+    hits = judged_hits(spark, sf).withColumn("query", F.col("question"))
+    return retrieval.rerank(hits, retrieval.overlap_scorer(), 3)
+
+
+def q31_rerank_paired_metrics(spark, sf):
+    p = evaluation.paired_ranks(_reranked(spark, sf), 3)
+    return p.select("query_id", *[F.round(c, 6).alias(c) for c in ("pool_rr", "baseline_rr", "reranked_rr")])
+
+
+def q31b_rerank_trace(spark, sf):
+    return _reranked(spark, sf).select("query_id", "vector_id", "rank", "rerank_rank", "rerank_score", "selected")
+
+
+def q32_set_digests(spark, sf):
+    d = table(spark, sf, "documents")
+    ids = d.where("doc_id % 2 = 0").select("doc_id").union(d.where("doc_id % 3 = 0").select("doc_id"))
+    one = preparation.ids_digest(ids, "doc_id").withColumn("kind", F.lit("numeric"))
+    return one.union(preparation.ids_digest(ids, "doc_id", numeric=False).withColumn("kind", F.lit("text"))).select("kind", "n", "sha256")
+
+
+def _articles(spark, sf):
+    """Documents as nested papers: lines as paragraphs of two named sections, and a third name without paragraphs."""
+    d = table(spark, sf, "documents").withColumn("lines", F.split("text", "\n", -1))
+    half = (F.size("lines") / 2).cast("int")
+    body = F.struct(F.array("lang", "source", F.lit("unpaired")).alias("section_name"), F.array(F.slice("lines", 1, half), F.slice("lines", half + 1, F.size("lines"))).alias("paragraphs"))
+    spans = lambda *s: F.array(*[F.lit(x) for x in s]).cast("array<string>")
+    ref = F.struct((F.col("doc_id") % 5 == 0).alias("unanswerable"), F.when(F.col("doc_id") % 2 == 0, F.array(F.get("lines", F.lit(0)))).otherwise(spans()).alias("extractive_spans"), F.lit(None).cast("boolean").alias("yes_no"), F.when(F.col("doc_id") % 7 == 0, "free").otherwise(" ").alias("free_form_answer"), F.when(F.col("doc_id") % 3 == 0, spans("one")).when(F.col("doc_id") % 3 == 1, spans("FLOAT SELECTED: two")).otherwise(spans("one", "two")).alias("evidence"))
+    plain = F.struct(F.lit(False).alias("unanswerable"), spans("s").alias("extractive_spans"), F.when(F.col("doc_id") % 4 > 0, True).alias("yes_no"), F.lit("").alias("free_form_answer"), spans(" e ", "").alias("evidence"))
+    qas = F.struct(F.array(F.lit("what")).alias("question"), F.array(F.concat(F.lit("q"), "doc_id")).alias("question_id"), F.array(F.struct(F.array(ref, plain).alias("answer"))).alias("answers"))
+    return d.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("\n "), "source", F.lit("\r")).alias("title"), F.lit("  ").alias("abstract"), body.alias("full_text"), F.struct(F.array(F.concat(F.lit("Figure "), "lang")).alias("caption")).alias("figures_and_tables"), qas.alias("qas"))
+
+
+def q33_nested_flatten(spark, sf):
+    u = papers.units(_articles(spark, sf))
+    return u.select("doc_id", "page", F.sha2(F.col("text").cast("binary"), 256).alias("text_digest"), F.startswith("evidence", F.lit("FLOAT SELECTED:")).alias("is_float"))
+
+
+def q34_redaction(spark, sf):
+    d = table(spark, sf, "documents")
+    safe = runs.safe_rows(d.select("doc_id", F.struct("text", F.lit("x").alias("api_key")).alias("body")))
+    return safe.select("doc_id", F.size(F.split("body.text", r"\[REDACTED\]", -1)).alias("parts"), F.sha2(F.col("body.text").cast("binary"), 256).alias("digest"), F.lit("api_key" in safe.schema["body"].dataType.names).alias("has_key"))
+
+
+def q35_type_means(spark, sf):
+    s = evaluation.answer_type_summary(evaluation.paper_answer_scores(_paper_rows(spark, sf)))
+    return s.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+
+
+def q36_title_expansion(spark, sf):
+    titles = _wiki(spark, sf).where("cast(id as long) % 200 = 0").select("title")
+    return preparation.title_expansion(_wiki(spark, sf), titles)
+
+
+def q37_selected_corpus(spark, sf):
+    ids = preparation.title_expansion(_wiki(spark, sf), _wiki(spark, sf).where("cast(id as long) % 200 = 0").select("title"))
+    return preparation.selected_corpus(_wiki(spark, sf), ids).select("id", "title", F.length("text").alias("n_chars"))
+
+
+def q38_slice_stats(spark, sf):
+    return papers.slice_stats(papers.questions(_articles(spark, sf)))
+
+
+def q39_evaluation_questions(spark, sf):
+    kept = papers.evaluation_questions(papers.questions(_articles(spark, sf)))
+    return kept.select("paper_id", "question_id", "source_references", F.size("references").alias("references"))
+
+
+def q40_paper_evidence(spark, sf):
+    questions, hits = _paper_questions(spark, sf)
+    e = evaluation.paper_evidence(hits, _units(spark, sf), questions.select("query_id", "paper_id"))
+    return e.select("query_id", F.size("evidence").alias("n"), F.sha2(F.array_join("evidence", "\x01").cast("binary"), 256).alias("digest"))
+
+
+def q41_open_corpus_summary(spark, sf):
+    questions, hits = _paper_questions(spark, sf)
+    s = evaluation.open_corpus_summary(evaluation.open_corpus_scores(questions, hits, _units(spark, sf)))
+    return s.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+
+
+def q42_token_usage(spark, sf):
+    rows = _contexts(spark, sf, None).join(items(spark, sf), "query_id").withColumn("answer", F.substring_index("question", " ", 5))
+    used = answering.estimated_usage(answering.build_prompt(rows, "nq_short_qa_v1"))
+    return used.select("query_id", "token_usage.*")
+
+
+def q43_passage_violations(spark, sf):
+    d = _wiki(spark, sf)
+    spoiled = d.select(F.when(F.col("id").endswith("7"), F.concat(F.lit("x"), "id")).when(F.col("id").endswith("9"), F.lit("9")).otherwise(F.col("id")).alias("id"), F.when(F.col("id").endswith("5"), " ").otherwise(F.col("title")).alias("title"), "text")
+    return readers.passage_violations(spoiled).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+def q44_canonical_jsonl(spark, sf):
+    d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("a_id"), F.struct(F.col("lang").alias("z"), F.lit(1).alias("b")).alias("nested"))
+    return canonical_lines(d).select(F.sha2(F.col("value").cast("binary"), 256).alias("digest"), F.length("value").alias("n"))
+
+
+def q45_embedding_violations(spark, sf):
+    v = vectors(spark, sf)
+    spoiled = v.select("vector_id", F.when(F.col("vector_id") % 10 == 1, F.transform("embedding", lambda x: (x * 2).cast("float"))).when(F.col("vector_id") % 10 == 2, F.slice("embedding", 1, 63)).when(F.col("vector_id") % 10 == 3, F.transform("embedding", lambda x: F.lit(0).cast("float"))).otherwise(F.col("embedding")).alias("embedding"))
+    return embedding.embedding_violations(spoiled, 64, True).select("vector_id")
+
+
+def q46_id_list_differences(spark, sf):
+    d = _wiki(spark, sf).select("id")
+    return readers.id_list_differences(d.where("cast(id as long) % 4 > 0"), d.where("cast(id as long) % 5 > 0")).select("id", F.coalesce("in_passages", F.lit(False)).alias("in_passages"))
+
+
+def q47_dense_answers(spark, sf):
+    """The composed plan: sentence chunks, hashed vectors, exact search, a context budget, prompts and extractive answers."""
+    from quarry.plans.config import Config
+    from quarry.plans.engine import answer, build
+
+    built = build(pages(spark, sf), Config(candidate_k=20, context_tokens=800))
+    rows = answer(built, items(spark, sf))
+    return rows.select("query_id", F.size("results").alias("n_hits"), "context_tokens", "truncated", "prompt_sha256", "answer", "token_usage.total_tokens", "status")
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
+
+from quarry.plans.oracles import ORACLES  # noqa: E402, F401
