@@ -111,7 +111,7 @@ def features(folded: str, model: Model) -> tuple[float, float]:
     total = sum(w for _, w in hits(folded, model))
     if not total:
         return 0.0, 0.0
-    return float(np.log1p(total)), float(np.log1p(100 * total / (folded.count(" ") + 1)))
+    return float(np.log1p(total)), float(np.log1p(100 * total / len(folded.split())))
 
 
 def probability(x: np.ndarray, model: Model) -> np.ndarray:
