@@ -45,7 +45,7 @@ def truncate_tokens(c: Column, n: Column | int) -> Column:
     ``n`` may differ by row, so the cut is found from the tokens' lengths and the gaps between them.
     """
     gaps = F.split(c, TOKEN, -1)
-    n = n if isinstance(n, Column) else F.lit(n)
+    n = F.least(n if isinstance(n, Column) else F.lit(n), F.size(tokens(c)))
     length = F.aggregate(F.slice(tokens(c), 1, n), F.lit(0), lambda s, t: s + F.length(t)) + F.aggregate(F.slice(gaps, 2, F.greatest(n - 1, F.lit(0))), F.lit(0), lambda s, t: s + F.length(t))
     return F.when(n <= 0, F.lit("")).otherwise(F.substring(c, F.length(F.get(gaps, F.lit(0))) + 1, length))
 
