@@ -24,7 +24,7 @@ def gated(queries: DataFrame, plans: DataFrame) -> DataFrame:
 
 def limit_by_plan(ranked: DataFrame, plans: DataFrame, depth: str, most: int) -> DataFrame:
     """Hits within each query's own depth. The literal ``most`` lets ranks beyond any plan be cut early."""
-    return ranked.where(F.col("rank") <= most).join(F.broadcast(plans.select("query_id", depth)), "query_id").where(F.col("rank") <= F.col(depth)).drop(depth)
+    return ranked.where(F.col("rank") <= most).join(plans.select("query_id", depth), "query_id").where(F.col("rank") <= F.col(depth)).drop(depth)
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
