@@ -155,10 +155,14 @@ def plan(histogram: dict[int, int], capacity: int = 1024, most_docs: int | None
     return pd.DataFrame(slots, columns=["length", "lo", "hi", "seq", "per", "offset"]).astype("int64")
 
 
-def pack(parts: DataFrame, capacity: int = 1024, salt: int = 64, **options) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces (as :func:`pieces` gives them)."""
+def pack(parts: DataFrame, capacity: int = 1024, salt: int | None = None, **options) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to pieces (as :func:`pieces` gives them).
+
+    ``salt`` is into how many sub-groups the pieces of a length are dealt for ranking; by default it follows their number.
+    """
     parts = checkpointed(parts)  # tokenised once; ranks below need rows that stay as they are
     spark = parts.sparkSession
+    salt = salt or min(4096, max(64, parts.count() // 4_000_000))
     keyed = parts.withColumn("sub", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salt)).cast("int"))
     counts = keyed.groupBy("length", "sub").count().orderBy("length", "sub").toPandas()  # at most capacity x salt rows
     histogram = {int(k): int(v) for k, v in counts.groupby("length")["count"].sum().items()}
