@@ -48,14 +48,14 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint of each whole text as a signed long."""
+    """``(doc_id, fp, tie)``: the fingerprint of each whole text as a signed long, and Spark's hash of the text."""
 
     def run(batch):
         fps = [simhash(t, shingle) for t in batch.column(1).to_pylist()]
-        return {"doc_id": batch.column(0), "fp": pa.array(np.array(fps, np.uint64).view(np.int64))}
+        return {"doc_id": batch.column(0), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "tie": batch.column(2)}
 
-    picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(in_batches(run), "doc_id long, fp long")
+    picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    return picked.mapInArrow(in_batches(run), "doc_id long, fp long, tie long")
 
 
 def ball(radius: int) -> list[int]:
@@ -80,7 +80,7 @@ def links(distinct_fp: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """``(doc_id, fp, component_id)``, one row per input row.
+    """``(doc_id, fp, component_id, tie)``, one row per input row; ``tie``, a hash of the text, tells rows of one id apart.
 
     ``component_id`` is the smallest ``doc_id`` reachable over links of at most ``radius`` differing
     bits, the document's own included.
@@ -94,4 +94,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = distinct_fp.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = classes.join(least, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+    return docs.join(named, "fp").select("doc_id", "fp", "component_id", "tie")
