@@ -3,8 +3,8 @@
 Every distinct fingerprint emits all variants within half the radius (itself and its 64 one-bit
 flips for radius 2). Two fingerprints within the radius share a variant, so one shuffle on the
 variant finds every link; a variant's bucket holds at most 65 distinct fingerprints, however many
-documents carry them. Within a bucket each fingerprint is linked to the smallest one after its
-Hamming distance is verified; other pairs of the bucket are connected through it.
+documents carry them. Within a bucket each fingerprint is linked to the next smaller one after its
+Hamming distance is verified; other pairs of the bucket are connected through these.
 
 Edge cases: null or empty texts have fingerprint zero and link like any other; texts of fewer than
 three words hash their whole word sequence; rows with the same ``doc_id`` are rows of their own; null ids
@@ -19,11 +19,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, in_batches
+from quarry.llm.common import checkpointed, components, in_batches
 
+VARIANTS_A_TASK = 1_000_000
 #: A-Z to a-z, other bytes as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -67,15 +68,18 @@ def ball(radius: int) -> list[int]:
 def links(distinct_fp: DataFrame, radius: int = 2) -> DataFrame:
     """Verified links ``(a, b)`` that connect all distinct fingerprints within ``radius`` bits.
 
-    ``radius`` is even; a bucket's members lie within ``radius`` of each other, so a star per bucket
+    ``radius`` is even; a bucket's members lie within ``radius`` of each other, so a chain through them
     loses no connection.
     """
     if radius % 2 or radius < 0:
         raise ValueError("the radius must be even")
     masks = F.array(*[F.lit(m).cast("long") for m in ball(radius // 2)])
-    variants = distinct_fp.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    buckets = variants.groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("z"), F.collect_list("fp").alias("fps")).where("a < z")
-    pairs = buckets.select("a", F.explode("fps").alias("b")).where("a < b").distinct()
+    # Each row becomes many: the number of tasks follows the rows that are made, not the few bytes that are read.
+    tasks = max(4, -(-distinct_fp.count() * len(ball(radius // 2)) // VARIANTS_A_TASK))
+    spread = distinct_fp.select("fp").repartition(tasks, "fp")
+    variants = spread.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    before = F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))
+    pairs = variants.select(before.alias("a"), F.col("fp").alias("b")).where("a is not null").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
@@ -86,8 +90,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bits, the document's own included.
     """
     docs = fingerprints(df, id_col, text_col, shingle)
-    from quarry.llm.common import checkpointed
-
     docs = checkpointed(docs)  # the texts are read once
     distinct_fp = docs.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(links(distinct_fp.select("fp"), radius)).withColumnRenamed("node", "fp")
