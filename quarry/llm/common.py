@@ -6,11 +6,10 @@ import os
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Whitespace of the word contracts: U+0020 and U+0009 to U+000D, the set ``bytes.split()`` uses.
-WORD_GAP = r"[\x20\x09-\x0D]+"
+#: What a null id counts as where ids are ordered.
 NULL_ID = (1 << 63) - 1
 
 
@@ -43,11 +42,6 @@ def blocks_for(df: DataFrame, text: str, target: int) -> int:
     return max(4, -(-text_bytes(df, text) // target))
 
 
-def fixed(*cols: Column | str) -> Column:
-    """A 64-bit hash of the columns."""
-    return F.xxhash64(*cols)
-
-
 def in_batches(fn, rows: int = 256):
     """Wraps ``fn(RecordBatch) -> dict of arrays`` for mapInArrow over bounded slices, so that a
     Python worker holds few texts at a time however large Arrow's batches are."""

@@ -8,7 +8,7 @@ differ by one row at most. Everything is a function of the records, the seed and
 a task that runs again gives the same rows.
 
 Edge cases: null text has size 8 and the CRC of no bytes; null ids are scattered by their text; repeated
-rows are separate records; an empty table gives no rows; extra columns are carried by ``shuffled``
+rows are separate records, and those alike in id and text share a bucket; an empty table gives no rows; extra columns are carried by ``shuffled``
 under their own names and ignored by ``assignments``.
 """
 
@@ -56,8 +56,6 @@ def assignments(df: DataFrame, shards: int = 24, seed: int = 20260731, id_col: s
 
     def second(key, table, begin):
         bucket, n = key[0].as_py(), table.num_rows
-        if not n:
-            return pa.table({k: [] for k in ("doc_id", "size", "text_crc32", "shard", "slot", *(["text"] if keep_text else []))}, schema=None)
         texts = table.column("text").to_pylist()
         raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
         crc = np.fromiter(map(zlib.crc32, raw), np.int64, n)

@@ -102,14 +102,13 @@ class Block:
         self.ids = np.array([ids[k] for k in order], np.int64)
         self.ties = np.array([tie[k] for k in order], np.int64)
         self.raw = [raw[k] for k in order]
-        h, words = xxhash.xxh64_intdigest, []
+        h = xxhash.xxh64_intdigest
         counts = np.zeros(len(order), np.int64)
         parts = []
         for k, r in enumerate(self.raw):
             w = r.split()
             counts[k] = len(w)
             parts.append(np.fromiter(map(h, w), np.uint64, len(w)))
-        del words
         self.words = np.concatenate([*parts, np.zeros(0, np.uint64)])
         self.starts = np.concatenate([[0], np.cumsum(counts)])
         self.window = window
@@ -144,10 +143,6 @@ class Block:
         return self.grams[chosen]
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return x.tobytes()
-
-
 def _per_bucket(keys: np.ndarray, buckets: int):
     """Order of the keys by bucket, and ``(bucket, from, to)`` of each bucket that has any."""
     b = (keys % np.uint64(buckets)).astype(np.int64)
@@ -164,7 +159,7 @@ def _minimizers(window: int, gram: int, buckets: int):
         keys, counts = keys[order], counts[order].astype(np.uint32)
         return pa.table({
             "bucket": pa.array([b for b, _, _ in spans], pa.int32()), "block": pa.array([key[0].as_py()] * len(spans), pa.int32()),
-            "keys": pa.array([_pack(keys[a:z]) for _, a, z in spans], pa.binary()), "counts": pa.array([_pack(counts[a:z]) for _, a, z in spans], pa.binary()),
+            "keys": pa.array([keys[a:z].tobytes() for _, a, z in spans], pa.binary()), "counts": pa.array([counts[a:z].tobytes() for _, a, z in spans], pa.binary()),
         })
 
     return run
@@ -186,8 +181,8 @@ def _repeated(hot: int):
         spans = list(zip(cuts, [*cuts[1:], len(order)]))
         flat, is_hot = flat[order], is_hot[order]
         return pa.table({
-            "block": pa.array([int(owner[order[a]]) for a, _ in spans], pa.int32()), "keys": pa.array([_pack(flat[a:z]) for a, z in spans], pa.binary()),
-            "hot": pa.array([_pack(is_hot[a:z].astype(np.uint8)) for a, z in spans], pa.binary()),
+            "block": pa.array([int(owner[order[a]]) for a, _ in spans], pa.int32()), "keys": pa.array([flat[a:z].tobytes() for a, z in spans], pa.binary()),
+            "hot": pa.array([is_hot[a:z].astype(np.uint8).tobytes() for a, z in spans], pa.binary()),
         })
 
     return run
@@ -298,8 +293,10 @@ def _shards(window: int):
             reply = np.zeros(int(keep.sum()), ANSWER)
             reply["row"], reply["start"], reply["mask"] = heads["row"][keep], heads["start"][keep], masks[keep]
             owner = owner[keep]
-            for b in np.unique(owner).tolist():
-                answers.append((b, reply[owner == b].tobytes()))
+            order = np.argsort(owner, kind="stable")
+            cuts = np.flatnonzero(np.diff(owner[order], prepend=-1))
+            for a, z in zip(cuts, [*cuts[1:], len(order)]):
+                answers.append((int(owner[order[a]]), reply[order[a:z]].tobytes()))
         return pa.table({"block": pa.array([b for b, _ in answers], pa.int32()), "answer": pa.array([x for _, x in answers], pa.binary())})
 
     return run
