@@ -60,7 +60,7 @@ def candidates(folded: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:n]}" for n in PREFIXES for w in words if len(w) > n}
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Model:
     """What the driver ships to the executors: at most ``most_terms`` entries, phrases and three coefficients."""
 
@@ -70,19 +70,16 @@ class Model:
     by_sum: float = 0.0
     by_rate: float = 0.0
 
-    def key(self):
-        return tuple(sorted(self.weights.items())), self.exceptions
 
-
-@lru_cache(maxsize=2)
-def _automaton(key):
+@lru_cache(maxsize=4)
+def _automaton(model: Model):
+    """Built once for a model, which a task gets once."""
     import ahocorasick
 
-    entries, exceptions = key
     a = ahocorasick.Automaton()
-    for term, weight in entries:
+    for term, weight in model.weights.items():
         a.add_word(term, (len(term), weight))
-    for phrase in exceptions:
+    for phrase in model.exceptions:
         folded = fold(phrase)
         a.add_word(folded, (len(folded), None)) if folded not in a else None
     if len(a):
@@ -92,7 +89,7 @@ def _automaton(key):
 
 def hits(folded: str, model: Model) -> list[tuple[int, float]]:
     """``(start, weight)`` of each word with an entry, outside exception phrases; of several entries at a word the heaviest."""
-    a = _automaton(model.key())
+    a = _automaton(model)
     if not len(a):
         return []
     found: dict[int, float] = {}
@@ -106,12 +103,13 @@ def hits(folded: str, model: Model) -> list[tuple[int, float]]:
     return sorted((at, w) for at, w in found.items() if not any(a <= at < z for a, z in harmless))
 
 
-def features(folded: str, model: Model) -> tuple[float, float]:
-    """Log of the hits' weight, and of the weight for each 100 words."""
-    total = sum(w for _, w in hits(folded, model))
-    if not total:
-        return 0.0, 0.0
-    return float(np.log1p(total)), float(np.log1p(100 * total / len(folded.split())))
+def features(folded: str, model: Model) -> tuple[float, float, int]:
+    """Log of the hits' weight, of the weight for each 100 words, and the number of hits."""
+    found = hits(folded, model)
+    if not found:
+        return 0.0, 0.0, 0
+    total = sum(w for _, w in found)
+    return float(np.log1p(total)), float(np.log1p(100 * total / len(folded.split()))), len(found)
 
 
 def probability(x: np.ndarray, model: Model) -> np.ndarray:
@@ -193,10 +191,9 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     """``(doc_id, score, predicted, n_hits)`` of every whole text."""
 
     def run(batch):
-        folded = [fold(t) for t in batch.column(1).to_pylist()]
-        x = np.array([features(f, model) for f in folded]).reshape(-1, 2)
-        p = probability(x, model)
-        return {"doc_id": batch.column(0), "score": pa.array(p), "predicted": pa.array((p >= threshold).astype(np.int32)), "n_hits": pa.array([len(hits(f, model)) if v[0] else 0 for f, v in zip(folded, x)], pa.int64())}
+        x = np.array([features(fold(t), model) for t in batch.column(1).to_pylist()]).reshape(-1, 3)
+        p = probability(x[:, :2], model)
+        return {"doc_id": batch.column(0), "score": pa.array(p), "predicted": pa.array((p >= threshold).astype(np.int32)), "n_hits": pa.array(x[:, 2].astype(np.int64))}
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(in_batches(run), "doc_id long, score double, predicted int, n_hits long")
 
