@@ -42,14 +42,20 @@ def remove_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
         .select("did", "tie", "from_line", F.get("hs", F.col("p")).alias("fp"), F.slice("hs", F.col("from_line") + 1, F.least(F.col("p") + t, F.size("hs")) - F.col("from_line")).alias("around"))
     )
 
-    repeated = prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    matched = prints.join(repeated, "fp")
+    # An aggregate's rows lie by its key, and a join that relies on that can't split a frequent key. Joins are on a hash of
+    # the key instead: the few rows of the aggregate are dealt once more, and both sides can be split at run time.
+    repeated = prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("fp").alias("by"))
+    matched = prints.withColumn("by", F.xxhash64("fp")).join(repeated, "by")
+    run = F.slice("around", F.col("o") + 1, t)
+    # Two hashes of the run as its key, without the fingerprint: a frequent fingerprint's rows are dealt anew by their runs.
     places = matched.select("fp", "did", "tie", "from_line", "around", F.explode(F.sequence(F.lit(0), F.size("around") - t)).alias("o")).select(
-        "fp", F.xxhash64(F.slice("around", F.col("o") + 1, t)).alias("run"), "did", "tie", (F.col("from_line") + F.col("o")).alias("pos")
+        F.xxhash64("fp", run).alias("run"), F.xxhash64(F.lit(1), run).alias("run2"), "did", "tie", (F.col("from_line") + F.col("o")).alias("pos")
     )
     place = F.struct("did", "tie", "pos")
-    earliest = places.groupBy("fp", "run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("fp", "run", "first")
-    later = places.join(earliest, ["fp", "run"]).where(place > F.col("first")).select("did", "tie", "pos").distinct()
+    earliest = places.groupBy("run", "run2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    earliest = earliest.select(F.xxhash64("run", "run2").alias("by"), F.col("run").alias("run_1"), F.col("run2").alias("run_2"), "first")
+    again = places.withColumn("by", F.xxhash64("run", "run2")).join(earliest, "by").where("run = run_1 and run2 = run_2")
+    later = again.where(place > F.col("first")).select("did", "tie", "pos").distinct()
 
     line = Window.partitionBy("did", "tie").orderBy("pos")
     fresh = (F.col("pos") > F.coalesce(F.lag("pos").over(line) + t, F.lit(-1))).cast("int")
