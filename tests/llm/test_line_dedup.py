@@ -53,3 +53,35 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     plan = L.remove_runs(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_lines_without_repeated_neighbours(spark):
+    long, short = " ".join(f"w{k}" for k in range(50)), " ".join(f"w{k}" for k in range(49))
+    rows = [(1, f"a\n{long}\nb"), (2, long), (3, f"c\n{long}\nd\n{long}\nb\nx\nb\nx"), (4, short), (5, short), (6, "x\ny"), (7, f"b\nx\n{long}\nz"), (8, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.text, r.n_removed) for r in L.remove_runs(df, long_words=50).collect()}
+    # long, b is a run of two lines of the first text; b, x of the third.
+    assert got == {1: (rows[0][1], 0), 2: ("", 1), 3: ("c\nd\nx", 5), 4: (short, 0), 5: (short, 0), 6: ("x\ny", 0), 7: ("z", 3), 8: (None, 0), 9: ("", 0)}
+    kept = {r.doc_id: r.n_removed for r in L.remove_runs(df).collect()}
+    assert kept[2] == 0
+
+
+@pytest.mark.parametrize("t", [2, 3])
+def test_long_lines_against_brute_force(spark, t):
+    """Lines of one and of four words; all long ones are runs of their own."""
+    rng = random.Random(t)
+    line = lambda: rng.choice([f"l{k}" for k in range(6)] + [f"w{k} x y z" for k in range(12)])
+    rows = [(i, "\n".join(line() for _ in range(rng.choice([1, 1, 2, 3, 5, 9])))) for i in range(60)]
+    rows = list({x: (i, x) for i, x in reversed(rows)}.values())
+    first, want = set(), {}
+    for i, text in sorted(rows):
+        lines, gone = text.split("\n"), set()
+        for a in range(len(lines)):
+            for n in {t, 1}:
+                w = tuple(lines[a : a + n])
+                if len(w) == n and (n > 1 or len(w[0].split()) >= 4):
+                    gone |= set(range(a, a + n)) if w in first else set()
+                    first.add(w)
+        want[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.text, r.n_removed) for r in L.remove_runs(df, run_lines=t, long_words=4).collect()} == want
