@@ -121,17 +121,22 @@ def token_summary(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("chunks"), F.min(c).alias("min_tokens"), F.avg(c).alias("avg_tokens"), F.max(c).alias("max_tokens"))
 
 
-def overlaps(chunks: DataFrame, most: int = 50) -> DataFrame:
+def overlaps(chunks: DataFrame, most: int | None = None) -> DataFrame:
     """For neighbouring chunks of a document, the most tokens by which the end of one is the start of the other.
 
-    Only the last and first ``most`` tokens (the overlap budget, which bounds a realised overlap) are compared.
+    Lengths up to the shorter chunk's are compared; on repetitive text an overlap may exceed the budget of the chunks. ``most``
+    limits the lengths, and so the result.
     """
     order = Window.partitionBy("doc_id").orderBy("chunk_no")
     toks = chunks.select("doc_id", "chunk_no", tokens("text").alias("t"))
-    ends = toks.select("doc_id", "chunk_no", F.slice("t", 1, most).alias("head"), F.slice("t", F.greatest(F.size("t") - most + 1, F.lit(1)), most).alias("tail"))
+    if most is None:
+        ends = toks.select("doc_id", "chunk_no", F.col("t").alias("head"), F.col("t").alias("tail"))
+    else:
+        ends = toks.select("doc_id", "chunk_no", F.slice("t", 1, most).alias("head"), F.slice("t", F.greatest(F.size("t") - most + 1, F.lit(1)), most).alias("tail"))
     pairs = ends.withColumn("before", F.lag("tail").over(order)).where("before is not null")
     room = F.least(F.size("before"), F.size("head"))
-    fits = lambda n: F.slice("before", F.size("before") - n + 1, n) == F.slice("head", 1, n)
+    # Whole parts are compared only where their first tokens are the same.
+    fits = lambda n: F.get("before", F.size("before") - n).eqNullSafe(F.get("head", F.lit(0))) & (F.slice("before", F.size("before") - n + 1, n) == F.slice("head", 1, n))
     lengths = F.filter(F.sequence(F.lit(0), room), lambda n: (n == 0) | fits(F.greatest(n, F.lit(1))))
     return pairs.select("doc_id", "chunk_no", F.array_max(lengths).alias("overlap"))
 

@@ -101,7 +101,7 @@ def q07_fixed_sentence_chunks(spark, sf):
 
 
 def q08_chunk_overlap_stats(spark, sf):
-    return chunking.overlap_summary(chunking.overlaps(chunking.fixed_sentence(pages(spark, sf)), most=50))
+    return chunking.overlap_summary(chunking.overlaps(chunking.fixed_sentence(pages(spark, sf))))
 
 
 def q09_hashing_embed(spark, sf):

@@ -70,3 +70,15 @@ def test_violations(spark):
 def test_windows_are_checked(size, overlap):
     with pytest.raises(ValueError):
         C.check_window(size, overlap)
+
+
+def test_overlap_of_repeated_sentences_is_not_capped(spark):
+    text = " ".join(["the same five words again."] * 200)
+    made = C.fixed_sentence(pages(spark, [("d", "s", 1, text), ("e", "s", 1, "a b. " * 300)]))
+    chunks = {(r.doc_id, r.chunk_no): TOKEN.findall(r.text) for r in made.collect()}
+    want = {}
+    for (d, n), right in chunks.items():
+        if left := chunks.get((d, n - 1)):
+            want[d, n] = max(k for k in range(min(len(left), len(right)) + 1) if k == 0 or left[-k:] == right[:k])
+    assert max(want.values()) > 50
+    assert {(r.doc_id, r.chunk_no): r.overlap for r in C.overlaps(made).collect()} == want
