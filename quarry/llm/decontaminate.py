@@ -1,31 +1,44 @@
 """Benchmark decontamination by SimHash of item-sized windows; DataFrame functions only.
 
-Texts are lower-cased and cut into words of letters and digits; shingles are ``shingle`` words, with repeats.
-
-1. Places: only a window that shares a shingle with an item can be similar to it, so the shingles of all
-   texts are looked up among those of the benchmark; this happens inside one generated stage, and only places that match leave it.
-2. Windows: a match of a text's place ``p`` with an item's place ``j`` sets an item-sized window at ``p - j`` (moved inside the
-   text). 3. Each window's SimHash is cut into ``radius + 1`` blocks; windows join items of their size on any equal block,
-   which by the pigeonhole principle finds all fingerprints within the radius, and the Hamming distance is checked. At a similarity
-   of 0.8 two SimHashes differ in 9.7 of 64 bits on average, with a deviation of 2.9, so the radius of 21 is four
-   deviations away. 4. The exact similarity, weighted by how often a shingle occurs (sum of minima over sum of
-   maxima), decides.
+Texts are lower-cased and cut into words of letters and digits; shingles are ``shingle`` words, with repeats. A window is
+item-sized: as many consecutive words as the item has, or the whole of a shorter text. A text is contaminated if any of its windows
+has a weighted shingle similarity (sum of minima over sum of maxima of how often each occurs) of ``similarity`` or more with an item.
+
+1. Places: the shingles of all texts are looked up among those of the benchmark, inside one generated stage; only places that match leave it.
+2. Windows: a window of ``n`` shingles can reach similarity ``s`` with an item of ``m`` only if at least ``s / (1 + s) * (n + m)`` of its places
+match, so every item-sized window with so many matching places is formed, wherever and in whatever order they lie; no other can be similar. Equal
+windows are one from here on. 3. Each window's SimHash has ``HASHES * BITS`` bits, over its shingles numbered by occurrence,
+so that the angle follows the weighted similarity: at 0.8, two fingerprints of 315 bits differ in 48 on average with a deviation of 6.4,
+and the radius of 74 is four deviations away. Its 25 blocks of 12 or 13 bits are the index: two fingerprints
+within the radius have a block in which at most two bits differ (25 blocks with three each would make 75), so items are
+entered under all variants of each block within two bits (2,170 rows an item) and windows look up their 25 blocks as they are. A window meets a random item
+of its size with a probability of about 0.3; the Hamming distance is then checked. 4. The exact similarity decides.
 
 Edge cases: null and empty texts and items match nothing; items or texts of fewer words than a shingle have their whole word
-sequence as the one shingle; a text shorter than an item is one window; rows that share a ``doc_id`` are told apart by
-a hash of their text, and rows alike in both get the same result; null ids come out null; extra columns are ignored; an empty table
-or benchmark gives no matches.
+sequence as the one shingle; a text shorter than an item is one window; very long texts are looked up place by place, and a window holds no more than
+an item's words (fewer than two million); rows that share a ``doc_id`` are told apart by a hash of their text, and rows alike in both get the same result; null ids come
+out null; extra columns are ignored; an empty table or benchmark gives no matches.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import NULL_ID, checkpointed
 
-#: Rows up to which a side is broadcast; beyond, Spark chooses and shuffles.
-BROADCAST_ROWS = 500_000
+#: Hashes of a fingerprint, and the bits that each gives: three lanes of a long count 21 bits each.
+HASHES, LANE = 5, 21
+BITS = 3 * LANE
+#: Bits of the blocks of one hash.
+CUTS = (13, 13, 13, 12, 12)
+#: Bits by which a block may differ, and the largest radius for which some block then does not.
+BLOCK_RADIUS = 2
+MOST_RADIUS = (BLOCK_RADIUS + 1) * HASHES * len(CUTS) - 1
+#: Shingles of a broadcast block of the benchmark (one long each), and document keys (two longs each) up to which these are broadcast.
+SHINGLES_A_BLOCK, MOST_KEYS = 2_000_000, 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -43,63 +56,109 @@ def places(w: str, n: int) -> Column:
     return F.when(F.size(w) > 0, F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def featured(df: DataFrame, shingles: str, out: str = "features") -> DataFrame:
+    """Adds the hashes of the shingles numbered by occurrence; two such sets share as many as the sum of minima of the counts."""
+    ordered = df.withColumn("_sorted", F.array_sort(shingles))
+    nth = lambda x, i: F.xxhash64(x, i + 1 - F.array_position("_sorted", x))
+    return ordered.withColumn(out, F.transform("_sorted", nth)).drop("_sorted")
+
+
+def fingerprinted(df: DataFrame, features: str = "features") -> DataFrame:
+    """Adds the SimHash as the longs ``fp0`` to ``fp4``: a bit is set if it is in over half of the hashes.
+
+    Three bits are counted at once, in lanes of a long, so a bit's count stays below two million.
+    """
+    lanes = 1 | 1 << LANE | 1 << 2 * LANE
+    shift = lambda name, x, n: F.call_function(name, x, n)
+    mixed = lambda j: F.transform(features, lambda x: F.xxhash64(F.lit(j), x))
+    df = df.withColumns({f"_h{j}": mixed(j) for j in range(HASHES)})
+    total = lambda j, i: F.aggregate(f"_h{j}", F.lit(0).cast("long"), lambda s, x: s + F.shiftrightunsigned(x, i).bitwiseAND(F.lit(lanes)))
+    df = df.withColumns({f"_s{j}": F.array(*[total(j, i) for i in range(LANE)]) for j in range(HASHES)})
+
+    def bits(x, i):
+        often = lambda k: F.shiftrightunsigned(x, k * LANE).bitwiseAND(F.lit((1 << LANE) - 1)) * 2 > F.size(features)
+        one = shift("shiftleft", F.lit(1).cast("long"), i)
+        return sum((F.when(often(k), shift("shiftleft", one, F.lit(k * LANE))).otherwise(F.lit(0).cast("long")) for k in (1, 2)), F.when(often(0), one).otherwise(F.lit(0).cast("long")))
+
+    whole = {f"fp{j}": F.aggregate(F.transform(f"_s{j}", bits), F.lit(0).cast("long"), lambda s, x: s + x) for j in range(HASHES)}
+    return df.withColumns(whole).drop(*[f"_{n}{j}" for n in "hs" for j in range(HASHES)])
 
 
-def simhash(hashes: str) -> Column:
-    """The SimHash, as a long, of an array of 64-bit hashes: a bit is set if it is in over half of them."""
-    ones = lambda b: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.getbit(h, b).cast("int"))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(ones(b) * 2 > F.size(hashes), F.lit("1")).otherwise(F.lit("0")))
-    return F.conv(F.array_join(F.reverse(bits), ""), 2, -10).cast("long")
+def blocks() -> list[tuple[Column, int]]:
+    """``(number and bits, width)`` of every block of the fingerprint ``fp0`` to ``fp4``."""
+    out = []
+    for j in range(HASHES):
+        at = 0
+        for width in CUTS:
+            part = F.shiftrightunsigned(f"fp{j}", at).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+            out.append((part + F.lit(len(out) << 16), width))
+            at += width
+    return out
 
 
-def blocks(fp: str, radius: int) -> Column:
-    """``radius + 1`` parts of a fingerprint, each with its number, as longs."""
-    n = radius + 1
-    cuts = [64 * k // n for k in range(n + 1)]
-    part = lambda a, z: F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (z - a)) - 1).cast("long"))
-    return F.array(*[part(a, z) + F.lit(k << 56).cast("long") for k, (a, z) in enumerate(zip(cuts, cuts[1:]))])
+def masks(width: int, most: int = BLOCK_RADIUS) -> Column:
+    """All differences of at most ``most`` bits."""
+    return F.array(*[F.lit(sum(1 << b for b in bits)) for r in range(most + 1) for bits in combinations(range(width), r)])
 
 
-def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 21) -> DataFrame:
+def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = MOST_RADIUS) -> DataFrame:
     """``(did, tie, item, similarity)`` of each document and benchmark item at or above the similarity, with the best
     window's. ``did`` is the id (the largest long for null), ``tie`` a hash of the text."""
+    if not 0 <= radius <= MOST_RADIUS:
+        raise ValueError(f"the blocks find no radius over {MOST_RADIUS}")
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), words(F.col(item_text)).alias("iw")).where("size(iw) > 0").distinct()
     items = items.select("item", F.size("iw").alias("len"), F.transform(places("iw", shingle), lambda p: shingle_at("iw", p, shingle)).alias("ish"))
-    items = checkpointed(items.withColumn("ifp", simhash("ish")))
-    spots = items.select("item", "len", F.posexplode("ish").alias("j", "sh"))
-    n_spots = spots.count()
+    items = checkpointed(fingerprinted(featured(items, "ish", "features")))
+    spots = checkpointed(items.select("len", F.explode("ish").alias("sh")).groupBy("sh").agg(F.collect_set("len").alias("lens")))
 
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(F.col(text_col)).alias("tie"), words(F.col(text_col)).alias("w"))
-    wanted = small(spots.select("sh").distinct(), n_spots)
-
-    def looked_up(n: int) -> DataFrame:
-        at = docs.select("did", "tie", "w", F.explode(places("w", n)).alias("p"))
-        return at.select("did", "tie", "p", F.size("w").alias("n"), shingle_at("w", F.col("p"), n).alias("sh")).join(wanted, "sh")
-
-    hits = looked_up(shingle)
-    for (n,) in items.where(F.col("len") < shingle).select("len").distinct().collect():  # fewer than shingle rows, most often none
-        hits = hits.union(looked_up(n))
-    starts = hits.join(small(spots.select("sh", "j", "len").distinct(), n_spots), "sh").select("did", "tie", "len", F.greatest(F.least(F.col("p") - F.col("j"), F.col("n") - F.col("len")), F.lit(0)).alias("s"))
-    starts = checkpointed(starts.distinct().groupBy("did", "tie").agg(F.collect_list(F.struct("len", "s")).alias("spans")))
-
-    near = docs.join(small(starts, starts.count()), ["did", "tie"]).dropDuplicates(["did", "tie"])
-    # A window of len words has len - shingle + 1 shingles.
-    span = near.select("did", "tie", "w", F.explode("spans").alias("span")).select("did", "tie", F.slice("w", F.col("span.s") + 1, F.col("span.len")).alias("ww"), F.col("span.len").alias("len"), F.col("span.s").alias("s"))
-    windows = span.select("did", "tie", "len", "s", F.transform(places("ww", shingle), lambda p: shingle_at("ww", p, shingle)).alias("wsh"))
-    windows = checkpointed(windows.withColumn("wfp", simhash("wsh")))
-
-    left = windows.select("did", "tie", "len", "s", "wfp", F.explode(blocks("wfp", radius)).alias("block"))
-    right = items.select("item", "len", "ifp", F.explode(blocks("ifp", radius)).alias("block"))
-    pairs = left.join(small(right, n_spots), ["len", "block"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= radius).select("did", "tie", "len", "s", "item").distinct()
-
-    weights = windows.select("did", "tie", "len", "s", F.size("wsh").alias("nw"), F.explode("wsh").alias("sh")).groupBy("did", "tie", "len", "s", "nw", "sh").agg(F.count("*").alias("cw"))
-    item_weights = items.select("item", F.size("ish").alias("ni"), F.explode("ish").alias("sh")).groupBy("item", "ni", "sh").agg(F.count("*").alias("ci"))
-    shared = pairs.join(weights, ["did", "tie", "len", "s"]).join(small(item_weights, n_spots), ["item", "sh"])
-    scored = shared.groupBy("did", "tie", "len", "s", "item", "nw", "ni").agg(F.sum(F.least("cw", "ci")).alias("both"))
-    scored = scored.withColumn("similarity", F.col("both") / (F.col("nw") + F.col("ni") - F.col("both"))).where(F.col("similarity") >= similarity)
-    return scored.groupBy("did", "tie", "item").agg(F.max("similarity").alias("similarity"))
+    n_blocks = -(-spots.count() // SHINGLES_A_BLOCK)  # a scan of the texts for each block of the benchmark's shingles
+    widths = [shingle, *(r["len"] for r in items.where(F.col("len") < shingle).select("len").distinct().collect())]  # fewer than shingle numbers
+    hits = None
+    for k in range(max(1, n_blocks)):
+        mine = spots.where(F.pmod("sh", F.lit(max(1, n_blocks))) == k)
+        wanted = F.broadcast(mine.select("sh"))
+        for width in widths:
+            at = docs.select("did", "tie", "w", F.explode(places("w", width)).alias("p"))
+            found = at.select("did", "tie", "p", F.size("w").alias("n"), shingle_at("w", F.col("p"), width).alias("sh")).join(wanted, "sh")
+            hits = found if hits is None else hits.union(found)
+    at = hits.join(spots, "sh").select("did", "tie", "n", "p", F.explode("lens").alias("len"))
+    at = at.groupBy("did", "tie", "n", "len").agg(F.sort_array(F.collect_set("p")).alias("at"))
+    at = at.withColumn("words", F.least("len", "n")).withColumn("nw", F.greatest(F.col("words") - (shingle - 1), F.lit(1)))
+    enough = F.ceil((F.col("nw") + F.greatest(F.col("len") - (shingle - 1), F.lit(1))) * F.lit(similarity / (1 + similarity)) - 1e-9).cast("int")
+    at = at.withColumn("need", F.greatest(enough, F.lit(1))).where("size(at) >= need")
+    # The windows that hold the places i to i + need - 1 start between these bounds.
+    bounds = F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda i: F.struct(F.greatest(F.get("at", i + F.col("need") - 1) - F.col("nw") + 1, F.lit(0)).alias("lo"), F.least(F.get("at", i), F.col("n") - F.col("words")).alias("hi")))
+    starts = F.array_distinct(F.flatten(F.transform(F.filter(bounds, lambda b: b["lo"] <= b["hi"]), lambda b: F.sequence(b["lo"], b["hi"]))))
+    starts = at.select("did", "tie", "len", "words", starts.alias("starts")).where("size(starts) > 0")
+    starts = checkpointed(starts.groupBy("did", "tie").agg(F.collect_list(F.struct("len", "words", "starts")).alias("spans")))
+
+    near = docs
+    if starts.count() <= MOST_KEYS:
+        near = docs.join(F.broadcast(starts.select("did", "tie")), ["did", "tie"], "left_semi")
+    near = near.dropDuplicates(["did", "tie"]).join(starts, ["did", "tie"]).select("did", "tie", "w", F.explode("spans").alias("span"))
+    near = near.select("did", "tie", "w", F.col("span.len").alias("len"), F.col("span.words").alias("words"), F.explode("span.starts").alias("s"))
+    near = near.select("did", "tie", "len", F.slice("w", F.col("s") + 1, F.col("words")).alias("ww"))
+    windows = featured(near.select("did", "tie", "len", F.transform(places("ww", shingle), lambda p: shingle_at("ww", p, shingle)).alias("wsh")), "wsh")
+    windows = checkpointed(windows.select("did", "tie", "len", "features", F.xxhash64("features").alias("wid"), F.xxhash64(F.lit(1), "features").alias("wid2")))
+
+    name = ["len", "wid", "wid2"]
+    own = checkpointed(fingerprinted(windows.select(*name, "features").dropDuplicates(name)))
+    fps = [f"fp{j}" for j in range(HASHES)]
+    left = own.select(*name, *fps, F.explode(F.array(*[b for b, _ in blocks()])).alias("block"))
+    variants = lambda block, width: F.transform(masks(width), lambda m: block.bitwiseXOR(m))
+    entered = F.flatten(F.array(*[variants(block, width) for block, width in blocks()]))
+    right = items.select("item", "len", *[F.col(f).alias(f"i{f}") for f in fps], F.explode(entered).alias("block"))
+    distance = sum(F.bit_count(F.col(f).bitwiseXOR(F.col(f"i{f}"))) for f in fps)
+    pairs = left.join(right, ["len", "block"]).where(distance <= radius).select(*name, "item").distinct()
+
+    kept = items.select("item", F.col("features").alias("item_features"))
+    both = F.size(F.array_intersect("features", "item_features"))
+    scored = pairs.join(own.select(*name, "features"), name).join(kept, "item").select(*name, "item", (both / (F.size("features") + F.size("item_features") - both)).alias("similarity")).where(F.col("similarity") >= similarity)
+    # A frequent window is split at run time: the join is on a hash that no side is dealt by.
+    scored = scored.select(F.xxhash64(*name).alias("by"), *[F.col(c).alias(f"i_{c}") for c in name], "item", "similarity")
+    named = windows.select("did", "tie", *name, F.xxhash64(*name).alias("by")).join(scored, "by").where(" and ".join(f"{c} = i_{c}" for c in name))
+    return named.groupBy("did", "tie", "item").agg(F.max("similarity").alias("similarity"))
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

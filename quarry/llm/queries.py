@@ -32,7 +32,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), shingle=5, similarity=0.8, radius=21)
+    found = decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), shingle=5, similarity=0.8, radius=74)
     return found.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
 
 
@@ -106,18 +106,19 @@ FROM docs LEFT JOIN kept USING (doc_id)
 """
 
 
-#: Every window that shares a shingle with an item is compared with it exactly; no fingerprints here.
+#: Every item-sized window that shares any shingle with an item is compared with it exactly; no fingerprints here.
 OP3_SQL = r"""
 WITH items AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
 ij AS (SELECT item_id, w, len(w) AS n, greatest(len(w) - 4, 1) AS ni, unnest(range(greatest(len(w) - 4, 1))) AS j FROM items WHERE len(w) > 0),
-ish AS (SELECT item_id, n, ni, j, array_to_string(w[j + 1:j + 5], ' ') AS sh FROM ij),
+ish AS (SELECT item_id, n, ni, array_to_string(w[j + 1:j + 5], ' ') AS sh FROM ij),
+want AS (SELECT item_id, n, ni, sh, count(*) AS ci FROM ish GROUP BY ALL),
 docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
 dp AS (SELECT doc_id, w, len(w) AS dn, unnest(range(greatest(len(w) - 4, 1))) AS p FROM docs WHERE len(w) > 0),
 dsh AS (SELECT doc_id, dn, p, array_to_string(w[p + 1:p + 5], ' ') AS sh FROM dp),
-windows AS (SELECT DISTINCT doc_id, item_id, ni, greatest(least(p - j, dn - n), 0) AS s, greatest(least(dn, n) - 4, 1) AS nw FROM dsh JOIN ish USING (sh)),
-have AS (SELECT v.doc_id, v.item_id, v.ni, v.s, v.nw, d.sh, count(*) AS cw FROM windows v JOIN dsh d ON d.doc_id = v.doc_id AND d.p >= v.s AND d.p < v.s + v.nw GROUP BY ALL),
-want AS (SELECT item_id, sh, count(*) AS ci FROM ish GROUP BY ALL),
-sims AS (SELECT doc_id, item_id, s, ni, nw, sum(least(cw, ci))::BIGINT AS same FROM have JOIN want USING (item_id, sh) GROUP BY doc_id, item_id, s, ni, nw),
+hits AS (SELECT doc_id, dn, p, item_id, n, ni, greatest(least(dn, n) - 4, 1) AS nw, sh, ci FROM dsh JOIN want USING (sh)),
+spread AS (SELECT *, unnest(range(greatest(p - nw + 1, 0), least(p, greatest(dn - n, 0)) + 1)) AS s FROM hits),
+have AS (SELECT doc_id, item_id, s, ni, nw, sh, least(count(*), any_value(ci)) AS same FROM spread GROUP BY doc_id, item_id, s, ni, nw, sh),
+sims AS (SELECT doc_id, item_id, s, ni, nw, sum(same)::BIGINT AS same FROM have GROUP BY doc_id, item_id, s, ni, nw),
 best AS (SELECT doc_id, item_id, max(same / (nw + ni - same)) AS sim FROM sims GROUP BY doc_id, item_id HAVING sim >= 0.8)
 SELECT d.doc_id, count(item_id) > 0 AS contaminated, count(item_id) AS n_items, coalesce(string_agg(item_id::VARCHAR, ',' ORDER BY item_id), '') AS items, max(sim) AS best_similarity
 FROM documents d LEFT JOIN best USING (doc_id) GROUP BY d.doc_id

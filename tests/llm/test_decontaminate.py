@@ -37,7 +37,7 @@ def test_against_brute_force(spark):
     rng = random.Random(8)
     word = lambda: rng.choice("the of and é ß".split(" ")) if rng.random() < 0.3 else f"w{rng.randrange(3000)}"
     items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([3, 5, 8, 30, 30, 31, 60, 200])]
-    items += [(50, None), (51, ""), (52, items[3][1]), (None, "lone item text of some seven words")]
+    items += [(50, None), (51, ""), (52, items[3][1]), (None, "lone item text of some seven words"), (60, "again and again " * 12), (61, "x " * 60)]
     rows = [(0, None), (1, ""), (2, "..."), (None, "x " + items[4][1] + " y"), (3, "short one"), (4, items[0][1])]
     for k in range(60):
         w = [word() for _ in range(rng.choice([2, 40, 300]))]
@@ -50,6 +50,12 @@ def test_against_brute_force(spark):
         t = " ".join(w)
         rows.append((10 + k, t.upper() if k % 7 == 0 else t.replace(" ", ",\n", 9)))
     rows += [rows[20], (rows[20][0], "the same id")]
+    # An item's halves the other way round, its parts in any order, a shingle over and over, and items beside each other.
+    a, b = items[7][1].split()[:100], items[7][1].split()[100:]
+    rows += [(80, " ".join(["x", *b, *a, "y"])), (81, " ".join([*a[50:], *a[:50], *b])), (82, " ".join(["x"] * 40 + items[3][1].split() + ["x"] * 400))]
+    rows += [(83, " ".join([items[3][1], items[4][1], items[3][1]])), (84, " ".join(items[3][1].split()[:27] + ["x"] * 30 + items[3][1].split()[-3:]))]
+    long = [word() for _ in range(6000)]
+    rows.append((85, " ".join(long[:2000] + b + a + long[2000:])))
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA).repartition(3)
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, item int")
     named = [x for x in items if x[0] is not None]
@@ -74,3 +80,33 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     plan = D.contaminated(df, df.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_blocks_find_the_radius():
+    assert all(sum(cut) == D.BITS for cut in [D.CUTS])
+    assert D.MOST_RADIUS // (D.HASHES * len(D.CUTS)) == D.BLOCK_RADIUS
+
+
+def test_fingerprint(spark):
+    """Bits are those of a plain majority, and the distance follows the similarity."""
+    rng = random.Random(3)
+    sets = [[rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)] for n in (1, 2, 9, 60)] + [[]]
+    sets += [sets[3][:54] + [rng.randrange(1 << 63) for _ in range(6)]]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "k int, features array<long>")
+    rows = {r.k: r for r in D.fingerprinted(df).collect()}
+    hashes = spark.createDataFrame([(k, j, x) for k, s in enumerate(sets) for x in s for j in range(D.HASHES)], "k int, j int, x long").selectExpr("k", "j", "xxhash64(j, x) as h").collect()
+    for k, s in enumerate(sets):
+        for j in range(D.HASHES):
+            mine = [r.h % (1 << 64) for r in hashes if (r.k, r.j) == (k, j)]
+            assert rows[k][f"fp{j}"] == sum(1 << b for b in range(D.BITS) if 2 * sum(h >> b & 1 for h in mine) > len(s))
+    apart = sum((rows[3][f"fp{j}"] ^ rows[5][f"fp{j}"]).bit_count() for j in range(D.HASHES))
+    assert 20 < apart < 74
+
+
+def test_an_item_in_another_order_is_found(spark):
+    """Two halves of 50 words, exchanged: a window of the item's size still has a similarity of 0.92."""
+    first, second = [f"a{k}" for k in range(50)], [f"b{k}" for k in range(50)]
+    df = spark.createDataFrame([(1, " ".join(["x", "y", *second, *first, "z"])), (2, " ".join(first))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(first + second))], "item_id long, text string")
+    got = {r.doc_id: r for r in D.contaminated(df, bench).collect()}
+    assert got[1].items == [7] and abs(got[1].best_similarity - 92 / 100) < 1e-9 and not got[2].contaminated
