@@ -2,15 +2,18 @@
 
 A piece has a load of three: tokens, one document, and an attention cost (its length squared). Pieces are
 packed longest first; each goes to the open bin, among those where it fits in every dimension, with the
-smallest norm of the residuals left (or the largest dot product of load and residual), weighted.
+smallest norm of the residuals left (or the largest dot product of load and residual); all three have a weight, tokens the largest.
+A limit on documents binds from below ``capacity`` on; one on attention only below ``capacity`` squared, which a full piece needs, so only where
+pieces are shorter.
 
 All pieces of one length are alike, so the decisions need only how many pieces each length has: that
 histogram (at most ``capacity`` rows) is all the driver sees. It packs runs of equal bins at once and
 gives a table of slots ``(length, first rank, end, first sequence, pieces a bin, offset)``, whose size depends on
-the capacity and not on the corpus. Executors rank the pieces of each length (in salted sub-groups, so that a hot length is
-split) and look their slot up. The packing is therefore one global best-fit decreasing, at any scale.
+the capacity and not on the corpus. Executors rank the pieces of each length (in sub-groups dealt by a hash of the row's number, so that a hot
+length and rows alike in all are split; their number follows the pieces) and look their slot up. The packing is therefore one global best-fit
+decreasing, at any scale.
 
-Edge cases: null and empty texts are the end token alone; equal documents are separate pieces; rows that share
+Edge cases: null and empty texts are the end token alone; very long texts are tokenised whole and give many pieces; equal documents are separate pieces; rows that share
 a ``doc_id`` are separate documents; null ids are packed and come out null; extra columns are ignored; an empty table
 gives no rows; ``capacity`` is an upper limit always kept.
 """
@@ -36,28 +39,44 @@ PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: The same for texts without two white-space characters in a row; free of look-ahead, it takes half the time.
 PRETOKEN_SINGLE_GAPS = PRETOKEN.replace(r"\s+(?!\S)|\s+", r"\s")
 DOUBLE_GAP = re.compile(r"[\s\x85]{2}")
+# The settings of a tokenizer file, and of its model, for which the rank-based encoder gives the library's ids.
+PLAIN_FILE = {"normalizer": None, "truncation": None, "padding": None}
+PLAIN_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+#: Pieces of a sub-group for ranking.
+RANKED_TOGETHER = 1_000_000
+
+
+def is_plain(settings: dict) -> bool:
+    """Whether a tokenizer file is a byte-level BPE whose ids follow the order of the merges and that changes no text before or after."""
+    model, split = settings["model"], settings.get("pre_tokenizer") or {}
+    rules = [(settings, PLAIN_FILE), (split, PLAIN_SPLIT), ({"type": "BPE"} | model, PLAIN_MODEL)]
+    if any((got.get(k, want) or None) != (want or None) for got, wanted in rules for k, want in wanted.items()) or "type" not in split or "merges" not in model:
+        return False
+    ranks = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    return ranks == sorted(ranks)
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """``text -> little-endian uint32 ids`` for a byte-level BPE file of the tokenizers library.
 
-    Where ids follow the order of the merges, as in files of this kind, a rank-based encoder gives the library's
-    ids in less time; the library encodes all else, and texts that hold an added token's string.
+    Where ids follow the order of the merges and the file asks for nothing else (:func:`is_plain`), a rank-based encoder gives the library's
+    ids in less time; the library encodes with all other files, and texts that hold an added token's string.
     """
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     added = [t.content for t in library.get_added_tokens_decoder().values()]
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    ranks = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        settings = json.load(f)
+    model = settings["model"]
 
     def whole(text: str) -> list[int]:
         return library.encode(text, add_special_tokens=False).ids
 
     slow = fast = whole
-    if ranks == sorted(ranks):
+    if is_plain(settings):
         import tiktoken
 
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -99,7 +118,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(in_batches(run), schema)
 
 
-def plan(histogram: dict[int, int], capacity: int = 1024, most_docs: int | None = None, most_attention: int | None = None, weights=(1.0, 0.0, 0.0), select: str = "norm") -> pd.DataFrame:
+def plan(histogram: dict[int, int], capacity: int = 1024, most_docs: int | None = None, most_attention: int | None = None, weights=(1.0, 0.5, 0.5), select: str = "norm") -> pd.DataFrame:
     """Best-fit decreasing over a histogram of lengths, as slots.
 
     Open bins are kept as groups of equal bins. A length takes from the best group bin by bin; where a bin
@@ -155,39 +174,36 @@ def plan(histogram: dict[int, int], capacity: int = 1024, most_docs: int | None
     return pd.DataFrame(slots, columns=["length", "lo", "hi", "seq", "per", "offset"]).astype("int64")
 
 
-def pack(parts: DataFrame, capacity: int = 1024, salt: int | None = None, **options) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces (as :func:`pieces` gives them).
+def pack(parts: DataFrame, capacity: int = 1024, ranked_together: int = RANKED_TOGETHER, **options) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to pieces (as :func:`pieces` gives them); ``options`` are those of :func:`plan`.
 
-    ``salt`` is into how many sub-groups the pieces of a length are dealt for ranking; by default it follows their number.
+    The pieces of a length are ranked in sub-groups of about ``ranked_together`` at most.
     """
-    parts = checkpointed(parts)  # tokenised once; ranks below need rows that stay as they are
+    carried = list(parts.columns)
+    # Tokenised once; ranks below need rows that stay as they are, and so do their numbers.
+    parts = checkpointed(parts.withColumn("_no", F.monotonically_increasing_id()))
     spark = parts.sparkSession
-    salt = salt or min(4096, max(64, parts.count() // 4_000_000))
-    keyed = parts.withColumn("sub", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salt)).cast("int"))
-    counts = keyed.groupBy("length", "sub").count().orderBy("length", "sub").toPandas()  # at most capacity x salt rows
-    histogram = {int(k): int(v) for k, v in counts.groupby("length")["count"].sum().items()}
+    groups = max(64, -(-parts.count() // ranked_together))
+    keyed = parts.withColumn("_sub", F.pmod(F.xxhash64("_no"), F.lit(groups)))
+    counts = checkpointed(keyed.groupBy("length", "_sub").count())
+    histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity rows
     slots = plan(histogram, capacity, **options)
-    before = counts.groupby("length")["count"].cumsum() - counts["count"]
-    base = np.zeros((capacity + 1, salt), np.int64)
-    base[counts["length"], counts["sub"]] = before
-    shared = spark.sparkContext.broadcast((base, *(slots[c].to_numpy() for c in ("length", "lo", "seq", "per", "offset"))))
-    inside = Window.partitionBy("length", "sub").orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "ids_crc32")
-    ranked = keyed.withColumn("rn", F.row_number().over(inside))
-    carried = list(parts.columns)
+    shared = spark.sparkContext.broadcast(tuple(slots.sort_values(["length", "lo"])[c].to_numpy() for c in ("length", "lo", "seq", "per", "offset")))
+    before = F.sum("count").over(Window.partitionBy("length").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("length", "_sub", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("length", "_sub").orderBy("_no"))
+    ranked = keyed.withColumn("_rank", inside).join(starts, ["length", "_sub"]).select(*carried, (F.col("_start") + F.col("_rank") - 1).alias("_rank"))
 
     def place(batches):
-        base, length, lo, seq, per, offset = shared.value
-        order = np.lexsort((lo, length))
-        length, lo, seq, per, offset = (x[order] for x in (length, lo, seq, per, offset))
-        begins = {int(k): i for i, k in reversed(list(enumerate(length)))}
-        ends = {int(k): i + 1 for i, k in enumerate(length)}
+        length, lo, seq, per, offset = shared.value
         for batch in batches:
             n = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = base[n, batch.column("sub").to_numpy(zero_copy_only=False)] + batch.column("rn").to_numpy(zero_copy_only=False) - 1
+            rank = batch.column("_rank").to_numpy(zero_copy_only=False)
+            begins, ends = np.searchsorted(length, n), np.searchsorted(length, n, side="right")
             at = np.empty(len(n), np.int64)
             for k in np.unique(n).tolist():
                 here = n == k
-                a, b = begins[k], ends[k]
+                a, b = begins[here][0], ends[here][0]
                 at[here] = a + np.searchsorted(lo[a:b], rank[here], side="right") - 1
             step = rank - lo[at]
             out = {c: batch.column(c) for c in carried}
@@ -195,5 +211,5 @@ def pack(parts: DataFrame, capacity: int = 1024, salt: int | None = None, **opti
             out["offset"] = pa.array(offset[at] + step % per[at] * n)
             yield pa.RecordBatch.from_pydict(out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{c}` {parts.schema[c].dataType.simpleString()}" for c in carried) + ", sequence_id long, offset long"
     return ranked.mapInArrow(place, schema)

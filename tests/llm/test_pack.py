@@ -29,6 +29,34 @@ def layout(slots):
     return bins
 
 
+def test_other_settings_take_the_library(tmp_path):
+    """A file that changes texts, or splits them otherwise, isn't encoded by ranks."""
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        plain = json.load(f)
+    assert pack.is_plain(plain)
+    changes = [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": plain["pre_tokenizer"] | {"add_prefix_space": True}}, {"pre_tokenizer": None}, {"model": plain["model"] | {"ignore_merges": True}}]
+    for k, change in enumerate(changes):
+        assert not pack.is_plain(plain | change)
+        path = str(tmp_path / f"{k}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(plain | change, f)
+        library, encode = Tokenizer.from_file(path), pack.encoder(path)
+        for t in ("Some TEXT here", " it's 12 words"):
+            assert encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_limits_bind_and_weights_count():
+    """All three weights change choices, and limits on documents and attention that bind give more sequences."""
+    rng = random.Random(9)
+    lengths = Counter(rng.choice([1, 2, 5, rng.randint(1, 60)]) for _ in range(3000))
+    bins = {k: len(layout(pack.plan(lengths, 300, **o))) for k, o in {"free": {}, "docs": {"most_docs": 6}, "attention": {"most_attention": 5000}}.items()}
+    assert bins["free"] < bins["docs"] and bins["free"] < bins["attention"]
+    plans = [pack.plan(lengths, 300, most_docs=40, most_attention=8000, weights=w).to_csv() for w in ((1, 0, 0), (1, 0.5, 0), (1, 0, 0.5))]
+    assert len(set(plans)) == 3
+
+
 @pytest.mark.parametrize("options", [{}, {"select": "dot"}, {"most_docs": 3}, {"most_docs": 9, "most_attention": 90_000, "weights": (1, 0.4, 0.3)}, {"select": "dot", "most_docs": 4, "weights": (1, 1, 1)}])
 def test_plan_keeps_every_capacity(options):
     rng = random.Random(1)
@@ -63,7 +91,7 @@ def test_whole_tables(spark):
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma.", "é\n"]) for _ in range(rng.choice([0, 1, 5, 40, 150])))) for i in range(150)]
     rows += [(None, None), (3, ""), (3, "again"), (1000, "word " * 500)]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA).repartition(3)
-    got = pack.pack(pack.pieces(df, PATH, capacity=64, keep_ids=True), capacity=64, salt=4).collect()
+    got = pack.pack(pack.pieces(df, PATH, capacity=64, keep_ids=True), capacity=64, ranked_together=3).collect()
     want = []
     for i, t in rows:
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
