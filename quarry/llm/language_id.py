@@ -6,10 +6,11 @@ between words, and are hashed to ``2 ** SLOT_BITS`` slots; the n-grams of the la
 approximate the kernel, one-versus-rest ridge regression in their feature space is the classifier, and because it's linear in the
 presence matrix, whole batches are scored by one matrix product.
 
-The classifier is fitted on at most ``per_class`` labelled rows of each of at most ``most_classes`` languages (chosen by a
-hash of id and text); prediction covers every whole text.
+The classifier is fitted on at most ``per_class`` labelled rows of each language (chosen by a hash of id and text), of however many languages there are;
+the number of landmarks grows with the languages. Executors turn the fitted rows into features and sums; the driver holds the landmarks' n-grams, a kernel
+matrix of their number squared and the sums, never the rows. Prediction covers every whole text.
 
-Edge cases: null texts and texts without a letter are ``und`` with score 0; without any labels all are ``und``; with one label all
+Edge cases: very long texts are whole rows of the presence matrix, whose width is the vocabulary; null texts and texts without a letter are ``und`` with score 0; without any labels all are ``und``; with one label all
 others get it; equal texts get equal results; repeated rows give a row each; null ids aren't held out; extra columns are
 ignored; an empty table gives no rows.
 """
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import in_batches
+from quarry.llm.common import checkpointed, in_batches
 from quarry.llm.toxicity import held_out
 
 SLOT_BITS = 18
@@ -79,36 +80,84 @@ class Model:
     product: np.ndarray  # presence matrix -> unnormalised class scores
 
 
-def train(sets: list[np.ndarray], langs: list[str], n: int = 3, landmarks: int = 128, ridge: float = 1e-3) -> Model:
-    """Nyström features of the kernel and one-versus-rest ridge regression."""
-    classes = tuple(sorted(set(langs)))
-    by_class = [[k for k, x in enumerate(langs) if x == c] for c in classes]
-    # Landmarks are dealt from the classes in turn, in the given order.
-    turns = sorted((j, k) for rows in by_class for j, k in enumerate(rows))
-    chosen = [k for _, k in turns[:landmarks]]
-    vocabulary = np.unique(np.concatenate([sets[k] for k in chosen]))
+@dataclass(frozen=True)
+class Basis:
+    """Nyström landmarks: which have an n-gram (``owners`` from ``starts`` on, column by column), and the inverse root of their kernel matrix."""
+
+    columns: np.ndarray
+    starts: np.ndarray
+    owners: np.ndarray
+    sizes: np.ndarray
+    root: np.ndarray
+
+    def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
+        """The kernel of each set of slots with each landmark, over the landmarks' n-grams."""
+        out, width = np.zeros((len(sets), len(self.sizes))), len(self.starts) - 1
+        for k, s in enumerate(sets):
+            c = self.columns[s]
+            c = c[c < width]
+            n = self.starts[c + 1] - self.starts[c]
+            at = np.repeat(self.starts[c] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out[k] = np.bincount(self.owners[at], minlength=len(self.sizes)) / np.sqrt(max(len(c), 1))
+        return out / np.sqrt(self.sizes)
+
+    def features(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Nyström features and a constant."""
+        return np.column_stack([self.kernel(sets) @ self.root, np.ones(len(sets))])
+
+
+def basis(marks: list[np.ndarray]) -> Basis:
+    vocabulary = np.unique(np.concatenate(marks))
     columns = np.full(1 << SLOT_BITS, len(vocabulary), np.int32)
     columns[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
-    x = np.zeros((len(sets), len(vocabulary) + 1), np.float32)
-    for k, s in enumerate(sets):
-        x[k, columns[s]] = 1
-    x = x[:, :-1]
-    size = np.maximum(x.sum(axis=1, keepdims=True), 1)
-    z = x / np.sqrt(size)
-    marks = z[chosen]
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    column = np.concatenate([columns[m] for m in marks])
+    owner = np.repeat(np.arange(len(marks)), [len(m) for m in marks])
+    order = np.argsort(column, kind="stable")
+    starts = np.searchsorted(column[order], np.arange(len(vocabulary) + 1))
+    sizes = np.array([max(len(m), 1) for m in marks], float)
+    plain = Basis(columns, starts, owner[order], sizes, np.eye(len(marks)))
+    values, vectors = np.linalg.eigh(plain.kernel(marks))
     keep = values > 1e-6 * values.max()
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    f = (z @ marks.T) @ root
-    weight = np.array([len(sets) / (len(classes) * langs.count(c)) for c in langs])  # classes count alike
-    y = np.array([[1.0 if x == c else -1.0 for c in classes] for x in langs])
-    f1 = np.column_stack([f, np.ones(len(f))])
-    beta = np.linalg.solve(f1.T @ (f1 * weight[:, None]) + ridge * len(sets) * np.eye(f1.shape[1]), f1.T @ (y * weight[:, None]))
-    product = np.zeros((len(vocabulary) + 1, len(classes)), np.float32)
-    product[:-1] = marks.T @ (root @ beta[:-1])
+    return Basis(columns, starts, owner[order], sizes, vectors[:, keep] / np.sqrt(values[keep]))
+
+
+def sums(b: Basis, sets: list[np.ndarray], which: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted products of the features, and their weighted sums for each class; ``which`` are the rows' classes."""
+    f = b.features(sets)
+    w = weights[which][:, None]
+    per_class = np.zeros((len(weights), f.shape[1]))
+    np.add.at(per_class, which, f * w)
+    return f.T @ (f * w), per_class
+
+
+def solved(b: Basis, classes: tuple[str, ...], products: np.ndarray, per_class: np.ndarray, rows: int, n: int, ridge: float) -> Model:
+    """One-versus-rest ridge regression from the sums over all rows."""
+    targets = 2 * per_class - per_class.sum(axis=0)  # 1 for a row's own class, -1 for the others
+    beta = np.linalg.solve(products + ridge * rows * np.eye(len(products)), targets.T)
+    by_mark = (b.root @ beta[:-1]) / np.sqrt(b.sizes)[:, None]
+    product = np.zeros((len(b.starts), len(classes)), np.float32)
+    column = np.repeat(np.arange(len(b.starts) - 1), np.diff(b.starts))
+    for c in range(len(classes)):
+        product[:-1, c] = np.bincount(column, by_mark[b.owners, c], len(b.starts) - 1)
     # The bias goes into the product's last row, which the unused column reads.
     product[-1] = beta[-1]
-    return Model(n, classes, columns, product)
+    return Model(n, classes, b.columns, product)
+
+
+def class_weights(counts: list[int]) -> np.ndarray:
+    """Classes count alike."""
+    return sum(counts) / (len(counts) * np.array(counts, float))
+
+
+def train(sets: list[np.ndarray], langs: list[str], n: int = 3, landmarks: int = 128, ridge: float = 1e-3) -> Model:
+    """A model from rows held here; ``learn`` does the same over executors."""
+    classes = tuple(sorted(set(langs)))
+    by_class = [[k for k, x in enumerate(langs) if x == c] for c in classes]
+    # Landmarks are dealt from the classes in turn, in the given order.
+    turns = sorted((j, k) for rows in by_class for j, k in enumerate(rows))
+    b = basis([sets[k] for _, k in turns[: max(landmarks, 2 * len(classes))]])
+    which = np.searchsorted(np.array(classes), np.array(langs))
+    return solved(b, classes, *sums(b, sets, which, class_weights([len(r) for r in by_class])), len(sets), n, ridge)
 
 
 def class_scores(texts: list[str], model: Model) -> np.ndarray:
@@ -123,32 +172,62 @@ def class_scores(texts: list[str], model: Model) -> np.ndarray:
     return (m @ model.product) / size + model.product[-1]
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", n: int = 3, per_class: int = 300, most_classes: int = 100, landmarks: int = 128) -> Model | None:
-    """A model from labelled rows whose id isn't held out; ``None`` without any."""
+def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", n: int = 3, per_class: int = 300, landmarks: int = 128, ridge: float = 1e-3) -> Model | None:
+    """A model from labelled rows whose id isn't held out; ``None`` without any. ``landmarks`` are at least two a language."""
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 5, 0))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_classes).collect()}
-    if not counts:
-        return None
-    order = F.xxhash64("doc_id", "text")
-    share = F.coalesce(*[F.when(F.col("lang") == c, F.lit(min(1.0, 2.0 * per_class / k + 20 / k))) for c, k in counts.items()], F.lit(0.0))
-    thinned = known.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)).withColumn("h", order)
-    picked = thinned.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_class)
+    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 5, 0)).withColumn("h", F.xxhash64("doc_id", "text"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # A frequent language's rows are thinned before they meet, to about twice what is taken.
+    share = F.least(F.lit(1.0), (F.lit(2.0) * per_class + 20) / F.col("n"))
+    thinned = known.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64(F.lit(7), "h"), F.lit(1 << 30)) < share * (1 << 30))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    picked = thinned.withColumn("r", nth).where(F.col("r") <= per_class).select("lang", "text", "h", "r")
 
     def run(batch):
         texts = batch.column(1).to_pylist()
         sets = [presence(t, n).astype(np.int32).tobytes() if LETTER.search(t) else None for t in texts]
-        return {"lang": batch.column(0), "set": pa.array(sets, pa.binary()), "h": batch.column(2)}
+        return {"lang": batch.column(0), "set": pa.array(sets, pa.binary()), "h": batch.column(2), "r": batch.column(3)}
 
-    rows = picked.select("lang", "text", "h").mapInArrow(in_batches(run), "lang string, set binary, h long").where("set is not null").orderBy("h", "lang", "set").collect()
-    if not rows:
+    rows = checkpointed(picked.mapInArrow(in_batches(run), "lang string, set binary, h long, r int").where("set is not null"))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         return None
-    return train([np.frombuffer(r.set, np.int32) for r in rows], [r.lang for r in rows], n, landmarks)
+    classes = tuple(sorted(sizes))
+    marks = [np.frombuffer(r.set, np.int32) for r in rows.orderBy("r", "h", "lang").limit(max(landmarks, 2 * len(classes))).collect()]
+    spark, width = docs.sparkSession, 1000
+    shared = spark.sparkContext.broadcast((basis(marks), {c: k for k, c in enumerate(classes)}, class_weights([sizes[c] for c in classes])))
+
+    def partial(batches):
+        b, number, weights = shared.value
+        total = None
+        for batch in batches:
+            sets = [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()]
+            more = sums(b, sets, np.array([number[x] for x in batch.column(0).to_pylist()]), weights)
+            total = more if total is None else (total[0] + more[0], total[1] + more[1])
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"products": [total[0].tobytes()], "per_class": [total[1].tobytes()]})
+
+    def summed(batches):
+        total = None
+        for batch in batches:
+            for parts in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
+                more = [np.frombuffer(x) for x in parts]
+                total = more if total is None else [a + b for a, b in zip(total, more)]
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"products": [total[0].tobytes()], "per_class": [total[1].tobytes()]})
+
+    parts = -(-sum(sizes.values()) // width)
+    kinds = "products binary, per_class binary"
+    each = rows.repartition(parts, F.pmod("h", F.lit(parts))).sortWithinPartitions("h", "lang").select("lang", "set").mapInArrow(partial, kinds)
+    whole = each.repartition(1).mapInArrow(summed, kinds).first()
+    b = shared.value[0]
+    d = b.root.shape[1] + 1
+    return solved(b, classes, np.frombuffer(whole.products).reshape(d, d), np.frombuffer(whole.per_class).reshape(-1, d), sum(sizes.values()), n, ridge)
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``(doc_id, lang_pred, score[, carried])``, a row per input row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # slots x 4 bytes, and the landmarks' vocabulary x classes
+    shared = df.sparkSession.sparkContext.broadcast(model)  # slots x 4 bytes, and the landmarks' vocabulary (at most all slots) x classes x 4
     rest = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
 
     def run(batch):

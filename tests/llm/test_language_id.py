@@ -59,6 +59,43 @@ def _kernel(a, b):
     return sum(1 for x in a if x in b) / (len(a) ** 0.5 * len(b) ** 0.5)
 
 
+def test_solves_the_dense_problem():
+    """Sums over parts give the same model as the plain regression on dense presence rows."""
+    rows = made(80)
+    sets, langs = [G.presence(t, 3) for _, t, _ in rows], [x for _, _, x in rows]
+    model = G.train(sets, langs, landmarks=15)
+    chosen = [k for _, k in sorted((sum(y == langs[k] for y in langs[:k]), k) for k in range(80))[:15]]
+    vocabulary = sorted({int(v) for k in chosen for v in sets[k]})
+    x = np.array([[float(v in set(s.tolist())) for v in vocabulary] for s in sets])
+    z = x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    values, vectors = np.linalg.eigh(z[chosen] @ z[chosen].T)
+    keep = values > 1e-6 * values.max()
+    f = np.column_stack([z @ z[chosen].T @ (vectors[:, keep] / np.sqrt(values[keep])), np.ones(80)])
+    w = np.array([80 / (3 * langs.count(c)) for c in langs])[:, None]
+    y = np.array([[1.0 if c == k else -1.0 for k in model.classes] for c in langs])
+    beta = np.linalg.solve(f.T @ (f * w) + 1e-3 * 80 * np.eye(f.shape[1]), f.T @ (y * w))
+    assert np.allclose(G.class_scores([t for _, t, _ in rows], model), f @ beta, atol=1e-3)
+
+
+def test_many_languages_are_all_learned(spark):
+    """130 languages, each with its own letters and few rows: none is left out."""
+    rng = random.Random(5)
+    alphabets = [[chr(0x4E00 + 40 * k + j) for j in range(40)] for k in range(130)]
+    rows = [(i, "".join(rng.choice(alphabets[i % 130]) for _ in range(60)), f"l{i % 130}", 1) for i in range(130 * 6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = G.learn(df, per_class=5, landmarks=16)
+    assert len(model.classes) == 130
+    got = {r.doc_id: r.lang_pred for r in G.predict(df, model).collect()}
+    assert np.mean([got[i] == x for i, _, x, _ in rows]) > 0.98
+
+
+def test_long_texts_and_clashing_names(spark):
+    rows = [(1, "blo gra " * 100_000, "xa", 1), (2, "ème oui", "xb", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("lang_pred", G.F.lit("x")).withColumn("carried", G.F.lit(1)).withColumn("h", G.F.lit("y")).withColumn("set", G.F.lit(2))
+    got = {r.doc_id: r for r in G.predict(df, G.learn(df), carry=["lang_pred", "h"]).collect()}
+    assert {i: r.lang_pred for i, r in got.items()} == {1: "xa", 2: "xb"} and got[1].carried.h == "y"
+
+
 def test_ngrams_are_those_of_the_text():
     assert G.symbols("A1b").tolist() == G.symbols(" a ?! B ").tolist()
     s = G.symbols("abc abd")
