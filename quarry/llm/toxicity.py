@@ -5,11 +5,12 @@ for, all else to a space. Lexicon entries are whole words or beginnings of words
 phrase don't count. The hits' weights, as a sum and normalised by the text's length, go through a logistic model.
 
 ``learn`` finds entries and weights from labelled texts: those that are much more frequent in toxic texts (a log-odds of
-``min_weight`` or more and at least ``min_docs`` toxic texts), at most ``most_terms`` of them. It learns exceptions too: two-word phrases with
-an entry that only clean texts have. The classifier is fitted on at most ``most_rows`` labelled rows (those
-with the least hash of their id); scoring covers every whole text.
+``min_weight`` or more and at least ``min_docs`` toxic texts). It learns exceptions too: two-word phrases with
+an entry that only clean texts have, ``min_docs`` times or more; none is given by hand. All such entries and phrases are kept; what bounds them is the
+sample: the classifier is fitted on at most ``most_rows`` labelled rows (those
+with the least hash of their id). Scoring covers every whole text.
 
-Edge cases: null and empty texts get the score of a text without hits; without toxic or clean labels the lexicon is empty and the score
+Edge cases: very long texts are matched whole, in one pass of the automaton; null and empty texts get the score of a text without hits; without toxic or clean labels the lexicon is empty and the score
 is the share of toxic labels; equal texts score alike; rows that share a ``doc_id`` are scored each on its own; null ids aren't
 held out; extra columns are ignored; an empty table gives no rows.
 """
@@ -33,13 +34,12 @@ HOMOGLYPHS = str.maketrans("авекмнорстухіјѕԁɡαεικνορτυ
 # Digits and signs that replace letters.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 SIGNS = {"$": "s", "@": "a", "!": "i", "|": "l", "+": "t"}
-# Phrases in which an entry is harmless.
-EXCEPTIONS = ["trash can", "trash bin", "class clown", "circus clown", "clown fish", "not stupid", "sore loser award"]
 
 OTHER_SCRIPT = re.compile("[ɐ-ԯ＀-￯]")
 SIGN = re.compile(r"[$@!|+](?=[^\W\d_])")
 ASCII = bytes(b + 32 if 65 <= b <= 90 else ord(SUBSTITUTES.get(chr(b), " ")) if b < 128 and not 97 <= b <= 122 else b for b in range(256))
-PREFIXES = (5, 6)
+#: Lengths of the beginnings of words that may be entries; whole words of any length may.
+PREFIXES = (4, 5, 6)
 
 
 def fold(text: str | None) -> str:
@@ -56,13 +56,13 @@ def fold(text: str | None) -> str:
 
 def candidates(folded: str) -> set[str]:
     """Possible entries: ``" word "`` and ``" begin"``."""
-    words = {w for w in folded.split() if len(w) >= 3}
+    words = set(folded.split())
     return {f" {w} " for w in words} | {f" {w[:n]}" for n in PREFIXES for w in words if len(w) > n}
 
 
 @dataclass(frozen=True, eq=False)
 class Model:
-    """What the driver ships to the executors: at most ``most_terms`` entries, phrases and three coefficients."""
+    """What the driver ships to the executors: the entries and phrases that a bounded sample gave, and three coefficients."""
 
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: tuple[str, ...] = ()
@@ -130,8 +130,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return b
 
 
-def learn(texts: DataFrame, min_weight: float = 2.5, min_docs: int = 3, min_share: float = 0.002, most_terms: int = 5000, exceptions: list[str] | None = None) -> Model:
-    """A model from ``(text, toxic)`` rows with ``toxic`` 0 or 1; the rows are a bounded sample."""
+def learn(texts: DataFrame, min_weight: float = 2.5, min_docs: int = 3, min_share: float = 0.002, exceptions: tuple[str, ...] = ()) -> Model:
+    """A model from ``(text, toxic)`` rows with ``toxic`` 0 or 1; the rows are a bounded sample. ``exceptions`` are phrases known beforehand."""
     rows = texts.select(F.col("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null")
 
     def counted(keep):
@@ -155,11 +155,11 @@ def learn(texts: DataFrame, min_weight: float = 2.5, min_docs: int = 3, min_shar
         p = n1 / (n1 + n0) if n1 + n0 else 0.0
         return Model(bias=float(np.log((p + 1e-6) / (1 - p + 1e-6))))
     least = max(min_docs, int(min_share * n1))
-    frequent = {r.term for r in counted(None).where((F.col("toxic") == 1) & (F.col("n") >= least) & (F.col("term") != "")).orderBy(F.desc("n"), "term").limit(20 * most_terms).collect()}
+    frequent = {r.term for r in counted(None).where((F.col("toxic") == 1) & (F.col("n") >= least) & (F.col("term") != "")).select("term").collect()}
     counts = {(r.term, r.toxic): r.n for r in counted(frequent).collect()}
     odds = {t: np.log((counts.get((t, 1), 0) + 0.5) / (n1 + 1)) - np.log((counts.get((t, 0), 0) + 0.5) / (n0 + 1)) for t in frequent}
-    best = sorted(((w, t) for t, w in odds.items() if w >= min_weight), key=lambda x: (-x[0], x[1]))[:most_terms]
-    first = Model({t: float(w) for w, t in best}, tuple(EXCEPTIONS if exceptions is None else exceptions))
+    best = sorted(((w, t) for t, w in odds.items() if w >= min_weight), key=lambda x: (-x[0], x[1]))
+    first = Model({t: float(w) for w, t in best}, tuple(exceptions))
 
     def phrased(batches):
         for batch in batches:
@@ -174,7 +174,7 @@ def learn(texts: DataFrame, min_weight: float = 2.5, min_docs: int = 3, min_shar
                 yield pa.RecordBatch.from_pydict({"phrase": [p for p, _ in out], "toxic": pa.array([t for _, t in out], pa.int32()), "n": pa.array(list(out.values()), pa.int64())})
 
     phrases = rows.mapInArrow(phrased, "phrase string, toxic int, n long").groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.max("toxic").alias("worst"))
-    learned = [r.phrase for r in phrases.where((F.col("worst") == 0) & (F.col("clean") >= min_docs)).orderBy(F.desc("clean"), "phrase").limit(most_terms).collect()]
+    learned = [r.phrase for r in phrases.where((F.col("worst") == 0) & (F.col("clean") >= min_docs)).select("phrase").collect()]
     second = Model(first.weights, tuple(sorted({*first.exceptions, *learned})))
 
     def measured(batch):

@@ -43,6 +43,49 @@ def test_learns_and_scores_held_out_texts(spark):
     assert all(r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in got.values())
 
 
+def plain_score(text, model):
+    """The score without an automaton: every entry is looked for at every word, every phrase everywhere."""
+    folded, hits = X.fold(text), []
+    safe = [(a, a + len(X.fold(p)) - 1) for p in model.exceptions for a in range(len(folded)) if folded.startswith(X.fold(p), a)]
+    for at in range(len(folded)):
+        found = [w for term, w in model.weights.items() if folded.startswith(term, at)]
+        if found and not any(a <= at < z for a, z in safe):
+            hits.append(max(found))
+    a = b = 0.0
+    if hits:
+        a, b = np.log1p(sum(hits)), np.log1p(100 * sum(hits) / len(folded.split()))
+    return 1 / (1 + np.exp(-(model.bias + model.by_sum * a + model.by_rate * b)))
+
+
+def test_against_brute_force(spark):
+    rows = made(400, seed=8)
+    texts = [t for _, t, _ in rows] + [None, "", "v3xlor", "x " * 20_000 + "grumtash", "vexlor museum vexlor", "ZORPICAL zorpicals!"]
+    df = spark.createDataFrame([(i, t, y, "x") for i, t, y in rows], SCHEMA)
+    learned = X.learn(X.training_rows(df, df.select("doc_id", "toxic")))
+    for model in (learned, X.Model({" vexlor ": 3.0, " vexl": 1.0, " zorp": 2.0, " a ": 0.5}, ("vexlor museum", "a b"), -3.0, 1.5, 0.5)):
+        scored = X.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+        assert all(abs(r.score - plain_score(texts[r.doc_id], model)) < 1e-9 for r in scored) and len(scored) == len(texts)
+
+
+def plain_weights(rows, min_weight=2.5, min_docs=3):
+    """Entries by counting every candidate in every text."""
+    toxic, clean = [X.candidates(X.fold(t)) for t, y in rows if y], [X.candidates(X.fold(t)) for t, y in rows if not y]
+    out = {}
+    for term in set().union(*toxic):
+        a, b = sum(term in c for c in toxic), sum(term in c for c in clean)
+        weight = np.log((a + 0.5) / (len(toxic) + 1)) - np.log((b + 0.5) / (len(clean) + 1))
+        if a >= min_docs and weight >= min_weight:
+            out[term] = weight
+    return out
+
+
+def test_learns_all_entries(spark):
+    rows = [(t, y) for _, t, y in made(500, seed=2)]
+    model = X.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    want = plain_weights(rows)
+    assert set(model.weights) == set(want) and all(abs(model.weights[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_disguised_words_score_like_plain_ones(spark):
     model = X.Model({" vexlor ": 4.0, " zorpi": 3.0}, ("vexlor museum",), -4.0, 2.0, 1.0)
     texts = ["a vexlor b", "a V3XL0R b", "a vеxlоr!! b", "a zorpical", "the vexlor museum", "", None, "avexlor", "vexlor"]
