@@ -42,6 +42,11 @@ def blocks_for(df: DataFrame, text: str, target: int) -> int:
     return max(4, -(-text_bytes(df, text) // target))
 
 
+def tasks_for(spark: SparkSession, blocks: int) -> int:
+    """How many tasks blocks are dealt to: a few for every core, and beyond that so many that a task has about four, one after another."""
+    return max(1, -(-blocks // 4), min(blocks, 3 * spark.sparkContext.defaultParallelism))
+
+
 def in_batches(fn, rows: int = 256):
     """Wraps ``fn(RecordBatch) -> dict of arrays`` for mapInArrow over bounded slices, so that a
     Python worker holds few texts at a time however large Arrow's batches are."""

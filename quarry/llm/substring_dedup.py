@@ -8,17 +8,19 @@ are streamed in corpus order through a generalised suffix automaton that grows a
 statistic at a word is the length of the longest match with anything earlier, and a window is a repeat
 where the statistic reaches its length. Every shard's automaton serves exactly the segments that can match it.
 
-Passes, each over blocks of whole documents (a block is a seeded hash of the row, about ``block_bytes``):
+Passes, each over blocks of whole documents (a block is a seeded hash of the row, about ``block_bytes``; a task holds one at a time):
 
-1. minimizers of each block, packed as arrays by bucket; 2. buckets tell blocks which minimizers occur more
-than once in the corpus; 3. blocks send segments (runs of windows with one such minimizer) to shards;
-4. shards answer with a mask of repeated windows per segment; 5. blocks remove the words and hash the rest.
+1. the distinct minimizers of each block, a row each; 2. those that occur more than once in the corpus go back to their blocks;
+3. blocks send segments (runs of windows with one such minimizer), a row each, to shards; 4. shards answer with a mask of repeated windows for each
+segment that has any; 5. blocks remove the words and hash the rest. The rows between passes grow with the text, not with the number of blocks
+squared, and the number of tasks follows the blocks.
 
 Hot content: segments that repeat within a block are sent once, equal segments are streamed once in a shard, and a
-minimizer with over ``hot`` occurrences is split by the hash of each whole window. Words travel as 64-bit hashes
+minimizer with over ``hot`` occurrences is split by the hash of each whole window. A window that many blocks have is merged as a tree: it goes to a
+shard for every ``MERGED_BLOCKS`` blocks, each of which keeps its first, and the first of these firsts stays. Words travel as 64-bit hashes
 (XXH64, seed 0); two windows are equal if all their word hashes are.
 
-Edge cases: null and empty texts have no words and keep the hash of the empty string; texts shorter than a window
+Edge cases: very long texts are whole in their block, which is then larger; null and empty texts have no words and keep the hash of the empty string; texts shorter than a window
 stay whole; rows that share a ``doc_id`` are ordered by a hash of their text, equal rows by chance, so that one of
 them counts as the first; null ids sort last; extra columns are ignored; an empty table gives no rows.
 """
@@ -30,14 +32,15 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NULL_ID, blocks_for, mix64
+from quarry.llm.common import NULL_ID, blocks_for, mix64, tasks_for
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 SPAN = 32  # windows a segment holds at most: the bits of its mask
 SHARD_WORDS = 100_000
+MERGED_BLOCKS = 4096  # blocks whose copies of a hot window meet in one shard
 
 
 class Automaton:
@@ -143,113 +146,77 @@ class Block:
         return self.grams[chosen]
 
 
-def _per_bucket(keys: np.ndarray, buckets: int):
-    """Order of the keys by bucket, and ``(bucket, from, to)`` of each bucket that has any."""
-    b = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
-    cuts = np.flatnonzero(np.diff(b[order], prepend=-1))
-    return order, [(int(b[order[a]]), int(a), int(z)) for a, z in zip(cuts, [*cuts[1:], len(b)])]
-
-
-def _minimizers(window: int, gram: int, buckets: int):
-    def run(key, table):
-        block = Block(table, window, gram)
-        keys, counts = np.unique(block.minimizers(gram), return_counts=True)
-        order, spans = _per_bucket(keys, buckets)
-        keys, counts = keys[order], counts[order].astype(np.uint32)
-        return pa.table({
-            "bucket": pa.array([b for b, _, _ in spans], pa.int32()), "block": pa.array([key[0].as_py()] * len(spans), pa.int32()),
-            "keys": pa.array([keys[a:z].tobytes() for _, a, z in spans], pa.binary()), "counts": pa.array([counts[a:z].tobytes() for _, a, z in spans], pa.binary()),
-        })
-
-    return run
-
-
-def _repeated(hot: int):
+def _minimizers(window: int, gram: int):
     def run(key, table):
-        blocks = table.column("block").to_pylist()
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
-        flat = np.concatenate(keys)
-        owner = np.repeat(np.array(blocks, np.int64), [len(k) for k in keys])
-        unique, inverse = np.unique(flat, return_inverse=True)
-        total = np.bincount(inverse, counts, len(unique))[inverse]
-        keep = total >= 2
-        flat, owner, is_hot = flat[keep], owner[keep], total[keep] > hot
-        order = np.argsort(owner, kind="stable")
-        cuts = np.flatnonzero(np.diff(owner[order], prepend=-1))
-        spans = list(zip(cuts, [*cuts[1:], len(order)]))
-        flat, is_hot = flat[order], is_hot[order]
-        return pa.table({
-            "block": pa.array([int(owner[order[a]]) for a, _ in spans], pa.int32()), "keys": pa.array([flat[a:z].tobytes() for a, z in spans], pa.binary()),
-            "hot": pa.array([is_hot[a:z].astype(np.uint8).tobytes() for a, z in spans], pa.binary()),
-        })
+        keys, counts = np.unique(Block(table, window, gram).minimizers(gram), return_counts=True)
+        block = np.full(len(keys), key[0].as_py(), np.int32)
+        return pa.table({"block": block, "key": keys.view(np.int64), "n": counts.astype(np.int64)})
 
     return run
 
 
-#: What travels to a shard for each segment: routing key, order in the corpus, block-wide row, start in the document, words.
+#: Routing key, order in the corpus, block-wide row, start in the document, words of a segment.
 SEGMENT = np.dtype([("key", "u8"), ("id", "i8"), ("tie", "i8"), ("row", "u4"), ("start", "u4"), ("n", "u4")])
-ANSWER = np.dtype([("row", "u4"), ("start", "u4"), ("mask", "u4")])
+#: A row for each segment that travels: ``mask`` is of windows known to repeat, ``words`` null if no shard has to look.
+SEGMENTS = "block int, row long, start long, mask long, key long, single boolean, bucket int, id long, tie long, words binary"
+#: The shards' answers; ``pending`` rows are first of a hot window among some blocks, and ``merge`` is that window.
+ANSWERS = "block int, row long, start long, mask long, pending boolean, merge long, id long, tie long"
 
 
 def _segments(window: int, gram: int, buckets: int):
+    salts = -(-buckets // MERGED_BLOCKS)
+
     def run(key, docs, found):
-        out = {"bucket": [], "block": [], "heads": [], "words": [], "known": []}
         me = key[0].as_py()
-        if docs.num_rows and found.num_rows:
-            block = Block(docs, window, gram)
-            keys = np.concatenate([np.frombuffer(x, np.uint64) for x in found.column("keys").to_pylist()])
-            hot = np.concatenate([np.frombuffer(x, np.uint8) for x in found.column("hot").to_pylist()])
-            order = np.argsort(keys)
-            keys, hot = keys[order], hot[order]
-            if len(keys) and len(block.least):
-                where = np.minimum(np.searchsorted(keys, block.least), len(keys) - 1)
-                hit = keys[where] == block.least
-                hits = np.flatnonzero(hit)
-                is_hot = hot[where[hits]] > 0
-                new = np.ones(len(hits), bool)
-                new[1:] = (block.least[hits[1:]] != block.least[hits[:-1]]) | (np.diff(block.win_at[hits]) != 1) | (block.win_doc[hits[1:]] != block.win_doc[hits[:-1]])
-                new |= is_hot  # a hot minimizer's windows go one by one
-                begin = np.flatnonzero(new)
-                size = np.diff([*begin, len(hits)])
-                # Runs are cut every SPAN windows.
-                more = -(-size // SPAN)
-                first = np.repeat(begin, more) + SPAN * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))
-                last = np.minimum(first + SPAN, np.repeat(begin + size, more))
-                at, doc = block.win_at[hits[first]], block.win_doc[hits[first]]
-                n = last - first + window - 1
-                heads = np.zeros(len(first), SEGMENT)
-                heads["key"] = block.least[hits[first]]
-                heads["id"], heads["tie"], heads["row"] = block.ids[doc], block.ties[doc], doc
-                heads["start"], heads["n"] = at - block.starts[doc], n
-                seen: set[bytes] = set()
-                known, sent, words = [], [], []
-                for k, (a, m, single) in enumerate(zip(at.tolist(), n.tolist(), is_hot[first].tolist())):
-                    raw = block.words[a : a + m].tobytes()
-                    if raw in seen:
-                        known.append((heads["row"][k], heads["start"][k], (1 << (m - window + 1)) - 1))
-                        continue
-                    seen.add(raw)
-                    if single:
-                        heads["key"][k] = xxhash.xxh64_intdigest(raw)
-                    sent.append(k)
-                    words.append(raw)
-                heads = heads[sent]
-                order, spans = _per_bucket(heads["key"], buckets)
-                for b, a, z in spans:
-                    mine = order[a:z]
-                    out["bucket"].append(b), out["block"].append(me), out["known"].append(None)
-                    out["heads"].append(heads[mine].tobytes()), out["words"].append(b"".join([words[k] for k in mine.tolist()]))
-                if known:
-                    out["bucket"].append(me % buckets), out["block"].append(me), out["known"].append(np.array(known, ANSWER).tobytes())
-                    out["heads"].append(b""), out["words"].append(b"")
-        kinds = {"bucket": pa.int32(), "block": pa.int32(), "heads": pa.binary(), "words": pa.binary(), "known": pa.binary()}
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
+        block = Block(docs, window, gram) if docs.num_rows and found.num_rows else None
+        if block is None or not len(block.least):
+            return _segment_table(me, np.zeros(0, SEGMENT), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), [])
+        keys = found.column("key").to_numpy().view(np.uint64)
+        hot = found.column("hot").to_numpy(zero_copy_only=False)
+        order = np.argsort(keys)
+        keys, hot = keys[order], hot[order]
+        where = np.minimum(np.searchsorted(keys, block.least), len(keys) - 1)
+        hits = np.flatnonzero(keys[where] == block.least)
+        is_hot = hot[where[hits]]
+        new = np.ones(len(hits), bool)
+        new[1:] = (block.least[hits[1:]] != block.least[hits[:-1]]) | (np.diff(block.win_at[hits]) != 1) | (block.win_doc[hits[1:]] != block.win_doc[hits[:-1]])
+        new |= is_hot  # a hot minimizer's windows go one by one
+        begin = np.flatnonzero(new)
+        size = np.diff([*begin, len(hits)])
+        # Runs are cut every SPAN windows.
+        more = -(-size // SPAN)
+        first = np.repeat(begin, more) + SPAN * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))
+        last = np.minimum(first + SPAN, np.repeat(begin + size, more))
+        at, doc = block.win_at[hits[first]], block.win_doc[hits[first]]
+        single = is_hot[first]
+        heads = np.zeros(len(first), SEGMENT)
+        heads["key"], heads["n"] = block.least[hits[first]], last - first + window - 1
+        heads["id"], heads["tie"], heads["row"], heads["start"] = block.ids[doc], block.ties[doc], doc, at - block.starts[doc]
+        masks, buckets_of, words, seen = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), [], set()
+        for k, (a, m, alone) in enumerate(zip(at.tolist(), heads["n"].tolist(), single.tolist())):
+            raw = block.words[a : a + m].tobytes()
+            if raw in seen:
+                masks[k] = (1 << (m - window + 1)) - 1
+                words.append(None)
+                continue
+            seen.add(raw)
+            words.append(raw)
+            if alone:
+                heads["key"][k] = xxhash.xxh64_intdigest(raw)
+        spread = heads["key"] + np.where(single, np.uint64(me % salts), np.uint64(0)) * ODD
+        buckets_of = np.where(masks > 0, me % buckets, (spread % np.uint64(buckets)).astype(np.int64))
+        return _segment_table(me, heads, masks, single, buckets_of, words)
 
     return run
 
 
+def _segment_table(me: int, heads: np.ndarray, masks: np.ndarray, single: np.ndarray, buckets: np.ndarray, words: list) -> pa.Table:
+    return pa.table({
+        "block": np.full(len(heads), me, np.int32), "row": heads["row"].astype(np.int64), "start": heads["start"].astype(np.int64), "mask": masks, "key": heads["key"].view(np.int64) if len(heads) else np.zeros(0, np.int64),
+        "single": pa.array(single, pa.bool_()), "bucket": buckets.astype(np.int32), "id": heads["id"], "tie": heads["tie"], "words": pa.array(words, pa.binary()),
+    })
+
+
 def shard_masks(heads: np.ndarray, words: np.ndarray, window: int) -> np.ndarray:
     """For each segment, given with the words of all one after another, the mask of its repeated windows."""
     ends = np.cumsum(heads["n"].astype(np.int64))
@@ -278,26 +245,24 @@ def shard_masks(heads: np.ndarray, words: np.ndarray, window: int) -> np.ndarray
 
 def _shards(window: int):
     def run(key, table):
-        blocks, heads, words, answers = [], [], [], []
-        for block, h, w, known in zip(*(table.column(c).to_pylist() for c in ("block", "heads", "words", "known"))):
-            if known is not None:
-                answers.append((block, known))
-                continue
-            h = np.frombuffer(h, SEGMENT)
-            blocks.append(np.full(len(h), block, np.int64))
-            heads.append(h), words.append(np.frombuffer(w, np.uint64))
-        if heads:
-            owner, heads = np.concatenate(blocks), np.concatenate(heads)
-            masks = shard_masks(heads, np.concatenate(words), window)
-            keep = masks > 0
-            reply = np.zeros(int(keep.sum()), ANSWER)
-            reply["row"], reply["start"], reply["mask"] = heads["row"][keep], heads["start"][keep], masks[keep]
-            owner = owner[keep]
-            order = np.argsort(owner, kind="stable")
-            cuts = np.flatnonzero(np.diff(owner[order], prepend=-1))
-            for a, z in zip(cuts, [*cuts[1:], len(order)]):
-                answers.append((int(owner[order[a]]), reply[order[a:z]].tobytes()))
-        return pa.table({"block": pa.array([b for b, _ in answers], pa.int32()), "answer": pa.array([x for _, x in answers], pa.binary())})
+        whole = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("block", "row", "start", "mask", "key", "single", "id", "tie")}
+        raw = table.column("words").combine_chunks()
+        looked = np.flatnonzero(~np.asarray(raw.is_null()))
+        mask, pending = whole["mask"].copy(), np.zeros(table.num_rows, bool)
+        if len(looked):
+            words = [x for x in raw.to_pylist() if x is not None]
+            heads = np.zeros(len(looked), SEGMENT)
+            for c in ("id", "tie", "row", "start"):
+                heads[c] = whole[c][looked]
+            heads["key"], heads["n"] = whole["key"][looked].view(np.uint64), [len(x) // 8 for x in words]
+            mask[looked] = shard_masks(heads, np.frombuffer(b"".join(words), np.uint64), window)
+            pending = whole["single"] & (mask == 0)
+            mask[pending] = 1  # repeats, unless it's the first of all
+        keep = np.flatnonzero(mask)
+        out = {c: whole[c][keep] for c in ("block", "row", "start")} | {"mask": mask[keep], "pending": pa.array(pending[keep], pa.bool_())}
+        # Rows that nothing is to be merged with have a number of their own.
+        own = (whole["block"].astype(np.int64) << 40) ^ (whole["row"] << 20) ^ whole["start"]
+        return pa.table(out | {"merge": np.where(pending, whole["key"], own)[keep], "id": whole["id"][keep], "tie": whole["tie"][keep]})
 
     return run
 
@@ -307,18 +272,19 @@ def _rebuild(window: int, keep_text: bool):
         block_ids = docs.column("doc_id").to_pylist()
         raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in docs.column("text").to_pylist()]
         order = sorted(range(len(raw)), key=lambda k: (NULL_ID if block_ids[k] is None else block_ids[k], xxhash.xxh64_intdigest(raw[k]) >> 1))
-        answers = np.concatenate([np.frombuffer(x, ANSWER) for x in found.column("answer").to_pylist()] or [np.zeros(0, ANSWER)])
-        answers = answers[np.argsort(answers["row"], kind="stable")]
-        edges = np.searchsorted(answers["row"], np.arange(len(order) + 1))
+        rows, starts, masks = (found.column(c).to_numpy() for c in ("row", "start", "mask"))
+        by_row = np.argsort(rows, kind="stable")
+        starts, masks = starts[by_row], masks[by_row]
+        edges = np.searchsorted(rows[by_row], np.arange(len(order) + 1))
         n_words, n_removed, digests, kept_texts = [], [], [], []
         for row, k in enumerate(order):
             words = raw[k].split()
             n, removed = len(words), 0
             if edges[row] < edges[row + 1]:
-                mine = answers[edges[row] : edges[row + 1]]
+                mine = slice(edges[row], edges[row + 1])
                 windows = np.zeros(n + 32, bool)
-                bits = (mine["mask"][:, None] >> np.arange(32, dtype=np.uint32)) & 1 > 0
-                places = mine["start"].astype(np.int64)[:, None] + np.arange(32)
+                bits = (masks[mine][:, None] >> np.arange(SPAN)) & 1 > 0
+                places = starts[mine][:, None] + np.arange(SPAN)
                 windows[places[bits]] = True
                 change = np.zeros(n + 65 + window, np.int64)
                 at = np.flatnonzero(windows)
@@ -343,11 +309,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("a minimizer's words lie within a window")
     records = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = blocks_for(records, "text", block_bytes)
+    tasks = tasks_for(df.sparkSession, n)
     records = records.select(F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(n)).cast("int").alias("block"), "doc_id", "text")
-    docs = records.groupBy("block")
-    minimizers = docs.applyInArrow(_minimizers(window, gram, n), "bucket int, block int, keys binary, counts binary")
-    repeated = minimizers.groupBy("bucket").applyInArrow(_repeated(hot), "block int, keys binary, hot binary")
-    segments = docs.cogroup(repeated.groupBy("block")).applyInArrow(_segments(window, gram, n), "bucket int, block int, heads binary, words binary, known binary")
-    answers = segments.groupBy("bucket").applyInArrow(_shards(window), "block int, answer binary")
+    docs = records.repartition(tasks, "block").groupBy("block")
+    minimizers = docs.applyInArrow(_minimizers(window, gram), "block int, key long, n long")
+    total = F.sum("n").over(Window.partitionBy("key"))
+    repeated = minimizers.repartition(tasks, "key").select("block", "key", total.alias("total")).where("total > 1").select("block", "key", (F.col("total") > hot).alias("hot"))
+    segments = docs.cogroup(repeated.repartition(tasks, "block").groupBy("block")).applyInArrow(_segments(window, gram, n), SEGMENTS)
+    answers = segments.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_shards(window), ANSWERS)
+    place = F.struct("id", "tie", "row", "start")
+    answers = answers.repartition(tasks, "pending", "merge").withColumn("least", F.min(place).over(Window.partitionBy("pending", "merge"))).where(~F.col("pending") | (place > F.col("least"))).select("block", "row", "start", "mask")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    return docs.cogroup(answers.groupBy("block")).applyInArrow(_rebuild(window, keep_text), schema)
+    return docs.cogroup(answers.repartition(tasks, "block").groupBy("block")).applyInArrow(_rebuild(window, keep_text), schema)

@@ -46,8 +46,9 @@ def corpus(rng, n, vocabulary):
     return texts
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_against_brute_force(spark, hot):
+@pytest.mark.parametrize("hot,merged", [(2000, 4096), (3, 4096), (3, 2)])
+def test_against_brute_force(spark, monkeypatch, hot, merged):
+    monkeypatch.setattr(S, "MERGED_BLOCKS", merged)
     rng = random.Random(hot)
     rows = [(i, t) for i, t in enumerate(corpus(rng, 60, 500))]
     rng.shuffle(rows)
@@ -57,6 +58,24 @@ def test_against_brute_force(spark, hot):
     assert sorted(got, key=str) == brute(rows, 20)
 
 
+def test_rows_between_passes_grow_with_the_text(spark):
+    """More blocks give no more rows: each distinct minimizer of a block is one row, whatever the buckets."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))) for i in range(80)]
+    table = lambda part: S.pa.table({"doc_id": S.pa.array([r[0] for r in part], S.pa.int64()), "text": [r[1] for r in part]})
+    run = S._minimizers(20, 8)
+    counts = [sum(run([S.pa.scalar(k)], table(rows[k::n])).num_rows for k in range(n)) for n in (1, 8, 80)]
+    assert max(counts) == min(counts)
+
+
+def test_long_texts_and_clashing_names(spark):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(60_000))
+    rows = [(1, long), (2, "x " + long), (3, " ".join(long.split()[500:540]))]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA).withColumns({c: S.F.lit("z") for c in ("key", "mask", "words", "least", "row")})
+    assert sorted(map(tuple, S.remove_repeats(df).collect())) == brute(rows, 20)
+
+
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
