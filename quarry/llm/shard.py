@@ -7,9 +7,9 @@ place in the bucket. Shard ``s`` takes the places from ``ceil(s * n / shards)``
 differ by one row at most. Everything is a function of the records, the seed and the bucket count:
 a task that runs again gives the same rows.
 
-Edge cases: null text has size 8 and the CRC of no bytes; null ids are scattered by their text; repeated
-rows are separate records, and those alike in id and text share a bucket; an empty table gives no rows; extra columns are carried by ``shuffled``
-under their own names and ignored by ``assignments``.
+Edge cases: null text has size 8 and the CRC of no bytes; very long texts are whole records, and their bucket is as much larger; null ids are
+scattered by their text; repeated rows are separate records, and those alike in id and text share a bucket (copies of a text under different ids
+do not); an empty table gives no rows; extra columns are left out by both ``assignments`` and ``write_shards``.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blocks_for
+from quarry.llm.common import blocks_for, tasks_for
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -38,6 +38,7 @@ def assignments(df: DataFrame, shards: int = 24, seed: int = 20260731, id_col: s
     scattered = records.withColumn("bucket", scatter)
     sizes = scattered.groupBy("bucket").count()
     blocks = -(-buckets // 1024)
+    # The number of tasks of pass two follows the buckets, so that what a task reads does not grow with the input.
     # Offsets in two levels, so that no task orders all buckets: blocks of 1024, then buckets in a block.
     per_block = sizes.groupBy((F.col("bucket") / 1024).cast("int").alias("block")).agg(F.sum("count").alias("n"))
     starts, total = {}, 0
@@ -46,8 +47,6 @@ def assignments(df: DataFrame, shards: int = 24, seed: int = 20260731, id_col: s
         total += n
     spark = df.sparkSession
     known = spark.createDataFrame([(b, starts.get(b, 0)) for b in range(blocks)], "block int, block_start long")
-    from pyspark.sql import Window
-
     inside = Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sizes.withColumn("block", (F.col("bucket") / 1024).cast("int")).join(known, "block")
@@ -74,7 +73,8 @@ def assignments(df: DataFrame, shards: int = 24, seed: int = 20260731, id_col: s
         return pa.table(out)
 
     schema = "doc_id long, size long, text_crc32 long, shard int, slot long" + ", text string" * keep_text
-    return scattered.groupBy("bucket").cogroup(offsets.groupBy("of")).applyInArrow(second, schema)
+    tasks = tasks_for(spark, buckets)
+    return scattered.repartition(tasks, "bucket").groupBy("bucket").cogroup(offsets.repartition(tasks, "of").groupBy("of")).applyInArrow(second, schema)
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 24, **options) -> None:

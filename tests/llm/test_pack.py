@@ -109,3 +109,10 @@ def test_whole_tables(spark):
         assert end <= 64
     assert len(bins) <= sum(w[3] for w in want) / 64 * 1.05 + 1
     assert pack.pack(pack.pieces(df.limit(0), PATH)).count() == 0
+
+
+def test_long_texts_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "word another " * 100_000, 1, "x"), (2, "b", 1, "x")], SCHEMA).withColumns({c: pack.F.lit("z") for c in ("piece", "start", "sequence_id", "offset", "_no", "_sub", "_rank")})
+    got = pack.pack(pack.pieces(df, PATH)).collect()
+    assert sum(r.length for r in got if r.doc_id == 1) == len(Tokenizer.from_file(PATH).encode("word another " * 100_000).ids) + 1
+    assert len({r.sequence_id for r in got}) == -(-sum(r.length for r in got) // 1024)

@@ -41,3 +41,25 @@ def test_empty_and_tiny_tables(spark):
     assert shard.assignments(spark.createDataFrame([], SCHEMA)).count() == 0
     one = shard.assignments(spark.createDataFrame([(4, "a", 1, "x")], SCHEMA)).collect()
     assert [(r.shard, r.slot) for r in one] == [(0, 0)]
+
+
+def test_against_a_plain_shuffle(spark):
+    """The same permutation by hand: buckets by the hash, sorted, shuffled with their seed, one after another."""
+    rows, df = rows_of(spark, 300)
+    buckets, seed, shards = 5, 20260731, 7
+    hashed = df.selectExpr("doc_id", "text", f"pmod(xxhash64({seed}, doc_id, crc32(cast(text as binary))), {buckets}) as b").collect()
+    placed = []
+    for b in range(buckets):
+        mine = sorted(((r.doc_id is None, r.doc_id or 0, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 8, r.text is None) for r in hashed if r.b == b))
+        placed += [mine[k] for k in shard.fisher_yates(len(mine), seed, b)]
+    want = [(None if absent else i, size, crc, k * shards // len(placed)) for k, (absent, i, crc, size, _) in enumerate(placed)]
+    size = sum(len((t or "").encode()) for _, t in rows)
+    got = shard.assignments(df, shards=shards, bucket_bytes=-(-size // buckets)).collect()
+    assert [(r.doc_id, r.size, r.text_crc32, r.shard) for r in sorted(got, key=lambda r: (r.shard, r.slot))] == want
+
+
+def test_long_texts_and_clashing_names(spark):
+    rows = [(1, "long " * 200_000), (2, "long " * 200_000), (3, "s")]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA).withColumns({c: shard.F.lit("z") for c in ("block", "at", "of", "size", "count")})
+    got = shard.assignments(df, shards=3, bucket_bytes=1000).collect()
+    assert sorted((r.doc_id, r.size) for r in got) == [(1, 1_000_008), (2, 1_000_008), (3, 9)]
