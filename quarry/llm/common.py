@@ -70,22 +70,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """The rows with the columns that an aggregate by ``key`` has for theirs.
+
+    An aggregate's rows lie by its key, and a join that relies on that can't split a frequent key. Both sides are dealt by a hash of the
+    key instead, so that the rows of such a key are split at run time.
+    """
+    by = lambda k: F.xxhash64(F.lit(3), F.col(k)).alias("_by")
+    found = keyed.select(by(key), F.col(key).alias("_key"), *[c for c in keyed.columns if c != key])
+    return rows.select("*", by(key)).join(found, "_by").where(F.col(key) == F.col("_key")).drop("_by", "_key")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list as ``(node, root)``, root the smallest node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce
     and Beyond", 2014) until the edge set stays as it is. Every step aggregates before it shuffles
-    and is checkpointed to the shared folder; the driver sees two numbers a round. Edge lists
-    without rows give no rows. Self-loops and repeated edges are ignored.
+    and is checkpointed to the shared folder; the driver sees two numbers a round. A root with very many nodes is split at
+    run time. Edge lists without rows give no rows. Self-loops and repeated edges are ignored. Each round shortens the longest way to a root
+    by a constant factor; after ``most_rounds`` rounds, far more than a graph of 2 ** 50 nodes takes, it raises ``RuntimeError``.
     """
     e = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     seen = None
     for _ in range(most_rounds):
         both = e.union(e.select("v", "u"))  # u's neighbours
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spread_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(down, "u")
+        joined = spread_join(large, down, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
         e = checkpointed(small.where("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

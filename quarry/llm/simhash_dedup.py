@@ -6,7 +6,9 @@ variant finds every link; a variant's bucket holds at most 65 distinct fingerpri
 documents carry them. Within a bucket each fingerprint is linked to the next smaller one after its
 Hamming distance is verified; other pairs of the bucket are connected through these.
 
-Edge cases: null or empty texts have fingerprint zero and link like any other; texts of fewer than
+Components end with an error, not a wrong answer, should they not settle (:func:`~quarry.llm.common.components`).
+
+Edge cases: very long texts are hashed whole, their counts in slices; null or empty texts have fingerprint zero and link like any other; texts of fewer than
 three words hash their whole word sequence; rows with the same ``doc_id`` are rows of their own; null ids
 come out as null and never become a component's id unless no other id is in it; extra columns are ignored;
 an empty table gives an empty result.
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpointed, components, in_batches
+from quarry.llm.common import checkpointed, components, in_batches, spread_join
 
 VARIANTS_A_TASK = 1_000_000
 #: A-Z to a-z, other bytes as they are.
@@ -95,5 +97,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links(distinct_fp.select("fp"), radius)).withColumnRenamed("node", "fp")
     classes = distinct_fp.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = classes.join(least, "root").select("fp", "component_id")
+    named = spread_join(classes, least, "root").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", "fp", "component_id", "tie")

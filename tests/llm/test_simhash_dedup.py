@@ -67,3 +67,11 @@ def test_components_of_a_long_chain(spark):
 
 def test_empty_table(spark):
     assert S.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_hot_root_and_long_texts(spark):
+    """Very many copies, one very long text, and columns named like the operator's own."""
+    rows = [(i, "the same text here again") for i in range(3000)] + [(9000, "w1 w2 w3 w4 " * 50_000), (9001, "w1 w2 w3 w4 " * 50_000)]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA).withColumns({c: S.F.lit("z") for c in ("root", "node", "tie", "least_id", "u", "v")})
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()}
+    assert got == {i: 0 for i in range(3000)} | {9000: 9000, 9001: 9000}
