@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,13 +44,6 @@ def seed_of(name: str) -> int:
     return int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big")
 
 
-def signed_bucket(dimension: int):
-    """An Arrow UDF ``token -> bucket`` with its sign: ``bucket + 1``, negative where bit 63 of the token's BLAKE2b-64 is set."""
-
-    @F.pandas_udf("int")
-    def bucket(s: pd.Series) -> pd.Series:
-        v = np.array([int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") for t in s], np.uint64)
-        b = (v % np.uint64(dimension)).astype(np.int32) + 1
-        return pd.Series(np.where(v >> np.uint64(63), -b, b).astype(np.int32))
-
-    return bucket
+def token_hash(token: str) -> int:
+    """The BLAKE2b-64 of a token, little-endian."""
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import SENTENCE_ENDS, token_count, tokens
 from quarry.sources.checkpoints import checkpointed
 
-# The Python forms of the token and sentence patterns, for the fold below.
+#: The Python form of the token pattern.
 _TOKEN = re.compile(r"\w+|[^\w\s]")
-_SENTENCE = re.compile(rf"(?<=[{SENTENCE_ENDS}])\s+")
+CHUNKS_A_BATCH = 1000
 
 CHUNK_SCHEMA = "chunk_id string, doc_id string, source string, chunk_no int, page_start int, page_end int, text string, token_count int"
 
@@ -51,69 +53,90 @@ def check_window(size: int, overlap: int) -> None:
         raise ValueError("the size is positive and the overlap at least 0 and below the size")
 
 
-def _units(pages: pd.DataFrame, size: int):
-    """Sentences of all pages in order; one over the budget is cut every ``size`` tokens."""
-    for page, text in pages.sort_values("page", kind="stable")[["page", "text"]].itertuples(index=False):
-        for sentence in filter(None, (s.strip() for s in _SENTENCE.split(text.strip()))):
-            spans = [m.span() for m in _TOKEN.finditer(sentence)]
-            if len(spans) <= size:
-                if spans:
-                    yield sentence, page, len(spans)
-                continue
-            for k in range(0, len(spans), size):
-                window = spans[k : k + size]
-                yield sentence[window[0][0] : window[-1][1]], page, len(window)
+def sentence_units(text: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The units of a page, as arrays of their first and last characters' places and their token counts.
 
+    A unit is a sentence, or ``size`` tokens of a longer one. A token begins a sentence if white space lies before it and an end mark before that;
+    tokens cover all else than white space, so a unit's text goes from its first token to its last.
+    """
+    spans = np.array([m.span() for m in _TOKEN.finditer(text)], np.int64).reshape(-1, 2)
+    if not len(spans):
+        return (np.zeros(0, np.int64),) * 3
+    begin, end = spans[:, 0], spans[:, 1]
+    breaks = np.ones(len(spans), bool)
+    breaks[1:] = [gap and text[z - 1] in SENTENCE_ENDS for gap, z in zip((begin[1:] > end[:-1]).tolist(), end[:-1].tolist())]
+    since = np.arange(len(spans)) - np.maximum.accumulate(np.where(breaks, np.arange(len(spans)), 0))
+    heads = np.flatnonzero(since % size == 0)
+    counts = np.diff([*heads, len(spans)])
+    return begin[heads], end[heads + counts - 1], counts
+
+
+def chunk_bounds(counts, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Which units ``(first, end)`` each chunk holds, found on the running sum of the units' tokens.
+
+    From its first unit on, a chunk takes all units whose tokens are within ``size``. The next one begins in its tail: as far back as ``overlap`` allows
+    and, where the chunk isn't exactly full, as the next unit leaves room for. After a full chunk the tail is taken whole, so
+    it may be a chunk by itself if the next unit doesn't fit beside it; at the end of the document it is none.
+    """
+    total = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    last, out, first, seen = len(total) - 1, [], 0, 0
+    while seen < last:
+        end = bisect_right(total, total[first] + size) - 1
+        out.append((first, end))
+        full = total[end] - total[first] == size
+        room = overlap if full or end == last else min(overlap, size - (total[end + 1] - total[end]))
+        first, seen = max(first, bisect_left(total, total[end] - room)), end
+    return out
 
-def fold_units(units, size: int, overlap: int) -> list[list[tuple[str, int, int]]]:
-    """Packs units into chunks of at most ``size`` tokens.
 
-    A chunk is closed when the next unit doesn't fit or when it's exactly full. The next one begins with the tail of the closed
-    one, at most ``overlap`` tokens, less what must go at its head for the next unit to fit. A tail alone is no chunk.
-    """
-    chunks: list[list] = []
-    buffer: list = []
-    held, fresh = 0, False
-
-    def tail(room: int | None):
-        kept, total = [], 0
-        for unit in reversed(buffer):
-            if total + unit[2] > overlap:
-                break
-            kept.insert(0, unit)
-            total += unit[2]
-        while kept and room is not None and total > room:
-            total -= kept.pop(0)[2]
-        return kept, total
-
-    for unit in units:
-        if buffer and held + unit[2] > size:
-            chunks.append(buffer)
-            buffer, held = tail(size - unit[2])
-        buffer, held, fresh = [*buffer, unit], held + unit[2], True
-        if held == size:
-            chunks.append(buffer)
-            buffer, held = tail(None)
-            fresh = False
-    if buffer and fresh:
-        chunks.append(buffer)
-    return chunks
+class _Document:
+    """The pages of one document, in order, as they stream by."""
 
+    def __init__(self, doc, source):
+        self.doc, self.source = doc, source
+        self.texts, self.pages, self.counts = [], [], []
 
-def fixed_sentence(pages: DataFrame, size: int = 300, overlap: int = 50) -> DataFrame:
-    """Sentence-packed chunks of ``(doc_id, source, page, text)``, folded per document in Arrow batches."""
-    check_window(size, overlap)
+    def add(self, page: int, text: str | None, size: int) -> None:
+        text = text or ""
+        for a, z, n in zip(*(x.tolist() for x in sentence_units(text, size))):
+            self.texts.append(text[a:z]), self.pages.append(page), self.counts.append(n)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, source = pdf["doc_id"].iloc[0], pdf.sort_values("page", kind="stable")["source"].iloc[0]
-        rows = []
-        for n, units in enumerate(fold_units(_units(pdf, size), size, overlap), 1):
-            pages_of = [u[1] for u in units]
-            rows.append((f"{doc}_p{min(pages_of)}_c{n:04d}", doc, source, n, min(pages_of), max(pages_of), " ".join(u[0] for u in units).strip(), sum(u[2] for u in units)))
-        return pd.DataFrame(rows, columns=["chunk_id", "doc_id", "source", "chunk_no", "page_start", "page_end", "text", "token_count"])
+    def chunks(self, size: int, overlap: int):
+        for number, (a, z) in enumerate(chunk_bounds(self.counts, size, overlap), 1):
+            low, high = min(self.pages[a:z]), max(self.pages[a:z])
+            yield f"{self.doc}_p{low}_c{number:04d}", self.doc, self.source, number, low, high, " ".join(self.texts[a:z]), sum(self.counts[a:z])
 
-    chunks = pages.select("doc_id", "source", F.col("page").cast("int").alias("page"), "text").groupBy("doc_id").applyInPandas(fold, CHUNK_SCHEMA)
-    return chunks
+
+def fixed_sentence(pages: DataFrame, size: int = 300, overlap: int = 50) -> DataFrame:
+    """Sentence-packed chunks of ``(doc_id, source, page, text)``.
+
+    Documents meet in one task each, sorted by page, and stream through it: a task holds the units of one document and a batch of chunks.
+    """
+    check_window(size, overlap)
+    kind = _arrow(CHUNK_SCHEMA)
+
+    def fold(batches):
+        held, rows = None, []
+        for batch in batches:
+            for doc, source, page, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if held is None or held.doc != doc:
+                    rows += held.chunks(size, overlap) if held else ()
+                    held = _Document(doc, source)
+                held.add(page, text, size)
+                if len(rows) >= CHUNKS_A_BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+                    rows = []
+        rows += held.chunks(size, overlap) if held else ()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+
+    ordered = pages.select("doc_id", "source", F.col("page").cast("int").alias("page"), "text").repartition("doc_id").sortWithinPartitions("doc_id", "page")
+    return ordered.mapInArrow(fold, CHUNK_SCHEMA)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "int": pa.int32()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
 
 
 def token_summary(chunks: DataFrame) -> DataFrame:

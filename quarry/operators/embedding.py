@@ -2,48 +2,60 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.hashing import signed_bucket
+from quarry.functions.hashing import token_hash
+
+#: What counts as a token of a lower-cased text.
+EMBEDDED = re.compile(r"[A-Za-z0-9_]+")
+TEXTS_AT_ONCE = 512
+
+
+class TokenHashes:
+    """``token -> BLAKE2b-64`` of what a task has met, forgotten when it's too much."""
+
+    def __init__(self, most: int = 500_000):
+        self.most, self.known = most, {}
+
+    def __call__(self, tokens: list[str]) -> np.ndarray:
+        if len(self.known) > self.most:
+            self.known = {}
+        for t in set(tokens) - self.known.keys():
+            self.known[t] = token_hash(t)
+        return np.fromiter(map(self.known.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def hashing_embed(df: DataFrame, id_col: str, text_col: str, dimension: int = 384, normalize: bool = True, prefix: str = "") -> DataFrame:
-    """``(id, embedding)``: signed token counts in ``dimension`` buckets.
+    """``(id, embedding)``, a row per input row: signed token counts in ``dimension`` buckets. Nothing is shuffled.
 
-    Only distinct tokens are hashed in Python, tokens are counted by built-in operations, and Arrow batches scatter the sums into vectors. A text without
-    tokens has the zero vector.
+    A token's hash gives its bucket and, by its highest bit, its sign. A null text, and one without tokens, has the zero vector; rows that share an id
+    are embedded each on its own.
     """
-    texts = df.select(F.col(id_col).alias("id"), F.concat(F.lit(prefix), F.col(text_col)).alias("t"))
-    words = texts.select("id", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"[A-Za-z0-9_]+"), F.lit(0))).alias("token"))
-    counts = words.groupBy("id", "token").agg(F.count("*").alias("n"))
-    hashed = counts.select("token").distinct().withColumn("b", signed_bucket(dimension)("token"))
-    sums = counts.join(hashed, "token").groupBy("id", (F.abs("b") - 1).alias("bucket")).agg(F.sum(F.signum("b") * F.col("n")).alias("v"))
-    sparse = sums.groupBy("id").agg(F.collect_list(F.struct("bucket", "v")).alias("m"))
-    vectors = texts.select("id").distinct().join(sparse, "id", "left")
-    vectors = vectors.select("id", F.col("m.bucket").alias("b"), F.col("m.v").alias("v"))
 
     def dense(batches):
+        hashes = TokenHashes()
         for batch in batches:
-            n = batch.num_rows
-            x = np.zeros((n, dimension))
-            held = batch.column(1).fill_null([])
-            counts = pc.list_value_length(held).to_numpy(zero_copy_only=False)
-            x[np.repeat(np.arange(n), counts), held.flatten().to_numpy(zero_copy_only=False)] = batch.column(2).fill_null([]).flatten().to_numpy(zero_copy_only=False)
-            if normalize:
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                x /= np.where(norm == 0, 1, norm)
-            flat = pa.array(x.astype(np.float32).ravel())
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "embedding": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dimension), flat)})
-
-    kind = texts.schema["id"].dataType.simpleString()
-    return vectors.mapInArrow(dense, f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                tokens = [[] if t is None else EMBEDDED.findall((prefix + t).lower()) for t in part.column(1).to_pylist()]
+                v = hashes([t for row in tokens for t in row])
+                place = np.repeat(np.arange(len(tokens)), [len(row) for row in tokens]) * dimension + (v % np.uint64(dimension)).astype(np.int64)
+                x = np.bincount(place, np.where(v >> np.uint64(63), -1.0, 1.0), len(tokens) * dimension).astype(float).reshape(-1, dimension)
+                if normalize:
+                    norm = np.linalg.norm(x, axis=1, keepdims=True)
+                    x /= np.where(norm == 0, 1, norm)
+                flat = pa.array(x.astype(np.float32).ravel())
+                yield pa.RecordBatch.from_pydict({id_col: part.column(0), "embedding": pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * dimension), flat)})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(dense, f"`{id_col}` {kind}, embedding array<float>")
 
 
 def model_embed(df: DataFrame, id_col: str, text_col: str, encode: Callable[[], Callable[[list[str]], np.ndarray]], prefix: str = "") -> DataFrame:

@@ -2,7 +2,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from quarry.operators import chunking as C
 
@@ -14,15 +13,59 @@ def pages(spark, rows):
 
 
 def test_fold_cases():
-    unit = lambda name, n: (name, 1, n)
-    names = lambda chunks: ["".join(u[0] for u in c) for c in chunks]
-    fold = lambda units, size, overlap: names(C.fold_units([unit(n, k) for n, k in units], size, overlap))
+    def fold(units, size, overlap):
+        return ["".join(n for n, _ in units[a:z]) for a, z in C.chunk_bounds([k for _, k in units], size, overlap)]
+
     assert fold([("a", 5)], 5, 0) == ["a"]
     assert fold([("a", 3), ("b", 2), ("c", 1)], 5, 2) == ["ab", "bc"]
     assert fold([("a", 3), ("b", 2)], 5, 2) == ["ab"]
     assert fold([("a", 4), ("b", 4)], 5, 4) == ["a", "b"]
     assert fold([("a", 2), ("b", 2), ("c", 2), ("d", 3)], 6, 4) == ["abc", "bc", "cd"]
     assert fold([], 5, 1) == []
+    # A tail that the next unit doesn't fit beside is a chunk of its own after a full one.
+    assert fold([("a", 3), ("b", 2), ("c", 4)], 5, 2) == ["ab", "b", "c"]
+
+
+def token_by_token(counts, size, overlap):
+    """The same rules on a queue of units, one at a time."""
+    from collections import deque
+
+    open_, out, new = deque(), [], False
+
+    def close(limit):
+        out.append(list(open_))
+        while sum(counts[k] for k in open_) > limit:
+            open_.popleft()
+
+    for k, n in enumerate(counts):
+        if open_ and sum(counts[j] for j in open_) + n > size:
+            close(min(overlap, size - n))
+        open_.append(k)
+        new = sum(counts[j] for j in open_) < size
+        if not new:
+            close(overlap)
+    return out + ([list(open_)] if new else [])
+
+
+def test_bounds_equal_a_queue():
+    rng = random.Random(11)
+    for _ in range(2000):
+        size = rng.randint(1, 12)
+        overlap, counts = rng.randrange(size), [rng.randint(1, size) for _ in range(rng.randrange(30))]
+        assert [list(range(a, z)) for a, z in C.chunk_bounds(counts, size, overlap)] == token_by_token(counts, size, overlap)
+
+
+def test_units_are_sentences():
+    split = re.compile(r"(?<=[.!?。！？])\s+")
+    rng = random.Random(12)
+    for _ in range(500):
+        text = "".join(rng.choice(["a", "bc", ".", "!", "。", " ", "\n", "　", "é_1", ",", "\x1c"]) for _ in range(rng.randrange(40)))
+        whole = [s.strip() for s in split.split(text.strip()) if s.strip()]
+        begin, end, counts = C.sentence_units(text, 1000)
+        assert [text[a:z] for a, z in zip(begin, end)] == whole
+        begin, end, counts = C.sentence_units(text, 3)
+        assert counts.sum() == len(TOKEN.findall(text)) and (counts <= 3).all()
+        assert [TOKEN.findall(text[a:z]) for a, z in zip(begin, end)] == [w[k : k + 3] for w in map(TOKEN.findall, whole) for k in range(0, len(w), 3)]
 
 
 @pytest.mark.parametrize("size,overlap", [(20, 5), (7, 0), (50, 49)])
@@ -37,9 +80,9 @@ def test_budget_coverage_and_partitions(spark, size, overlap):
     made = a.collect()
     assert all(len(TOKEN.findall(r.text)) == r.token_count <= size for r in made)
     for d in {r[0] for r in rows}:
-        units = [u for u in C._units(pages(spark, rows).where(F.col("doc_id") == d).toPandas(), size)]
+        units = [t[a:z] for i, _, _, t in rows if i == d for a, z, _ in zip(*C.sentence_units(t, size))]
         joined = " ".join(r.text for r in sorted((r for r in made if r.doc_id == d), key=lambda r: r.chunk_no))
-        assert all(u[0] in joined for u in units)
+        assert all(u in joined for u in units)
     pairs = [r.overlap for r in C.overlaps(a, max(overlap, 1)).collect()]
     assert all(o <= max(overlap, 1) for o in pairs)
 

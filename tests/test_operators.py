@@ -38,6 +38,12 @@ def test_reservoir_is_the_sequential_one(spark, n, target):
     assert got == [str(x) for x in reservoir_plain(ids, target, "s")[:target]]
 
 
+def one_token(w):
+    v = np.zeros(16)
+    v[int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") % 16] = 1
+    return v
+
+
 def test_hashing_embedding(spark):
     texts = ["Hello hello world", "", "é è", "a b c a", None]
     df = spark.createDataFrame(list(enumerate(texts[:4])), "i long, t string")
@@ -49,6 +55,10 @@ def test_hashing_embedding(spark):
             v[x % 16] += -1 if x >> 63 else 1
         v /= np.linalg.norm(v) or 1
         assert np.allclose(got[i], v, atol=1e-6)
+    # Rows that share an id are rows of their own, a null text has the zero vector, and nothing is shuffled.
+    twice = embedding.hashing_embed(spark.createDataFrame([(1, "a"), (1, "b"), (1, None)], "i long, t string"), "i", "t", 16)
+    assert sorted(tuple(np.flatnonzero(r.embedding)) for r in twice.collect()) == sorted([*(tuple(np.flatnonzero(v)) for v in (one_token("a"), one_token("b"))), ()])
+    assert "Exchange" not in twice._jdf.queryExecution().executedPlan().toString()
 
 
 def test_bm25_against_plain_python(spark):
