@@ -1,15 +1,16 @@
 """Media columns: MPEG transport streams (ISO/IEC 13818-1) in binary columns.
 
 ``mux`` stores a payload as a single-programme stream: a PAT and a PMT, then PES packets of a private
-stream, each an access unit of up to ``UNIT`` bytes with a PTS, cut into 188-byte packets with
-continuity counters; every ``GOP``-th unit sets the random-access indicator. ``demux`` reads any
-such bytes back: it checks sync bytes, follows the PAT to the PMT and the PMT to the elementary PID,
-checks continuity counters, drops adaptation fields, reassembles PES packets and returns the payload,
-the timestamps and the random-access points.
-
-Edge cases: null and empty texts become one block of 64 zero bytes; equal texts give equal bytes;
-damaged streams raise ``ValueError`` naming the fault; repeated rows give a row each; extra columns
-are ignored; an empty table gives no rows.
+stream, each an access unit of up to ``UNIT`` bytes with a PTS and a PCR, cut into 188-byte packets with
+continuity counters; every ``GOP``-th unit sets the random-access indicator. ``demux`` reads any transport stream back: it checks sync bytes,
+reassembles the sections of the PAT and the PMT, over several packets where they are longer, follows them to the first elementary stream of the first programme,
+checks continuity counters (packets without payload don't count, one repetition is legal and dropped, a signalled discontinuity
+is no error), drops adaptation fields, reassembles PES packets of any stream, bounded or not, and returns the payload, the timestamps, the clock references and
+the random-access points.
+
+Edge cases: null and empty texts become one block of 64 zero bytes; very long texts are one stream, of as many units; equal texts give equal bytes;
+``demux`` raises ``ValueError`` naming the fault of a damaged stream, and in a column such a row, like a null one, has its ``error`` and no results; repeated rows give a
+row each; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,17 +31,21 @@ PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, ES_PID = 0x0000, 0x1000, 0x0100
 PROGRAM, STREAM_TYPE, STREAM_ID = 1, 0x06, 0xBD
 UNIT, GOP, TICKS = 16384, 8, 3003
-PES_HEADER = 14
+PES_HEADER, PCR_FIELD = 14, 8
+#: Stream ids whose packets have no optional header.
+BARE = {0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF}
+PADDING = 0xBE
 CRC_POLY = 0x04C11DB7
 
 
 class Stream(NamedTuple):
     payload: bytes
-    pts: list[int]
+    pts: list[int | None]
     access_points: list[int]
     packets: int
     program: int
     es_pid: int
+    pcr: list[int]
 
 
 def _crc_table() -> list[int]:
@@ -86,6 +91,11 @@ def _pts_of(b: bytes) -> int:
     return (b[0] >> 1 & 7) << 30 | b[1] << 22 | (b[2] >> 1) << 15 | b[3] << 7 | b[4] >> 1
 
 
+def _pcr_bytes(base: int) -> bytes:
+    """A clock reference of 90 kHz ticks, without the 27 MHz extension."""
+    return bytes([base >> 25 & 0xFF, base >> 17 & 0xFF, base >> 9 & 0xFF, base >> 1 & 0xFF, (base & 1) << 7 | 0x7E, 0])
+
+
 def payload_of(text: str | None) -> bytes:
     """UTF-8 with zero bytes up to a positive multiple of 64."""
     raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
@@ -98,9 +108,9 @@ def mux(payload: bytes) -> bytes:
     for k, at in enumerate(range(0, len(payload), UNIT)):
         unit = payload[at : at + UNIT]
         pes = b"\x00\x00\x01" + bytes([STREAM_ID]) + (len(unit) + PES_HEADER - 6).to_bytes(2, "big") + b"\x84\x80\x05" + _pts_bytes(k * TICKS) + unit
-        # Every unit's first packet has a two-byte adaptation field with its flags; the last one is stuffed.
-        first = pes[:182]
-        rest = pes[182:]
+        # Every unit's first packet has an adaptation field with its flags and the clock reference; the last one is stuffed.
+        first = pes[: 184 - PCR_FIELD]
+        rest = pes[184 - PCR_FIELD :]
         n = 1 + -(-len(rest) // 184)
         packets = np.full((n, PACKET), 0xFF, np.uint8)
         packets[:, 0] = SYNC
@@ -111,7 +121,8 @@ def mux(payload: bytes) -> bytes:
         packets[0, 1] |= 0x40
         packets[0, 3] |= 0x20
         packets[0, 4] = 183 - len(first)
-        packets[0, 5] = 0x40 if k % GOP == 0 else 0
+        packets[0, 5] = 0x50 if k % GOP == 0 else 0x10
+        packets[0, 6:12] = np.frombuffer(_pcr_bytes(k * TICKS), np.uint8)
         packets[0, PACKET - len(first) :] = np.frombuffer(first, np.uint8)
         whole = len(rest) // 184
         body = np.frombuffer(rest, np.uint8)
@@ -126,13 +137,30 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _read_section(packet: np.ndarray, table_id: int) -> bytes:
-    raw = packet[4:].tobytes()
-    raw = raw[1 + raw[0] :]
-    length = int.from_bytes(raw[1:3], "big") & 0x0FFF
-    if raw[0] != table_id or crc_mpeg(raw[: length + 3]):
-        raise ValueError(f"damaged table {table_id}")
-    return raw[8 : length - 1]
+def _table(packets: np.ndarray, pid: np.ndarray, wanted: int, table_id: int) -> tuple[int, bytes]:
+    """``(number, body)`` of the first whole, valid and current section of a table."""
+    held, seen = b"", False
+    for packet in packets[pid == wanted]:
+        seen = True
+        raw = packet.tobytes()
+        control = raw[3] >> 4 & 3
+        if not control & 1:
+            continue
+        body = raw[4 + (1 + raw[4] if control & 2 else 0) :]
+        parts = [(held, body)]
+        if raw[1] & 0x40:  # the pointer says where a section begins; what is before it ends the last one
+            skip = 1 + body[0] if body else 1
+            parts = [(held, body[1:skip]), (b"", body[skip:])]
+        for before, more in parts:
+            held = before + more if before or raw[1] & 0x40 else b""
+            while len(held) >= 3 and held[0] != 0xFF:
+                end = 3 + (int.from_bytes(held[1:3], "big") & 0x0FFF)
+                if len(held) < end:
+                    break
+                section, held = held[:end], held[end:]
+                if section[0] == table_id and end > 12 and section[5] & 1 and not crc_mpeg(section):
+                    return int.from_bytes(section[3:5], "big"), section[8:-4]
+    raise ValueError(f"damaged table {table_id}" if seen else f"no table {table_id}")
 
 
 def demux(data: bytes) -> Stream:
@@ -143,47 +171,74 @@ def demux(data: bytes) -> Stream:
     if (p[:, 0] != SYNC).any() or (p[:, 1] & 0x80).any():
         raise ValueError("lost sync or transport error")
     pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
-    at = np.flatnonzero(pid == PAT_PID)
-    if not len(at):
-        raise ValueError("no program association table")
-    pat = _read_section(p[at[0]], 0x00)
-    programs = {int.from_bytes(pat[i : i + 2], "big"): int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(pat), 4)}
-    program, pmt_pid = next((n, x) for n, x in programs.items() if n)
-    at = np.flatnonzero(pid == pmt_pid)
-    if not len(at):
-        raise ValueError("no program map table")
-    pmt = _read_section(p[at[0]], 0x02)
+    _, pat = _table(p, pid, PAT_PID, 0x00)
+    programs = [(int.from_bytes(pat[i : i + 2], "big"), int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF) for i in range(0, len(pat) - 3, 4)]
+    program, pmt_pid = next(((n, x) for n, x in programs if n), (0, 0))
+    if not program:
+        raise ValueError("no program")
+    _, pmt = _table(p, pid, pmt_pid, 0x02)
     skip = 4 + (int.from_bytes(pmt[2:4], "big") & 0x0FFF)
-    es_pid = int.from_bytes(pmt[skip + 1 : skip + 3], "big") & 0x1FFF
+    if len(pmt) < skip + 5:
+        raise ValueError("no elementary stream")
+    pcr_pid, es_pid = int.from_bytes(pmt[:2], "big") & 0x1FFF, int.from_bytes(pmt[skip + 1 : skip + 3], "big") & 0x1FFF
     e = p[pid == es_pid]
     if not len(e):
         raise ValueError("no elementary packets")
     control = e[:, 3] >> 4 & 3
-    if (control & 1 == 0).any():
+    adapted = control & 2 > 0
+    if (control == 0).any() or (adapted & (e[:, 4] > np.where(control == 3, 183, 184))).any():
+        raise ValueError("damaged adaptation field or elementary packet without payload and field")
+    flags = np.where(adapted & (e[:, 4] > 0), e[:, 5], 0)
+    loaded = np.flatnonzero(control & 1)
+    if not len(loaded):
         raise ValueError("packet without payload")
-    counters = e[:, 3] & 15
-    if ((counters[1:].astype(np.int16) - counters[:-1]) % 16 != 1).any():
+    breaks = np.cumsum(flags & 0x80 > 0)
+    step = np.diff((e[loaded, 3] & 15).astype(np.int16)) % 16
+    told = np.diff(breaks[loaded]) > 0
+    again = (step == 0) & ~told
+    # One repetition of a packet is legal if all but its clock reference is the same.
+    if again.any():
+        clock = (flags & 0x10 > 0)[:, None] & (np.arange(PACKET) >= 6) & (np.arange(PACKET) < 12)
+        same = ((e[loaded[1:]] == e[loaded[:-1]]) | clock[loaded[1:]]).all(axis=1)
+        again &= same & ~np.concatenate([[False], again[:-1] & same[:-1]])
+    if ((step != 1) & ~told & ~again).any():
         raise ValueError("continuity counter error")
+    loaded = loaded[np.concatenate([[True], ~again])]
+    flags = flags[loaded]
+    e, control = e[loaded], control[loaded]
     begin = np.where(control == 3, 5 + e[:, 4].astype(np.int32), 4)
-    if (begin > PACKET).any():
-        raise ValueError("damaged adaptation field")
     starts = np.flatnonzero(e[:, 1] & 0x40)
     if not len(starts) or starts[0]:
         raise ValueError("stream begins inside a packet")
     elementary = e[np.arange(PACKET)[None, :] >= begin[:, None]].tobytes()
     offsets = np.concatenate([[0], np.cumsum(PACKET - begin)])
-    random_access = (control == 3) & (e[:, 4] > 0) & (e[:, 5] & 0x40 > 0)
     units, pts, access = [], [], []
-    for s, a, b in zip(starts.tolist(), offsets[starts].tolist(), [*offsets[starts[1:]].tolist(), len(elementary)]):
-        head = elementary[a : a + PES_HEADER]
+    for s, a, z in zip(starts.tolist(), offsets[starts].tolist(), [*offsets[starts[1:]].tolist(), len(elementary)]):
+        head = elementary[a : min(a + PES_HEADER, z)]
         length = int.from_bytes(head[4:6], "big")
-        if head[:4] != b"\x00\x00\x01" + bytes([STREAM_ID]) or length + 6 != b - a or not head[7] & 0x80:
+        if len(head) < 6 or head[:3] != b"\x00\x00\x01" or length and length + 6 > z - a:
             raise ValueError("damaged elementary packet")
-        if random_access[s]:
+        end = a + 6 + length if length else z
+        if head[3] == PADDING:
+            continue
+        skip = 6
+        stamp = None
+        if head[3] not in BARE:
+            skip = 9 + head[8] if len(head) > 8 else 9
+            if len(head) < 9 or head[6] & 0xC0 != 0x80 or a + skip > end or head[7] & 0x80 and (head[8] < 5 or len(head) < PES_HEADER):
+                raise ValueError("damaged elementary packet")
+            stamp = _pts_of(head[9:14]) if head[7] & 0x80 else None
+        if flags[s] & 0x40:
             access.append(len(pts))
-        pts.append(_pts_of(head[9:14]))
-        units.append(elementary[a + 9 + head[8] : b])
-    return Stream(b"".join(units), pts, access, len(p), program, es_pid)
+        pts.append(stamp)
+        units.append(elementary[a + skip : end])
+    return Stream(b"".join(units), pts, access, len(p), program, es_pid, _clock(p[pid == pcr_pid]))
+
+
+def _clock(packets: np.ndarray) -> list[int]:
+    """The clock references of a stream's packets, in 90 kHz ticks."""
+    held = packets[(packets[:, 3] & 0x20 > 0) & (packets[:, 4] >= 7) & (packets[:, 5] & 0x10 > 0)].astype(np.int64)
+    return (held[:, 6] << 25 | held[:, 7] << 17 | held[:, 8] << 9 | held[:, 9] << 1 | held[:, 10] >> 7).tolist()
 
 
 def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,18 +254,24 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def from_media(media: DataFrame, keep_payload: bool = False) -> DataFrame:
-    """Parses a ``media`` column: digests, packet counts, ``pts`` of all access units and the numbers of
-    the units that are random-access points."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "packets", "pts", "access_points"]
+    """Parses a ``media`` column: digests, packet counts, ``pts`` of all access units, the clock references, the numbers of
+    the units that are random-access points, and the ``error`` of a stream that can't be read, whose results are null."""
+    kinds = {
+        "doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(),
+        "packets": pa.int64(), "pts": pa.list_(pa.int64()), "pcr": pa.list_(pa.int64()), "access_points": pa.list_(pa.int64()), "error": pa.string(),
+    }
 
     def run(batch):
         rows = []
         for i, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            s = demux(data)
-            rows.append((i, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), s.packets, s.pts, s.access_points, s.payload))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        out = {k: pa.array([r[j] for r in rows], kinds[j]) for j, k in enumerate(names)}
+            stored = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+            try:
+                s = demux(data or b"")
+                rows.append((i, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), *stored, s.packets, s.pts, s.pcr, s.access_points, None, s.payload))
+            except ValueError as fault:
+                rows.append((i, n, None, None, None, *stored, None, None, None, None, "no stream" if data is None else str(fault), None))
+        out = {k: pa.array([r[j] for r in rows], t) for j, (k, t) in enumerate(kinds.items())}
         return out | ({"payload": pa.array([r[-1] for r in rows], pa.binary())} if keep_payload else {})
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, packets long, pts array<long>, access_points array<long>"
-    return media.mapInArrow(in_batches(run, 64), schema + ", payload binary" * keep_payload)
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, packets long, pts array<long>, pcr array<long>, access_points array<long>, error string"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(in_batches(run, 64), schema + ", payload binary" * keep_payload)
