@@ -19,10 +19,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: ``spark.checkpoint.dir`` of the session, or our own where it is unset."""
+    """The folder for checkpoints: ``spark.checkpoint.dir`` of the session, or our own where it is unset and the session is local.
+
+    A cluster without such a folder raises: what one machine writes to its own disk, the others can't read.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join("/tmp", "checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or os.path.join("/tmp", "checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -42,9 +48,13 @@ def blocks_for(df: DataFrame, text: str, target: int) -> int:
     return max(4, -(-text_bytes(df, text) // target))
 
 
+#: Tasks of a stage that deals with blocks, at most: beyond, a task has more blocks, one after another, and needs no more memory for it.
+MOST_TASKS = 200_000
+
+
 def tasks_for(spark: SparkSession, blocks: int) -> int:
-    """How many tasks blocks are dealt to: a few for every core, and beyond that so many that a task has about four, one after another."""
-    return max(1, -(-blocks // 4), min(blocks, 3 * spark.sparkContext.defaultParallelism))
+    """How many tasks blocks are dealt to: two blocks a task, so that what a task reads stays level, and no core without one where there are enough."""
+    return max(1, min(MOST_TASKS, -(-blocks // 2)), min(blocks, spark.sparkContext.defaultParallelism))
 
 
 def in_batches(fn, rows: int = 256):
