@@ -37,7 +37,7 @@ CUTS = (13, 13, 13, 12, 12)
 #: Bits by which a block may differ, and the largest radius for which some block then does not.
 BLOCK_RADIUS = 2
 MOST_RADIUS = (BLOCK_RADIUS + 1) * HASHES * len(CUTS) - 1
-#: Shingles of a broadcast block of the benchmark (one long each), and document keys (two longs each) up to which these are broadcast.
+#: Shingles of a broadcast block of the benchmark (one long each), and document keys (one long each) up to which these are broadcast.
 SHINGLES_A_BLOCK, MOST_KEYS = 2_000_000, 1_000_000
 
 
@@ -135,7 +135,9 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     near = docs
     if starts.count() <= MOST_KEYS:
-        near = docs.join(F.broadcast(starts.select("did", "tie")), ["did", "tie"], "left_semi")
+        # One long a key; texts whose hashes collide are told apart by the join below.
+        keys = starts.select(F.xxhash64("did", "tie").alias("key")).distinct()
+        near = docs.withColumn("key", F.xxhash64("did", "tie")).join(F.broadcast(keys), "key", "left_semi").drop("key")
     near = near.dropDuplicates(["did", "tie"]).join(starts, ["did", "tie"]).select("did", "tie", "w", F.explode("spans").alias("span"))
     near = near.select("did", "tie", "w", F.col("span.len").alias("len"), F.col("span.words").alias("words"), F.explode("span.starts").alias("s"))
     near = near.select("did", "tie", "len", F.slice("w", F.col("s") + 1, F.col("words")).alias("ww"))

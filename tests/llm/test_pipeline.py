@@ -26,7 +26,7 @@ def test_columns_and_decisions(stages):
 
 
 def test_near_duplicates_leave_one(stages):
-    from quarry.llm.simhash_dedup import near_duplicates
+    from quarry.llm.minhash_dedup import near_duplicates
 
     before, after = stages[2]
     roots = {r.component_id for r in near_duplicates(before).collect()}
@@ -44,12 +44,20 @@ def test_no_leak_is_left(stages, spark, sf):
 def test_packing_covers_all(stages):
     before, after = stages[4]
     assert {r.doc_id for r in after.select("doc_id").distinct().collect()} == {r.doc_id for r in before.collect()}
-    assert after.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").count() == 0
+    per = after.groupBy("sequence_id").agg(F.sum("length").alias("tokens"), F.count("*").alias("docs"))
+    assert per.where(f"tokens > 1024 or docs > {P.MOST_DOCS}").count() == 0
 
 
 def test_run_gives_the_last_stage(stages, spark, sf):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    import os
+
+    shared = P.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
     got = P.run(spark, sf).select(columns)
+    # Only the last stage's table stays, under a folder of its own.
+    (left,) = [x for x in set(os.listdir(shared)) - before if x.startswith("pipeline-")]
+    assert os.listdir(f"{shared}/{left}") == ["4-best_fit_packing"]
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stages[-1][1].select(columns).collect()))
 
 
