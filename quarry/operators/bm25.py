@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.checkpoints import checkpointed
+
 # English stop words.
 STOP_WORDS = (
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
@@ -32,22 +34,39 @@ class Bm25Index:
     terms: DataFrame
     count: int
     avgdl: float
+    buckets: int | None = None  # where the postings are stored by bucket
 
     def write(self, path: str, buckets: int = 64) -> None:
         """Postings in files by a hash of the term, so that a query's terms prune files."""
-        spread = self.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        spread = self.postings.withColumn("bucket", term_bucket("term", buckets))
         spread.repartition("bucket", F.pmod(F.xxhash64("vector_id"), F.lit(8))).sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        numbers = [(self.count, float(self.avgdl), buckets)]
+        self.postings.sparkSession.createDataFrame(numbers, "count long, avgdl double, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> "Bm25Index":
+        table = lambda name: spark.read.parquet(f"{path}/{name}")
+        n = table("numbers").first()
+        return cls(table("postings"), table("documents"), table("terms"), n["count"], n["avgdl"], n["buckets"])
+
+
+def term_bucket(term: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def build(chunks: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: str = "vector_id", text_col: str = "text") -> Bm25Index:
+    """The texts are cut into terms once; all tables come from the counts, which are kept in the shared folder."""
     if not (1e-6 <= k1 <= 100 and 0 <= b <= 1):
         raise ValueError("k1 is from 1e-6 to 100, b from 0 to 1")
     listed = chunks.select(F.col(id_col).alias("vector_id"), terms(text_col).alias("terms"))
-    documents = listed.select("vector_id", F.size("terms").alias("dl"))
-    n, avgdl = documents.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
     tf = listed.select("vector_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "vector_id", "dl").agg(F.count("*").alias("tf"))
+    tf = checkpointed(tf)
+    n = chunks.count()
+    avgdl = (tf.agg(F.sum("tf")).first()[0] or 0) / n if n else 0.0
+    lengths = tf.groupBy("vector_id").agg(F.first("dl").alias("dl"))
+    documents = chunks.select(F.col(id_col).alias("vector_id")).join(lengths, "vector_id", "left").select("vector_id", F.coalesce("dl", F.lit(0)).alias("dl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
@@ -58,7 +77,10 @@ def build(chunks: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: str = "ve
 def search(index: Bm25Index, queries: DataFrame, k: int, query_col: str = "query") -> DataFrame:
     """``(query_id, vector_id, score, rank)``: the best ``k`` with a positive score; fewer if fewer have one."""
     asked = queries.select("query_id", F.explode(terms(query_col)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    scores = index.postings.join(asked, "term").groupBy("query_id", "vector_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    by = ["term"]
+    if index.buckets is not None:  # the few buckets of the asked terms are all that is read
+        asked, by = asked.withColumn("bucket", term_bucket("term", index.buckets)), ["bucket", "term"]
+    scores = index.postings.join(asked, by).groupBy("query_id", "vector_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
     # Sums depend on the order of their terms in the last bits; ties are decided on nine places.
     scores = scores.withColumn("score", F.round("score", 9)).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vector_id"))

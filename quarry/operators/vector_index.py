@@ -2,21 +2,27 @@
 
 Queries are the small side: they are shipped to the tasks in blocks of a checked size, so a corpus is scanned once for each block and never
 shuffled; every task keeps its best ``k`` for each query, and only those are merged. Orders are total: score descending,
-then id ascending. Indexes are tables: cells and codes are columns, centroids and codebooks are small arrays fitted on
-a bounded sample.
+then id ascending. Indexes are tables, built once and searched often: cells and codes are columns, centroids and codebooks are small arrays fitted on
+a bounded sample, graphs are rows of a table, one for each shard of vectors. Inverted files that are written by cell are read only where a block's queries probe.
 """
 
 from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4096
+from quarry.functions.vectors import dot
+from quarry.sources.checkpoints import checkpointed
+
+QUERY_BLOCK, BLOCKS_A_PLAN = 4096, 16
+#: Queries of a cell from which on decoded vectors and one matrix product cost less than a table of distances for each query.
+DECODED_FROM = 16
 HITS = "query_id long, vector_id long, score double"
 BUILD_PARAMS = {"flat_ip": set(), "ivf_flat": {"nlist", "train_size", "train_seed"}, "ivf_pq": {"nlist", "m", "nbits", "train_size", "train_seed"}, "hnsw": {"m", "ef_construction"}}
 SEARCH_PARAMS = {"flat_ip": set(), "ivf_flat": {"nprobe", "max_codes"}, "ivf_pq": {"nprobe", "max_codes"}, "hnsw": {"ef_search"}}
@@ -94,14 +100,18 @@ def rank(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scan(corpus: DataFrame, queries: DataFrame, k: int, kernel) -> DataFrame:
-    """Runs ``kernel(batches, qids, qmat)`` over the corpus for each query block and merges the tasks' best."""
-    spark, parts = corpus.sparkSession, None
+def _scan(corpus: DataFrame, queries: DataFrame, k: int, kernel, wanted=None) -> DataFrame:
+    """Runs ``kernel(batches, qids, qmat)`` over the corpus for each query block and merges the tasks' best; ``wanted(qmat)`` is a
+    condition on the rows that a block has to read."""
+    spark, parts = corpus.sparkSession, []
     for qids, qmat in query_blocks(queries):
         shared = spark.sparkContext.broadcast((qids, qmat))  # QUERY_BLOCK vectors at most
-        part = corpus.mapInArrow(lambda batches, shared=shared: kernel(batches, *shared.value), HITS)
-        parts = part if parts is None else parts.unionAll(part)
-    return rank(parts if parts is not None else spark.createDataFrame([], HITS), k)
+        read = corpus if wanted is None else corpus.where(wanted(qmat))
+        part = read.mapInArrow(lambda batches, shared=shared: kernel(batches, *shared.value), HITS)
+        parts.append(part)
+        if len(parts) == BLOCKS_A_PLAN:  # so many scans make one table before more are added
+            parts = [checkpointed(rank(reduce(DataFrame.unionAll, parts), k).drop("rank"))]
+    return rank(reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], HITS), k)
 
 
 def _merged(found: list[dict], k: int):
@@ -184,6 +194,18 @@ class InvertedFile:
     def decode(self, codes: np.ndarray, cell: np.ndarray) -> np.ndarray:
         return self.centroids[cell] + np.concatenate([self.books[j][codes[:, j]] for j in range(codes.shape[1])], axis=1)
 
+    def probes(self, q: np.ndarray, nprobe: int) -> np.ndarray:
+        """The cells nearest to each query, nearest first."""
+        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :nprobe]
+
+    def scores(self, codes: np.ndarray, cell: int, q: np.ndarray) -> np.ndarray:
+        """Inner products of a cell's coded vectors (rows) with queries, by tables of each query's products with the codebooks."""
+        if len(q) >= DECODED_FROM:
+            return self.decode(codes, np.full(len(codes), cell)) @ q.T
+        m, _, d = self.books.shape
+        table = np.einsum("qmd,mcd->mcq", q.reshape(len(q), m, d), self.books)
+        return self.centroids[cell] @ q.T + sum(table[j][codes[:, j]] for j in range(m))
+
 
 def train_ivf(corpus: DataFrame, nlist: int = 1024, m: int | None = None, nbits: int = 8, train_size: int = 100_000, train_seed: int = 20260731) -> InvertedFile:
     x = sample(corpus, train_size, train_seed)
@@ -240,7 +262,7 @@ def ivf_search(table: DataFrame, index: InvertedFile, queries: DataFrame, k: int
 
     def kernel(batches, qids, qmat):
         index = shared.value
-        order = np.argsort(-(qmat @ index.centroids.T), axis=1, kind="stable")[:, :nprobe]
+        order = index.probes(qmat, nprobe)
         probed = np.zeros((nlist, len(qids)), bool)
         for q, cells in enumerate(order):
             if sizes is not None:
@@ -256,116 +278,162 @@ def ivf_search(table: DataFrame, index: InvertedFile, queries: DataFrame, k: int
                 mine = pa.array(np.flatnonzero(cell == c))
                 ids = b.column(0).take(mine).to_numpy()
                 x = _matrix(b.column(2).take(mine))
-                x = index.decode(x.astype(np.int64), np.full(len(x), c)) if coded else x.astype(np.float64)
-                part = _best(qids[use], ids, x @ qmat[use].T, k)
+                scores = index.scores(x.astype(np.int64), c, qmat[use]) if coded else x.astype(np.float64) @ qmat[use].T
+                part = _best(qids[use], ids, scores, k)
                 held = part if held is None else _merged([held, part], k)
         if held is not None:
             yield pa.RecordBatch.from_pydict(held)
 
-    return _scan(table.select("vector_id", "cell", "codes" if coded else "embedding"), queries, k, kernel)
+    def wanted(qmat):
+        return F.col("cell").isin([int(c) for c in np.unique(index.probes(qmat, nprobe))])
+
+    return _scan(table.select("vector_id", "cell", "codes" if coded else "embedding"), queries, k, kernel, None if nprobe == nlist else wanted)
+
+
+def rescored(found: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of coarse hits by their whole vectors; only the hits' vectors are read into the join."""
+    both = found.select("query_id", "vector_id").join(corpus.select("vector_id", "embedding"), "vector_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+    return rank(both.select("query_id", "vector_id", F.round(dot(F.col("embedding"), F.col("q")), 9).alias("score")), k)
 
 
 class Graph:
-    """A hierarchical navigable small world (Malkov and Yashunin, 2016) over inner products."""
-
-    def __init__(self, m: int = 32, ef_construction: int = 200, seed: int = 0):
-        self.m, self.ef, self.rng = m, ef_construction, np.random.default_rng(seed)
-        self.x = np.zeros((0, 0))
-        self.layers: list[dict[int, list[int]]] = []
-        self.entry = -1
-
-    def build(self, x: np.ndarray) -> "Graph":
-        self.x = x
-        top = np.floor(-np.log(self.rng.random(len(x)) + 1e-300) / np.log(max(self.m, 2))).astype(int)
-        for node, level in enumerate(top.tolist()):
-            self._insert(node, level)
-        return self
-
-    def _reach(self, q: np.ndarray, start: list[int], ef: int, layer: dict[int, list[int]]) -> list[tuple[float, int]]:
+    """A hierarchical navigable small world (Malkov and Yashunin, 2016) over the inner products of one shard.
+
+    Nodes link to the best of those that come before them, as if they were inserted one after another; a shard's size is bounded, so the candidates
+    of all nodes come from one product of its vectors instead of a search for each.
+    """
+
+    def __init__(self, x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.x, self.layers = x, layers  # of each layer the nodes, where their links begin, and all links
+        self.place = []
+        for nodes, _, _ in layers:
+            at = np.full(len(x), -1)
+            at[nodes] = np.arange(len(nodes))
+            self.place.append(at)
+
+    @classmethod
+    def built(cls, x: np.ndarray, m: int, ef: int, seed: int = 0) -> "Graph":
+        n = len(x)
+        level = np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(max(m, 2))).astype(int)
+        layers = []
+        for k in range(int(level.max(initial=0)) + 1):
+            nodes = np.flatnonzero(level >= k)
+            linked = _linked(x[nodes], m, 2 * m if k == 0 else m, ef)
+            layers.append((nodes, np.cumsum([0, *map(len, linked)]), nodes[np.array([o for part in linked for o in part], np.int64)]))
+        return cls(x, layers)
+
+    def links(self, node: int, layer: int) -> list[int]:
+        _, starts, to = self.layers[layer]
+        at = self.place[layer][node]
+        return to[starts[at] : starts[at + 1]].tolist()
+
+    def _reach(self, q: np.ndarray, start: list[int], ef: int, layer: int) -> list[tuple[float, int]]:
         """The ``ef`` best nodes found from ``start``, best first."""
-        seen = set(start)
-        best = [(float(self.x[s] @ q), s) for s in start]
-        todo = [(-d, s) for d, s in best]
-        heapq.heapify(todo), heapq.heapify(best)
-        while todo:
-            d, node = heapq.heappop(todo)
-            if -d < best[0][0] and len(best) >= ef:
-                break
-            fresh = [n for n in layer.get(node, ()) if n not in seen]
+        seen, kept = set(start), [(float(self.x[s] @ q), s) for s in start]
+        todo = [(-d, s) for d, s in kept]
+        heapq.heapify(todo), heapq.heapify(kept)
+        while todo and (len(kept) < ef or -todo[0][0] >= kept[0][0]):
+            fresh = [o for o in self.links(heapq.heappop(todo)[1], layer) if o not in seen]
             seen.update(fresh)
-            for s, n in zip((self.x[fresh] @ q).tolist() if fresh else [], fresh):
-                if len(best) < ef or s > best[0][0]:
-                    heapq.heappush(best, (s, n)), heapq.heappush(todo, (-s, n))
-                    if len(best) > ef:
-                        heapq.heappop(best)
-        return sorted(best, key=lambda b: (-b[0], b[1]))
-
-    def _pick(self, near: list[tuple[float, int]], most: int) -> list[int]:
-        """Neighbours that are closer to the node than to each other first, then the rest."""
-        chosen: list[int] = []
-        for s, n in near:
-            if len(chosen) < most and all(self.x[n] @ self.x[c] <= s for c in chosen):
-                chosen.append(n)
-        return (chosen + [n for _, n in near if n not in chosen])[:most]
-
-    def _insert(self, node: int, level: int) -> None:
-        old = len(self.layers) - 1
-        while len(self.layers) <= level:
-            self.layers.append({})
-        if self.entry < 0:
-            for layer in self.layers:
-                layer[node] = []
-            self.entry = node
-            return
-        q, start = self.x[node], [self.entry]
-        for k in range(old, level, -1):
-            start = [self._reach(q, start, 1, self.layers[k])[0][1]]
-        for k in range(min(level, old), -1, -1):
-            layer, most = self.layers[k], self.m * 2 if k == 0 else self.m
-            near = self._reach(q, start, self.ef, layer)
-            layer[node] = self._pick(near, self.m)
-            for n in layer[node]:
-                links = [*layer[n], node]
-                if len(links) > most:
-                    scored = sorted(((float(self.x[n] @ self.x[o]), o) for o in links), key=lambda b: (-b[0], b[1]))
-                    links = self._pick(scored, most)
-                layer[n] = links
-            start = [n for _, n in near]
-        for k in range(old + 1, level + 1):
-            self.layers[k][node] = []
-        if level > old:
-            self.entry = node
+            for s, o in zip((self.x[fresh] @ q).tolist() if fresh else [], fresh):
+                if len(kept) < ef:
+                    heapq.heappush(kept, (s, o)), heapq.heappush(todo, (-s, o))
+                elif s > kept[0][0]:
+                    heapq.heapreplace(kept, (s, o)), heapq.heappush(todo, (-s, o))
+        return sorted(kept, key=lambda b: (-b[0], b[1]))
 
     def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
-        if self.entry < 0:
+        if not len(self.x):
             return []
-        start = [self.entry]
-        for layer in self.layers[:0:-1]:
+        start = [int(self.layers[-1][0][0])]
+        for layer in range(len(self.layers) - 1, 0, -1):
             start = [self._reach(q, start, 1, layer)[0][1]]
-        return self._reach(q, start, max(ef, k), self.layers[0])[:k]
+        return self._reach(q, start, max(ef, k), 0)[:k]
 
 
-def hnsw_search(corpus: DataFrame, queries: DataFrame, k: int, m: int = 32, ef_construction: int = 200, ef_search: int = 64, block: int = 4096) -> DataFrame:
-    """Approximate top ``k``: a graph for every ``block`` vectors of a task, each searched, the best merged."""
+def _spread(order: np.ndarray, to: np.ndarray, between: np.ndarray, most: int) -> list[int]:
+    """Of nodes, best first, those that are nearer to the node than to each other, then others; ``to`` are the products with the node."""
+    chosen: list[int] = []
+    for o in order.tolist():
+        if len(chosen) == most:
+            return chosen
+        if not chosen or (between[o, chosen] <= to[o]).all():
+            chosen.append(o)
+    taken = set(chosen)
+    return chosen + [o for o in order.tolist() if o not in taken][: most - len(chosen)]
 
-    def kernel(batches, qids, qmat):
-        held = None
 
-        def searched(ids, x):
-            graph = Graph(m, ef_construction).build(x)
-            found = [(q, s, ids[n]) for q, v in zip(qids.tolist(), qmat) for s, n in graph.search(v, k, ef_search)]
-            cols = [np.array(c) for c in zip(*found)]
-            return {"query_id": cols[0].astype(np.int64), "vector_id": cols[2].astype(np.int64), "score": cols[1].astype(np.float64)}
+def _linked(x: np.ndarray, m: int, most: int, ef: int) -> list[list[int]]:
+    """Each node's links: ``m`` of the best ``ef`` before it, and back; ``most`` at most."""
+    near = x @ x.T
+    links: list[list[int]] = [[] for _ in x]
+    for i in range(1, len(x)):
+        to = near[i, :i]
+        best = np.argpartition(-to, ef)[:ef] if i > ef else np.arange(i)
+        own = _spread(best[np.argsort(-to[best], kind="stable")], near[i], near, m)
+        links[i] += own
+        for o in own:
+            links[o].append(i)
+    for i, mine in enumerate(links):
+        if len(mine) > most:
+            mine = np.array(mine)
+            links[i] = _spread(mine[np.argsort(-near[i, mine], kind="stable")], near[i], near, most)
+    return links
+
+
+GRAPHS = "shard string, dimension int, ids binary, vectors binary, sizes array<int>, nodes binary, starts binary, links binary"
+
 
+def build_graphs(corpus: DataFrame, m: int = 32, ef_construction: int = 200, shard: int = 4096) -> DataFrame:
+    """A row for each ``shard`` vectors of a task: their ids, vectors and graph; to be written, or checkpointed, and searched."""
+
+    def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, block):
-                piece = b.slice(at, block)
-                part = searched(piece.column(0).to_numpy(), _matrix(piece.column(1)).astype(np.float64))
+            for at in range(0, b.num_rows, shard):
+                piece = b.slice(at, shard)
+                ids, x = piece.column(0).to_numpy(), np.ascontiguousarray(_matrix(piece.column(1)), np.float32)
+                g = Graph.built(x.astype(np.float64), m, ef_construction)
+                flat = [np.concatenate([np.asarray(layer[j], np.int32) for layer in g.layers]).tobytes() for j in range(3)]
+                yield pa.RecordBatch.from_pydict({
+                    "shard": [f"{ids.min()}-{ids.max()}"], "dimension": pa.array([x.shape[1]], pa.int32()), "ids": [ids.astype(np.int64).tobytes()], "vectors": [x.tobytes()],
+                    "sizes": pa.array([[len(layer[0]) for layer in g.layers]], pa.list_(pa.int32())), "nodes": [flat[0]], "starts": [flat[1]], "links": [flat[2]],
+                })
+
+    return corpus.select("vector_id", "embedding").mapInArrow(run, GRAPHS)
+
+
+def _opened(row: dict) -> tuple[np.ndarray, Graph]:
+    x = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dimension"]).astype(np.float64)
+    nodes, starts, links = (np.frombuffer(row[c], np.int32).astype(np.int64) for c in ("nodes", "starts", "links"))
+    layers, a, s, t = [], 0, 0, 0
+    for n in row["sizes"]:
+        begin = starts[s : s + n + 1]
+        layers.append((nodes[a : a + n], begin, links[t : t + begin[-1]]))
+        a, s, t = a + n, s + n + 1, t + begin[-1]
+    return np.frombuffer(row["ids"], np.int64), Graph(x, layers)
+
+
+def graph_search(graphs: DataFrame, queries: DataFrame, k: int, ef_search: int = 64) -> DataFrame:
+    """Approximate top ``k`` over a table of graphs: each is searched, the best merged."""
+
+    def kernel(batches, qids, qmat):
+        held = None
+        for b in batches:
+            for row in b.to_pylist():
+                ids, graph = _opened(row)
+                found = [(q, s, ids[n]) for q, v in zip(qids.tolist(), qmat) for s, n in graph.search(v, k, ef_search)]
+                q, s, i = (np.array(c) for c in zip(*found))
+                part = {"query_id": q.astype(np.int64), "vector_id": i.astype(np.int64), "score": np.round(s.astype(np.float64), 9)}
                 held = part if held is None else _merged([held, part], k)
         if held is not None:
             yield pa.RecordBatch.from_pydict(held)
 
-    return _scan(corpus.select("vector_id", "embedding"), queries, k, kernel)
+    return _scan(graphs, queries, k, kernel)
+
+
+def hnsw_search(corpus: DataFrame, queries: DataFrame, k: int, m: int = 32, ef_construction: int = 200, ef_search: int = 64, block: int = 4096) -> DataFrame:
+    """Graphs built for this search alone; :func:`build_graphs` keeps them for others."""
+    return graph_search(checkpointed(build_graphs(corpus, m, ef_construction, block)), queries, k, ef_search)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

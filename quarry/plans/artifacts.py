@@ -37,6 +37,8 @@ def _write(built: Built, path: str, manifest: dict) -> None:
         writer = built.vectors.write
         (writer.partitionBy("cell") if built.inverted else writer).parquet(f"{path}/vectors")
         counts["vectors"] = spark.read.parquet(f"{path}/vectors").count()
+        if built.graphs is not None:
+            built.graphs.write.parquet(f"{path}/graphs")
         if built.inverted is not None:
             arrays = [("centroids", built.inverted.centroids)] + ([("books", built.inverted.books)] if built.inverted.books is not None else [])
             rows = [(name, list(a.shape), a.astype(float).ravel().tolist()) for name, a in arrays]
@@ -68,10 +70,11 @@ def open_artifact(spark: SparkSession, path: str, config: Config) -> Built:
         raise ValueError("the artifact was built with another configuration")
     built = Built(config, spark.read.parquet(f"{path}/chunks"))
     if "bm25" in manifest:
-        t = lambda name: spark.read.parquet(f"{path}/bm25/{name}")
-        built.lexical = bm25.Bm25Index(t("postings"), t("documents"), t("terms"), manifest["bm25"]["count"], manifest["bm25"]["avgdl"])
+        built.lexical = bm25.Bm25Index.read(spark, f"{path}/bm25")
     else:
         built.vectors = spark.read.parquet(f"{path}/vectors")
+        if config.index == "hnsw":
+            built.graphs = spark.read.parquet(f"{path}/graphs")
         if config.index.startswith("ivf"):
             arrays = {r.name: np.array(r.data).reshape(r.shape) for r in spark.read.parquet(f"{path}/trained").collect()}
             built.inverted = vector_index.InvertedFile(arrays["centroids"], arrays.get("books"))

@@ -21,6 +21,7 @@ class Built:
     chunks: DataFrame
     vectors: DataFrame | None = None
     inverted: vector_index.InvertedFile | None = None
+    graphs: DataFrame | None = None
     lexical: bm25.Bm25Index | None = None
 
 
@@ -42,6 +43,9 @@ def build(pages: DataFrame, config: Config) -> Built:
         p = config.build_params()
         built.inverted = vector_index.train_ivf(vectors, p["nlist"], p.get("m"), p.get("nbits", 8), p["train_size"], p["train_seed"])
         built.vectors = checkpointed(vector_index.build_ivf(vectors, built.inverted))
+    elif config.index == "hnsw":
+        p = config.build_params()
+        built.graphs = checkpointed(vector_index.build_graphs(vectors, p["m"], p["ef_construction"]))
     return built
 
 
@@ -56,8 +60,7 @@ def retrieve(built: Built, questions: DataFrame, k: int) -> DataFrame:
         if c.index == "flat_ip":
             hits = vector_index.flat_search(built.vectors, asked, k)
         elif c.index == "hnsw":
-            p = c.build_params()
-            hits = vector_index.hnsw_search(built.vectors, asked, k, p["m"], p["ef_construction"], search["ef_search"])
+            hits = vector_index.graph_search(built.graphs, asked, k, search["ef_search"])
         else:
             hits = vector_index.ivf_search(built.vectors, built.inverted, asked, k, search["nprobe"], search["max_codes"])
     return retrieval.with_chunks(hits, built.chunks)

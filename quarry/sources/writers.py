@@ -52,6 +52,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(path_of(path))
 
 
+def stamp(spark: SparkSession, path: str) -> str:
+    """A digest of the names, lengths and times of all files below ``path``; it changes when they do, and no file is read."""
+    fs, path_of = _fs(spark, path)
+    files, found = fs.listFiles(path_of(path), True), []
+    while files.hasNext():
+        f = files.next()
+        found.append([str(f.getPath()), f.getLen(), f.getModificationTime()])
+    return digest(sorted(found))
+
+
 def commit(spark: SparkSession, path: str, write) -> bool:
     """Calls ``write(staging path)`` and renames the staging folder to ``path``; if another run committed first, its table stays
     and ours is dropped. Returns whether ours is there. Works on any Hadoop file system."""

@@ -15,7 +15,7 @@ def corpus(tmp_path):
     return str(tmp_path / "c.jsonl")
 
 
-@pytest.mark.parametrize("config", [{}, {"retrieval": "bm25"}, {"index": "ivf_flat", "index_build": {"nlist": 2}, "search": {"nprobe": 2}}, {"index": "ivf_pq", "index_build": {"nlist": 2, "m": 4, "nbits": 3}, "search": {"nprobe": 2}}])
+@pytest.mark.parametrize("config", [{}, {"retrieval": "bm25"}, {"index": "hnsw"}, {"index": "ivf_flat", "index_build": {"nlist": 2}, "search": {"nprobe": 2}}, {"index": "ivf_pq", "index_build": {"nlist": 2, "m": 4, "nbits": 3}, "search": {"nprobe": 2}}])
 def test_build_open_and_damage(spark, tmp_path, corpus, config):
     c = Config(dimension=32, final_k=2, **config)
     path, built = build_or_open(spark, corpus, readers.prepared_pages, c, str(tmp_path / "a"))
