@@ -47,3 +47,14 @@ def seed_of(name: str) -> int:
 def token_hash(token: str) -> int:
     """The BLAKE2b-64 of a token, little-endian."""
     return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
+
+
+def sequence_digest(count: int) -> str:
+    """SHA-256 of the JSON array ``[0,1,...,count-1]``, a block of numbers at a time."""
+    if isinstance(count, bool) or not isinstance(count, int) or count < 0:
+        raise ValueError("the count is an integer of 0 or more")
+    h, block = hashlib.sha256(b"["), 1 << 16
+    for at in range(0, count, block):
+        h.update(("," * (at > 0) + ",".join(map(str, range(at, min(at + block, count))))).encode())
+    h.update(b"]")
+    return h.hexdigest()

@@ -31,10 +31,12 @@ def positive_ids(evidence: Column) -> Column:
 
 
 def answer_in_passage(hits: DataFrame, answers: str = "answers", text: str = "text") -> DataFrame:
-    """Adds ``relevant``: whether the passage's body holds one of the answers, word by word, in normal form."""
-    body = hits.withColumn("body", normalize_short_answer(passage_body(text))).withColumn("wanted", F.explode_outer(answers))
-    body = body.withColumn("wanted", normalize_short_answer("wanted")).withColumn("found", F.coalesce(contains_answer(F.col("body"), F.col("wanted")), F.lit(False)))
-    return body.groupBy(*[c for c in hits.columns if c != answers]).agg(F.max("found").alias("relevant"))
+    """Adds ``relevant``: whether the passage's body holds one of the answers, word by word, in normal form. ``query_id`` and ``rank`` name a hit."""
+    kept = [c for c in hits.columns if c not in (answers, "query_id", "rank")]
+    body = hits.withColumn("_body", normalize_short_answer(passage_body(text))).withColumn("_wanted", F.explode_outer(answers))
+    found = F.coalesce(contains_answer(F.col("_body"), normalize_short_answer("_wanted")), F.lit(False))
+    grouped = body.withColumn("_found", found).groupBy("query_id", "rank").agg(*[F.first(c).alias(c) for c in kept], F.max("_found").alias("relevant"))
+    return grouped.select(*[c for c in hits.columns if c != answers], "relevant")
 
 
 def short_answer_scores(rows: DataFrame, prediction: str = "prediction", answers: str = "answers", key: str = "query_id") -> DataFrame:
@@ -70,8 +72,9 @@ def paper_evidence(hits: DataFrame, units: DataFrame, papers: DataFrame) -> Data
     return first.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
 
 
-def open_corpus_scores(questions: DataFrame, hits: DataFrame, units: DataFrame) -> DataFrame:
-    """Paper hit, reciprocal rank, evidence hit, recall and F1 of ``(query_id, paper_id, references)``.
+def open_corpus_scores(questions: DataFrame, hits: DataFrame, units: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """Paper hit, reciprocal rank, evidence hit, recall and F1 of ``(query_id, paper_id, references)``, and the best ``answer_f1`` where there are
+    ``answers`` (query_id, prediction).
 
     Evidence of any paper counts as predicted, so that of wrong papers lowers precision. Recall is the best over references with
     evidence, and null where none has any.
@@ -89,7 +92,12 @@ def open_corpus_scores(questions: DataFrame, hits: DataFrame, units: DataFrame)
     f1 = F.when((F.col("n_pred") == 0) & (F.col("n_gold") == 0), 1.0).when(F.col("same") == 0, 0.0).otherwise(2 * p * r / (p + r))
     best = each.groupBy("query_id").agg(F.max(F.when(F.col("n_gold") > 0, r)).alias("recall"), F.max(f1).alias("f1"))
     out = questions.select("query_id").join(ranks, "query_id", "left").join(best, "query_id")
-    return out.select("query_id", F.col("first").isNotNull().alias("paper_hit"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("paper_rr"), F.coalesce(F.col("recall") > 0, F.lit(False)).alias("evidence_hit"), F.col("recall").alias("evidence_recall"), F.col("f1").alias("evidence_f1"))
+    out = out.select("query_id", F.col("first").isNotNull().alias("paper_hit"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("paper_rr"), F.coalesce(F.col("recall") > 0, F.lit(False)).alias("evidence_hit"), F.col("recall").alias("evidence_recall"), F.col("f1").alias("evidence_f1"))
+    if answers is None:
+        return out
+    none = F.array().cast("array<string>")
+    scored = paper_answer_scores(questions.join(answers.select("query_id", "prediction"), "query_id").withColumn("_none", none), evidence="_none")
+    return out.join(scored.select("query_id", "answer_f1"), "query_id")
 
 
 def _mean(c: Column) -> Column:

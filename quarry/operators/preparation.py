@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.hashing import list_digest, question_id, seed_of, selection_hash, splitmix64
+from quarry.functions.hashing import question_id, seed_of, selection_hash, splitmix64
 from quarry.functions.text import normalize_text, strip
 from quarry.sources.checkpoints import checkpointed
 
@@ -82,43 +85,98 @@ def round_robin(negatives: DataFrame, excluded: DataFrame, most: int, per_questi
     return checkpointed(top).withColumn("pick_no", F.row_number().over(Window.orderBy("turn", "id"))).select("id", "pick_no")
 
 
-def reservoir(eligible: DataFrame, target: int, seed: str, id_col: str = "id") -> DataFrame:
+def draws(i: np.ndarray, target: int, start: int, breaks: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """``(slot drawn, whether the draw is refused)`` of rows ``i``, from 1, beyond the first ``target``; ``breaks`` are the rows, in order, of the draws
+    refused so far, each of which shifts its own row's draw and all later ones by one."""
+    at = i.astype(np.uint64)
+    value = splitmix64(at - np.uint64(target) + np.searchsorted(breaks, i, side="right").astype(np.uint64), start)
+    if bits < 64:
+        value &= np.uint64((1 << bits) - 1)
+        spare, top = np.uint64(1 << bits) % at, np.uint64((1 << bits) - 1)
+    else:
+        spare, top = (np.uint64(0) - at) % at, np.uint64(0xFFFFFFFFFFFFFFFF)
+    # Refused are the last 2^bits mod i values.
+    return (value % at).astype(np.int64), (spare > 0) & (value > top - spare)
+
+
+def refused_rows(spark: SparkSession, total: int, target: int, start: int, bits: int = 64) -> np.ndarray:
+    """The rows, in order, whose draws the rejection rule refuses; one pass over the row numbers after each.
+
+    Of ``n`` rows about ``n ** 2 / 2 ** 65`` are refused: none below a billion rows, a few at ten billion.
+    """
+    breaks: list[int] = []
+    while True:
+        known = np.array(breaks, np.int64)
+
+        def refused(batches, known=known):
+            for b in batches:
+                i = b.column(0).to_numpy()
+                _, bad = draws(i, target, start, known, bits)
+                if bad.any():
+                    yield pa.RecordBatch.from_pydict({"i": pa.array([int(i[bad].min())], pa.int64())})
+
+        begin = max(target + 1, breaks[-1] if breaks else 0)
+        if begin > total:
+            return known
+        first = spark.range(begin, total + 1).mapInArrow(refused, "i long").agg(F.min("i")).first()[0]
+        if first is None:
+            return known
+        breaks.append(first)
+
+
+def reservoir(eligible: DataFrame, target: int, seed: str, id_col: str = "id", bits: int = 64) -> DataFrame:
     """``(slot, id)``: Algorithm R over the ids in numeric order, with SplitMix64 draws, computed for all rows at once.
 
-    The generator's state after ``n`` draws is known in closed form, and row ``i`` beyond the first ``target`` makes draw ``i - target``; a
-    slot holds the last row that drew it. A draw the rejection rule refuses would shift those that follow (less than one in 2^64 / i):
-    that is detected and raised. Rows are numbered by ranges, not in one task.
+    The generator's state after ``n`` draws is known in closed form, and row ``i`` beyond the first ``target`` makes draw ``i - target``, later by
+    one for each draw refused before; a slot holds the last row that drew it. Rows are numbered by ranges, not in one task. ``bits`` under 64 narrows the
+    generator, for tests of refused draws.
     """
     from quarry.operators.chunking import dense_ids
 
-    start = np.uint64(seed_of(f"{seed}\0background"))
+    start = seed_of(f"{seed}\0background")
     rows = eligible.select(F.col(id_col).cast("long").alias("n"), F.col(id_col).cast("string").alias("id"))
     # Ranges of ids are the groups, so that group order is id order.
     numbered = dense_ids(rows.withColumn("g", F.floor(F.col("n") / 4096)), "g", [F.col("n")], "i").withColumn("i", F.col("i") + 1)
     if target <= 0:
         return numbered.limit(0).select(F.col("i").alias("slot"), "id")
+    numbered = checkpointed(numbered.select("i", "id"))
+    breaks = refused_rows(eligible.sparkSession, numbered.count(), target, start, bits)
 
     @F.pandas_udf("long")
     def drawn(i: pd.Series) -> pd.Series:
-        at = i.to_numpy(np.uint64)
-        value = splitmix64(at - np.uint64(target), int(start))
-        # Refused are values from 2^64 - 2^64 mod i on.
-        spare = (np.uint64(0) - at) % at
-        if (value > np.uint64(0xFFFFFFFFFFFFFFFF) - spare)[spare > 0].any():
-            raise RuntimeError("a draw was refused; sample this table row by row")
-        return pd.Series((value % at).astype(np.int64))
+        return pd.Series(draws(i.to_numpy(np.int64), target, start, breaks, bits)[0])
 
     head = numbered.where(F.col("i") <= target).select((F.col("i") - 1).alias("slot"), "i", "id")
     later = numbered.where(F.col("i") > target).withColumn("slot", drawn("i")).where(F.col("slot") < target).select("slot", "i", "id")
     return head.union(later).groupBy("slot").agg(F.max_by("id", "i").alias("id"))
 
 
+def background(passages: DataFrame, excluded: DataFrame, target: int, seed: str = PROTOCOL) -> DataFrame:
+    """Ids of a reservoir of ``target`` passages that are not excluded; fewer eligible ones than that raise."""
+    eligible = checkpointed(passages.select(F.col("id").cast("string").alias("id")).join(excluded.select("id").distinct(), "id", "left_anti"))
+    if eligible.count() < target:
+        raise ValueError("there are fewer eligible passages than the background needs")
+    return reservoir(eligible, target, seed).select("id")
+
+
 def ids_digest(ids: DataFrame, col: str = "id", numeric: bool = True) -> DataFrame:
-    """One row: the number of distinct ids and their order-free digest. One value is built of all, as the digest's definition asks."""
+    """One row: the number of distinct ids and their order-free digest, SHA-256 of the sorted ids, each with a line end.
+
+    The ids are sorted by ranges on the executors and packed into blocks; the driver hashes the blocks as they come, one at a time.
+    """
     c = F.col(col).cast("string")
-    key = F.struct((c.cast("long") if numeric else c).alias("order"), c.alias("id"))
-    listed = ids.select(key.alias("k")).distinct().agg(F.count("*").alias("n"), F.sort_array(F.collect_list("k")).alias("ks"))
-    return listed.select("n", list_digest(F.transform("ks", lambda k: k["id"])).alias("sha256"))
+    ordered = ids.select(c.alias("id")).distinct().orderBy(*([F.col("id").cast("long")] if numeric else []), "id")
+
+    def packed(batches):
+        for b in batches:
+            listed = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(listed)], pa.int64()), "block": ["".join(f"{i}\n" for i in listed).encode()]})
+
+    n, h = 0, hashlib.sha256()
+    for r in ordered.mapInArrow(packed, "n long, block binary").toLocalIterator():
+        n += r.n
+        h.update(r.block)
+    return ids.sparkSession.createDataFrame([(n, h.hexdigest())], "n long, sha256 string").coalesce(1)
 
 
 def selected_corpus(passages: DataFrame, ids: DataFrame) -> DataFrame:

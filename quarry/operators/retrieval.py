@@ -28,8 +28,15 @@ def limit_by_plan(ranked: DataFrame, plans: DataFrame, depth: str, most: int) ->
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits with their chunks' columns; after the top-k, so only returned texts are read into the join."""
-    return hits.join(chunks, "vector_id")
+    """Hits with their chunks' columns; after the top-k, so only returned texts are read into the join. A hit without a chunk raises."""
+    found = hits.join(chunks.withColumn("_there", F.lit(True)), "vector_id", "left")
+    known = F.when(F.col("_there"), F.col("vector_id")).otherwise(F.raise_error(F.concat(F.lit("no chunk has the id "), F.col("vector_id").cast("string"))).cast(hits.schema["vector_id"].dataType))
+    return found.withColumn("vector_id", known).drop("_there")
+
+
+def chunks_by_id(ids: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks of ``(position, vector_id)``, in order of position; repeated ids give a row each, unknown ones raise."""
+    return with_chunks(ids.select("position", "vector_id"), chunks).orderBy("position")
 
 
 def missing_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ ERROR_LENGTH = 1000
 
 
 def with_ids(questions: DataFrame) -> DataFrame:
-    """Questions ``(position, question_id, question)`` with default ids ``row_000000`` by position."""
+    """Questions ``(position, question_id, question)`` with default ids by position, from 1: ``row_000001``."""
     return questions.withColumn("question_id", F.coalesce("question_id", F.format_string("row_%06d", "position")))
 
 
@@ -27,9 +27,11 @@ def question_violations(questions: DataFrame) -> DataFrame:
 
 
 def merged_rows(results: DataFrame, checkpoints: DataFrame, key: str = "question_id") -> DataFrame:
-    """One row a question: a checkpoint's, which is the latest attempt, else the results'."""
-    both = results.withColumn("latest", F.lit(0)).unionByName(checkpoints.withColumn("latest", F.lit(1)))
-    newest = Window.partitionBy(key).orderBy(F.desc("latest"))
+    """One row a question: a checkpoint's, which is the latest attempt, else the results'. Of several checkpoints the one with the highest
+    ``attempt``, where they have that column; a question with two of one attempt has the least row, so the choice is the same every time."""
+    both = results.withColumn("latest", F.lit(0)).unionByName(checkpoints.withColumn("latest", F.lit(1)), allowMissingColumns=True)
+    tried = [F.desc_nulls_last("attempt")] if "attempt" in both.columns else []
+    newest = Window.partitionBy(key).orderBy(F.desc("latest"), *tried, F.to_json(F.struct(*[c for c in results.columns if c != key])))
     return both.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n", "latest")
 
 
@@ -51,6 +53,26 @@ def error_rows(questions: DataFrame, kind: Column, message: Column) -> DataFrame
     return questions.select("question_id", "question", F.lit("error").alias("status"), F.struct(kind.alias("type"), F.substring(message, 1, ERROR_LENGTH).alias("message")).alias("error"))
 
 
+#: What two runs have in common if one resumes the other.
+RESUMED_FIELDS = ("questions_sha256", "questions_file_sha256", "build_id", "run_spec_sha256", "evaluation_spec_sha256", "evaluation_protocol", "question_split", "effective_top_k")
+
+
+def check_resumable(before: dict, now: dict) -> None:
+    """Raises if a run can't go on from another's rows, naming all fields that differ."""
+    if different := [f for f in RESUMED_FIELDS if before.get(f) != now.get(f)]:
+        raise ValueError(f"the run differs from the one to resume in {', '.join(different)}")
+
+
+def row_violations(questions: DataFrame, rows: DataFrame, run_spec: str | None = None) -> DataFrame:
+    """``(question_id, problem)`` of rows that belong to no question, are there twice, have another text, or another run's identity."""
+    known = rows.join(questions.select("question_id", F.col("question").alias("asked")), "question_id", "left")
+    problem = F.when(F.col("asked").isNull(), "unknown").when(~F.col("question").eqNullSafe(F.col("asked")), "another text")
+    if run_spec is not None:
+        problem = problem.when(~F.col("run_spec_sha256").eqNullSafe(F.lit(run_spec)), "another run")
+    twice = rows.groupBy("question_id").count().where("count > 1").select("question_id", F.lit("repeated").alias("problem"))
+    return known.select("question_id", problem.alias("problem")).where("problem is not null").union(twice)
+
+
 def is_secret(name: str) -> bool:
     return name.casefold() in SECRET_NAMES or name.casefold().endswith(SECRET_ENDS)
 

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType
 
 
 def canonical_json(value) -> str:
@@ -25,15 +25,25 @@ def identity(prefix: str, spec: dict) -> str:
     return f"{prefix}_{digest(spec)[:16]}"
 
 
-def canonical_lines(df: DataFrame) -> DataFrame:
-    """One column ``value`` of JSON with sorted keys; nulls are kept."""
+def _ordered(c, kind):
+    """A value with the keys of its structs and maps sorted at any depth; NaN and infinity raise."""
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[_ordered(c[n], kind[n].dataType).alias(n) for n in sorted(kind.names)]))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _ordered(x, kind.elementType))
+    if isinstance(kind, MapType):
+        entries = F.array_sort(F.transform(F.map_keys(c), lambda k: k.cast("string")))
+        value = lambda k: _ordered(F.element_at(c, k.cast(kind.keyType)), kind.valueType)
+        return F.when(c.isNotNull(), F.map_from_arrays(entries, F.transform(entries, value)))
+    if isinstance(kind, (DoubleType, FloatType)):
+        bad = F.isnan(c) | (F.abs(c) == float("inf"))
+        return F.when(bad, F.raise_error(F.lit("NaN and infinity have no JSON")).cast(kind)).otherwise(c)
+    return c
 
-    def ordered(c, kind):
-        if isinstance(kind, StructType):
-            return F.when(c.isNotNull(), F.struct(*[ordered(c[n], kind[n].dataType).alias(n) for n in sorted(kind.names)]))
-        return c
 
-    columns = [ordered(F.col(f"`{n}`"), df.schema[n].dataType).alias(n) for n in sorted(df.columns)]
+def canonical_lines(df: DataFrame) -> DataFrame:
+    """One column ``value`` of JSON with sorted keys at any depth; nulls are kept, NaN and infinity raise."""
+    columns = [_ordered(F.col(f"`{n}`"), df.schema[n].dataType).alias(n) for n in sorted(df.columns)]
     return df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
@@ -95,10 +105,26 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return value
 
 
+#: Bytes up to which a file is read as one value on an executor.
+WHOLE_FILE = 256 << 20
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length, sha256)`` of every file below ``path``."""
+    """``(path, length, sha256)`` of every file below ``path``.
+
+    Executors digest files of up to ``WHOLE_FILE`` bytes; larger ones, which no value can hold, are streamed through the digest by the driver's JVM.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= WHOLE_FILE).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    fs, path_of = _fs(spark, path)
+    large = []
+    for r in files.where(F.col("length") > WHOLE_FILE).select("path", "length").collect():
+        stream = fs.open(path_of(r.path))
+        try:
+            large.append((r.path, r.length, spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        finally:
+            stream.close()
+    return small.union(spark.createDataFrame(large, "path string, length long, sha256 string")) if large else small
 
 
 def inventory(spark: SparkSession, path: str) -> dict:

@@ -13,21 +13,25 @@ from quarry.operators import answering, bm25, embedding, evaluation, papers, pre
 MASK = (1 << 64) - 1
 
 
-def reservoir_plain(ids, target, seed):
+def reservoir_plain(ids, target, seed, bits=64):
     state = int.from_bytes(hashlib.sha256(f"{seed}\0background".encode()).digest()[:8], "big")
-    kept = []
+    kept, refused = [], 0
     for i, x in enumerate(sorted(ids), 1):
         if i <= target:
             kept.append(x)
             continue
-        state = (state + hashing.GAMMA) & MASK
-        z = state
-        for shift, factor in zip(hashing.SHIFTS, hashing.MULTIPLIERS):
-            z = ((z ^ (z >> shift)) * factor) & MASK
-        at = (z ^ (z >> 31)) % i
-        if at < target:
-            kept[at] = x
-    return kept
+        while True:
+            state = (state + hashing.GAMMA) & MASK
+            z = state
+            for shift, factor in zip(hashing.SHIFTS, hashing.MULTIPLIERS):
+                z = ((z ^ (z >> shift)) * factor) & MASK
+            z = (z ^ (z >> 31)) & ((1 << bits) - 1)
+            if z < (1 << bits) - (1 << bits) % i:
+                break
+            refused += 1
+        if z % i < target:
+            kept[z % i] = x
+    return kept, refused
 
 
 @pytest.mark.parametrize("n,target", [(500, 20), (30, 30), (9000, 100), (50, 0)])
@@ -35,7 +39,64 @@ def test_reservoir_is_the_sequential_one(spark, n, target):
     ids = random.Random(n).sample(range(1, 10**6), n)
     df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(3)
     got = [r.id for r in preparation.reservoir(df, target, "s").orderBy("slot").collect()]
-    assert got == [str(x) for x in reservoir_plain(ids, target, "s")[:target]]
+    assert got == [str(x) for x in reservoir_plain(ids, target, "s")[0][:target]]
+
+
+def test_refused_draws_are_made_again(spark):
+    """A generator of 12 bits refuses some draws; what follows shifts as in the sequential algorithm."""
+    ids = random.Random(3).sample(range(1, 10**6), 400)
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(3)
+    want, refused = reservoir_plain(ids, 25, "s", 12)
+    assert refused > 2
+    assert [r.id for r in preparation.reservoir(df, 25, "s", bits=12).orderBy("slot").collect()] == [str(x) for x in want]
+
+
+def test_background(spark):
+    passages = spark.createDataFrame([(str(i), "t", "x") for i in range(1, 101)], "id string, title string, text string")
+    excluded = spark.createDataFrame([(str(i),) for i in range(1, 91)], "id string")
+    got = {r.id for r in preparation.background(passages, excluded, 10, "s").collect()}
+    assert got == {str(i) for i in range(91, 101)}
+    with pytest.raises(ValueError, match="fewer"):
+        preparation.background(passages, excluded, 11, "s")
+
+
+def test_digests(spark):
+    ids = [5, 10, 9, 100, 9]
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(3)
+    want = hashlib.sha256("".join(f"{i}\n" for i in sorted(set(ids))).encode()).hexdigest()
+    assert tuple(preparation.ids_digest(df).first()) == (4, want)
+    text = hashlib.sha256("".join(f"{i}\n" for i in sorted({str(i) for i in ids})).encode()).hexdigest()
+    assert preparation.ids_digest(df, numeric=False).first().sha256 == text
+    assert tuple(preparation.ids_digest(df.limit(0)).first()) == (0, hashlib.sha256().hexdigest())
+    for n in (0, 1, 7, 70_000):
+        assert hashing.sequence_digest(n) == hashlib.sha256(("[" + ",".join(map(str, range(n))) + "]").encode()).hexdigest()
+
+
+def test_hits_without_a_chunk_raise(spark):
+    chunks = spark.createDataFrame([(1, "a"), (2, "b")], "vector_id long, text string")
+    ids = spark.createDataFrame([(0, 2), (1, 1), (2, 2)], "position int, vector_id long")
+    assert [r.text for r in retrieval.chunks_by_id(ids, chunks).collect()] == ["b", "a", "b"]
+    with pytest.raises(Exception, match="no chunk has the id 7"):
+        retrieval.with_chunks(spark.createDataFrame([(7,)], "vector_id long"), chunks).collect()
+
+
+def test_equal_passages_are_hits_of_their_own(spark):
+    rows = [(1, 1, "same text", ["text"]), (1, 2, "same text", ["text"]), (1, 3, "other", ["text", "other"])]
+    df = spark.createDataFrame(rows, "query_id long, rank int, text string, answers array<string>")
+    assert [r.relevant for r in evaluation.answer_in_passage(df).orderBy("rank").collect()] == [True, True, True]
+
+
+def test_attempts_and_resume_rules(spark):
+    results = spark.createDataFrame([("a", "error"), ("b", "success")], "question_id string, status string")
+    tries = spark.createDataFrame([("a", "error", 1), ("a", "success", 3), ("a", "error", 2)], "question_id string, status string, attempt int")
+    assert {r.question_id: r.status for r in runs.merged_rows(results, tries).collect()} == {"a": "success", "b": "success"}
+    spec = {f: "x" for f in runs.RESUMED_FIELDS}
+    runs.check_resumable(spec, spec | {"started_at": "now"})
+    with pytest.raises(ValueError, match="build_id, question_split"):
+        runs.check_resumable(spec, spec | {"build_id": "y", "question_split": None})
+    questions = spark.createDataFrame([("a", "A?"), ("b", "B?"), ("c", "C?")], "question_id string, question string")
+    rows = spark.createDataFrame([("a", "A?", "s"), ("b", "other", "s"), ("c", "C?", "t"), ("d", "D?", "s"), ("a", "A?", "s")], "question_id string, question string, run_spec_sha256 string")
+    assert sorted(map(tuple, runs.row_violations(questions, rows, "s").collect())) == [("a", "repeated"), ("b", "another text"), ("c", "another run"), ("d", "unknown")]
 
 
 def one_token(w):

@@ -67,6 +67,25 @@ def test_canonical_lines(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "o")).collect()] == ['{"a":null,"n":{"b":"x","y":2},"z":1}']
 
 
+def test_canonical_lines_at_any_depth(spark):
+    df = spark.createDataFrame([([(2, "x")], {"z": (1, "p"), "a": (3, "q")}, 1.5)], "l array<struct<y:int,b:string>>, m map<string,struct<d:int,c:string>>, f double")
+    (line,) = [r.value for r in writers.canonical_lines(df).collect()]
+    assert line == '{"f":1.5,"l":[{"b":"x","y":2}],"m":{"a":{"c":"q","d":3},"z":{"c":"p","d":1}}}'
+    with pytest.raises(Exception, match="NaN"):
+        writers.canonical_lines(spark.createDataFrame([([float("nan")],)], "l array<double>")).collect()
+
+
+def test_large_files_are_streamed(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "small").write_bytes(b"abc")
+    (tmp_path / "d" / "large").write_bytes(b"x" * 5000)
+    monkeypatch.setattr(writers, "WHOLE_FILE", 1000)
+    got = {f["path"]: (f["bytes"], f["sha256"]) for f in writers.inventory(spark, str(tmp_path / "d"))["files"]}
+    assert got == {"small": (3, hashlib.sha256(b"abc").hexdigest()), "large": (5000, hashlib.sha256(b"x" * 5000).hexdigest())}
+
+
 @pytest.mark.parametrize("bad", [{"index": "tree"}, {"chunk_overlap": 300}, {"retrieval": "bm25", "search": {"nprobe": 1}}, {"candidate_k": 2}, {"unknown": 1}, {"search": {"nprobe": 4}}, {"context_tokens": 0}, {"chunker": "presegmented"}])
 def test_config_is_checked(bad):
     with pytest.raises((ValueError, TypeError)):
