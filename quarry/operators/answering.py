@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,3 +110,44 @@ def estimated_usage(df: DataFrame, prompt: str = "prompt", answer: str = "answer
     """Adds the struct ``token_usage`` of estimated input and output tokens."""
     a, b = token_count(prompt), token_count(answer)
     return df.withColumn("token_usage", F.struct(a.alias("input_tokens"), b.alias("output_tokens"), (a + b).alias("total_tokens")))
+
+
+ANSWERED = "query_id {kind}, answer string, reported struct<input_tokens:long,output_tokens:long,total_tokens:long>, error struct<type:string,message:string>"
+ERROR_LENGTH = 1000
+
+
+def model_answers(prompts: DataFrame, generate) -> DataFrame:
+    """``(query_id, answer, reported, error)`` from ``(query_id, prompt)``.
+
+    ``generate()`` is called once a task and returns a function of a prompt that gives the answer, or a mapping with ``answer`` and the token figures
+    ``input_tokens``, ``output_tokens`` and ``total_tokens`` that its provider reports. What it raises, a blank answer and figures that are negative or don't add up are
+    that row's error, with the message cut; other rows go on.
+    """
+
+    def answered(call, prompt: str):
+        given = call(prompt)
+        given = given if isinstance(given, dict) else {"answer": given}
+        text, tokens = given.get("answer"), {k: given.get(k) for k in ("input_tokens", "output_tokens", "total_tokens")}
+        if not isinstance(text, str) or not text.strip():
+            raise ValueError("the answer is blank")
+        for k, v in tokens.items():
+            if v is not None and (isinstance(v, bool) or not isinstance(v, int) or v < 0):
+                raise ValueError(f"{k} is no count")
+        if None not in tokens.values() and tokens["total_tokens"] != tokens["input_tokens"] + tokens["output_tokens"]:
+            raise ValueError("the token figures don't add up")
+        return text, tokens if any(v is not None for v in tokens.values()) else None
+
+    def run(batches):
+        call = generate()
+        for b in batches:
+            rows = []
+            for i, prompt in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    rows.append((i, *answered(call, prompt), None))
+                except Exception as fault:  # a row's failure is its own
+                    rows.append((i, None, None, {"type": type(fault).__name__, "message": str(fault)[:ERROR_LENGTH]}))
+            counts = pa.struct([(k, pa.int64()) for k in ("input_tokens", "output_tokens", "total_tokens")])
+            kinds = [b.schema.field(0).type, pa.string(), counts, pa.struct([("type", pa.string()), ("message", pa.string())])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=["query_id", "answer", "reported", "error"])
+
+    return prompts.select("query_id", "prompt").mapInArrow(run, ANSWERED.format(kind=prompts.schema["query_id"].dataType.simpleString()))

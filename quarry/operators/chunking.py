@@ -144,6 +144,12 @@ def token_summary(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("chunks"), F.min(c).alias("min_tokens"), F.avg(c).alias("avg_tokens"), F.max(c).alias("max_tokens"))
 
 
+def page_summary(pages: DataFrame, one_page_documents: bool = False) -> DataFrame:
+    """One row: the numbers of pages and documents; where every page is a document, ids aren't counted apart."""
+    documents = F.count("*") if one_page_documents else F.count_distinct("doc_id")
+    return pages.agg(F.count("*").alias("num_pages"), documents.alias("num_documents"))
+
+
 def overlaps(chunks: DataFrame, most: int | None = None) -> DataFrame:
     """For neighbouring chunks of a document, the most tokens by which the end of one is the start of the other.
 

@@ -18,7 +18,9 @@ from quarry.plans.config import Config
 from quarry.plans.engine import Built, build
 from quarry.sources import writers
 
-FORMAT = 1
+FORMAT = 2
+#: Vectors by which a stored exact index is searched after it is built.
+CHECKED_QUERIES = 3
 
 
 def artifact_name(config: Config, inventory: dict) -> str:
@@ -82,7 +84,7 @@ def open_artifact(spark: SparkSession, path: str, config: Config) -> Built:
     return built
 
 
-def build_or_open(spark: SparkSession, corpus_path: str, read, config: Config, root: str) -> tuple[str, Built]:
+def build_or_open(spark: SparkSession, corpus_path: str, read, config: Config, root: str, encode=None) -> tuple[str, Built]:
     """``(path, index)`` of the corpus below ``corpus_path``, whose pages ``read(spark, path)`` gives.
 
     The corpus is inventoried before and after a build; if it changed meanwhile, the build is dropped.
@@ -90,13 +92,18 @@ def build_or_open(spark: SparkSession, corpus_path: str, read, config: Config, r
     before = writers.inventory(spark, corpus_path)
     path = f"{root.rstrip('/')}/{artifact_name(config, before)}"
     if not writers.exists(spark, path):
-        built = build(read(spark, corpus_path), config)
+        built = build(read(spark, corpus_path), config, encode)
         manifest = {"format": FORMAT, "config": config.recorded(), "corpus": before, "spark": spark.version}
 
         def write(staging: str) -> None:
             _write(built, staging, manifest)
             if writers.inventory(spark, corpus_path) != before:
                 raise ValueError("the corpus changed while it was indexed")
+            if config.retrieval == "dense" and config.index == "flat_ip":
+                asked = built.vectors.where(F.col("vector_id") < CHECKED_QUERIES).select(F.col("vector_id").alias("query_id"), "embedding")
+                stored = open_artifact(spark, staging, config)
+                if exactness(stored, asked).first().wrong:
+                    raise ValueError("the stored index isn't exact")
 
         writers.commit(spark, path, write)
     return path, open_artifact(spark, path, config)

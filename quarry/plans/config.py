@@ -39,6 +39,7 @@ class Config:
     chunk_size: int = 300
     chunk_overlap: int = 50
     embedder: str = "hashing"
+    model_name: str | None = None
     dimension: int = 384
     normalize: bool = True
     document_prefix: str = ""
@@ -56,6 +57,7 @@ class Config:
     prompt: str = "fixed_qa_v1"
     generator: str = "extractive"
     max_output_tokens: int = 512
+    save_retrieved_text: bool = True
 
     def __post_init__(self):
         one_of = {"chunker": ("fixed_sentence", "presegmented"), "embedder": ("hashing", "model"), "index": tuple(BUILD_PARAMS), "retrieval": ("dense", "bm25"), "reranker": ("none", "cross_encoder"), "prompt": tuple(INSTRUCTIONS), "generator": ("extractive", "model")}
@@ -72,8 +74,15 @@ class Config:
             raise ValueError("bm25_k1 is from 1e-6 to 100, bm25_b from 0 to 1")
         if self.context_tokens is not None and self.context_tokens <= 0 or self.max_output_tokens <= 0 or self.dimension <= 0:
             raise ValueError("budgets and dimensions are over 0")
+        if self.embedder == "model" and not self.model_name:
+            raise ValueError("a model embedder has a model_name")
         self.plan()
 
+    def space(self) -> dict:
+        """What two embeddings have in common if they can be compared."""
+        name = self.model_name if self.embedder == "model" else f"hashing-{self.dimension}"
+        return {"backend": self.embedder, "model_name": name, "dimension": self.dimension, "normalize": self.normalize, "document_prefix": self.document_prefix, "query_prefix": self.query_prefix}
+
     @classmethod
     def of(cls, values: dict) -> "Config":
         """From a mapping; unknown keys and inline secrets raise."""
