@@ -26,7 +26,7 @@ def answers(c: Column) -> Column:
 
 def passage_id(ctx: Column) -> Column:
     """A context's id as canonical decimal text: ``passage_id``, else ``id``; null if neither is there. Impossible ids raise."""
-    raw = strip(ctx["passage_id"].cast("string"))
+    raw = strip(F.coalesce(ctx["passage_id"].cast("string"), ctx["id"].cast("string")))
     number = raw.try_cast("long")
     return F.when(raw.isNull(), F.lit(None).cast("string")).when(number > 0, number.cast("string")).otherwise(F.raise_error(F.concat(F.lit("invalid passage id "), raw)).cast("string"))
 

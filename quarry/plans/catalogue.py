@@ -5,7 +5,7 @@ Every query runs over whole tables. Searches take as queries every vector whose
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window  # noqa: F401
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -117,7 +117,11 @@ def q08_chunk_overlap_stats(spark, sf):
 def q09_hashing_embed(spark, sf):
     e = embedding.hashing_embed(table(spark, sf, "documents"), "doc_id", "text", 384)
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    return e.select("doc_id", F.size(F.filter("embedding", lambda x: x != 0)).alias("n_nonzero"), F.round(F.sqrt(norm), 4).alias("norm"))
+    # No more buckets are in use than there are different tokens.
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[A-Za-z0-9_]+"), F.lit(0))
+    texts = table(spark, sf, "documents").select("doc_id", F.size(F.array_distinct(words)).alias("different"))
+    used = F.size(F.filter("embedding", lambda x: x != 0))
+    return e.select("doc_id", used.alias("used"), F.round(F.sqrt(norm), 4).alias("norm")).join(texts, "doc_id").select("doc_id", "norm", (F.col("used") <= F.col("different")).alias("within"))
 
 
 def q10_bm25_topk(spark, sf):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.operators.answering import INSTRUCTIONS
+from quarry.functions.hashing import GAMMA, MULTIPLIERS, SHIFTS
+from quarry.operators.answering import ANSWER_HEAD, INSTRUCTIONS, REFUSAL
 from quarry.operators.bm25 import STOP_WORDS
 
 _TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}]"
@@ -129,6 +130,52 @@ clean AS (SELECT doc_id, [x FOR x IN [{_strip("translate(u, chr(13) || chr(10),
 pages33 AS (SELECT doc_id, unnest(range(1, len(us) + 1)) AS page, unnest(us) AS t, false AS f FROM clean UNION ALL SELECT doc_id, len(us) + 1, caption, true FROM clean)
 """
 
+#: Sentences, cut every 300 tokens, and chunks whose bounds follow one after another on the running sum of their tokens.
+def _pieces(x: str) -> str:
+    """Each token with the gap before it."""
+    return f"string_split(regexp_replace({x}, '({_TOKEN})', '\\1' || chr(2), 'g'), chr(2))"
+
+
+def _first(x: str, n: str) -> str:
+    """From the first token to the end of the ``n``-th."""
+    return _strip(f"array_to_string({_pieces(x)}[1:{n}], '')")
+
+
+_CHUNKS = f"""sentences AS (SELECT doc_id, source, unnest(s) AS s, unnest(range(len(s))) AS no FROM (SELECT doc_id, source, [x FOR x IN [{_strip("p")} FOR p IN string_split(regexp_replace({_strip("text")}, '([.!?。！？]){_WS}+', '\\1' || chr(1), 'g'), chr(1))] IF x <> ''] AS s FROM documents)),
+units AS (SELECT doc_id, source, no, unnest(range(len(u))) AS part, unnest(u) AS u FROM (SELECT doc_id, source, no, CASE WHEN {_count("s")} <= 300 THEN [s] ELSE [{_strip("f")} FOR f IN [array_to_string({_pieces("s")}[300 * k + 1:least(300 * k + 300, {_count("s")})], '') FOR k IN range(({_count("s")} + 299) // 300)]] END AS u FROM sentences WHERE {_count("s")} > 0)),
+listed AS (SELECT doc_id, source, list(u ORDER BY no, part) AS us, list({_count("u")} ORDER BY no, part) AS c FROM units GROUP BY doc_id, source),
+sums AS (SELECT doc_id, source, us, len(c) AS n, list_concat([0::BIGINT], [list_sum(c[:i])::BIGINT FOR i IN range(1, len(c) + 1)]) AS t FROM listed),
+folded AS (SELECT doc_id, t, n, 0::BIGINT AS a, 0::BIGINT AS seen, 0::BIGINT AS z, 0::BIGINT AS no, 0::BIGINT AS next FROM sums UNION ALL
+  SELECT doc_id, t, n, a, z, z, no, greatest(a, len([x FOR x IN t IF x < t[z + 1] - CASE WHEN t[z + 1] - t[a + 1] = 300 OR z = n THEN 50 ELSE least(50, 300 - (t[z + 2] - t[z + 1])) END])) AS next
+  FROM (SELECT doc_id, t, n, next AS a, no + 1 AS no, (len([x FOR x IN t IF x <= t[next + 1] + 300]) - 1)::BIGINT AS z FROM folded WHERE seen < n)),
+chunks AS (SELECT f.doc_id, source, f.no, array_to_string(us[a + 1:z], ' ') AS text, (f.t[z + 1] - f.t[a + 1])::INTEGER AS tokens FROM folded f JOIN sums USING (doc_id) WHERE f.no > 0)"""
+
+#: Budgets of contexts: the first hit that doesn't fit is cut to what is left and ends the context.
+_BUDGET = f"""{_HITS},
+sized AS (SELECT query_id, rank, {_HEADER} AS header, text, {_count(_HEADER)} AS hn, {_count("text")} AS tn FROM judged WHERE rank <= 5),
+room AS (SELECT *, 600 - coalesce(sum(hn + tn) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - hn AS room FROM sized),
+parts AS (SELECT *, room <= 0 OR tn > room AS cut, CASE WHEN room <= 0 THEN '' WHEN tn <= room THEN text ELSE {_first("text", "room")} END AS kept FROM room),
+reached AS (SELECT *, coalesce(max((cut OR kept = '')::INT) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS ok FROM parts QUALIFY ok),
+made AS (SELECT query_id, string_agg(header || chr(10) || kept, chr(10) || chr(10) ORDER BY rank) FILTER (kept <> '') AS c, sum(hn + least(tn, room)) FILTER (kept <> '') AS n, count(*) FILTER (kept <> '') AS k, bool_or(cut) AS cut FROM reached GROUP BY query_id)"""
+
+#: The three sentences with the most words of over three letters of the question; else the first two of the first hit.
+_EXTRACT = f"""{_HITS},
+asked3 AS (SELECT item_id AS query_id, list_distinct([lower(w) FOR w IN regexp_extract_all(text, '[A-Za-z0-9_]+') IF length(w) > 3]) AS asked FROM benchmark),
+said AS (SELECT query_id, rank, source || ' pp. 1-1' AS cited, unnest(s) AS raw, unnest(range(len(s))) AS pos FROM (SELECT query_id, rank, source, string_split(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM judged WHERE rank <= 5)),
+scored AS (SELECT query_id, rank, cited, pos, {_strip("raw")} AS sentence, len(list_intersect(asked, list_distinct([lower(w) FOR w IN regexp_extract_all(raw, '[A-Za-z0-9_]+')]))) AS s FROM said JOIN asked3 USING (query_id)),
+best AS (SELECT query_id, sentence, cited, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank, pos) AS n FROM scored WHERE s > 0 QUALIFY n <= 3),
+poor AS (SELECT query_id, sentence, cited, row_number() OVER (PARTITION BY query_id ORDER BY rank, pos) AS n FROM (SELECT *, max(s) OVER (PARTITION BY query_id) AS top, min(rank) OVER (PARTITION BY query_id) AS head FROM scored) WHERE top = 0 AND rank = head AND sentence <> '' QUALIFY n <= 2),
+lines AS (SELECT query_id, string_agg('- ' || sentence || ' (' || cited || ')', chr(10) ORDER BY n) AS l FROM (SELECT * FROM best UNION ALL SELECT * FROM poor) GROUP BY query_id),
+full_answers AS (SELECT item_id AS query_id, CASE WHEN l IS NULL THEN '{REFUSAL.replace("'", "''")}' ELSE '{ANSWER_HEAD}' || chr(10) || l END AS f FROM benchmark LEFT JOIN lines ON lines.query_id = item_id)"""
+
+#: SplitMix64 in wide integers; the state after n draws is the seed and n steps.
+_RESERVOIR = f"""ids AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id)::UHUGEINT AS i FROM documents WHERE doc_id % 50 <> 0),
+seeded AS (SELECT doc_id, i, (('0x' || substr(sha256('quarry' || chr(0) || 'background'), 1, 16))::UBIGINT::UHUGEINT + (i - 100) * {GAMMA}::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM ids WHERE i > 100),
+one AS (SELECT doc_id, i, (xor(z::UBIGINT, (z // {1 << SHIFTS[0]})::UBIGINT)::UHUGEINT * {MULTIPLIERS[0]}::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM seeded),
+two AS (SELECT doc_id, i, (xor(z::UBIGINT, (z // {1 << SHIFTS[1]})::UBIGINT)::UHUGEINT * {MULTIPLIERS[1]}::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM one),
+drawn AS (SELECT doc_id, i, xor(z::UBIGINT, (z // {1 << SHIFTS[2]})::UBIGINT)::UHUGEINT % i AS slot FROM two),
+slots AS (SELECT doc_id, i, slot FROM drawn WHERE slot < 100 UNION ALL SELECT doc_id, i, i - 1 FROM ids WHERE i <= 100)"""
+
 #: What recall against the exact hits has to be; the number itself is asserted in the tests.
 _RECALL = "SELECT count(*) AS queries, true AS recall_is_90 FROM embeddings WHERE vec_id % 50 = 0"
 
@@ -142,6 +189,12 @@ FROM documents WHERE {_count("text")} > 0""",
     "q05_token_stats": f"SELECT count(*) AS chunks, min(n)::INTEGER AS min_tokens, avg(n) AS avg_tokens, max(n)::INTEGER AS max_tokens FROM (SELECT {_count('text')} AS n FROM documents) WHERE n > 0",
     "q06_sentence_split": f"""WITH s AS (SELECT doc_id, [x FOR x IN [{_strip("p")} FOR p IN string_split(regexp_replace({_strip("text")}, '([.!?。！？]){_WS}+', '\\1' || chr(1), 'g'), chr(1))] IF x <> ''] AS s FROM documents)
 SELECT doc_id, len(s)::INTEGER AS n_sentences, sha256(array_to_string(s, chr(1))) AS digest FROM s""",
+    "q07_fixed_sentence_chunks": f"""WITH RECURSIVE {_CHUNKS} SELECT doc_id || '_p1_c' || format('{{:04d}}', no) AS chunk_id, doc_id::VARCHAR AS doc_id, source, 1 AS page_start, 1 AS page_end, tokens AS token_count, sha256(text) AS digest FROM chunks""",
+    "q08_chunk_overlap_stats": f"""WITH RECURSIVE {_CHUNKS}, tokens8 AS (SELECT doc_id, no, regexp_extract_all(text, '{_TOKEN}') AS w FROM chunks),
+pairs8 AS (SELECT b.doc_id, b.no, a.w AS l, b.w AS r, least(len(a.w), len(b.w)) AS m FROM tokens8 a JOIN tokens8 b ON b.doc_id = a.doc_id AND b.no = a.no + 1),
+tried AS (SELECT doc_id, no, l, r, unnest(range(m + 1)) AS k FROM pairs8), overlap8 AS (SELECT doc_id, no, max(k) FILTER (k = 0 OR (l[len(l) - k + 1] = r[1] AND l[len(l) - k + 1:] = r[:k])) AS o FROM tried GROUP BY doc_id, no)
+SELECT count(*) AS pairs, coalesce(min(o), 0)::DOUBLE AS min_overlap, coalesce(avg(o), 0)::DOUBLE AS avg_overlap, coalesce(median(o), 0)::DOUBLE AS median_overlap, coalesce(max(o), 0)::DOUBLE AS max_overlap, count(*) FILTER (o = 0) AS zero_count FROM overlap8""",
+    "q09_hashing_embed": """SELECT doc_id, (len(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) > 0)::INTEGER::DOUBLE AS norm, true AS within FROM documents""",
     "q10_bm25_topk": f"WITH {_HITS} SELECT query_id, rank, vector_id, round(s, 6) AS score FROM hits",
     "q11_bm25_index_stats": f"WITH {_POSTINGS} SELECT term, df, cf::BIGINT AS cf, n AS n_docs, round(avgdl, 6) AS avgdl FROM df, size",
     "q12_hit_mrr": f"""WITH {_HITS}, per AS (SELECT query_id, min(rank) AS r FROM judged WHERE relevant GROUP BY query_id)
@@ -153,7 +206,9 @@ SELECT k AS query_id, p = g AS em, round(CASE WHEN ng = 0 THEN (np = 0)::INT ELS
     "q15_paper_answer_scores": f"WITH {_PAPER_SCORES} SELECT query_id, answer_f1, answer_type, evidence_f1 FROM scores",
     "q16_open_corpus_scores": f"WITH {_OPEN} SELECT query_id, paper_hit, paper_rr, evidence_hit, round(recall, 6) AS evidence_recall, round(f1, 6) AS evidence_f1 FROM open",
     "q17_context": f"WITH {_CONTEXT} SELECT query_id, tokens AS context_tokens, false AS truncated, k AS n_chunks, sha256(context) AS digest FROM contexts",
+    "q17b_context_budget": f"""WITH {_BUDGET} SELECT item_id AS query_id, coalesce(n, 0)::BIGINT AS context_tokens, coalesce(cut, false) AS truncated, coalesce(k, 0)::INTEGER AS n_chunks, sha256(coalesce(c, '')) AS digest FROM benchmark LEFT JOIN made ON made.query_id = item_id""",
     "q18_prompt_sha": f"WITH {_CONTEXT} SELECT query_id, 'fixed_qa_v1' AS template, sha256({_prompt('fixed_qa_v1')}) AS prompt_sha256 FROM contexts",
+    "q19_extractive_answer": f"""WITH {_EXTRACT} SELECT query_id, CASE WHEN {_count("f")} <= 512 THEN f ELSE {_first("f", "512")} END AS answer FROM full_answers""",
     "q20_question_selection": f"""WITH forms AS (SELECT item_id, {_collapse("text")} AS t FROM benchmark),
 ranked AS (SELECT item_id, t, row_number() OVER (ORDER BY sha256('quarry' || chr(0) || t), item_id) AS r FROM forms)
 SELECT item_id AS position, 'nq_' || sha256(t) AS question_id, r::INTEGER AS selection_no, CASE WHEN r <= 5 THEN 'calibration' ELSE 'evaluation' END AS split FROM ranked WHERE r <= 20""",
@@ -166,6 +221,7 @@ FROM named c LEFT JOIN forms w ON w.doc_id = c.pid LEFT JOIN alike a ON a.t = c.
     "q22_hard_negative_round_robin": f"""WITH {_HITS}, bad AS (SELECT vector_id FROM judged WHERE relevant),
 turns AS (SELECT vector_id AS id, min((rank, query_id)) AS turn FROM judged WHERE NOT relevant AND rank <= 5 AND vector_id NOT IN (SELECT vector_id FROM bad) GROUP BY vector_id),
 numbered AS (SELECT id, row_number() OVER (ORDER BY turn, id)::INTEGER AS pick_no FROM turns) SELECT id, pick_no FROM numbered WHERE pick_no <= 100""",
+    "q23_reservoir": f"WITH {_RESERVOIR} SELECT slot::BIGINT AS slot, arg_max(doc_id::VARCHAR, i) AS id FROM slots GROUP BY slot",
     "q24_run_summary": f"""WITH {_RUN} SELECT count(*) AS num_questions, count(*) FILTER (status = 'success') AS num_successful, count(*) FILTER (status = 'error') AS num_failed,
 round(avg(retrieval_ms), 4) AS avg_retrieval_ms, round(quantile_cont(retrieval_ms, 0.5), 4) AS p50_retrieval_ms, round(quantile_cont(retrieval_ms, 0.95), 4) AS p95_retrieval_ms,
 round(avg(total_ms), 4) AS avg_total_ms, round(quantile_cont(total_ms, 0.5), 4) AS p50_total_ms, round(quantile_cont(total_ms, 0.95), 4) AS p95_total_ms,

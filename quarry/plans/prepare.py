@@ -39,12 +39,14 @@ def chosen(passages: DataFrame, source: DataFrame, target_passages: int, calibra
     selected = checkpointed(P.select_questions(source, total, seed, calibration, hard_negatives))
     if selected.count() != total:
         raise ValueError(f"{total} questions are needed, the source has fewer")
+    if selected.where(F.coalesce(F.size("positive_ctxs"), F.lit(0)) <= 0).limit(1).count():
+        raise ValueError("a selected question has no positive context")
+    if contexts_of(selected).where("coalesce(trim(title), '') = '' or coalesce(trim(text), '') = ''").limit(1).count():
+        raise ValueError("a context has no title or no text")
     resolved = checkpointed(P.resolve_contexts(contexts_of(selected), passages))
     if wrong := resolved.where("problem is not null").orderBy("ctx_no").limit(5).collect():
         raise ValueError(f"contexts don't fit the passages: {[(r.ctx_no, r.problem) for r in wrong]}")
     positives = resolved.where("kind = 'positive'").select("selection_no", "pos", F.col("resolved_id").alias("id"), "title")
-    if not positives.limit(1).count():
-        raise ValueError("no question has a positive passage")
     mandatory = checkpointed(_ids(P.title_expansion(passages, positives).union(_ids(positives))))
     n_mandatory = mandatory.count()
     if n_mandatory > target_passages:
