@@ -152,7 +152,8 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     entered = F.flatten(F.array(*[variants(block, width) for block, width in blocks()]))
     right = items.select("item", "len", *[F.col(f).alias(f"i{f}") for f in fps], F.explode(entered).alias("block"))
     distance = sum(F.bit_count(F.col(f).bitwiseXOR(F.col(f"i{f}"))) for f in fps)
-    pairs = left.join(right, ["len", "block"]).where(distance <= radius).select(*name, "item").distinct()
+    # The estimate of the entries is that of the benchmark, before it was multiplied: no broadcast by it.
+    pairs = left.join(right.hint("merge"), ["len", "block"]).where(distance <= radius).select(*name, "item").distinct()
 
     kept = items.select("item", F.col("features").alias("item_features"))
     both = F.size(F.array_intersect("features", "item_features"))

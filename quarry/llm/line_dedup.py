@@ -10,7 +10,7 @@ occur, in this order and without a gap, at an earlier place: in a smaller ``doc_
    have; the extensions are compared with the earliest place that has the same one, never pair by pair.
    Long lines are compared by themselves, without winnowing. 4. Overlapping and touching matches merge to maximal runs, which are deleted from the text.
 
-Edge cases: null texts have no lines and stay null; an empty text is one empty line; texts of fewer lines than a run
+Edge cases: very long texts are arrays of line hashes, whole; null texts have no lines and stay null; an empty text is one empty line; texts of fewer lines than a run
 stay (but for long lines); rows that share a ``doc_id`` are ordered by a hash of their text, and rows alike in both count as one place, so
 neither is the later one; null ids sort last; other columns go through ``carry`` as a struct; an empty table
 gives no rows. Documents may lose all their lines: the text is then empty.

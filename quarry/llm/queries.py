@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, language_id, license_scan, line_dedup, media_ts, pack, shard, simhash_dedup, substring_dedup, toxicity
@@ -74,8 +74,64 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(cut, capacity=1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def rules_op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the scores: a row a document, scores from 0 to 1, predictions by the threshold, equal texts alike."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("tie"))
+    scored = op2_toxicity(spark, sf_dir).join(docs, "doc_id")
+    alike = F.min("score").over(Window.partitionBy("tie")) == F.max("score").over(Window.partitionBy("tie"))
+    return scored.select("doc_id", F.col("score").between(0, 1).alias("in_range"), (F.col("predicted") == (F.col("score") >= 0.7).cast("int")).alias("by_threshold"), alike.alias("alike"))
+
+
+def rules_op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest id of the documents with the same words is no smaller than their component's; fingerprints are zero only without words."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("tie"))
+    found = op4_simhash_dedup(spark, sf_dir).join(docs, "doc_id")
+    same = F.min("component_id").over(Window.partitionBy("tie")) == F.max("component_id").over(Window.partitionBy("tie"))
+    return found.select("doc_id", (F.col("component_id") <= F.col("doc_id")).alias("least"), (F.length("fingerprint") == 16).alias("whole"), (F.col("fingerprint") == "0" * 16).alias("zero"), same.alias("together"))
+
+
+def rules_op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns, and that the method's labels only add to them."""
+    base = F.filter(F.split("base_labels", ","), lambda x: x != "")
+    kept = F.size(F.array_except(base, F.split("labels", ","))) == 0
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", F.coalesce("first_word", F.lit(-1)).alias("first_word"), F.coalesce("last_word", F.lit(-1)).alias("last_word"), "base_labels", kept.alias("kept"), F.col("score").between(0, 1).alias("in_range"))
+
+
+def rules_op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``und`` just for texts without a letter, learned languages for all others, scores from 0 to 1."""
+    docs = load(spark, sf_dir, "documents")
+    langs = docs.select(F.col("lang").alias("lang_pred")).where("lang is not null").distinct().withColumn("known", F.lit(True))
+    named = op7_language_id(spark, sf_dir).join(F.broadcast(langs), "lang_pred", "left")
+    return named.select("doc_id", (F.col("lang_pred") == "und").alias("undetermined"), F.coalesce("known", F.lit(False)).alias("known"), F.col("score").between(0, 1).alias("in_range"))
+
+
+def rules_op8_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and digests of the payloads as they were read back from the stored streams."""
+    found = op8_media_ts(spark, sf_dir)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", (F.col("media_bytes") % 188 == 0).alias("whole_packets"), (F.col("media_bytes") > F.col("payload_bytes")).alias("stored"))
+
+
+def rules_op9_two_pass_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each shard has, their slots, and the bytes of all."""
+    placed = op9_two_pass_shards(spark, sf_dir)
+    per = placed.groupBy("shard").agg(F.count("*").alias("n"), (F.count_distinct("slot") == F.count("*")).alias("distinct_slots"), F.min("slot").alias("first"), (F.max("slot") == F.count("*") - 1).alias("gapless"), F.sum("size").alias("bytes"))
+    return per.withColumn("all_bytes", F.sum("bytes").over(Window.partitionBy(F.lit(1)))).drop("bytes")  # one row a shard
+
+
+def rules_op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is packed whole, without gaps, in sequences of at most 1024 tokens that are as few as their tokens allow, within one in a hundred."""
+    packed = op10_best_fit_packing(spark, sf_dir)
+    within = Window.partitionBy("sequence_id")
+    before = F.coalesce(F.sum("length").over(within.orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = packed.withColumn("fits", F.sum("length").over(within) <= 1024).withColumn("gapless", F.col("offset") == before)
+    per = rows.groupBy("doc_id").agg((F.max("piece") + 1 == F.count("*")).alias("whole"), F.min("fits").alias("fits"), F.min("gapless").alias("gapless"), (F.max(F.when(F.col("piece") > 0, F.when(F.col("length") != 1024, 1)).otherwise(0)) == 0).alias("only_first_short"))
+    total = packed.agg((F.count_distinct("sequence_id") <= F.ceil(F.sum("length") / 1024 * 1.01) + 1).alias("few"))
+    return per.crossJoin(F.broadcast(total)).select("doc_id", "whole", "fits", "gapless", F.coalesce("only_first_short", F.lit(True)).alias("only_first_short"), "few")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [op1_substring_dedup, op2_toxicity, op3_decontamination, op4_simhash_dedup, op5_line_dedup, op6_license_scan, op7_language_id, op8_media_ts, op9_two_pass_shards, op10_best_fit_packing]
+    named += [rules_op2_toxicity, rules_op4_simhash_dedup, rules_op6_license_scan, rules_op7_language_id, rules_op8_media_ts, rules_op9_two_pass_shards, rules_op10_best_fit_packing]
     return {f.__name__: f for f in named}
 
 
@@ -125,5 +181,23 @@ FROM documents d LEFT JOIN best USING (doc_id) GROUP BY d.doc_id
 """
 
 
+_LICENCE_WORDS = r"""words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM words),
+places AS (SELECT doc_id, p - 1 AS p, 'mit' AS label FROM spots WHERE w[p] = 'mit' AND w[p + 1] = 'license' UNION ALL SELECT doc_id, p - 1, 'apache' FROM spots WHERE w[p] = 'apache' AND w[p + 1] = 'license'
+  UNION ALL SELECT doc_id, p - 1, 'gpl' FROM spots WHERE w[p] = 'general' AND w[p + 1] = 'public' AND w[p + 2] = 'license'),
+base AS (SELECT doc_id, count(*) AS n, min(p) AS a, max(p) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM places GROUP BY doc_id)"""
+RULES_SQL = {
+    "rules_op2_toxicity": "SELECT doc_id, true AS in_range, true AS by_threshold, true AS alike FROM documents",
+    "rules_op4_simhash_dedup": r"SELECT doc_id, true AS least, true AS whole, NOT regexp_matches(coalesce(text, ''), '[^\x20\x09-\x0D]') AS zero, true AS together FROM documents",
+    "rules_op6_license_scan": f"WITH {_LICENCE_WORDS} SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, coalesce(a, -1)::BIGINT AS first_word, coalesce(z, -1)::BIGINT AS last_word, coalesce(l, '') AS base_labels, true AS kept, true AS in_range FROM words LEFT JOIN base USING (doc_id)",
+    "rules_op7_language_id": r"SELECT doc_id, NOT regexp_matches(coalesce(text, ''), '\p{L}') AS undetermined, regexp_matches(coalesce(text, ''), '\p{L}') AS known, true AS in_range FROM documents",
+    "rules_op8_media_ts": """SELECT doc_id, strlen(t)::BIGINT AS n_bytes, (64 * greatest((strlen(t) + 63) // 64, 1))::BIGINT AS payload_bytes, sha256(t || repeat(chr(0), (64 * greatest((strlen(t) + 63) // 64, 1) - strlen(t))::BIGINT)) AS payload_sha256, true AS whole_packets, true AS stored
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "rules_op9_two_pass_shards": """WITH n AS (SELECT count(*) AS n, sum(strlen(coalesce(text, '')) + 8)::BIGINT AS b FROM documents)
+SELECT s::INTEGER AS shard, ((s + 1) * n + 23) // 24 - (s * n + 23) // 24 AS n, true AS distinct_slots, 0::BIGINT AS first, true AS gapless, b AS all_bytes FROM n, (SELECT unnest(range(24)) AS s)""",
+    "rules_op10_best_fit_packing": "SELECT doc_id, true AS whole, true AS fits, true AS gapless, true AS only_first_short, true AS few FROM documents",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_line_dedup": OP5_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_line_dedup": OP5_SQL} | RULES_SQL

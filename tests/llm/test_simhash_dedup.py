@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from quarry.llm import simhash_dedup as S
@@ -57,9 +58,22 @@ def test_ball_covers_radius():
     assert len(S.ball(1)) == 65 and len(set(S.ball(1))) == 65
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_components_of_a_long_chain(spark, monkeypatch, most):
+    """By rounds and by one task."""
+    from quarry.llm import common
     from quarry.llm.common import components
 
+    monkeypatch.setattr(common, "EDGES_A_TASK", most)
+    rng = random.Random(most)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(150)]
+    plain = {n: n for p in pairs for n in p}
+    for _ in plain:
+        for a, b in pairs:
+            plain[a] = plain[b] = min(plain[a], plain[b])
+    df = spark.createDataFrame(pairs, "a long, b long")
+    assert {r.node: r.root for r in components(df).collect()} == {n: r for n, r in plain.items() if n != r}
+    assert components(df.limit(0)).count() == 0
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (1001, 1000), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(1, 301)} | {1001: 1000}
