@@ -43,7 +43,8 @@ def dense_ids(df: DataFrame, group: str, order: list[Column], name: str = "vecto
 
 def presegmented(pages: DataFrame) -> DataFrame:
     """One chunk for each page of ``(doc_id, source, page, text)`` that has a token, never cut."""
-    counted = pages.withColumn("token_count", token_count("text")).where("token_count > 0")
+    # Counted once and kept, as both the numbers and the rows need the result.
+    counted = checkpointed(pages.select("doc_id", "source", "page", "text", token_count("text").alias("token_count"))).where("token_count > 0")
     numbered = dense_ids(counted, "doc_id", [F.col("page")])
     return numbered.select(F.col("doc_id").alias("chunk_id"), "vector_id", "doc_id", "source", F.col("page").alias("page_start"), F.col("page").alias("page_end"), "text", "token_count")
 

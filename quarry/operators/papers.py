@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from quarry.functions.text import normalize_evidence
 
@@ -17,6 +18,15 @@ ARTICLE = (
 _NONE = "array<struct<text:string,evidence:string>>"
 
 
+def struct_of_lists(articles: DataFrame) -> DataFrame:
+    """Articles whose sections, captions and questions are lists of structs as structs of lists; others as they are."""
+    for name in ("full_text", "figures_and_tables", "qas"):
+        if name in articles.columns and isinstance(kind := articles.schema[name].dataType, ArrayType):
+            fields = [F.col(f"{name}.{f}").alias(f) for f in kind.elementType.names]
+            articles = articles.withColumn(name, F.when(F.col(name).isNotNull(), F.struct(*fields)))
+    return articles
+
+
 def _unit(text: Column, prefix: str = "") -> Column:
     t = normalize_evidence(F.coalesce(text, F.lit("")))
     return F.struct(t.alias("text"), F.concat(F.lit(prefix), t).alias("evidence"))
@@ -25,6 +35,7 @@ def _unit(text: Column, prefix: str = "") -> Column:
 def units(articles: DataFrame) -> DataFrame:
     """``(doc_id, source, page, text, evidence)``: title, abstract, each section's heading and paragraphs, captions; blank ones are left out and
     pages number the rest from 1. Sections pair names and paragraphs up to the shorter list."""
+    articles = struct_of_lists(articles)
     names, paragraphs = F.coalesce("full_text.section_name", F.array().cast("array<string>")), F.coalesce("full_text.paragraphs", F.array().cast("array<array<string>>"))
     n = F.least(F.size(names), F.size(paragraphs))
     pairs = F.arrays_zip(F.slice(names, 1, n).alias("name"), F.slice(paragraphs, 1, n).alias("parts"))
@@ -36,7 +47,8 @@ def units(articles: DataFrame) -> DataFrame:
 
 
 def questions(articles: DataFrame) -> DataFrame:
-    """``(paper_id, question_no, question_id, question, references)`` from parallel arrays, which must be equally long."""
+    """``(paper_id, question_no, question_id, question, references)`` from parallel arrays, which must be equally long, or a list of structs."""
+    articles = struct_of_lists(articles)
     same = (F.size("qas.question") == F.size("qas.question_id")) & (F.size("qas.question") == F.size("qas.answers"))
     checked = articles.where(F.col("qas").isNotNull()).withColumn("qas", F.when(same, F.col("qas")).otherwise(F.raise_error(F.concat(F.lit("questions of unequal lengths in "), F.col("id"))).cast(articles.schema["qas"].dataType)))
     rows = checked.select(normalize_evidence("id").alias("paper_id"), F.posexplode(F.arrays_zip("qas.question", "qas.question_id", "qas.answers")).alias("question_no", "qa"))

@@ -15,10 +15,15 @@ from quarry.sources.checkpoints import checkpointed, shared_dir
 from quarry.sources.writers import canonical_lines, commit, digest, exists, stamp
 
 K = 10
+#: Tables whose rows are costly enough to be worth it.
+TEXT_TABLES = {"documents", "conversations"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table; one whose files make fewer splits than keep all cores busy, which is a small one, is dealt to all of them."""
+    df, cores = spark.read.parquet(f"{sf}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    few = df._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores
+    return df.repartition(cores) if name in TEXT_TABLES and few else df
 
 
 def vectors(spark, sf):

@@ -13,10 +13,16 @@ QUESTIONS = f"question string, answers array<string>, positive_ctxs {CONTEXTS},
 PASSAGES = "id string, title string, text string"
 
 
-def wikipedia_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, text, title)`` of a tab-separated file with a header of just these names in any order; ``.gz`` is read as it is."""
-    raw = spark.read.csv(path, sep="\t", header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST")
-    names = {c.lstrip("﻿"): c for c in raw.columns}
+def wikipedia_tsv(spark: SparkSession, path: str, spans_lines: bool | None = None) -> DataFrame:
+    """``(id, text, title)`` of a tab-separated file with a header of just these names in any order; ``.gz`` is read as it is.
+
+    A file is read in splits, a line a row, unless a quoted field goes over line ends, which a scan for lines with an odd number of quotes tells; such a file is one task.
+    """
+    if spans_lines is None:
+        odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+        spans_lines = bool(spark.read.text(path).where(odd).limit(1).count())
+    raw = spark.read.csv(path, sep="\t", header=True, multiLine=spans_lines, quote='"', escape='"', mode="FAILFAST")
+    names = {c.lstrip("\ufeff"): c for c in raw.columns}
     if set(names) != {"id", "text", "title"}:
         raise ValueError(f"the header must be id, text and title, not {raw.columns}")
     return raw.select(*[F.col(f"`{names[c]}`").alias(c) for c in ("id", "text", "title")])
@@ -76,7 +82,7 @@ def id_list_differences(passages: DataFrame, ids: DataFrame) -> DataFrame:
 
 def papers(spark: SparkSession, path: str) -> DataFrame:
     """Articles of all splits from ``path/<split>``, as Parquet, with their ``split``; columns are checked and no split may be empty."""
-    wanted = {f.split(" ")[0] for f in ("id title abstract full_text figures_and_tables qas").split(" ")}
+    wanted = {"id", "title", "abstract", "full_text", "figures_and_tables", "qas"}
     parts = None
     for split in SPLITS:
         part = spark.read.parquet(f"{path}/{split}")

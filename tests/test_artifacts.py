@@ -54,8 +54,25 @@ def test_entry_points(spark, tmp_path, corpus, capsys):
     assert capsys.readouterr().out.strip().startswith(str(tmp_path / "a"))
     main(["query", *common, "--question", "thing3 topic3"])
     assert "thing3" in json.loads(capsys.readouterr().out)["answer"]
-    main(["evaluate", *common, "--questions", str(tmp_path / "q.jsonl"), "--output", str(tmp_path / "o")])
-    assert json.loads(capsys.readouterr().out)["hit"] >= 0
+    last = lambda: json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    run = ["evaluate", *common, "--questions", str(tmp_path / "q.jsonl"), "--output", str(tmp_path / "o")]
+    main([*run, "--top-k", "3"])
+    assert last()["hit"] == 1
+    about = writers.read_manifest(spark, f"{tmp_path}/o/metadata.json")
+    assert about["status"] == "completed" and about["effective_top_k"] == 3 and about["environment"]["spark"] == spark.version
+    main([*run, "--top-k", "3", "--resume"])
+    assert last()["hit"] == 1
+    with pytest.raises(ValueError, match="effective_top_k"):
+        main([*run, "--top-k", "2", "--resume"])
+    main([*run[:-1], str(tmp_path / "r"), "--retrieval-only", "--max-questions", "1"])
+    assert set(last()) == {"hit", "rr", "hit_valid_count", "rr_valid_count"}
+    main(["smoke"])
+    assert all(last().values())
+    main(["env"])
+    assert last()["shared_folder"]
+    for bad in (["--top-k", "-1"], ["--run-id", "a/b"], ["--max-questions", "0"]):
+        with pytest.raises((SystemExit, ValueError)):
+            main([*run, *bad])
 
 
 def test_model_tokens(spark):

@@ -258,6 +258,16 @@ def test_papers(spark):
     assert papers.units(bare).count() == 1 and papers.questions(bare).count() == 0
 
 
+def test_papers_as_lists_of_structs(spark):
+    """The other layout of the same article gives the same units and questions."""
+    lists = spark.createDataFrame([("p1", "T", "A", (["S1", "S2"], [["a"], ["b", "c"]]), (["cap"],), (["q?", "r?"], ["i", "j"], [([(False, ["s"], None, None, ["e"])],), ([],)]))], papers.ARTICLE)
+    answer = f"array<struct<answer:array<{papers.REFERENCE}>>>"
+    schema = f"id string, title string, abstract string, full_text array<struct<section_name:string,paragraphs:array<string>>>, figures_and_tables array<struct<caption:string>>, qas array<struct<question:string,question_id:string,answers:{answer[6:-1]}>>"
+    structs = spark.createDataFrame([("p1", "T", "A", [("S1", ["a"]), ("S2", ["b", "c"])], [("cap",)], [("q?", "i", ([(False, ["s"], None, None, ["e"])],)), ("r?", "j", ([],))])], schema)
+    for made in (papers.units, papers.questions):
+        assert sorted(map(str, made(structs).collect())) == sorted(map(str, made(lists).collect()))
+
+
 def test_redaction_of_nested_rows(spark):
     key = "sk-" + "x" * 20
     df = spark.createDataFrame([(key, [(f"a {key}", "p")], {"my_secret": "s", "k": key}, 5)], "a string, b array<struct<t:string,password:string>>, m map<string,string>, token int")

@@ -19,6 +19,8 @@ def test_wikipedia_tsv(spark, tmp_path):
     for name in ("w.tsv", "w.tsv.gz"):
         got = readers.wikipedia_tsv(spark, str(tmp_path / name)).orderBy("id").collect()
         assert [tuple(r) for r in got] == [("1", 'a "quoted" text', "T"), ("2", "plain", "U")]
+    (tmp_path / "long.tsv").write_text('id\ttext\ttitle\n1\t"over\ntwo lines"\tT\n')
+    assert [tuple(r) for r in readers.wikipedia_tsv(spark, str(tmp_path / "long.tsv")).collect()] == [("1", "over\ntwo lines", "T")]
     (tmp_path / "bad.tsv").write_text("id\ttext\n1\tx\n")
     with pytest.raises(ValueError):
         readers.wikipedia_tsv(spark, str(tmp_path / "bad.tsv"))
