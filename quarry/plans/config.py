@@ -92,10 +92,16 @@ class Config:
 
     @classmethod
     def load(cls, path: str) -> "Config":
-        import yaml
+        """From a YAML file, or a JSON one, which is all that can be read without a YAML package."""
+        import json
 
         with open(path, encoding="utf-8") as f:
-            return cls.of(yaml.safe_load(f) or {})
+            text = f.read()
+        try:
+            import yaml
+        except ModuleNotFoundError:
+            return cls.of(json.loads(text))
+        return cls.of(yaml.safe_load(text) or {})
 
     def build_params(self) -> dict:
         return DEFAULT_BUILD[self.index] | self.index_build

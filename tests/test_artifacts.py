@@ -49,7 +49,8 @@ def test_entry_points(spark, tmp_path, corpus, capsys):
     from quarry.__main__ import main
 
     (tmp_path / "q.jsonl").write_text(json.dumps({"question_id": "x", "question": "topic9 thing9", "answers": ["Topic9"], "evidence": [{"alternatives": ["dpr_wiki_passage:9"]}]}) + "\n")
-    common = ["--corpus", corpus, "--artifacts", str(tmp_path / "a")]
+    (tmp_path / "c.yaml").write_text(json.dumps({"chunker": "presegmented", "chunk_overlap": 0}))  # evidence names passages, which are chunks here
+    common = ["--config", str(tmp_path / "c.yaml"), "--corpus", corpus, "--artifacts", str(tmp_path / "a")]
     main(["build", *common])
     assert capsys.readouterr().out.strip().startswith(str(tmp_path / "a"))
     main(["query", *common, "--question", "thing3 topic3"])
