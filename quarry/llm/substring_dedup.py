@@ -203,6 +203,9 @@ def _segments(window: int, gram: int, buckets: int):
             words.append(raw)
             if alone:
                 heads["key"][k] = xxhash.xxh64_intdigest(raw)
+        # What no shard looks at needs no key and no order.
+        for c in ("key", "id", "tie"):
+            heads[c][masks > 0] = 0
         spread = heads["key"] + np.where(single, np.uint64(me % salts), np.uint64(0)) * ODD
         buckets_of = np.where(masks > 0, me % buckets, (spread % np.uint64(buckets)).astype(np.int64))
         return _segment_table(me, heads, masks, single, buckets_of, words)
@@ -262,7 +265,7 @@ def _shards(window: int):
         out = {c: whole[c][keep] for c in ("block", "row", "start")} | {"mask": mask[keep], "pending": pa.array(pending[keep], pa.bool_())}
         # Rows that nothing is to be merged with have a number of their own.
         own = (whole["block"].astype(np.int64) << 40) ^ (whole["row"] << 20) ^ whole["start"]
-        return pa.table(out | {"merge": np.where(pending, whole["key"], own)[keep], "id": whole["id"][keep], "tie": whole["tie"][keep]})
+        return pa.table(out | {"merge": np.where(pending, whole["key"], own)[keep], "id": np.where(pending, whole["id"], 0)[keep], "tie": np.where(pending, whole["tie"], 0)[keep]})
 
     return run
 
