@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.vectors import dot
+from quarry.functions.vectors import dot, matrix
+from quarry.operators import clustering
+from quarry.operators.clustering import nearest
 from quarry.sources.checkpoints import checkpointed
 
 QUERY_BLOCK, BLOCKS_A_PLAN = 4096, 16
@@ -56,12 +58,6 @@ def check_params(kind: str, build: dict | None = None, search: dict | None = Non
     return search
 
 
-def _matrix(column) -> np.ndarray:
-    """An array column of equal lengths as a matrix, without Python objects."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
 def query_blocks(queries: DataFrame):
     """The queries as blocks of at most ``QUERY_BLOCK`` ids and vectors on the driver, one block at a time."""
     ids, rows = [], []
@@ -130,8 +126,10 @@ def flat_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def kernel(batches, qids, qmat):
         held = None
         for b in batches:
-            if b.num_rows:
-                part = _best(qids, b.column(0).to_numpy(), _matrix(b.column(1)).astype(np.float64) @ qmat.T, k)
+            for at in range(0, b.num_rows, step := max(1, clustering.STEP // len(qids))):
+                piece = b.slice(at, step)
+                x = matrix(piece.column(1), piece.column(0), qmat.shape[1]).astype(np.float64)
+                part = _best(qids, piece.column(0).to_numpy(), x @ qmat.T, k)
                 held = part if held is None else _merged([held, part], k)
         if held is not None:
             yield pa.RecordBatch.from_pydict(held)
@@ -139,44 +137,35 @@ def flat_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _scan(corpus.select("vector_id", "embedding"), queries, k, kernel)
 
 
-def sample(corpus: DataFrame, size: int, seed: int) -> np.ndarray:
-    """At most ``size`` vectors, those with the least seeded hash of their id: a bounded training sample."""
-    rows = corpus.select("vector_id", "embedding").orderBy(F.xxhash64(F.lit(seed), "vector_id"), "vector_id").limit(size).collect()
-    return np.array([r.embedding for r in rows], np.float64)
-
-
-def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 20, spherical: bool = False) -> np.ndarray:
-    """Lloyd's algorithm with a k-means++ start; spherical centroids have unit length. Empty cells take the farthest points."""
-    rng = np.random.default_rng(seed)
-    centres = [x[rng.integers(len(x))]]
-    far = ((x - centres[0]) ** 2).sum(axis=1)
-    for _ in range(1, k):
-        total = far.sum()
-        pick = rng.choice(len(x), p=far / total) if total > 0 else rng.integers(len(x))
-        centres.append(x[pick])
-        far = np.minimum(far, ((x - x[pick]) ** 2).sum(axis=1))
-    c = np.array(centres)
-    for _ in range(rounds):
-        near = _nearest(x, c, spherical)
-        new = np.zeros_like(c)
-        np.add.at(new, near, x)
-        counts = np.bincount(near, minlength=k)
-        empty = np.flatnonzero(counts == 0)
-        new[counts > 0] /= counts[counts > 0][:, None]
-        if len(empty):
-            worst = np.argsort(-((x - c[near]) ** 2).sum(axis=1), kind="stable")[: len(empty)]
-            new[empty] = x[worst]
-        if spherical:
-            new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
-        if np.allclose(new, c):
-            break
-        c = new
-    return c
-
-
-def _nearest(x: np.ndarray, c: np.ndarray, inner: bool) -> np.ndarray:
-    score = x @ c.T
-    return (score if inner else score - (c * c).sum(axis=1) / 2).argmax(axis=1)
+def training_positions(n: int, size: int, seed: int) -> np.ndarray:
+    """Which of ``n`` positions, in order, a seeded draw of ``size`` without replacement takes, as NumPy's generator makes it."""
+    return np.arange(n) if size >= n else np.sort(np.random.default_rng(seed).choice(n, size=size, replace=False))
+
+
+def training_sample(corpus: DataFrame, size: int, seed: int) -> DataFrame:
+    """At most ``size`` rows ``(vector_id, embedding)``, those at the drawn positions in the order of their ids; the rows stay on executors.
+
+    The ids are sorted in ranges, of which the driver gets one number each; each range has the drawn positions that lie in it.
+    """
+    ids = checkpointed(corpus.select("vector_id").repartitionByRange("vector_id").sortWithinPartitions("vector_id").withColumn("part", F.spark_partition_id()))
+    counts = {r.part: r["count"] for r in ids.groupBy("part").count().collect()}
+    if sum(counts.values()) <= size:
+        return corpus.select("vector_id", "embedding")
+    drawn, begin, at = training_positions(sum(counts.values()), size, seed), {}, 0
+    for part in sorted(counts):
+        begin[part] = at
+        at += counts[part]
+    shared = corpus.sparkSession.sparkContext.broadcast((begin, drawn))  # `size` numbers
+
+    def run(key, rows):
+        begin, drawn = shared.value
+        mine = np.sort(rows.column("vector_id").to_numpy())
+        first = begin[key[0].as_py()]
+        inside = drawn[np.searchsorted(drawn, first) : np.searchsorted(drawn, first + len(mine))]
+        return pa.table({"vector_id": mine[inside - first]})
+
+    picked = ids.groupBy("part").applyInArrow(run, "vector_id long")
+    return corpus.select("vector_id", "embedding").join(picked, "vector_id", "left_semi")
 
 
 @dataclass(frozen=True)
@@ -189,7 +178,7 @@ class InvertedFile:
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         m, _, d = self.books.shape
         rest = (x - self.centroids[cell]).reshape(len(x), m, d)
-        return np.stack([_nearest(rest[:, j], self.books[j], False) for j in range(m)], axis=1)
+        return np.stack([nearest(rest[:, j], self.books[j])[0] for j in range(m)], axis=1)
 
     def decode(self, codes: np.ndarray, cell: np.ndarray) -> np.ndarray:
         return self.centroids[cell] + np.concatenate([self.books[j][codes[:, j]] for j in range(codes.shape[1])], axis=1)
@@ -207,17 +196,28 @@ class InvertedFile:
         return self.centroids[cell] @ q.T + sum(table[j][codes[:, j]] for j in range(m))
 
 
-def train_ivf(corpus: DataFrame, nlist: int = 1024, m: int | None = None, nbits: int = 8, train_size: int = 100_000, train_seed: int = 20260731) -> InvertedFile:
-    x = sample(corpus, train_size, train_seed)
-    if len(x) < nlist or m is not None and len(x) < 1 << nbits:
+class Residuals:
+    """How vectors are seen when codebooks are fitted: what their cell's centroid leaves, in ``m`` parts."""
+
+    def __init__(self, centroids: np.ndarray, m: int):
+        self.centroids, self.m = centroids, m
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.centroids[nearest(x, self.centroids, True)[0]]).reshape(len(x), self.m, -1)
+
+
+def train_ivf(corpus: DataFrame, nlist: int = 1024, m: int | None = None, nbits: int = 8, train_size: int = 200_000, train_seed: int = 20260731, rounds: int = 10) -> InvertedFile:
+    """Centroids, and codebooks of the residuals if there is ``m``, fitted on executors from the seeded training sample; the driver holds no vectors of it."""
+    rows = checkpointed(training_sample(corpus, train_size, train_seed))
+    n = rows.count()
+    if n < nlist or m is not None and n < 1 << nbits:
         raise ValueError("there are fewer training vectors than centroids")
-    if m is not None and x.shape[1] % m:
+    if m is not None and len(rows.first()[1]) % m:
         raise ValueError("the dimension must be a multiple of m")
-    centroids = kmeans(x, nlist, train_seed, spherical=True)
+    centroids = clustering.fit(rows, nlist, rounds, train_seed, spherical=True)[0]
     if m is None:
         return InvertedFile(centroids)
-    rest = (x - centroids[_nearest(x, centroids, True)]).reshape(len(x), m, -1)
-    return InvertedFile(centroids, np.stack([kmeans(rest[:, j], 1 << nbits, train_seed + j + 1) for j in range(m)]))
+    return InvertedFile(centroids, clustering.fit(rows, 1 << nbits, rounds, train_seed + 1, view=Residuals(centroids, m)))
 
 
 def build_ivf(corpus: DataFrame, index: InvertedFile) -> DataFrame:
@@ -229,8 +229,8 @@ def build_ivf(corpus: DataFrame, index: InvertedFile) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b.column(1)).astype(np.float64)
-            cell = _nearest(x, index.centroids, True)
+            x = matrix(b.column(1), b.column(0), index.centroids.shape[1]).astype(np.float64)
+            cell = nearest(x, index.centroids, True)[0]
             out = {"vector_id": b.column(0), "cell": pa.array(cell.astype(np.int32))}
             if index.books is None:
                 out["embedding"] = b.column(1).cast(pa.list_(pa.float32()))
@@ -277,7 +277,7 @@ def ivf_search(table: DataFrame, index: InvertedFile, queries: DataFrame, k: int
                     continue
                 mine = pa.array(np.flatnonzero(cell == c))
                 ids = b.column(0).take(mine).to_numpy()
-                x = _matrix(b.column(2).take(mine))
+                x = matrix(b.column(2).take(mine))
                 scores = index.scores(x.astype(np.int64), c, qmat[use]) if coded else x.astype(np.float64) @ qmat[use].T
                 part = _best(qids[use], ids, scores, k)
                 held = part if held is None else _merged([held, part], k)
@@ -391,7 +391,7 @@ def build_graphs(corpus: DataFrame, m: int = 32, ef_construction: int = 200, sha
         for b in batches:
             for at in range(0, b.num_rows, shard):
                 piece = b.slice(at, shard)
-                ids, x = piece.column(0).to_numpy(), np.ascontiguousarray(_matrix(piece.column(1)), np.float32)
+                ids, x = piece.column(0).to_numpy(), np.ascontiguousarray(matrix(piece.column(1), piece.column(0)), np.float32)
                 g = Graph.built(x.astype(np.float64), m, ef_construction)
                 flat = [np.concatenate([np.asarray(layer[j], np.int32) for layer in g.layers]).tobytes() for j in range(3)]
                 yield pa.RecordBatch.from_pydict({
