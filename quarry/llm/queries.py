@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, language_id, license_scan, line_dedup, media_ts, pack, shard, simhash_dedup, substring_dedup, toxicity
+from quarry.llm import decontaminate, embedding_dedup, language_id, license_scan, line_dedup, media_ts, merkle, pack, shard, simhash_dedup, substring_dedup, toxicity, whitening
 from quarry.llm.common import load
 
 #: Where the tokenizer's file lies is a parameter of the packing operator.
@@ -74,6 +74,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(cut, capacity=1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(load(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(load(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def rules_op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of the scores: a row a document, scores from 0 to 1, predictions by the threshold, equal texts alike."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("tie"))
@@ -129,9 +141,20 @@ def rules_op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("doc_id", "whole", "fits", "gapless", F.coalesce("only_first_short", F.lit(True)).alias("only_first_short"), "few")
 
 
+def rules_op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact columns, and that each component's whitened values have a mean of 0 and a variance of 1 over the fit list, that shares fall and errors are small."""
+    found = op12_embedding_whitening(spark, sf_dir)
+    x = whitening.integers(load(spark, sf_dir, "embeddings")).dropDuplicates(["x"]).select("vec_id")
+    moments = found.join(x, "vec_id").groupBy("component").agg(F.abs(F.avg("whitened")) < 1e-4, F.abs(F.var_pop("whitened") - 1) < 1e-4).toDF("component", "centred", "unit")
+    share = Window.partitionBy("vec_id").orderBy("component")
+    rows = found.withColumn("falls", F.coalesce(F.lag("explained").over(share) >= F.col("explained"), F.lit(True)) & (F.col("explained") > 0))
+    rows = rows.join(F.broadcast(moments), "component")  # four rows
+    return rows.select("vec_id", "component", "n", "deviation", "falls", "centred", "unit", (F.col("identity_error") <= 1e-4).alias("whitens"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_substring_dedup, op2_toxicity, op3_decontamination, op4_simhash_dedup, op5_line_dedup, op6_license_scan, op7_language_id, op8_media_ts, op9_two_pass_shards, op10_best_fit_packing]
-    named += [rules_op2_toxicity, rules_op4_simhash_dedup, rules_op6_license_scan, rules_op7_language_id, rules_op8_media_ts, rules_op9_two_pass_shards, rules_op10_best_fit_packing]
+    named = [op1_substring_dedup, op2_toxicity, op3_decontamination, op4_simhash_dedup, op5_line_dedup, op6_license_scan, op7_language_id, op8_media_ts, op9_two_pass_shards, op10_best_fit_packing, op11_merkle_manifest, op12_embedding_whitening, op13_embedding_dedup]
+    named += [rules_op2_toxicity, rules_op4_simhash_dedup, rules_op6_license_scan, rules_op7_language_id, rules_op8_media_ts, rules_op9_two_pass_shards, rules_op10_best_fit_packing, rules_op12_embedding_whitening]
     return {f.__name__: f for f in named}
 
 
@@ -199,5 +222,49 @@ SELECT s::INTEGER AS shard, ((s + 1) * n + 23) // 24 - (s * n + 23) // 24 AS n,
 }
 
 
+#: Levels by recursion; CRC-32 by the shift register, a bit at a time, over the decimal digits; the proof and the fold climb level by level.
+OP11_SQL = r"""
+WITH RECURSIVE
+part AS (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+crc AS (SELECT *, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT), lambda s, c: list_reduce([xor(s, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END), 4294967295::BIGINT), 4294967295) AS crc FROM part),
+leaves AS (SELECT doc_id, coalesce('L' || lang, 'N') AS tree, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS tampered FROM crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+nodes(tree, level, i, h, n) AS (SELECT tree, 0, i, leaf, n FROM placed UNION ALL SELECT tree, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, level, i // 8, n),
+subroots AS (SELECT tree, h AS subroot, level AS height FROM nodes WHERE n = 1),
+langs AS (SELECT tree, row_number() OVER (ORDER BY any_value(lang) NULLS FIRST) - 1 AS k, count(*) OVER () AS langs FROM placed GROUP BY tree),
+tops(level, i, h, n) AS (SELECT 0, k, subroot, langs FROM langs JOIN subroots USING (tree) UNION ALL SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY level, i // 8, n),
+joined AS (SELECT tree, level, i, h, n FROM nodes UNION ALL SELECT 'T', level, i, h, n FROM tops),
+ways AS (SELECT a.tree, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM joined a JOIN joined b ON a.tree = b.tree AND a.level = b.level AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.tree, a.level, a.i),
+climb(doc_id, leaf, home, tree, level, i, seen, d) AS (SELECT doc_id, leaf, tree, tree, 0, i, '', coalesce(tampered, leaf) FROM placed
+  UNION ALL SELECT doc_id, leaf, home, tree, level + 1, i // 8, seen || before || after, sha256(before || d || after) FROM climb JOIN ways USING (tree, level, i)),
+over AS (SELECT doc_id, leaf, home, seen, d FROM climb JOIN subroots s ON home = s.tree AND climb.tree = home AND level = height),
+climb2(doc_id, leaf, home, tree, level, i, seen, d) AS (SELECT doc_id, leaf, home, 'T', 0, k, seen, d FROM over JOIN langs ON home = langs.tree
+  UNION ALL SELECT doc_id, leaf, home, tree, level + 1, i // 8, seen || before || after, sha256(before || d || after) FROM climb2 JOIN ways USING (tree, level, i))
+SELECT doc_id, leaf, subroot, root, sha256(seen) AS proof_sha256, d AS folded_root, d = root AS verified
+FROM climb2 JOIN (SELECT h AS root, level AS height FROM tops WHERE n = 1) ON level = height JOIN subroots s ON home = s.tree
+"""
+
+RULES_SQL["rules_op12_embedding_whitening"] = """
+WITH rows AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+fit AS (SELECT DISTINCT x FROM rows),
+sums AS (SELECT j, sum(x[j])::HUGEINT AS s, (SELECT count(*) FROM fit)::HUGEINT AS n FROM fit, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS j) GROUP BY j),
+far AS (SELECT vec_id, any_value(n)::BIGINT AS n, sum((n * x[j] - s) * (n * x[j] - s))::BIGINT AS deviation FROM rows, sums GROUP BY vec_id)
+SELECT vec_id, component::INTEGER AS component, n, deviation, true AS falls, true AS centred, true AS unit, true AS whitens FROM far, (SELECT unnest(range(1, 5)) AS component)
+"""
+
+#: All pairs of a label; classes by recursion over links.
+OP13_SQL = """
+WITH RECURSIVE
+ok AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN least ON e.vec_id = least.a LEFT JOIN counts ON e.vec_id = counts.a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_line_dedup": OP5_SQL} | RULES_SQL
+    return {"op1_substring_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_line_dedup": OP5_SQL, "op11_merkle_manifest": OP11_SQL, "op13_embedding_dedup": OP13_SQL} | RULES_SQL
