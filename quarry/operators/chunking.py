@@ -24,7 +24,7 @@ def dense_ids(df: DataFrame, group: str, order: list[Column], name: str = "vecto
     """Numbers rows from 0 in the order of ``group`` and, in a group, of ``order``.
 
     Groups are counted and laid out by ranges first: a range-partitioned sort of the groups gives each partition's offset
-    (one number a partition to the driver), so that no task orders all groups.
+    (one number a partition to the driver), so that no task orders all groups. The rows of a null group come first.
     """
     spark = df.sparkSession
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
@@ -36,15 +36,22 @@ def dense_ids(df: DataFrame, group: str, order: list[Column], name: str = "vecto
         at += totals[part]
     begin = F.broadcast(spark.createDataFrame(starts, "part int, part_start long"))
     before = Window.partitionBy("part").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.join(begin, "part").select(group, (F.col("part_start") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("group_start"))
+    offsets = ranged.join(begin, "part").select(F.col(group).alias("_group"), (F.col("part_start") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("group_start"))
     inside = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return df.withColumn("in_group", inside).join(offsets, group).withColumn(name, (F.col("group_start") + F.col("in_group")).cast("long")).drop("in_group", "group_start")
+    numbered = df.withColumn("in_group", inside).join(offsets, F.col(group).eqNullSafe(F.col("_group")))
+    return numbered.withColumn(name, (F.col("group_start") + F.col("in_group")).cast("long")).drop("in_group", "group_start", "_group")
+
+
+def named_pages(pages: DataFrame) -> DataFrame:
+    """The pages; one without a ``doc_id`` raises, as its chunks would have no name."""
+    known = F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).otherwise(F.raise_error(F.lit("a page has no doc_id")).cast(pages.schema["doc_id"].dataType))
+    return pages.withColumn("doc_id", known)
 
 
 def presegmented(pages: DataFrame) -> DataFrame:
     """One chunk for each page of ``(doc_id, source, page, text)`` that has a token, never cut."""
     # Counted once and kept, as both the numbers and the rows need the result.
-    counted = checkpointed(pages.select("doc_id", "source", "page", "text", token_count("text").alias("token_count"))).where("token_count > 0")
+    counted = checkpointed(named_pages(pages).select("doc_id", "source", "page", "text", token_count("text").alias("token_count"))).where("token_count > 0")
     numbered = dense_ids(counted, "doc_id", [F.col("page")])
     return numbered.select(F.col("doc_id").alias("chunk_id"), "vector_id", "doc_id", "source", F.col("page").alias("page_start"), F.col("page").alias("page_end"), "text", "token_count")
 
@@ -131,7 +138,7 @@ def fixed_sentence(pages: DataFrame, size: int = 300, overlap: int = 50) -> Data
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
-    ordered = pages.select("doc_id", "source", F.col("page").cast("int").alias("page"), "text").repartition("doc_id").sortWithinPartitions("doc_id", "page")
+    ordered = named_pages(pages).select("doc_id", "source", F.col("page").cast("int").alias("page"), "text").repartition("doc_id").sortWithinPartitions("doc_id", "page")
     return ordered.mapInArrow(fold, CHUNK_SCHEMA)
 
 

@@ -39,16 +39,28 @@ def answer_in_passage(hits: DataFrame, answers: str = "answers", text: str = "te
     return grouped.select(*[c for c in hits.columns if c != answers], "relevant")
 
 
+def _some(listed: str, key: str, what: str) -> Column:
+    """The list, if it has an element; else scores would be means over fewer questions than were asked, so it raises."""
+    missing = F.raise_error(F.concat(F.lit(f"{what} to score "), F.coalesce(F.col(key).cast("string"), F.lit("a question without id"))))
+    return F.when(F.coalesce(F.size(listed), F.lit(0)) > 0, F.col(listed)).otherwise(missing.cast("void"))
+
+
+def unscorable(rows: DataFrame, listed: str, key: str = "query_id") -> DataFrame:
+    """``(key, problem)`` of the rows that scoring refuses: those whose list of answers or references is null, empty, or has null elements only."""
+    here = F.size(F.filter(F.coalesce(F.col(listed), F.array().cast(rows.schema[listed].dataType)), lambda x: x.isNotNull()))
+    return rows.where(here == 0).select(key, F.when(F.col(listed).isNull(), f"{listed} is null").when(F.size(listed) == 0, f"{listed} is empty").otherwise(f"{listed} has nulls only").alias("problem"))
+
+
 def short_answer_scores(rows: DataFrame, prediction: str = "prediction", answers: str = "answers", key: str = "query_id") -> DataFrame:
-    """``(key, em, f1)``: exact match with any alias and the best token F1."""
-    each = rows.select(key, normalize_short_answer(prediction).alias("p"), F.explode(answers).alias("a")).withColumn("a", normalize_short_answer("a"))
+    """``(key, em, f1)``: exact match with any alias and the best token F1; a row without aliases raises, see :func:`unscorable`."""
+    each = rows.select(key, normalize_short_answer(prediction).alias("p"), F.explode(_some(answers, key, "no answers")).alias("a")).withColumn("a", normalize_short_answer("a"))
     each = each.select(key, (F.col("p") == F.col("a")).alias("same"), short_answer_f1(F.col("p"), F.col("a")).alias("f1"))
     return each.groupBy(key).agg(F.max("same").alias("em"), F.max("f1").alias("f1"))
 
 
 def paper_answer_scores(rows: DataFrame, prediction: str = "prediction", references: str = "references", evidence: str = "evidence", key: str = "query_id") -> DataFrame:
     """``(key, answer_f1, answer_type, evidence_f1)``: the best answer over all references, its type from the first best, and the best evidence."""
-    each = rows.select(key, F.col(prediction).alias("p"), F.col(evidence).alias("e"), F.posexplode(references).alias("pos", "ref"))
+    each = rows.select(key, F.col(prediction).alias("p"), F.col(evidence).alias("e"), F.posexplode(_some(references, key, "no references")).alias("pos", "ref"))
     each = each.withColumn("gold", reference_answer(F.col("ref")))
     f1 = paper_answer_f1(normalize_paper_answer("p"), normalize_paper_answer("gold.answer"))
     gold = F.when(F.coalesce(F.col("ref.unanswerable"), F.lit(False)), F.array().cast("array<string>")).otherwise(F.coalesce("ref.evidence", F.array().cast("array<string>")))
@@ -77,12 +89,12 @@ def open_corpus_scores(questions: DataFrame, hits: DataFrame, units: DataFrame,
     ``answers`` (query_id, prediction).
 
     Evidence of any paper counts as predicted, so that of wrong papers lowers precision. Recall is the best over references with
-    evidence, and null where none has any.
+    evidence, and null where none has any. A question without references raises, see :func:`unscorable`.
     """
     ranks = hits.join(questions.select("query_id", F.col("paper_id").alias("doc_id")), ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
     predicted = hit_units(hits, units).select("query_id", "doc_id", "evidence").distinct()
     sizes = predicted.groupBy("query_id").agg(F.count("*").alias("n_pred"))
-    refs = questions.select("query_id", "paper_id", F.posexplode("references").alias("ref_no", "ref"))
+    refs = questions.select("query_id", "paper_id", F.posexplode(_some("references", "query_id", "no references")).alias("ref_no", "ref"))
     raw = F.when(F.coalesce(F.col("ref.unanswerable"), F.lit(False)), F.array().cast("array<string>")).otherwise(F.coalesce("ref.evidence", F.array().cast("array<string>")))
     gold = F.array_distinct(F.filter(F.transform(raw, normalize_evidence), lambda e: e != ""))
     refs = refs.withColumn("gold", gold)

@@ -69,10 +69,13 @@ def prepare(spark: SparkSession, wikipedia_path: str, questions_path: str, out:
     request = {"sources": sources, "target_passages": target_passages, "calibration": calibration, "evaluation": evaluation, "hard_negatives": hard_negatives, "seed": seed}
     if writers.exists(spark, out):
         return verify_prepared(spark, out, request)
-    passages = readers.wikipedia_tsv(spark, wikipedia_path)
+    placed = checkpointed(readers.positioned(readers.wikipedia_rows(spark, wikipedia_path)))
+    if bad := readers.order_violations(placed).orderBy("p").limit(5).collect():
+        raise ValueError(f"the ids of passages don't increase from row to row: {[r.n for r in bad]}")
+    passages = placed.select("id", "text", "title")
     if bad := readers.passage_violations(passages).limit(5).collect():
         raise ValueError(f"passages break their rules: {[(r.id, r.problem) for r in bad]}")
-    source = readers.questions(spark, questions_path).withColumn("position", F.monotonically_increasing_id() + 1)
+    source = readers.questions(spark, questions_path, positions=True).withColumn("position", F.col("position") + 1)
     t = chosen(passages, source, target_passages, calibration, evaluation, hard_negatives, seed)
     ids = checkpointed(t["mandatory"].union(t["hard"]).union(t["background"]))
     keys = t["positives"].groupBy("selection_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda p: p["id"]).alias("positive_ids"))
@@ -120,10 +123,11 @@ def verify_prepared(spark: SparkSession, out: str, request: dict | None = None)
         for name, held in writers.read_manifest(spark, f"{out}/{folder}/manifest.json")["artifacts"].items():
             if writers.inventory(spark, f"{out}/{folder}/{name}")["sha256"] != held:
                 raise ValueError(f"{folder}/{name} was changed")
-    passages = readers.jsonl(spark, f"{out}/corpus/passages", readers.PASSAGES)
-    ids = spark.read.text(f"{out}/corpus/passage_ids").select(F.col("value").alias("id"))
-    if passages.count() != root["counts"]["final_passages"] or readers.passage_violations(passages).limit(1).count() or readers.id_list_differences(passages, ids).limit(1).count():
-        raise ValueError("passages and their ids differ")
+    passages, ids = checkpointed(readers.passage_rows(spark, f"{out}/corpus/passages")), readers.listed_ids(spark, f"{out}/corpus/passage_ids")
+    if passages.count() != root["counts"]["final_passages"] or readers.passage_violations(passages).limit(1).count() or readers.order_violations(passages).limit(1).count():
+        raise ValueError("the passages aren't as many as they should be, break a rule or are out of order")
+    if bad := readers.positional_differences(passages, ids).limit(5).collect():
+        raise ValueError(f"passages and their ids differ: {[(r.row, r.passage, r.listed) for r in bad]}")
     for split in ("calibration", "evaluation"):
         asked = readers.jsonl(spark, f"{out}/questions/{split}", "question_id string, question string, answers array<string>, evidence array<struct<alternatives:array<string>>>")
         wanted = asked.select(F.explode(F.flatten(F.transform("evidence", lambda e: e["alternatives"]))).alias("c")).select(F.regexp_replace("c", "^dpr_wiki_passage:", "").alias("id"))
