@@ -30,7 +30,7 @@ from quarry.functions.vectors import matrix
 from quarry.llm.common import checkpointed, components, spread_join
 from quarry.operators import clustering
 
-FIT_ROWS, FIT_ROUNDS = 65_536, 4
+FIT_ROWS, FIT_ROWS_A_TASK, FIT_ROUNDS = 65_536, 4096, 4
 #: Members a list should have, over all labels, and the bounds of the number of lists: each task holds all centroids.
 LIST_ROWS, LEAST_LISTS, MOST_LISTS = 512, 4, 4096
 PARTS, CODES = 8, 256
@@ -97,6 +97,7 @@ def _members(distinct: DataFrame, apart: float) -> tuple[DataFrame, np.ndarray,
     """``MEMBER`` of all vectors ``(u, v)`` of one length, with the centroids and codebooks that they are coded by."""
     n = distinct.count()
     few = checkpointed(distinct.orderBy(F.xxhash64("v"), "u").limit(FIT_ROWS)) if n > FIT_ROWS else distinct
+    few = few.coalesce(max(1, min(n, FIT_ROWS) // FIT_ROWS_A_TASK))  # a bounded table; each task returns its sums for every centroid
     lists = max(1, min(n, MOST_LISTS, max(LEAST_LISTS, n // LIST_ROWS)))
     centroids = clustering.fit(few, lists, FIT_ROUNDS, view=UnitRows())[0]
     books = clustering.fit(few, min(CODES, n), FIT_ROUNDS, seed=1, view=UnitRests(centroids))
@@ -185,15 +186,15 @@ def _links(members: DataFrame, model, cosine: float) -> DataFrame:
     lists = lists.select(F.xxhash64("label", "home").alias("list"), F.col("label").alias("_label"), F.col("home").alias("cell"), "parts")
     own = F.struct(F.col("home").alias("cell"), F.lit(True).alias("lies"))
     visits = F.transform("probes", lambda c: F.struct(c.alias("cell"), F.lit(False).alias("lies")))
-    at = members.select("*", F.explode(F.concat(F.array(own), visits)).alias("at")).withColumn("list", F.xxhash64("label", "at.cell"))
-    # A list of a third of all rows is split at run time.
+    at = members.select("u", "label", F.explode(F.concat(F.array(own), visits)).alias("at")).withColumn("list", F.xxhash64("label", "at.cell"))
+    # A list of a third of all rows is split at run time; vectors join when it is known where they go.
     met = spread_join(at, lists, "list").where((F.col("label") == F.col("_label")) & (F.col("at.cell") == F.col("cell")))
     part = F.pmod(F.xxhash64("u"), F.col("parts").cast("long")).cast("int")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     pairs = F.transform(every, lambda p: F.struct(F.least(p, part).alias("a"), F.greatest(p, part).alias("b")))
     alone = F.transform(every, lambda p: F.struct(p.alias("a"), p.alias("b")))
-    blocks = met.select("label", "cell", part.alias("part"), "u", "home", "probes", "mult", "v", "code", "rest", F.explode(F.when(F.col("at.lies"), pairs).otherwise(alone)).alias("block"))
-    blocks = blocks.select("label", "cell", "block.a", "block.b", "part", "u", "home", "probes", "mult", "v", "code", "rest")
+    sent = met.select("u", "cell", part.alias("part"), F.explode(F.when(F.col("at.lies"), pairs).otherwise(alone)).alias("block"))
+    blocks = sent.join(members, "u").select("label", "cell", "block.a", "block.b", "part", "u", "home", "probes", "mult", "v", "code", "rest")
     shared = spark.sparkContext.broadcast(model)
     return blocks.groupBy("label", "cell", "a", "b").applyInArrow(lambda key, table: _block(key, table, shared.value, cosine), "u long, n long, other long")
 
@@ -202,7 +203,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
     """``SCHEMA``, a row for each input row; ``cosine`` is over 0."""
     if not 0 < cosine <= 1:
         raise ValueError("the cosine is over 0 and at most 1")
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     rows = rows.withColumn("ok", valid("label", "v"))
     keys = [F.when(F.col("ok"), F.xxhash64(F.lit(k), "label", "v")).alias(f"k{k}") for k in (1, 2)]
     keyed = rows.select("vec_id", "label", "v", "ok", *keys)

@@ -17,11 +17,11 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ from quarry.llm.common import checkpointed, in_batches
 from quarry.llm.toxicity import held_out
 
 SLOT_BITS = 18
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 GAP = 1
 
 
