@@ -17,7 +17,9 @@ from quarry.functions.vectors import matrix
 
 #: Entries of a distance matrix that a task makes at once: 32 MB.
 STEP = 4_000_000
-SEED_ROUNDS = 4
+SEED_ROUNDS = 3
+#: Lloyd rounds end when the sum of squared distances falls by less than this share.
+LEAST_GAIN = 0.002
 
 
 def nearest(x: np.ndarray, c: np.ndarray, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -40,8 +42,8 @@ def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) / 2.0**64
 
 
-def _ship(df: DataFrame, model, fn: Callable, schema: str) -> DataFrame:
-    """``fn(ids, vectors, model)`` over bounded slices of each task, its tuples of arrays as rows; the model is broadcast."""
+def _ship(df: DataFrame, view: Callable, model, fn: Callable, schema: str) -> DataFrame:
+    """What ``fn(model)`` gathers of the ids and parts of a task's vectors, seen in bounded slices, as rows; the model is broadcast."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     kinds = [f.split() for f in schema.split(", ")]
     arrow = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
@@ -51,7 +53,7 @@ def _ship(df: DataFrame, model, fn: Callable, schema: str) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                fold.add(part.column(0).to_numpy(), matrix(part.column(1), part.column(0)))
+                fold.add(part.column(0).to_numpy(), view(matrix(part.column(1), part.column(0))))
         out = fold.rows()
         if out and len(out[0]):
             yield pa.RecordBatch.from_pydict({name: pa.array(c if kind != "array<double>" else list(c), arrow[kind]) for c, (name, kind) in zip(out, kinds)})
@@ -63,11 +65,10 @@ class _Seeds:
     """Of one task: points drawn by their distance to the centroids so far, and the sum of these distances, for each book."""
 
     def __init__(self, model):
-        self.view, self.books, self.cost, self.wanted, self.salt = model
+        self.books, self.cost, self.wanted, self.salt = model
         self.total, self.found = np.zeros(len(self.books)), []
 
-    def add(self, ids, x):
-        parts = self.view(x)
+    def add(self, ids, parts):
         for j, c in enumerate(self.books):
             _, far = nearest(parts[:, j], c)
             self.total[j] += far.sum()
@@ -83,36 +84,37 @@ class _Sums:
     """Of one task: the sum and number of the points nearest to each centroid, and the farthest point, for each book."""
 
     def __init__(self, model):
-        self.view, self.books, self.inner = model
+        self.books, self.inner = model
         self.sums, self.counts = [np.zeros_like(c) for c in self.books], [np.zeros(len(c), np.int64) for c in self.books]
-        self.worst = [(-1.0, None)] * len(self.books)
+        self.worst, self.cost = [(-1.0, None)] * len(self.books), np.zeros(len(self.books))
 
-    def add(self, ids, x):
-        parts = self.view(x)
+    def add(self, ids, parts):
         for j, c in enumerate(self.books):
             who, far = nearest(parts[:, j], c, self.inner)
             np.add.at(self.sums[j], who, parts[:, j])
             self.counts[j] += np.bincount(who, minlength=len(c))
+            self.cost[j] += far.sum()
             at = int(far.argmax())
             self.worst[j] = max(self.worst[j], (float(far[at]), parts[at, j]), key=lambda w: w[0])
 
     def rows(self):
         out = [(j, int(k), int(n[k]), 0.0, self.sums[j][k]) for j, n in enumerate(self.counts) for k in np.flatnonzero(n)]
         out += [(j, -1, 1, w, p) for j, (w, p) in enumerate(self.worst) if p is not None]
+        out += [(j, -2, 0, float(c), self.sums[j][0] * 0) for j, c in enumerate(self.cost)]
         return list(zip(*out))
 
 
 def _added(batches):
-    """Sums of the tasks' sums, by book and centroid; farthest points pass."""
+    """Sums of the tasks' sums, by book and centroid; farthest points (centroid -1) pass, costs (-2) are added."""
     sums: dict[tuple[int, int], list] = {}
     for b in batches:
         book, cell, n, far, v = (b.column(k).to_numpy(zero_copy_only=False) if k < 4 else matrix(b.column(4)) for k in range(5))
         for at in range(b.num_rows):
             key = (int(book[at]), int(cell[at]))
-            if key[1] < 0:
+            if key[1] == -1:
                 key += (float(far[at]),)
-            own = sums.setdefault(key, [0, float(far[at]), 0.0])
-            own[0], own[2] = own[0] + int(n[at]), own[2] + v[at] if key[1] >= 0 else v[at]
+            own = sums.setdefault(key, [0, 0.0, 0.0])
+            own[0], own[1], own[2] = own[0] + int(n[at]), own[1] + float(far[at]), own[2] + v[at]
     if sums:
         keys, values = list(sums), list(sums.values())
         yield pa.RecordBatch.from_pydict({
@@ -157,16 +159,17 @@ def fit(points: DataFrame, k: int, rounds: int = 10, seed: int = 0, spherical: b
     start = view(np.array([first[0][1]], np.float64))[0]
     books, cost = [s[None] for s in start], None
     for r in range(SEED_ROUNDS + 1):
-        rows = _ship(points, (view, books, cost, max(k / 2, 8.0), seed * 31 + r), _Seeds, "book int, v array<double>, cost double")
+        rows = _ship(points, view, (books, cost, max(k / 2, 8.0), seed * 31 + r), _Seeds, "book int, v array<double>, cost double")
         found = rows.groupBy("book", F.size("v").alias("d"), "v").agg(F.sum("cost").alias("cost")).collect()  # about k / 2 candidates a book, and its cost
         cost = np.array([sum(f.cost for f in found if f.book == j and f.d == 0) for j in range(len(books))])
         new = sorted(((f.book, f.v) for f in found if f.d), key=lambda f: (f[0], f[1]))
         books = [np.array([*c.tolist(), *[v for j, v in new if j == b]]) for b, c in enumerate(books)]
-    counts, _, _ = _lloyd(points, books, view, False)
+    counts = _lloyd(points, books, view, False)[0]
     books = [_weighted_seeds(c, counts[j] + 1e-9, k, rng) for j, c in enumerate(books)]
+    before = np.inf
     for _ in range(rounds):
-        counts, means, worst = _lloyd(points, books, view, spherical)
-        settled = True
+        counts, means, worst, cost = _lloyd(points, books, view, spherical)
+        settled, before = cost > (1 - LEAST_GAIN) * before, cost
         for j, c in enumerate(books):
             new = np.where(counts[j][:, None] > 0, means[j], c)
             empty = np.flatnonzero(counts[j] == 0)
@@ -174,7 +177,7 @@ def fit(points: DataFrame, k: int, rounds: int = 10, seed: int = 0, spherical: b
                 new[at] = p
             if spherical:
                 new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
-            settled &= bool(np.allclose(new, c, atol=1e-9))
+            settled &= not len(empty)
             books[j] = new
         if settled:
             break
@@ -184,12 +187,14 @@ def fit(points: DataFrame, k: int, rounds: int = 10, seed: int = 0, spherical: b
 def _lloyd(points: DataFrame, books: list[np.ndarray], view, inner: bool):
     """Of each book: how many points each centroid has, their means, and farthest points of tasks."""
     schema = "book int, cell int, n long, far double, v array<double>"
-    parts = _ship(points, (view, books, inner), _Sums, schema)
+    parts = _ship(points, view, (books, inner), _Sums, schema)
     rows = parts.repartition("book", "cell").mapInArrow(_added, schema).collect()  # the centroids, and a point a task and book
-    counts, means, worst = [np.zeros(len(c), np.int64) for c in books], [np.array(c) for c in books], [[] for _ in books]
+    counts, means, worst, cost = [np.zeros(len(c), np.int64) for c in books], [np.array(c) for c in books], [[] for _ in books], 0.0
     for r in rows:
-        if r.cell < 0:
+        if r.cell == -2:
+            cost += r.far
+        elif r.cell == -1:
             worst[r.book].append((r.far, r.v))
         else:
             counts[r.book][r.cell], means[r.book][r.cell] = r.n, np.array(r.v) / r.n
-    return counts, means, worst
+    return counts, means, worst, cost

@@ -96,23 +96,30 @@ def rank(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scan(corpus: DataFrame, queries: DataFrame, k: int, kernel, wanted=None) -> DataFrame:
+def _scan(corpus: DataFrame, queries: DataFrame, k: int, kernel, wanted=None, repeats: bool = False) -> DataFrame:
     """Runs ``kernel(batches, qids, qmat)`` over the corpus for each query block and merges the tasks' best; ``wanted(qmat)`` is a
-    condition on the rows that a block has to read."""
+    condition on the rows that a block has to read. With ``repeats``, tasks may find the same vector."""
     spark, parts = corpus.sparkSession, []
     for qids, qmat in query_blocks(queries):
         shared = spark.sparkContext.broadcast((qids, qmat))  # QUERY_BLOCK vectors at most
         read = corpus if wanted is None else corpus.where(wanted(qmat))
         part = read.mapInArrow(lambda batches, shared=shared: kernel(batches, *shared.value), HITS)
+        part = part.groupBy("query_id", "vector_id").agg(F.max("score").alias("score")) if repeats else part
         parts.append(part)
         if len(parts) == BLOCKS_A_PLAN:  # so many scans make one table before more are added
             parts = [checkpointed(rank(reduce(DataFrame.unionAll, parts), k).drop("rank"))]
     return rank(reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], HITS), k)
 
 
-def _merged(found: list[dict], k: int):
-    """One batch with the best ``k`` of each query among partial hits."""
+def _merged(found: list[dict], k: int, repeats: bool = False):
+    """One batch with the best ``k`` of each query among partial hits; with ``repeats``, a vector may be in several."""
     q, i, s = (np.concatenate([f[c] for f in found]) for c in ("query_id", "vector_id", "score"))
+    if repeats:
+        order = np.lexsort((-s, i, q))
+        q, i, s = q[order], i[order], s[order]
+        first = np.ones(len(q), bool)
+        first[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])
+        q, i, s = q[first], i[first], s[first]
     order = np.lexsort((i, -s, q))
     q, i, s = q[order], i[order], s[order]
     at = np.arange(len(q)) - np.searchsorted(q, q)
@@ -381,27 +388,126 @@ def _linked(x: np.ndarray, m: int, most: int, ef: int) -> list[list[int]]:
     return links
 
 
-GRAPHS = "shard string, dimension int, ids binary, vectors binary, sizes array<int>, nodes binary, starts binary, links binary"
+GRAPHS = "shard string, cell int, dimension int, ids binary, vectors binary, sizes array<int>, nodes binary, starts binary, links binary"
+
+
+def _graph_row(ids: np.ndarray, x: np.ndarray, m: int, ef: int, cell: int) -> pa.RecordBatch:
+    x = np.ascontiguousarray(x, np.float32)
+    g = Graph.built(x.astype(np.float64), m, ef)
+    flat = [np.concatenate([np.asarray(layer[j], np.int32) for layer in g.layers]).tobytes() for j in range(3)]
+    return pa.RecordBatch.from_pydict({
+        "shard": [f"{ids.min()}-{ids.max()}"], "cell": pa.array([cell], pa.int32()), "dimension": pa.array([x.shape[1]], pa.int32()), "ids": [ids.astype(np.int64).tobytes()], "vectors": [x.tobytes()],
+        "sizes": pa.array([[len(layer[0]) for layer in g.layers]], pa.list_(pa.int32())), "nodes": [flat[0]], "starts": [flat[1]], "links": [flat[2]],
+    })
 
 
 def build_graphs(corpus: DataFrame, m: int = 32, ef_construction: int = 200, shard: int = 4096) -> DataFrame:
-    """A row for each ``shard`` vectors of a task: their ids, vectors and graph; to be written, or checkpointed, and searched."""
+    """A row for each ``shard`` vectors of a task: their ids, vectors and graph; to be written, or checkpointed, and searched. Every query visits every graph, see :func:`build_routed`."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, shard):
                 piece = b.slice(at, shard)
-                ids, x = piece.column(0).to_numpy(), np.ascontiguousarray(matrix(piece.column(1), piece.column(0)), np.float32)
-                g = Graph.built(x.astype(np.float64), m, ef_construction)
-                flat = [np.concatenate([np.asarray(layer[j], np.int32) for layer in g.layers]).tobytes() for j in range(3)]
-                yield pa.RecordBatch.from_pydict({
-                    "shard": [f"{ids.min()}-{ids.max()}"], "dimension": pa.array([x.shape[1]], pa.int32()), "ids": [ids.astype(np.int64).tobytes()], "vectors": [x.tobytes()],
-                    "sizes": pa.array([[len(layer[0]) for layer in g.layers]], pa.list_(pa.int32())), "nodes": [flat[0]], "starts": [flat[1]], "links": [flat[2]],
-                })
+                yield _graph_row(piece.column(0).to_numpy(), matrix(piece.column(1), piece.column(0)), m, ef_construction, 0)
 
     return corpus.select("vector_id", "embedding").mapInArrow(run, GRAPHS)
 
 
+@dataclass(frozen=True)
+class Router:
+    """Which shards a query visits: a graph over the shards' centroids, small enough for every task."""
+
+    centroids: np.ndarray
+    graph: Graph
+
+    @classmethod
+    def over(cls, centroids: np.ndarray, m: int = 16) -> "Router":
+        return cls(centroids, Graph.built(centroids, m, 4 * m))
+
+    def visits(self, q: np.ndarray, most: int) -> list[np.ndarray]:
+        """The cells whose centroids have the largest products with each query, as the graph finds them."""
+        return [np.array([n for _, n in self.graph.search(v, most, max(4 * most, 32))], np.int64) for v in q]
+
+
+def train_router(corpus: DataFrame, shards: int, train_size: int = 200_000, train_seed: int = 20260731, rounds: int = 10) -> Router:
+    """Centroids of the shards, fitted on executors from the seeded sample, and the graph over them."""
+    rows = checkpointed(training_sample(corpus, train_size, train_seed))
+    return Router.over(clustering.fit(rows, shards, rounds, train_seed, spherical=True)[0])
+
+
+def build_routed(corpus: DataFrame, router: Router, m: int = 32, ef_construction: int = 200, shard: int = 4096, border: float = 0.05) -> DataFrame:
+    """``GRAPHS`` of shards around centroids. A vector near the border to a second centroid (their products differ by less than ``border``)
+    is a node of both shards, so that ways lead across.
+
+    A cell of more vectors than ``shard`` is dealt to several graphs by a hash, which a query visits together.
+    """
+    shared = corpus.sparkSession.sparkContext.broadcast(router.centroids)
+
+    def assign(batches):
+        c = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, step := max(1, clustering.STEP // len(c))):
+                piece = b.slice(at, step)
+                score = matrix(piece.column(1), piece.column(0), c.shape[1]).astype(np.float64) @ c.T
+                rows = np.arange(len(score))
+                first = score.argmax(axis=1)
+                best = score[rows, first]
+                score[rows, first] = -np.inf
+                second = score.argmax(axis=1)
+                cells = [[int(x)] + ([int(y)] if len(c) > 1 and near < border else []) for x, y, near in zip(first, second, best - score[rows, second])]
+                yield pa.RecordBatch.from_pydict({"vector_id": piece.column(0), "embedding": piece.column(1).cast(pa.list_(pa.float32())), "cells": pa.array(cells, pa.list_(pa.int32()))})
+
+    assigned = checkpointed(corpus.select("vector_id", "embedding").mapInArrow(assign, "vector_id long, embedding array<float>, cells array<int>"))
+    rows = assigned.select("vector_id", "embedding", F.explode("cells").alias("cell"))
+    parts = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count("*") / shard).alias("parts")))  # a row a centroid
+    dealt = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("vector_id"), "parts"))
+
+    def run(key, table):
+        table = table.sort_by("vector_id")
+        return pa.Table.from_batches([_graph_row(table.column("vector_id").to_numpy(), matrix(table.column("embedding"), table.column("vector_id")), m, ef_construction, key[0].as_py())])
+
+    return dealt.groupBy("cell", "part").applyInArrow(run, GRAPHS)
+
+
+def routed_search(graphs: DataFrame, router: Router, queries: DataFrame, k: int, ef_search: int = 64, visits: int | None = None) -> DataFrame:
+    """Approximate top ``k``: each query visits the ``visits`` shards that the router finds for it (a quarter of them, one at least, by default); a block reads only the shards that its queries visit."""
+    visits = visits or max(1, len(router.centroids) // 4)
+    shared = graphs.sparkSession.sparkContext.broadcast(router)
+
+    def kernel(batches, qids, qmat):
+        asked: dict[int, list[int]] = {}
+        for q, cells in enumerate(shared.value.visits(qmat, visits)):
+            for c in cells.tolist():
+                asked.setdefault(c, []).append(q)
+        held = None
+        for b in batches:
+            for row in b.to_pylist():
+                mine = asked.get(row["cell"])
+                if mine:
+                    part = _graph_hits(row, qids[mine], qmat[mine], k, ef_search)
+                    held = part if held is None else _merged([held, part], k, True)
+        if held is not None:
+            yield pa.RecordBatch.from_pydict(held)
+
+    def wanted(qmat):
+        return F.col("cell").isin([int(c) for c in np.unique(np.concatenate(router.visits(qmat, visits)))])
+
+    return _scan(graphs, queries, k, kernel, wanted, True)
+
+
+def visited_shards(router: Router, queries: DataFrame, visits: int) -> DataFrame:
+    """``(query_id, cell)`` of the shards that each query visits."""
+    shared = queries.sparkSession.sparkContext.broadcast(router)
+
+    def run(batches):
+        for b in batches:
+            found = shared.value.visits(matrix(b.column(1), b.column(0)).astype(np.float64), visits) if b.num_rows else []
+            n = [len(f) for f in found]
+            yield pa.RecordBatch.from_pydict({"query_id": b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), "cell": pa.array(np.concatenate(found).astype(np.int32) if found else [], pa.int32())})
+
+    return queries.select("query_id", "embedding").mapInArrow(run, "query_id long, cell int")
+
+
 def _opened(row: dict) -> tuple[np.ndarray, Graph]:
     x = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dimension"]).astype(np.float64)
     nodes, starts, links = (np.frombuffer(row[c], np.int32).astype(np.int64) for c in ("nodes", "starts", "links"))
@@ -413,6 +519,12 @@ def _opened(row: dict) -> tuple[np.ndarray, Graph]:
     return np.frombuffer(row["ids"], np.int64), Graph(x, layers)
 
 
+def _graph_hits(row: dict, qids: np.ndarray, qmat: np.ndarray, k: int, ef: int) -> dict:
+    ids, graph = _opened(row)
+    q, s, i = (np.array(c) for c in zip(*[(q, s, ids[n]) for q, v in zip(qids.tolist(), qmat) for s, n in graph.search(v, k, ef)]))
+    return {"query_id": q.astype(np.int64), "vector_id": i.astype(np.int64), "score": np.round(s.astype(np.float64), 9)}
+
+
 def graph_search(graphs: DataFrame, queries: DataFrame, k: int, ef_search: int = 64) -> DataFrame:
     """Approximate top ``k`` over a table of graphs: each is searched, the best merged."""
 
@@ -420,10 +532,7 @@ def graph_search(graphs: DataFrame, queries: DataFrame, k: int, ef_search: int =
         held = None
         for b in batches:
             for row in b.to_pylist():
-                ids, graph = _opened(row)
-                found = [(q, s, ids[n]) for q, v in zip(qids.tolist(), qmat) for s, n in graph.search(v, k, ef_search)]
-                q, s, i = (np.array(c) for c in zip(*found))
-                part = {"query_id": q.astype(np.int64), "vector_id": i.astype(np.int64), "score": np.round(s.astype(np.float64), 9)}
+                part = _graph_hits(row, qids, qmat, k, ef_search)
                 held = part if held is None else _merged([held, part], k)
         if held is not None:
             yield pa.RecordBatch.from_pydict(held)

@@ -41,8 +41,8 @@ def _write(built: Built, path: str, manifest: dict) -> None:
         counts["vectors"] = spark.read.parquet(f"{path}/vectors").count()
         if built.graphs is not None:
             built.graphs.write.parquet(f"{path}/graphs")
-        if built.inverted is not None:
-            arrays = [("centroids", built.inverted.centroids)] + ([("books", built.inverted.books)] if built.inverted.books is not None else [])
+        if built.inverted is not None or built.router is not None:
+            arrays = [("centroids", (built.inverted or built.router).centroids)] + ([("books", built.inverted.books)] if built.inverted and built.inverted.books is not None else [])
             rows = [(name, list(a.shape), a.astype(float).ravel().tolist()) for name, a in arrays]
             spark.createDataFrame(rows, "name string, shape array<int>, data array<double>").coalesce(1).write.parquet(f"{path}/trained")
     writers.write_manifest(spark, f"{path}/manifest.json", manifest | {"rows": counts})
@@ -75,10 +75,11 @@ def open_artifact(spark: SparkSession, path: str, config: Config) -> Built:
         built.lexical = bm25.Bm25Index.read(spark, f"{path}/bm25")
     else:
         built.vectors = spark.read.parquet(f"{path}/vectors")
+        if config.index != "flat_ip":
+            arrays = {r.name: np.array(r.data).reshape(r.shape) for r in spark.read.parquet(f"{path}/trained").collect()}
         if config.index == "hnsw":
-            built.graphs = spark.read.parquet(f"{path}/graphs")
+            built.graphs, built.router = spark.read.parquet(f"{path}/graphs"), vector_index.Router.over(arrays["centroids"])
         if config.index.startswith("ivf"):
-            arrays = {r.name: np.array(r.data).reshape(r.shape) for r in spark.read.parquet(f"{path}/trained").collect()}
             built.inverted = vector_index.InvertedFile(arrays["centroids"], arrays.get("books"))
     verify(built, manifest["rows"])
     return built

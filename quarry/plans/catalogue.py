@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window  # noqa: F401
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.functions.vectors import l2_normalize
 from quarry.operators import answering, bm25, chunking, embedding, evaluation, papers, preparation, retrieval, runs, vector_index
 from quarry.sources import readers
 from quarry.sources.checkpoints import checkpointed, shared_dir
@@ -285,27 +286,74 @@ def q27_ivf_full_probe_exact(spark, sf):
     return found.select("query_id", "rank", "vector_id", F.round("score", 6).alias("score"))
 
 
-def _recall_of(spark, sf, found):
-    """One row: how many queries there are, and whether the mean recall of their exact hits is 0.9 or more."""
-    return vector_index.recall(found, exact(spark, sf, K)).select("queries", (F.col("mean_recall") >= 0.9).alias("recall_is_90"))
+def clustered(spark, sf):
+    """The vectors, pulled towards a direction of their label, as real embeddings lie in clusters; unit length."""
+    pulled = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == F.col("label"), 1.5).otherwise(0.0))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("vector_id"), l2_normalize(pulled).alias("embedding"))
 
 
-def q28_ivf_recall(spark, sf):
-    """14 of 16 cells: the test vectors are random, so that neighbours are spread over most cells."""
-    built, index = _inverted(spark, sf)
-    return _recall_of(spark, sf, vector_index.ivf_search(built, index, vector_queries(spark, sf), K, nprobe=14))
+def _recall_of(spark, sf, found, every, **more):
+    """One row: how many queries there are, the mean recall of their exact hits, whether it is 0.9 or more, and the share of cells or shards visited."""
+    asked = every.where("vector_id % 50 = 0").withColumnRenamed("vector_id", "query_id")
+    measured = vector_index.recall(found, vector_index.flat_search(every, asked, K))
+    return measured.select("queries", "mean_recall", (F.col("mean_recall") >= 0.9).alias("recall_is_90"), *[F.lit(v).alias(k) for k, v in more.items()])
 
 
-def q29_pq_recall(spark, sf):
+def _probed_lists(spark, sf):
+    """Four of 16 cells, over vectors in clusters."""
+    every = clustered(spark, sf)
+    index = vector_index.train_ivf(every, nlist=16, train_size=20_000)
+    found = vector_index.ivf_search(vector_index.build_ivf(every, index), index, every.where("vector_id % 50 = 0").withColumnRenamed("vector_id", "query_id"), K, nprobe=4)
+    return _recall_of(spark, sf, found, every, visited=0.25)
+
+
+def _coded_lists(spark, sf):
     """Ten of sixty coarse hits by whole vectors."""
+    every = vectors(spark, sf)
     built, index = _inverted(spark, sf, m=32)
     coarse = vector_index.ivf_search(built, index, vector_queries(spark, sf), 6 * K, nprobe=16)
-    return _recall_of(spark, sf, vector_index.rescored(coarse, vectors(spark, sf), vector_queries(spark, sf), K))
+    return _recall_of(spark, sf, vector_index.rescored(coarse, every, vector_queries(spark, sf), K), every, visited=1.0)
+
+
+def _routed_graphs(spark, sf):
+    """A quarter of the shards of graphs, over vectors in clusters."""
+    every = checkpointed(clustered(spark, sf))
+    asked = every.where("vector_id % 50 = 0").withColumnRenamed("vector_id", "query_id")
+    shards = max(16, -(-every.count() // 2048))
+    router = vector_index.train_router(every, shards)
+    graphs = checkpointed(vector_index.build_routed(every, router))
+    found = vector_index.routed_search(graphs, router, asked, K, visits=shards // 4)
+    share = vector_index.visited_shards(router, asked, shards // 4).count() / max(asked.count(), 1) / shards
+    return _recall_of(spark, sf, found, every, visited=share)
+
+
+def _flagged(measured):
+    """What SQL can state of a measured recall."""
+    return measured.select("queries", "recall_is_90", (F.col("visited") <= 0.25).alias("few_visited"))
+
+
+def q28_ivf_recall(spark, sf):
+    return _flagged(_probed_lists(spark, sf))
+
+
+def q29_pq_recall(spark, sf):
+    return _coded_lists(spark, sf).select("queries", "recall_is_90")
 
 
 def q30_hnsw_recall(spark, sf):
-    graphs = checkpointed(vector_index.build_graphs(vectors(spark, sf)))
-    return _recall_of(spark, sf, vector_index.graph_search(graphs, vector_queries(spark, sf), K))
+    return _flagged(_routed_graphs(spark, sf))
+
+
+def q77_measured_recall(spark, sf):
+    """The recall and the share visited of the three kinds, as numbers."""
+    parts = [f(spark, sf).withColumn("kind", F.lit(kind)) for kind, f in (("ivf_flat", _probed_lists), ("ivf_pq", _coded_lists), ("hnsw", _routed_graphs))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def q78_training_sample(spark, sf):
+    """Half of the vectors, drawn by seed; how many, and that they are vectors."""
+    n = vectors(spark, sf).count()
+    return vector_index.training_sample(vectors(spark, sf), n // 2, 7).agg(F.count("*").alias("n"), F.count_distinct("vector_id").alias("ids"))
 
 
 def _reranked(spark, sf):

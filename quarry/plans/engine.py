@@ -14,6 +14,10 @@ from quarry.sources import writers
 from quarry.sources.checkpoints import checkpointed
 
 
+#: Vectors of a graph's shard on average.
+SHARD = 4096
+
+
 @dataclass
 class Built:
     """A corpus with its index, ready for batches of questions."""
@@ -23,6 +27,7 @@ class Built:
     vectors: DataFrame | None = None
     inverted: vector_index.InvertedFile | None = None
     graphs: DataFrame | None = None
+    router: vector_index.Router | None = None
     lexical: bm25.Bm25Index | None = None
 
 
@@ -57,7 +62,8 @@ def build(pages: DataFrame, config: Config, encode=None) -> Built:
         built.vectors = checkpointed(vector_index.build_ivf(vectors, built.inverted))
     elif config.index == "hnsw":
         p = config.build_params()
-        built.graphs = checkpointed(vector_index.build_graphs(vectors, p["m"], p["ef_construction"]))
+        built.router = vector_index.train_router(vectors, max(1, -(-vectors.count() // SHARD)))
+        built.graphs = checkpointed(vector_index.build_routed(vectors, built.router, p["m"], p["ef_construction"], 2 * SHARD))
     return built
 
 
@@ -88,7 +94,9 @@ def retrieve(built: Built, questions: DataFrame, k: int, encode=None, space: dic
         if c.index == "flat_ip":
             hits = vector_index.flat_search(built.vectors, asked, k)
         elif c.index == "hnsw":
-            hits = vector_index.graph_search(built.graphs, asked, k, search["ef_search"])
+            # A few shards are all visited; of many, a quarter.
+            shards = len(built.router.centroids)
+            hits = vector_index.routed_search(built.graphs, built.router, asked, k, search["ef_search"], max(min(shards, 4), shards // 4))
         else:
             hits = vector_index.ivf_search(built.vectors, built.inverted, asked, k, search["nprobe"], search["max_codes"])
         hits = clock.stage("index_search_ms", hits)

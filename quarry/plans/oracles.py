@@ -231,9 +231,10 @@ UNION ALL SELECT 'zero', count(*), count(*), round(avg(CASE WHEN status = 'succe
     "q26_resume_pending": """WITH s AS (SELECT item_id, CASE WHEN item_id % 9 = 1 THEN 'success' WHEN item_id % 9 = 3 THEN 'error' WHEN item_id % 3 = 0 THEN 'success' WHEN item_id % 3 = 1 THEN 'error' ELSE 'new' END AS status FROM benchmark)
 SELECT item_id AS position, format('q{:05d}', item_id) AS question_id, status, status <> 'success' AS pending FROM s""",
     "q27_ivf_full_probe_exact": _Q01,
-    "q28_ivf_recall": _RECALL,
+    "q28_ivf_recall": _RECALL.replace(" FROM", ", true AS few_visited FROM"),
     "q29_pq_recall": _RECALL,
-    "q30_hnsw_recall": _RECALL,
+    "q30_hnsw_recall": _RECALL.replace(" FROM", ", true AS few_visited FROM"),
+    "q78_training_sample": "SELECT count(*) // 2 AS n, count(*) // 2 AS ids FROM embeddings",
     "q31_rerank_paired_metrics": f"""WITH {_HITS}, w AS (SELECT query_id, vector_id, rank, relevant, len(list_intersect(list_distinct(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]+')), list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')))) AS s FROM judged),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS rr FROM w)
 SELECT query_id, round(coalesce(1.0 / min(rank) FILTER (relevant), 0)::DOUBLE, 6) AS pool_rr, round(coalesce(1.0 / min(rank) FILTER (relevant AND rank <= 3), 0)::DOUBLE, 6) AS baseline_rr, round(coalesce(1.0 / min(rr) FILTER (relevant AND rr <= 3), 0)::DOUBLE, 6) AS reranked_rr FROM r GROUP BY query_id""",

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import variants as V
 from quarry.functions.hashing import sequence_digest
 from quarry.operators import answering, chunking, embedding, evaluation, papers, preparation, retrieval, runs, vector_index
 from quarry.plans import artifacts, engine, prepare, runner
@@ -16,22 +17,24 @@ from quarry.sources import readers, writers
 from quarry.sources.checkpoints import checkpointed, shared_dir
 from quarry.streaming.append import append_vectors
 
-TEXT = "TRIM(BOTH FROM regexp_replace(text, '[\\\\t\\\\r\\\\n\"]+', ' '))"
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def plain_documents(spark, sf):
-    """Documents with texts of one line without quotes, those that are blank left out."""
-    d = C.table(spark, sf, "documents").withColumn("text", F.expr(TEXT))
-    return d.where("text <> ''").select(F.col("doc_id").cast("string").alias("id"), "text", F.concat(F.lit("Title "), F.floor(F.col("doc_id") / 5).cast("string")).alias("title"))
+def worded_documents(spark, sf):
+    """Documents as passages, whole texts with their quotes, tabs and line ends; those without a printed character are no passages."""
+    d = C.table(spark, sf, "documents").where(F.col("text").rlike(r"\S"))
+    return d.select(F.col("doc_id").cast("string").alias("id"), "text", F.concat(F.lit('Title "'), F.floor(F.col("doc_id") / 5).cast("string"), F.lit('"')).alias("title"))
+
+
+def _write_tsv(passages: DataFrame, path: str) -> None:
+    passages.write.csv(path, sep="\t", header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def q48_wikipedia_tsv(spark, sf):
+    """Quoted fields that hold quotes, tabs and line ends, read in splits."""
     path = scratch(spark, "tsv")
-    plain_documents(spark, sf).write.csv(path, sep="\t", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    _write_tsv(worded_documents(spark, sf), path)
     back = readers.wikipedia_tsv(spark, path)
     return back.select("id", "title", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
@@ -45,13 +48,21 @@ def context_kind() -> str:
     return "struct<title:string,text:string,passage_id:string>"
 
 
+def _write_lines(rows: DataFrame, path: str) -> None:
+    """One text file of ``(n, value)`` in the order of ``n``; sorted rows stream through the task that writes it."""
+    rows.orderBy("n").coalesce(1).select("value").write.text(path)
+
+
 def q49_question_framings(spark, sf):
     """The same questions as JSON lines, as one array, and as an object that holds the array."""
     records, out = _question_records(spark, sf), None
-    whole = records.agg(F.to_json(F.collect_list(F.struct(*records.columns))).alias("value"))
-    for name, table in {"lines.jsonl": None, "array.json": whole, "data.json": whole.select(F.concat(F.lit('{"data":'), "value", F.lit("}")))}.items():
+    as_json = C.items(spark, sf).select("query_id", "question").join(records, "question").select(F.col("query_id").alias("n"), F.to_json(F.struct(*records.columns)).alias("value"))
+    first = as_json.agg(F.min("n").alias("least"))
+    listed = as_json.join(F.broadcast(first)).select("n", F.concat(F.when(F.col("n") == F.col("least"), " ").otherwise(","), "value").alias("value"))
+    around = lambda a, z: listed.unionByName(spark.createDataFrame([(-1, a), (1 << 60, z)], "n long, value string"))
+    for name, table in {"lines.jsonl": None, "array.json": around("[", "]"), "data.json": around('{"data":[', "]}")}.items():
         path = f"{scratch(spark, 'questions')}-{name}"
-        (records.write.json(path) if table is None else table.coalesce(1).write.text(path))
+        (records.write.json(path) if table is None else _write_lines(table, path))
         part = readers.questions(spark, path).select(F.lit(name.split(".")[0]).alias("framing"), F.sha2(F.col("question").cast("binary"), 256).alias("digest"), F.size("answers").alias("answers"), F.get("positive_ctxs", F.lit(0))["passage_id"].alias("passage_id"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -59,14 +70,14 @@ def q49_question_framings(spark, sf):
 
 def q50_prepared_pages(spark, sf):
     path = scratch(spark, "passages")
-    writers.write_jsonl(plain_documents(spark, sf), path)
+    writers.write_jsonl(worded_documents(spark, sf), path)
     return readers.prepared_pages(spark, path).select("doc_id", "source", "page", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
 def q51_manifest_and_inventory(spark, sf):
     """A table's inventory goes through a manifest; the file digests are those of the files, in whatever order they are listed."""
     path = scratch(spark, "inventoried")
-    plain_documents(spark, sf).repartition(3, "id").write.json(path)
+    worded_documents(spark, sf).repartition(3, "id").write.json(path)
     held = writers.inventory(spark, path)
     writers.write_manifest(spark, f"{path}-manifest.json", held)
     same = writers.read_manifest(spark, f"{path}-manifest.json") == writers.inventory(spark, path)
@@ -99,7 +110,7 @@ def q53_chunks_in_order(spark, sf):
 def q54_stored_build(spark, sf):
     """A corpus indexed, stored, verified, opened again and searched: each title finds a passage of its own title."""
     path, root = scratch(spark, "corpus"), scratch(spark, "artifacts")
-    writers.write_jsonl(plain_documents(spark, sf).where("cast(id as long) % 10 = 0"), path)
+    writers.write_jsonl(worded_documents(spark, sf), path)
     config = Config(chunker="presegmented", chunk_overlap=0, dimension=64)
     name, built = artifacts.build_or_open(spark, path, readers.prepared_pages, config, root)
     again, opened = artifacts.build_or_open(spark, path, readers.prepared_pages, config, root)
@@ -170,10 +181,10 @@ def q61_answers(spark, sf):
 
 
 def q62_passage_ids(spark, sf):
-    """Ids of contexts: one name before the other, leading zeros gone, null if there is none."""
-    n = F.col("doc_id")
-    ctx = F.struct(F.when(n % 3 == 0, F.concat(F.lit(" 00"), n.cast("string"))).when(n % 3 == 1, F.lit(None).cast("string")).alias("passage_id"), F.when(n % 2 == 0, (n + 1).cast("string")).alias("id"))
-    return C.table(spark, sf, "documents").where("doc_id > 0 and (doc_id % 3 <> 2)").select("doc_id", preparation.passage_id(ctx).alias("passage_id"))
+    """Ids of contexts of all documents: one name before the other, leading zeros gone, null if there is none."""
+    n = F.col("doc_id") + 1
+    ctx = F.struct(F.when(n % 3 == 0, F.concat(F.lit(" 00"), n.cast("string"))).when(n % 3 == 1, F.lit(None).cast("string")).otherwise(n.cast("string")).alias("passage_id"), F.when(n % 2 == 0, (n + 1).cast("string")).alias("id"))
+    return C.table(spark, sf, "documents").select("doc_id", preparation.passage_id(ctx).alias("passage_id"))
 
 
 def q63_question_order(spark, sf):
@@ -185,8 +196,10 @@ def q63_question_order(spark, sf):
 
 
 def q64_order_violations(spark, sf):
-    """Ids that don't increase from row to row."""
-    rows = C.table(spark, sf, "documents").select(F.col("doc_id").alias("position"), F.when(F.col("doc_id") % 100 == 50, F.col("doc_id") - 2).otherwise(F.col("doc_id")).cast("string").alias("id"))
+    """Ids that don't increase from row to row, at positions with gaps of whole ranges, some breaks across them."""
+    n = F.col("doc_id")
+    position = n + F.floor(n / 50) * 1_000_000_007
+    rows = C.table(spark, sf, "documents").select(position.alias("position"), F.when(n % 100 == 50, n - 2).otherwise(n).cast("string").alias("id"))
     return readers.order_violations(rows).select(F.col("p").alias("position"), F.col("n").alias("id"))
 
 
@@ -239,8 +252,8 @@ def q69_evaluation_run(spark, sf):
 def q70_prepared_dataset(spark, sf):
     """Documents as passages, items as questions on some of them, prepared, committed and verified as one."""
     w, q, out = (scratch(spark, name) for name in ("wiki", "asked", "dataset"))
-    wiki = checkpointed(plain_documents(spark, sf).where("id <> '0'"))
-    wiki.write.csv(w, sep="\t", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    wiki = checkpointed(worded_documents(spark, sf).where("id <> '0'"))
+    _write_tsv(wiki.orderBy(F.col("id").cast("long")), w)
     ctx = lambda shift: F.struct("title", "text", F.col("id").alias("passage_id"))
     asked = C.items(spark, sf)
     of = lambda number: wiki.withColumn("item", F.col("id").cast("long") - number).where("item >= 0 and item % 10 = 0").withColumn("item", (F.col("item") / 10).cast("long"))
@@ -321,14 +334,63 @@ def q76_open_corpus_answers(spark, sf):
     return s.select("query_id", "paper_hit", F.round("answer_f1", 6).alias("answer_f1"))
 
 
+def q79_record_shapes(spark, sf):
+    """Evidence, answers and references of every document, written as JSON in one of several shapes each, and read as variants."""
+    d, n = C.table(spark, sf, "documents"), F.col("doc_id")
+    name, quoted = n.cast("string"), lambda c: F.to_json(F.array(c))
+    inner = lambda c: F.expr(f"substr({c}, 2, length({c}) - 2)")  # noqa: E731  of a one-element array, its element
+    rows = d.withColumn("s", quoted(F.col("source"))).withColumn("s", inner("s"))
+    evidence = F.when(n % 4 == 0, F.concat(F.lit("["), "s", F.lit(', " x ", ""]'))).when(n % 4 == 1, F.concat(F.lit('[{"alternatives": ['), "s", F.lit(', {"chunk_id": '), name, F.lit("}]}]"))).when(n % 4 == 2, F.concat(F.lit('[{"chunk_id": '), "s", F.lit('}, {"other": 1}, '), "s", F.lit("]"))).otherwise(F.lit('[{"alternatives": [{"alternatives": ["deep"]}, "flat"]}]'))
+    answers = F.when(n % 3 == 0, F.col("s")).when(n % 3 == 1, F.concat(F.lit("["), "s", F.lit(', null, 4, "b"]'))).otherwise(F.lit("null"))
+    one = F.concat(F.lit('{"unanswerable": false, "free_form_answer": '), "s", F.lit("}"))
+    reference = F.when(n % 3 == 0, F.concat(F.lit('{"answer": ['), one, F.lit("]}"))).when(n % 3 == 1, one).otherwise(F.concat(F.lit("["), one, F.lit(", 3, "), one, F.lit("]")))
+    record = F.concat(F.lit('{"evidence": '), evidence, F.lit(', "answers": '), answers, F.lit(', "references": '), reference, F.lit("}"))
+    path = scratch(spark, "records")
+    rows.select(F.to_json(F.struct("doc_id", record.alias("record"))).alias("value")).write.text(path)
+    back = spark.read.schema("doc_id long, record string").json(path).select("doc_id", V.parsed("record").alias("r"))
+    refs = V.references(V.member(F.col("r"), "references"))
+    return back.select("doc_id", F.array_join(V.evidence_ids(V.member(F.col("r"), "evidence")), "|").alias("ids"), F.array_join(preparation.answers(V.strings(V.member(F.col("r"), "answers"))), "|").alias("answers"), F.size(refs).alias("n_references"), refs[0]["free_form_answer"].alias("first_answer"))
+
+
+def q80_positional_ids(spark, sf):
+    """Passages and a list of their ids, row by row, with ids of the list exchanged and one more at its end."""
+    w, ids = scratch(spark, "passages"), scratch(spark, "ids")
+    n = F.col("id").cast("long")
+    every = checkpointed(worded_documents(spark, sf).select("id", "title", "text"))
+    writers.write_jsonl(every.orderBy(n), w)
+    listed = every.select(n.alias("n"), F.when(n % 50 == 7, F.concat("id", F.lit("x"))).otherwise(F.col("id")).alias("value"))
+    listed.unionByName(spark.createDataFrame([(1 << 60, "more")], "n long, value string")).orderBy("n").select("value").write.text(ids)
+    wrong = readers.positional_differences(readers.passage_rows(spark, w), readers.listed_ids(spark, ids))
+    return wrong.select("row", F.coalesce("passage", F.lit("none")).alias("passage"), "listed")
+
+
+def q81_null_group_ids(spark, sf):
+    """Dense ids over groups of which one is null."""
+    d = C.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("source")).alias("g"))
+    return chunking.dense_ids(d, "g", [F.col("doc_id")]).select("doc_id", "vector_id")
+
+
+def q82_unscorable_questions(spark, sf):
+    """Questions that scoring refuses, as they have no answers."""
+    n = F.col("query_id")
+    listed = F.when(n % 7 == 1, F.array().cast("array<string>")).when(n % 7 == 2, F.array(F.lit(None).cast("string"))).when(n % 7 != 3, F.array("question"))
+    return evaluation.unscorable(C.items(spark, sf).withColumn("answers", listed), "answers")
+
+
 QUERIES: dict[str, object] = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
-_PLAIN = """plain AS (SELECT doc_id, source, trim(regexp_replace(text, '[\\t\\r\\n"]+', ' ', 'g')) AS text, 'Title ' || (doc_id // 5) AS title FROM documents WHERE trim(regexp_replace(text, '[\\t\\r\\n"]+', ' ', 'g')) <> '')"""
+_PLAIN = """plain AS (SELECT doc_id, source, text, 'Title "' || (doc_id // 5) || '"' AS title FROM documents WHERE regexp_matches(text, '\\S'))"""
 _SELECTED = """asked AS (SELECT b.item_id, b.text FROM benchmark b WHERE EXISTS (SELECT 1 FROM plain p WHERE p.doc_id = 10 * b.item_id + 3)),
 ranked AS (SELECT item_id, row_number() OVER (ORDER BY sha256('quarry' || chr(0) || trim(regexp_replace(text, '\\s+', ' ', 'g'))), item_id) AS r FROM asked),
 chosen AS (SELECT item_id, p.doc_id AS positive, p.title FROM ranked JOIN plain p ON p.doc_id = 10 * item_id + 3 WHERE r <= 10)"""
 _HOOK = "(7 * length(question) + length(text)) % 13"
 ORACLES = {
+    "q79_record_shapes": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || '|x' WHEN 1 THEN source || '|' || doc_id WHEN 2 THEN source ELSE 'deep|flat' END AS ids,
+CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN source || '|b' ELSE '' END AS answers, CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 1 END AS n_references, source AS first_answer FROM documents""",
+    "q80_positional_ids": f"""WITH {_PLAIN}, r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM plain)
+SELECT n AS row, doc_id::VARCHAR AS passage, doc_id || 'x' AS listed FROM r WHERE doc_id % 50 = 7 UNION ALL SELECT count(*), 'none', 'more' FROM r""",
+    "q81_null_group_ids": "SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id % 5 > 0 THEN source END NULLS FIRST, doc_id) - 1 AS vector_id FROM documents",
+    "q82_unscorable_questions": "SELECT item_id AS query_id, CASE item_id % 7 WHEN 1 THEN 'answers is empty' WHEN 2 THEN 'answers has nulls only' ELSE 'answers is null' END AS problem FROM benchmark WHERE item_id % 7 IN (1, 2, 3)",
     "q48_wikipedia_tsv": f"WITH {_PLAIN} SELECT doc_id::VARCHAR AS id, title, sha256(text) AS digest FROM plain",
     "q49_question_framings": "SELECT f AS framing, sha256(text) AS digest, 2 AS answers, item_id::VARCHAR AS passage_id FROM benchmark, (SELECT unnest(['lines', 'array', 'data']) AS f)",
     "q50_prepared_pages": f"WITH {_PLAIN} SELECT 'dpr_wiki_passage:' || doc_id AS doc_id, title AS source, 1 AS page, sha256(title || chr(10) || text) AS digest FROM plain",
@@ -336,7 +398,7 @@ ORACLES = {
     "q52_papers_of_splits": """WITH s AS (SELECT doc_id::VARCHAR AS id, ['train', 'validation', 'test'][doc_id % 3 + 1] AS split, doc_id % 3 AS turn FROM documents)
 SELECT id, split, row_number() OVER (ORDER BY turn, id) <= 50 AS among_first FROM s""",
     "q53_chunks_in_order": "SELECT -doc_id AS position, doc_id AS vector_id, sha256(text) AS digest FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT -doc_id - 1000000000, doc_id, sha256(text) FROM documents WHERE doc_id % 14 = 0",
-    "q54_stored_build": f"WITH {_PLAIN} SELECT count(*) AS chunks, count(*) AS vectors, true AS same, least(count(*), 20) * least(count(*), 5) AS hits, 0::BIGINT AS wrong FROM plain WHERE doc_id % 10 = 0",
+    "q54_stored_build": f"WITH {_PLAIN} SELECT count(*) AS chunks, count(*) AS vectors, true AS same, least(count(*), 20) * least(count(*), 5) AS hits, 0::BIGINT AS wrong FROM plain",
     "q55_config_rules": "SELECT name, NOT list_contains([" + ", ".join("'" + n.replace("'", "''") + "'" for n in _REFUSED) + "], name) AS accepted FROM (SELECT unnest([" + ", ".join("'" + n.replace("'", "''") + "'" for n in _CONFIGS) + "]) AS name)",
     "q56_query_plans": "SELECT * FROM (VALUES (0, false, 0, 0), (1, true, 50, 1), (5, true, 50, 5), (50, true, 50, 50), (80, true, 80, 80), (-1, false, 0, 0)) t(top_k, enabled, candidate_k, final_k)",
     "q57_question_rules": """WITH q AS (SELECT CASE WHEN item_id % 4 > 0 THEN 'q' || (item_id // 8) ELSE 'p' || item_id END AS id, item_id % 10 = 3 AS blank FROM benchmark),
@@ -345,9 +407,9 @@ p AS (SELECT 'blank' AS problem FROM q WHERE blank UNION ALL SELECT 'repeated' F
     "q59_results_without_text": "{HITS}",
     "q60_identities": """SELECT source, 'build_' || substr(sha256('{"documents":' || count(*) || ',"k":null,"source":"' || source || '"}'), 1, 16) AS name FROM documents GROUP BY source""",
     "q61_answers": "SELECT doc_id, source || '|' || lang || '|x' AS answers FROM documents",
-    "q62_passage_ids": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id::VARCHAR WHEN doc_id % 2 = 0 THEN (doc_id + 1)::VARCHAR END AS passage_id FROM documents WHERE doc_id > 0 AND doc_id % 3 <> 2",
+    "q62_passage_ids": "SELECT doc_id, CASE WHEN (doc_id + 1) % 3 <> 1 THEN (doc_id + 1)::VARCHAR WHEN (doc_id + 1) % 2 = 0 THEN (doc_id + 2)::VARCHAR END AS passage_id FROM documents",
     "q63_question_order": "SELECT item_id::VARCHAR AS question_id, 10000 - item_id AS position, row_number() OVER (ORDER BY 10000 - item_id)::INTEGER AS place FROM benchmark",
-    "q64_order_violations": """WITH r AS (SELECT doc_id AS position, CASE WHEN doc_id % 100 = 50 THEN doc_id - 2 ELSE doc_id END AS id FROM documents)
+    "q64_order_violations": """WITH r AS (SELECT doc_id + doc_id // 50 * 1000000007 AS position, CASE WHEN doc_id % 100 = 50 THEN doc_id - 2 ELSE doc_id END AS id FROM documents)
 SELECT position, id FROM (SELECT position, id, lag(id) OVER (ORDER BY position) AS before FROM r) WHERE id <= before""",
     "q65_chunk_rules": """WITH r AS (SELECT unnest(CASE doc_id % 11 WHEN 1 THEN ['negative id'] WHEN 2 THEN ['blank'] WHEN 3 THEN ['page below 1'] WHEN 4 THEN ['page order'] WHEN 5 THEN ['no tokens'] WHEN 6 THEN ['over budget'] ELSE []::VARCHAR[] END) AS rule FROM documents WHERE doc_id > 0 OR doc_id % 11 <> 1)
 SELECT rule, count(*) AS n FROM r GROUP BY rule""",

@@ -126,3 +126,62 @@ def test_id_violations(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "vector_id long")
     b = spark.createDataFrame([(2,), (3,)], "vector_id long")
     assert {r.vector_id for r in V.id_violations(a, b).collect()} == {1, 2}
+
+
+def clustered(spark, n=1200, centres=12, dim=16):
+    rng = np.random.default_rng(11)
+    c = rng.normal(size=(centres, dim))
+    x = c[rng.integers(centres, size=n)] * 2 + rng.normal(size=(n, dim)) * 0.6
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vector_id long, embedding array<float>")
+
+
+def test_routed_graphs_visit_few_shards(spark):
+    df = clustered(spark)
+    q = df.where("vector_id % 40 = 0").withColumnRenamed("vector_id", "query_id")
+    router = V.train_router(df, 16, train_size=600)
+    graphs = V.build_routed(df, router, m=8, ef_construction=60, shard=64).cache()
+    assert graphs.count() > 16 and graphs.select("cell").distinct().count() <= 16
+    found = V.routed_search(graphs, router, q, 10, 40, visits=4)
+    assert found.groupBy("query_id", "vector_id").count().where("count > 1").count() == 0
+    assert V.recall(found, V.flat_search(df, q, 10)).first().mean_recall >= 0.9
+    seen = V.visited_shards(router, q, 4).groupBy("query_id").count().collect()
+    assert len(seen) == 30 and {r["count"] for r in seen} == {4}
+
+
+def test_few_cells_of_clusters_have_what_is_near(spark):
+    df = clustered(spark)
+    q = df.where("vector_id % 40 = 0").withColumnRenamed("vector_id", "query_id")
+    index = V.train_ivf(df, nlist=16, train_size=800)
+    assert V.recall(V.ivf_search(V.build_ivf(df, index), index, q, 10, nprobe=3), V.flat_search(df, q, 10)).first().mean_recall >= 0.95
+
+
+def test_training_sample_is_numpys_draw(spark):
+    df = spark.range(10, 2010).selectExpr("id * 3 as vector_id", "array(1f, 2f) as embedding").repartition(7)
+    got = sorted(r.vector_id for r in V.training_sample(df, 300, 42).collect())
+    drawn = np.sort(np.random.default_rng(42).choice(2000, size=300, replace=False))
+    assert got == [int(30 + 3 * p) for p in drawn]
+    assert V.training_sample(df, 5000, 1).count() == 2000
+
+
+def test_wrong_lengths_raise_by_id(spark):
+    bad = spark.createDataFrame([(1, [1.0, 0.0, 5.0]), (2, [7.0])], "vector_id long, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<float>")
+    with pytest.raises(Exception, match="vector 1 is not one of 2"):
+        V.flat_search(bad, q, 1).collect()
+    null = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "vector_id long, embedding array<float>").coalesce(1)
+    with pytest.raises(Exception, match="vector 2 is not one of 2"):
+        V.flat_search(null, q, 1).collect()
+
+
+def test_kmeans_on_executors(spark):
+    """Well-parted clusters are found, however the rows are dealt; the seeding leaves none out."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(8, 5)) * 20
+    x = centres[np.arange(800) % 8] + rng.normal(size=(800, 5)) * 0.1
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vector_id long, embedding array<double>")
+    for parts in (1, 5):
+        c = V.clustering.fit(df.repartition(parts), 8, 10, 3)[0]
+        assert max(np.linalg.norm(c - m, axis=1).min() for m in centres) < 0.1
+    two = V.clustering.fit(df, 4, 3, view=lambda m: m[:, :4].reshape(len(m), 2, 2))
+    assert two.shape == (2, 4, 2) and np.isfinite(two).all()
