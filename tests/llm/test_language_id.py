@@ -112,3 +112,11 @@ def test_odd_inputs(spark):
     empty = df.limit(0)
     assert G.learn(empty) is None and G.predict(empty, None).count() == 0
     assert {r.lang_pred for r in G.predict(df, None).collect()} == {"und"}
+
+
+def test_numbers_are_no_letters(spark):
+    """Superscripts, fractions and Roman numerals are of the categories No and Nl: no letters."""
+    rows = made(60) + [(900, "½ ² 12 Ⅷ ①", None), (901, "_ 3", None), (902, "ª", None)]
+    df = spark.createDataFrame([(i, t, x, 1) for i, t, x in rows], SCHEMA)
+    got = {r.doc_id: r.lang_pred for r in G.predict(df, G.learn(df, per_class=20, landmarks=6)).collect()}
+    assert got[900] == got[901] == "und" and got[902] != "und"
