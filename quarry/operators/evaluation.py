@@ -140,16 +140,75 @@ def answer_type_summary(scores: DataFrame) -> DataFrame:
     return checked.agg(F.count("*").alias("questions"), _mean(F.col("answer_f1")).alias("answer_f1"), _mean(F.col("evidence_f1")).alias("evidence_f1"), *[_mean(F.when(kind == t, F.col("answer_f1"))).alias(f"answer_f1_{t}") for t in ANSWER_TYPES])
 
 
+#: Parts that a bracket is cut into by one pass, and values of a bracket from which on it is taken as it is.
+BRACKETS, FEW = 256, 4096
+
+
+def exact_percentiles(rows: DataFrame, columns: list[str], shares: tuple[float, ...] = (0.5, 0.95)) -> dict[tuple[str, float], float | None]:
+    """``(column, share) -> value`` by linear interpolation between neighbours in order; null for columns without values, nulls and NaN left out.
+
+    Values are selected, not sorted or gathered: each pass over the table counts, for all columns and shares at once, how many values lie in the parts of the
+    bracket that holds the wanted rank, and keeps one part; a bracket of few values is then read. Counts, at most ``BRACKETS`` a rank, and at most ``FEW`` different
+    values a rank reach the driver.
+    """
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    first = rows.agg(F.lit(0), *[x for c in columns for x in (F.count(value[c]), F.min(value[c]), F.max(value[c]))]).first()[1:]
+    ends = {c: first[3 * k : 3 * k + 3] for k, c in enumerate(columns)}
+    wanted = {(c, s): s * (n - 1) for c, (n, _, _) in ends.items() if n for s in shares}
+    # Of each rank: the least and largest value of its bracket, how many values lie below it, and how many in it.
+    held = {(c, k): [ends[c][1], ends[c][2], 0, ends[c][0]] for (c, _), at in wanted.items() for k in (int(at), -int(-at // 1))}
+
+    def counted(goals: list, part) -> list:
+        each = F.array(*[F.struct(F.lit(g).alias("g"), F.when(value[c].between(*held[(c, k)][:2]), part(value[c], held[(c, k)])).alias("b"), value[c].alias("v")) for g, (c, k) in enumerate(goals)])
+        kept = rows.select(F.explode(each).alias("x")).select("x.*").where("b is not null")
+        return kept.groupBy("g", "b").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("g", "low").collect()
+
+    def slot(v: Column, bracket: list) -> Column:
+        low, width = bracket[0] / 2, bracket[1] / 2 - bracket[0] / 2
+        return F.least(F.floor((v / 2 - low) / width * BRACKETS), F.lit(BRACKETS - 1)).cast("double")
+
+    while goals := [g for g, (low, high, _, n) in held.items() if n > FEW and high / 2 > low / 2]:
+        for g, found in _grouped(counted(goals, slot)).items():
+            bracket, rank = held[goals[g]], goals[g][1]
+            for r in found:
+                if bracket[2] + r.n > rank:
+                    bracket[0], bracket[1], bracket[3] = r.low, r.high, r.n
+                    break
+                bracket[2] += r.n
+    out = {g: low for g, (low, high, _, _) in held.items() if low == high}
+    if goals := [g for g in held if g not in out]:
+        for g, found in _grouped(counted(goals, lambda v, bracket: v)).items():
+            at, rank = held[goals[g]][2], goals[g][1]
+            for r in found:
+                at += r.n
+                if at > rank:
+                    out[goals[g]] = r.low
+                    break
+
+    def between(c: str, at: float) -> float:
+        low, high = out[(c, int(at))], out[(c, -int(-at // 1))]
+        return low + (high - low) * (at - int(at))
+
+    return {(c, s): between(c, wanted[(c, s)]) if (c, s) in wanted else None for c in columns for s in shares}
+
+
+def _grouped(rows: list) -> dict[int, list]:
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(r.g, []).append(r)
+    return out
+
+
 def run_summary(rows: DataFrame) -> DataFrame:
     """One row of counts, latencies and tokens from ``(status, retrieval_ms, generation_ms, total_ms, [stage columns], input_tokens, output_tokens)``.
 
     Percentiles are exact and interpolate linearly; all numbers are 0 without values.
     """
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
     out = [F.count("*").alias("num_questions"), F.count_if(F.col("status") == "success").alias("num_successful"), F.count_if(F.col("status") == "error").alias("num_failed")]
-    for name in [c for c in ("retrieval_ms", "generation_ms", "total_ms", *STAGES) if c in rows.columns]:
-        c = F.col(name).cast("double")
-        out += [_mean(c).alias(f"avg_{name}"), zero(F.percentile(c, F.lit(0.5))).alias(f"p50_{name}"), zero(F.percentile(c, F.lit(0.95))).alias(f"p95_{name}")]
+    timed = [c for c in ("retrieval_ms", "generation_ms", "total_ms", *STAGES) if c in rows.columns]
+    selected = exact_percentiles(rows, timed)
+    for name in timed:
+        out += [_mean(F.col(name).cast("double")).alias(f"avg_{name}"), *[F.lit(selected[(name, s)] or 0.0).alias(f"p{round(100 * s)}_{name}") for s in (0.5, 0.95)]]
     for name in [c for c in ("input_tokens", "output_tokens") if c in rows.columns]:
         valid = F.when(F.col(name) >= 0, F.col(name))
         out += [_mean(valid).alias(f"avg_{name}"), F.coalesce(F.sum(valid), F.lit(0)).alias(f"total_{name}")]

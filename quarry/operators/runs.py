@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from quarry.functions.text import redact
 
@@ -96,3 +97,49 @@ def _safe(c: Column, kind) -> Column:
 def safe_rows(df: DataFrame) -> DataFrame:
     """All columns, at any depth, without secret fields and with API keys in texts masked."""
     return df.select(*[_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields if not is_secret(f.name)])
+
+
+#: Rows that a hook is asked for at once.
+ROWS_AT_ONCE = 64
+#: Types of the columns that a hook gives.
+ANSWER_TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def answered_by_row(questions: DataFrame, load, schema: str) -> DataFrame:
+    """``questions`` with the columns of ``schema``, ``status`` and ``error``: what a hook gives for each row, or why it gave nothing.
+
+    ``load()`` runs once a task and returns a function of a list of rows (dicts) that returns as many dicts. Rows are asked for in slices; a slice that raises is asked for
+    again row by row in the same task, so that however many rows fail, there is one job, and the driver sees none of them.
+    """
+    names, kinds = questions.columns, StructType.fromDDL(schema)
+    added = pa.schema([(f.name, ANSWER_TYPES[f.dataType.simpleString()]) for f in kinds.fields])
+    out = pa.schema([*added, ("status", pa.string()), ("error", pa.struct([("type", pa.string()), ("message", pa.string())]))])
+
+    def run(batches):
+        ask = load()
+
+        def one(row: dict) -> dict:
+            try:
+                found = ask([row])
+                if len(found) != 1:
+                    raise ValueError(f"{len(found)} answers for one question")
+                return pa.RecordBatch.from_pylist(found, added).to_pylist()[0] | {"status": "success", "error": None}
+            except Exception as fault:  # whatever a row does, the others go on
+                return dict.fromkeys(added.names) | {"status": "error", "error": {"type": type(fault).__name__, "message": str(fault)[:ERROR_LENGTH]}}
+
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(at, ROWS_AT_ONCE)
+                rows = part.to_pylist()
+                try:
+                    found = ask(rows)
+                    if len(found) != len(rows):
+                        raise ValueError("as many answers as questions")
+                    made = [r | {"status": "success", "error": None} for r in pa.RecordBatch.from_pylist(found, added).to_pylist()]
+                except Exception:
+                    made = [one(r) for r in rows]
+                new = pa.RecordBatch.from_pylist(made, out)
+                yield pa.RecordBatch.from_arrays([*part.columns, *new.columns], [*names, *out.names])
+
+    whole = StructType([*questions.schema.fields, *kinds.fields, *StructType.fromDDL("status string, error struct<type:string,message:string>").fields])
+    return questions.mapInArrow(run, whole)

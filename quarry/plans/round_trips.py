@@ -377,6 +377,22 @@ def q82_unscorable_questions(spark, sf):
     return evaluation.unscorable(C.items(spark, sf).withColumn("answers", listed), "answers")
 
 
+def q83_errors_by_row(spark, sf):
+    """Every document asked of a hook that fails for some: their rows have the error, all others their answer, in one job."""
+
+    def load():
+        def ask(rows):
+            if any(r["doc_id"] % 3 == 1 for r in rows):
+                raise ValueError("no answer for " + ",".join(str(r["doc_id"]) for r in rows))
+            return [{"answer": r["lang"], "tokens": len(r["text"])} for r in rows]
+
+        return ask
+
+    asked = C.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    made = runs.answered_by_row(asked, load, "answer string, tokens long")
+    return made.select("doc_id", "status", "answer", "tokens", F.col("error.type").alias("error"), F.col("error.message").alias("message"))
+
+
 QUERIES: dict[str, object] = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
 _PLAIN = """plain AS (SELECT doc_id, source, text, 'Title "' || (doc_id // 5) || '"' AS title FROM documents WHERE regexp_matches(text, '\\S'))"""
@@ -385,6 +401,8 @@ ranked AS (SELECT item_id, row_number() OVER (ORDER BY sha256('quarry' || chr(0)
 chosen AS (SELECT item_id, p.doc_id AS positive, p.title FROM ranked JOIN plain p ON p.doc_id = 10 * item_id + 3 WHERE r <= 10)"""
 _HOOK = "(7 * length(question) + length(text)) % 13"
 ORACLES = {
+    "q83_errors_by_row": """SELECT doc_id, CASE WHEN bad THEN 'error' ELSE 'success' END AS status, CASE WHEN NOT bad THEN lang END AS answer, CASE WHEN NOT bad THEN length(text) END AS tokens,
+CASE WHEN bad THEN 'ValueError' END AS error, CASE WHEN bad THEN 'no answer for ' || doc_id END AS message FROM (SELECT *, doc_id % 3 = 1 AS bad FROM documents)""",
     "q79_record_shapes": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || '|x' WHEN 1 THEN source || '|' || doc_id WHEN 2 THEN source ELSE 'deep|flat' END AS ids,
 CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN source || '|b' ELSE '' END AS answers, CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 1 END AS n_references, source AS first_answer FROM documents""",
     "q80_positional_ids": f"""WITH {_PLAIN}, r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM plain)

@@ -280,3 +280,37 @@ def test_round_robin(spark):
     out = spark.createDataFrame([(5,)], "id long")
     assert [r.id for r in preparation.round_robin(neg, out, 10, 2).orderBy("pick_no").collect()] == [7, 8, 9]
     assert [r.id for r in preparation.round_robin(neg, out, 2, 3).orderBy("pick_no").collect()] == [7, 8]
+
+
+def test_percentiles_by_selection(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(evaluation, "FEW", 5)
+    monkeypatch.setattr(evaluation, "BRACKETS", 4)
+    rng = random.Random(9)
+    a = [rng.choice([0.5, -3.0, 1e300, -1e300, 7.25]) if rng.random() < 0.3 else rng.gauss(0, 1) ** 5 for _ in range(400)]
+    rows = [(x, 4.0 if i % 9 else None, float("nan") if i % 2 else None, i) for i, x in enumerate(a)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d int")
+    got = evaluation.exact_percentiles(df, ["a", "b", "c", "d"], (0.0, 0.5, 0.95, 1.0))
+    for s in (0.0, 0.5, 0.95, 1.0):
+        assert got[("a", s)] == pytest.approx(np.percentile(a, 100 * s), rel=1e-12) and got[("b", s)] == 4.0 and got[("c", s)] is None
+        assert got[("d", s)] == pytest.approx(np.percentile(range(400), 100 * s))
+    assert evaluation.exact_percentiles(df.limit(0), ["a"]) == {("a", 0.5): None, ("a", 0.95): None}
+
+
+def test_failing_rows_cost_one_job(spark):
+    def load():
+        def ask(rows):
+            if any(r["n"] % 2 for r in rows):
+                raise KeyError("x" * 2000)
+            return [{"answer": str(r["n"])} for r in rows]
+
+        return ask
+
+    sc = spark.sparkContext
+    sc.setJobGroup("failing", "rows that fail")
+    got = runs.answered_by_row(spark.range(10_000).withColumnRenamed("id", "n"), load, "answer string").collect()
+    assert len(sc.statusTracker().getJobIdsForGroup("failing")) == 1
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 10_000 and all((r.status, r.answer) == (("error", None) if r.n % 2 else ("success", str(r.n))) for r in got)
+    assert {(r.error.type, len(r.error.message)) for r in got if r.n % 2} == {("KeyError", 1000)}
