@@ -84,12 +84,12 @@ def slice_stats(asked: DataFrame) -> DataFrame:
 
 
 def select_splits(articles: DataFrame, split: str | None = None, most: int | None = None) -> DataFrame:
-    """Articles of one split, or of all in their fixed order, at most ``most`` of them in that order and by id."""
+    """Articles of one split, or of all in their fixed order, at most ``most`` of them in that order and by ``position``, or by id where there is none."""
     chosen = articles.where(F.col("split").isin(SPLITS if split is None else [split]))
     if most is None:
         return chosen
     turn = F.array_position(F.array(*map(F.lit, SPLITS)), F.col("split"))
-    return chosen.orderBy(turn, "id").limit(most)
+    return chosen.orderBy(turn, "position" if "position" in articles.columns else "id").limit(most)
 
 
 def id_violations(articles: DataFrame) -> DataFrame:

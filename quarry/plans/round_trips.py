@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from quarry.operators import answering, chunking, embedding, evaluation, papers,
 from quarry.plans import artifacts, engine, prepare, runner
 from quarry.plans import catalogue as C
 from quarry.plans.config import Config, QueryPlan
-from quarry.sources import readers, writers
+from quarry.sources import files, offsets, readers, writers
 from quarry.sources.checkpoints import checkpointed, shared_dir
 from quarry.streaming.append import append_vectors
 
@@ -107,6 +109,59 @@ def q53_chunks_in_order(spark, sf):
     return retrieval.chunks_by_id(twice, C.passages(spark, sf)).select("position", "vector_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
+def q84_chunks_by_offset(spark, sf):
+    """Chunks stored as JSON lines and read by offset: only the lines of the asked ids, in the order asked for, some asked for twice.
+
+    The last row tells of the bytes: no more are read than the asked lines have, and what is skipped too seldom to be worth a read of its own.
+    """
+    path, table = scratch(spark, "lines"), scratch(spark, "offsets")
+    d = C.table(spark, sf, "documents").select("doc_id", "source", "text")
+    chunks = checkpointed(chunking.dense_ids(d, "source", [F.col("doc_id")], "vector_id").select("vector_id", "doc_id", "source", "text"))
+    writers.write_jsonl(chunks, path)
+    store = offsets.OffsetStore.build(spark, path, table, chunks.schema)
+    ids = chunks.where("doc_id % 50 = 0").select((-F.col("doc_id")).alias("position"), "vector_id")
+    twice = ids.unionByName(ids.where("vector_id % 2 = 0").withColumn("position", F.col("position") - 1_000_000_000))
+    rows = store.get_many(twice).select("position", "vector_id", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    cost = store.lines(twice).agg(F.sum("fetched").alias("fetched"), F.sum("length").alias("length"), F.count("*").alias("n"))
+    lean = F.when(F.col("fetched") <= F.col("length") + F.col("n") * offsets.GAP, "in proportion").otherwise("too many bytes")
+    return rows.unionByName(cost.select(F.lit(None).cast("long").alias("position"), F.col("n").alias("vector_id"), F.lit(None).cast("long").alias("doc_id"), lean.alias("digest")))
+
+
+def _write_arrow(articles: DataFrame, path: str) -> None:
+    """A file a task, every other one as a stream, of batches of some hundred rows; the order of files is that of ``turn``."""
+    names = [c for c in articles.columns if c != "turn"]
+
+    def write(batches):
+        first = next(batches, None)
+        if first is None:
+            return
+        turn = first.column(first.schema.get_field_index("turn"))[0].as_py()
+        system, where = files.opened(f"{path}/part-{turn:08d}.arrow")
+        system.create_dir(os.path.dirname(where), recursive=True)
+        kept = lambda b: b.select(names)
+        with system.open_output_stream(where) as out, (pa.ipc.new_stream if turn % 2 else pa.ipc.new_file)(out, kept(first).schema) as sink:
+            sink.write_batch(kept(first))
+            for b in batches:
+                sink.write_batch(kept(b))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int32())})
+
+    articles.mapInArrow(write, "n int").count()
+
+
+def q85_papers_of_arrow_files(spark, sf):
+    """Nested articles in Arrow files of both formats, read batch by batch: units by split, and the first 50 articles in the order of the files."""
+    path = scratch(spark, "arrow")
+    every = checkpointed(_split_articles(spark, sf).withColumn("turn", F.col("id").cast("long") % 4))
+    for split in papers.SPLITS:
+        mine = every.where(F.col("split") == split).drop("split")
+        _write_arrow(mine.repartitionByRange(4, "turn").sortWithinPartitions("turn", F.col("id").cast("long")), f"{path}/{split}")
+    back = checkpointed(readers.papers(spark, path, "arrow"))
+    first = papers.select_splits(back, most=50).select("id", F.lit(True).alias("among_first"))
+    n_units = papers.units(back).groupBy("doc_id").agg(F.count("*").alias("units"), F.max("page").alias("pages"))
+    joined = back.select("id", "split").join(first, "id", "left").join(n_units, F.col("id") == F.col("doc_id"), "left")
+    return joined.select("id", "split", F.coalesce("among_first", F.lit(False)).alias("among_first"), (F.col("units") == F.col("pages")).alias("numbered"))
+
+
 def q54_stored_build(spark, sf):
     """A corpus indexed, stored, verified, opened again and searched: each title finds a passage of its own title."""
     path, root = scratch(spark, "corpus"), scratch(spark, "artifacts")
@@ -416,6 +471,11 @@ SELECT n AS row, doc_id::VARCHAR AS passage, doc_id || 'x' AS listed FROM r WHER
     "q52_papers_of_splits": """WITH s AS (SELECT doc_id::VARCHAR AS id, ['train', 'validation', 'test'][doc_id % 3 + 1] AS split, doc_id % 3 AS turn FROM documents)
 SELECT id, split, row_number() OVER (ORDER BY turn, id) <= 50 AS among_first FROM s""",
     "q53_chunks_in_order": "SELECT -doc_id AS position, doc_id AS vector_id, sha256(text) AS digest FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT -doc_id - 1000000000, doc_id, sha256(text) FROM documents WHERE doc_id % 14 = 0",
+    "q84_chunks_by_offset": """WITH c AS (SELECT doc_id, text, row_number() OVER (ORDER BY source NULLS FIRST, doc_id) - 1 AS vector_id FROM documents), a AS (SELECT * FROM c WHERE doc_id % 50 = 0)
+SELECT -doc_id AS position, vector_id, doc_id, sha256(text) AS digest FROM a UNION ALL SELECT -doc_id - 1000000000, vector_id, doc_id, sha256(text) FROM a WHERE vector_id % 2 = 0
+UNION ALL SELECT NULL, count(*), NULL, 'in proportion' FROM a""",
+    "q85_papers_of_arrow_files": """WITH s AS (SELECT doc_id, doc_id % 3 AS turn FROM documents)
+SELECT doc_id::VARCHAR AS id, ['train', 'validation', 'test'][turn + 1] AS split, row_number() OVER (ORDER BY turn, doc_id % 4, doc_id) <= 50 AS among_first, true AS numbered FROM s""",
     "q54_stored_build": f"WITH {_PLAIN} SELECT count(*) AS chunks, count(*) AS vectors, true AS same, least(count(*), 20) * least(count(*), 5) AS hits, 0::BIGINT AS wrong FROM plain",
     "q55_config_rules": "SELECT name, NOT list_contains([" + ", ".join("'" + n.replace("'", "''") + "'" for n in _REFUSED) + "], name) AS accepted FROM (SELECT unnest([" + ", ".join("'" + n.replace("'", "''") + "'" for n in _CONFIGS) + "]) AS name)",
     "q56_query_plans": "SELECT * FROM (VALUES (0, false, 0, 0), (1, true, 50, 1), (5, true, 50, 5), (50, true, 50, 50), (80, true, 80, 80), (-1, false, 0, 0)) t(top_k, enabled, candidate_k, final_k)",

@@ -9,7 +9,7 @@ from quarry.functions import variants as V
 from quarry.functions.text import strip
 from quarry.operators.chunking import dense_ids
 from quarry.operators.papers import ARTICLE, SPLITS
-from quarry.sources import splits
+from quarry.sources import arrow_files, splits
 
 CONTEXTS = "array<struct<title:string,text:string,passage_id:string,id:string>>"
 PASSAGES = "id string, title string, text string"
@@ -177,17 +177,26 @@ def id_list_differences(passages: DataFrame, ids: DataFrame) -> DataFrame:
     return a.join(b, "id", "full").where("in_passages is null or in_list is null")
 
 
-def papers(spark: SparkSession, path: str) -> DataFrame:
-    """Articles of all splits from ``path/<split>``, as Parquet, with their ``split``; columns are checked and no split may be empty."""
-    wanted = {"id", "title", "abstract", "full_text", "figures_and_tables", "qas"}
-    parts = None
+def papers(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """Articles of all splits from ``path/<split>`` with their ``split``; columns are checked and no split may be empty.
+
+    ``form`` is ``parquet``, or ``arrow`` for a dataset stored as Arrow files, whose articles also have their ``position`` in the split.
+    """
+    wanted, parts = ["abstract", "figures_and_tables", "full_text", "id", "qas", "title"], None
+    if form not in ("parquet", "arrow"):
+        raise ValueError("papers are stored as parquet or arrow")
+    if form == "arrow":
+        arrow_files.register(spark)
     for split in SPLITS:
-        part = spark.read.parquet(f"{path}/{split}")
-        if missing := wanted - set(part.columns):
+        if form == "arrow":
+            part = spark.read.format("arrow_ipc").option("columns", ",".join(wanted)).option("position", "position").load(f"{path}/{split}")
+        else:
+            part = spark.read.parquet(f"{path}/{split}")
+        if missing := set(wanted) - set(part.columns):
             raise ValueError(f"{split} lacks {sorted(missing)}")
         if not part.limit(1).count():
             raise ValueError(f"{split} is empty")
-        part = part.select(*sorted(wanted)).withColumn("split", F.lit(split))
+        part = part.select(*wanted, *(["position"] if form == "arrow" else [])).withColumn("split", F.lit(split))
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
