@@ -18,6 +18,9 @@ STOP_WORDS = (
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
 ).split()
 
+#: Postings of a stored bucket, and of one of its files.
+ROWS_A_BUCKET, ROWS_A_FILE = 20_000_000, 4_000_000
+
 
 def terms(c: Column | str) -> Column:
     """Lower-cased words of two or more letters, numbers and underscores, without stop words."""
@@ -36,10 +39,15 @@ class Bm25Index:
     avgdl: float
     buckets: int | None = None  # where the postings are stored by bucket
 
-    def write(self, path: str, buckets: int = 64) -> None:
-        """Postings in files by a hash of the term, so that a query's terms prune files."""
+    def write(self, path: str, buckets: int | None = None) -> None:
+        """Postings in files by a hash of the term, so that a query's terms prune files.
+
+        The number of buckets follows the postings, and a bucket's files its own rows, so that a term of very many documents is in many files.
+        """
+        if buckets is None:
+            buckets = max(8, -(-self.postings.count() // ROWS_A_BUCKET))
         spread = self.postings.withColumn("bucket", term_bucket("term", buckets))
-        spread.repartition("bucket", F.pmod(F.xxhash64("vector_id"), F.lit(8))).sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        dealt_by_bucket(spread, "vector_id", ROWS_A_FILE).sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         numbers = [(self.count, float(self.avgdl), buckets)]
@@ -52,6 +60,13 @@ class Bm25Index:
         return cls(table("postings"), table("documents"), table("terms"), n["count"], n["avgdl"], n["buckets"])
 
 
+def dealt_by_bucket(rows: DataFrame, by: str, rows_a_file: int) -> DataFrame:
+    """Rows with a ``bucket`` dealt to tasks by it, and by ``by`` as well where a bucket has more rows than a file should."""
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / rows_a_file).alias("_files"))  # a row a bucket
+    slices = rows.join(F.broadcast(sizes), "bucket").withColumn("_slice", F.expr(f"pmod(xxhash64({by}), _files)"))
+    return slices.repartition("bucket", "_slice").drop("_files", "_slice")
+
+
 def term_bucket(term: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import variants as V
 from quarry.functions.hashing import sequence_digest
-from quarry.operators import answering, chunking, embedding, evaluation, papers, preparation, retrieval, runs, vector_index
+from quarry.operators import answering, bm25_pruned, chunking, embedding, evaluation, papers, preparation, retrieval, runs, vector_index
 from quarry.plans import artifacts, engine, prepare, runner
 from quarry.plans import catalogue as C
 from quarry.plans.config import Config, QueryPlan
@@ -162,6 +162,15 @@ def q85_papers_of_arrow_files(spark, sf):
     return joined.select("id", "split", F.coalesce("among_first", F.lit(False)).alias("among_first"), (F.col("units") == F.col("pages")).alias("numbered"))
 
 
+def q86_bm25_pruned(spark, sf):
+    """Lexical hits by blocks with largest weights: those of the whole search; with the number of postings that each item's terms have."""
+    path, index = scratch(spark, "blocks"), C.lexical_index(spark, sf)
+    bm25_pruned.blocked(index).write(path)
+    found = bm25_pruned.search(bm25_pruned.BlockIndex.read(spark, path, index.buckets), C.items(spark, sf), C.K, "question")
+    hits = found.hits.join(found.work.where("scored > 0").select("query_id", "postings"), "query_id")
+    return hits.select("query_id", "rank", "vector_id", F.round("score", 6).alias("score"), "postings")
+
+
 def q54_stored_build(spark, sf):
     """A corpus indexed, stored, verified, opened again and searched: each title finds a passage of its own title."""
     path, root = scratch(spark, "corpus"), scratch(spark, "artifacts")
@@ -476,6 +485,7 @@ SELECT -doc_id AS position, vector_id, doc_id, sha256(text) AS digest FROM a UNI
 UNION ALL SELECT NULL, count(*), NULL, 'in proportion' FROM a""",
     "q85_papers_of_arrow_files": """WITH s AS (SELECT doc_id, doc_id % 3 AS turn FROM documents)
 SELECT doc_id::VARCHAR AS id, ['train', 'validation', 'test'][turn + 1] AS split, row_number() OVER (ORDER BY turn, doc_id % 4, doc_id) <= 50 AS among_first, true AS numbered FROM s""",
+    "q86_bm25_pruned": "{PRUNED}",
     "q54_stored_build": f"WITH {_PLAIN} SELECT count(*) AS chunks, count(*) AS vectors, true AS same, least(count(*), 20) * least(count(*), 5) AS hits, 0::BIGINT AS wrong FROM plain",
     "q55_config_rules": "SELECT name, NOT list_contains([" + ", ".join("'" + n.replace("'", "''") + "'" for n in _REFUSED) + "], name) AS accepted FROM (SELECT unnest([" + ", ".join("'" + n.replace("'", "''") + "'" for n in _CONFIGS) + "]) AS name)",
     "q56_query_plans": "SELECT * FROM (VALUES (0, false, 0, 0), (1, true, 50, 1), (5, true, 50, 5), (50, true, 50, 50), (80, true, 80, 80), (-1, false, 0, 0)) t(top_k, enabled, candidate_k, final_k)",
@@ -513,6 +523,7 @@ def oracles(hits: str) -> dict[str, str]:
     """The SQL, with the common tables of lexical hits ``hits``."""
     filled = {
         "{HITS}": f"WITH {hits} SELECT item_id AS query_id, (SELECT count(*) FROM hits h WHERE h.query_id = item_id AND rank <= 5)::INTEGER AS n_hits, false AS has_text, 'index_search_ms,chunk_mapping_ms,rerank_ms' AS stages, true AS timed FROM benchmark",
+        "{PRUNED}": f"WITH {hits}, work AS (SELECT item_id, sum(df)::BIGINT AS postings FROM asked JOIN df USING (term) GROUP BY item_id) SELECT query_id, rank, vector_id, round(s, 6) AS score, postings FROM hits JOIN work ON item_id = query_id",
         "{RERANK}": f"WITH {hits}, w AS (SELECT query_id, vector_id, rank, ({_HOOK})::DOUBLE AS rerank_score FROM judged), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank)::INTEGER AS rerank_rank FROM w) SELECT query_id, vector_id, rank, rerank_rank, rerank_score, rerank_rank <= 4 AS selected FROM r",
         "{ANSWERS}": f"WITH {hits} SELECT query_id, true AS paper_hit, CASE WHEN query_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS answer_f1 FROM hits WHERE rank = 1",
     }
