@@ -6,10 +6,13 @@ import hashlib
 import json
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType
 
+from quarry.sources.files import opened
+
 
 def canonical_json(value) -> str:
     """Sorted keys, no spaces, non-ASCII characters as they are; NaN and infinity raise."""
@@ -74,16 +77,23 @@ def stamp(spark: SparkSession, path: str) -> str:
 
 def commit(spark: SparkSession, path: str, write) -> bool:
     """Calls ``write(staging path)`` and renames the staging folder to ``path``; if another run committed first, its table stays
-    and ours is dropped. Returns whether ours is there. Works on any Hadoop file system."""
+    and ours is dropped. Returns whether ours is there. Works on any Hadoop file system.
+
+    A file system may move a folder *into* one that another run has committed meanwhile; there the staging folder's name, which readers of
+    a table skip for its underscore, tells, and it is removed.
+    """
     fs, path_of = _fs(spark, path)
-    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    parent, _, name = path.rstrip("/").rpartition("/")
+    staged = f"_{name}.staging-{uuid.uuid4().hex}"
+    staging, nested = path_of(f"{parent}/{staged}" if parent else staged), path_of(f"{path.rstrip('/')}/{staged}")
     try:
-        write(staging)
+        write(staging.toString())
         fs.mkdirs(path_of(path).getParent())
-        return not fs.exists(path_of(path)) and fs.rename(path_of(staging), path_of(path))
+        return not fs.exists(path_of(path)) and fs.rename(staging, path_of(path)) and not fs.exists(nested)
     finally:
-        if fs.exists(path_of(staging)):
-            fs.delete(path_of(staging), True)
+        for left in (staging, nested):
+            if fs.exists(left):
+                fs.delete(left, True)
 
 
 def write_manifest(spark: SparkSession, path: str, value: dict) -> None:
@@ -110,21 +120,39 @@ WHOLE_FILE = 256 << 20
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length, sha256)`` of every file below ``path``.
+    """``(path, length, sha256)`` of every file below ``path``, all by executors.
 
-    Executors digest files of up to ``WHOLE_FILE`` bytes; larger ones, which no value can hold, are streamed through the digest by the driver's JVM.
+    Files of up to ``WHOLE_FILE`` bytes are digested as values; larger ones, which no value can hold, are streamed by the task that has their name.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    small = files.where(F.col("length") <= WHOLE_FILE).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    small = listed.where(F.col("length") <= WHOLE_FILE).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = listed.where(F.col("length") > WHOLE_FILE).select("path", "length", F.col("_metadata.file_path").alias("address")).repartition("path")
+    # Spark's file sources pass over files without a byte.
+    nothing = spark.createDataFrame([(p, 0, hashlib.sha256().hexdigest()) for p in _empty_files(spark, path)], "path string, length long, sha256 string")
+    return small.union(large.mapInArrow(_streamed_digests, "path string, length long, sha256 string")).union(nothing)
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files without a byte below ``path``, but those that Spark hides: with a name, or in a folder, that begins with a dot or an underscore."""
     fs, path_of = _fs(spark, path)
-    large = []
-    for r in files.where(F.col("length") > WHOLE_FILE).select("path", "length").collect():
-        stream = fs.open(path_of(r.path))
-        try:
-            large.append((r.path, r.length, spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
-        finally:
-            stream.close()
-    return small.union(spark.createDataFrame(large, "path string, length long, sha256 string")) if large else small
+    root = fs.makeQualified(path_of(path)).toString().rstrip("/")
+    listed, found = fs.listFiles(path_of(path), True), []
+    while listed.hasNext():
+        f = listed.next()
+        name = f.getPath().toString()
+        if f.getLen() == 0 and not any(part[0] in "._" for part in name[len(root) :].split("/") if part):
+            found.append(name)
+    return found
+
+
+def _streamed_digests(batches):
+    for b in batches:
+        for name, length, address in zip(*(c.to_pylist() for c in b.columns)):
+            h, (system, where) = hashlib.sha256(), opened(address)
+            with system.open_input_file(where) as handle:
+                while block := handle.read(8 << 20):
+                    h.update(block)
+            yield pa.RecordBatch.from_pydict({"path": [name], "length": pa.array([length], pa.int64()), "sha256": [h.hexdigest()]})
 
 
 def inventory(spark: SparkSession, path: str) -> dict:
