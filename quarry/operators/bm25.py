@@ -1,17 +1,18 @@
 """BM25 lexical search: index tables, scoring of many queries, top-k.
 
-weight = idf * tf / (tf + k1 * (1 - b + b * dl / avgdl)) with idf = ln(1 + (N - df + 0.5) / (df + 0.5)), computed when the index is built; a
-query's score is the sum over its terms, each as often as it stands there.
+weight = idf * tf / (tf + k1 * (1 - b + b * dl / avgdl)) with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a query's score is the sum over its terms, each
+as often as it stands there. The index keeps tf and dl, small numbers, and a search makes the weights of the postings that it reads.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.sources.checkpoints import checkpointed
+from quarry.sources.checkpoints import shared_dir
 
 # English stop words.
 STOP_WORDS = (
@@ -30,72 +31,111 @@ def terms(c: Column | str) -> Column:
 
 @dataclass
 class Bm25Index:
-    """Postings ``(term, vector_id, tf, weight)``, documents ``(vector_id, dl)``, terms ``(term, df)`` and two numbers."""
+    """Counts ``(term, vector_id, tf, dl)``, documents ``(vector_id, dl)``, terms ``(term, df, cf)`` and four numbers."""
 
-    postings: DataFrame
+    counts: DataFrame
     documents: DataFrame
     terms: DataFrame
     count: int
     avgdl: float
-    buckets: int | None = None  # where the postings are stored by bucket
+    k1: float
+    b: float
+    buckets: int | None = None  # where the counts are stored by bucket
+
+    @property
+    def postings(self) -> DataFrame:
+        """``(term, vector_id, tf, weight)`` of all terms."""
+        return self.counts.join(self.terms, "term").select("term", "vector_id", "tf", self.weight().alias("weight"))
+
+    def weight(self) -> Column:
+        """The weight of a row with ``tf``, ``dl`` and its term's ``df``."""
+        return weight(self, F.col("df"), F.col("tf"), F.col("dl"))
+
+    def number_of_buckets(self) -> int:
+        total = self.terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+        return max(8, -(-total // ROWS_A_BUCKET))
 
     def write(self, path: str, buckets: int | None = None) -> None:
-        """Postings in files by a hash of the term, so that a query's terms prune files.
+        """Counts in files by a hash of the term, so that a query's terms prune files.
 
-        The number of buckets follows the postings, and a bucket's files its own rows, so that a term of very many documents is in many files.
+        The number of buckets follows the postings, and a bucket's files its own rows, so that a term of very many documents is in many files. Terms tell
+        the sizes, so postings are made and shuffled once.
         """
         if buckets is None:
-            buckets = max(8, -(-self.postings.count() // ROWS_A_BUCKET))
-        spread = self.postings.withColumn("bucket", term_bucket("term", buckets))
-        dealt_by_bucket(spread, "vector_id", ROWS_A_FILE).sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+            buckets = self.number_of_buckets()
+        sizes = self.terms.groupBy(term_bucket("term", buckets).alias("bucket")).agg(F.ceil(F.sum("df") / ROWS_A_FILE).alias("_files"))
+        spread = self.counts.withColumn("bucket", term_bucket("term", buckets))
+        dealt_by_bucket(spread, "vector_id", sizes).sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        numbers = [(self.count, float(self.avgdl), buckets)]
-        self.postings.sparkSession.createDataFrame(numbers, "count long, avgdl double, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers")
+        numbers = [(self.count, float(self.avgdl), float(self.k1), float(self.b), buckets)]
+        self.terms.sparkSession.createDataFrame(numbers, "count long, avgdl double, k1 double, b double, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> "Bm25Index":
         table = lambda name: spark.read.parquet(f"{path}/{name}")
         n = table("numbers").first()
-        return cls(table("postings"), table("documents"), table("terms"), n["count"], n["avgdl"], n["buckets"])
+        return cls(table("postings"), table("documents"), table("terms"), n["count"], n["avgdl"], n["k1"], n["b"], n["buckets"])
 
 
-def dealt_by_bucket(rows: DataFrame, by: str, rows_a_file: int) -> DataFrame:
-    """Rows with a ``bucket`` dealt to tasks by it, and by ``by`` as well where a bucket has more rows than a file should."""
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / rows_a_file).alias("_files"))  # a row a bucket
+def dealt_by_bucket(rows: DataFrame, by: str, sizes: DataFrame) -> DataFrame:
+    """Rows with a ``bucket`` dealt to tasks by it, and by ``by`` as well where a bucket has several ``_files``; ``sizes`` has a row a bucket."""
     slices = rows.join(F.broadcast(sizes), "bucket").withColumn("_slice", F.expr(f"pmod(xxhash64({by}), _files)"))
     return slices.repartition("bucket", "_slice").drop("_files", "_slice")
 
 
+def weight(numbers, df: Column, tf: Column, dl: Column) -> Column:
+    """A posting's weight by an index's ``count``, ``avgdl``, ``k1`` and ``b``."""
+    idf = F.log(1 + (F.lit(numbers.count) - df + 0.5) / (df + 0.5))
+    return idf * tf / (tf + numbers.k1 * (1 - numbers.b + numbers.b * dl / F.lit(numbers.avgdl or 1.0)))
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: compressed, and of a size that the optimizer knows, so that what is small is broadcast."""
+    path = f"{shared_dir(df.sparkSession)}/bm25-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.parquet(path)
+
+
 def term_bucket(term: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _counted(listed: DataFrame) -> DataFrame:
+    """``(vector_id, dl, words)`` of ``(vector_id, terms)``: a row's distinct terms with how often each stands there, without a shuffle."""
+    in_order = listed.select("vector_id", F.sort_array(F.coalesce("terms", F.array().cast("array<string>"))).alias("s")).withColumn("dl", F.size("s"))
+    last = F.filter(F.transform("s", lambda x, i: F.struct(x.alias("term"), i.alias("i"))), lambda p: ~p["term"].eqNullSafe(F.get("s", p["i"] + 1)))
+    ends = in_order.select("vector_id", "dl", last.alias("ends"))
+    words = F.transform("ends", lambda p, j: F.struct(p["term"].alias("term"), (p["i"] - F.coalesce(F.get("ends", j - 1)["i"], F.lit(-1))).cast("long").alias("tf")))
+    return ends.select("vector_id", "dl", words.alias("words"))
+
+
 def build(chunks: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: str = "vector_id", text_col: str = "text") -> Bm25Index:
-    """The texts are cut into terms once; all tables come from the counts, which are kept in the shared folder."""
+    """The texts are cut into terms once; all tables come from the counts, which are kept in the shared folder, a row a text. Rows alike in id and
+    length count as one text."""
     if not (1e-6 <= k1 <= 100 and 0 <= b <= 1):
         raise ValueError("k1 is from 1e-6 to 100, b from 0 to 1")
-    listed = chunks.select(F.col(id_col).alias("vector_id"), terms(text_col).alias("terms"))
-    tf = listed.select("vector_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "vector_id", "dl").agg(F.count("*").alias("tf"))
-    tf = checkpointed(tf)
-    n = chunks.count()
-    avgdl = (tf.agg(F.sum("tf")).first()[0] or 0) / n if n else 0.0
-    lengths = tf.groupBy("vector_id").agg(F.first("dl").alias("dl"))
-    documents = chunks.select(F.col(id_col).alias("vector_id")).join(lengths, "vector_id", "left").select("vector_id", F.coalesce("dl", F.lit(0)).alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
-    postings = tf.join(df, "term").select("term", "vector_id", "tf", weight.alias("weight"))
-    return Bm25Index(postings, documents, df, n, avgdl)
+    texts = kept(_counted(chunks.select(F.col(id_col).alias("vector_id"), terms(text_col).alias("terms"))), "texts")
+    n, total, ids = texts.agg(F.count("*"), F.sum("dl"), F.count_distinct(F.struct("vector_id"))).first()
+    avgdl = (total or 0) / n if n else 0.0
+    if ids < n:
+        one = texts.groupBy("vector_id", "dl").agg(F.count("*").alias("rows"), F.flatten(F.collect_list("words")).alias("words"))
+        again = F.flatten(F.transform("words", lambda w: F.array_repeat(w["term"], w["tf"].cast("int"))))
+        merged = _counted(one.where("rows > 1").select(F.struct("vector_id", "dl").alias("vector_id"), again.alias("terms")))
+        texts = kept(one.where("rows = 1").drop("rows").unionByName(merged.select("vector_id.*", "words")), "merged")
+    counts = texts.select("vector_id", "dl", F.inline("words")).select("term", "vector_id", "tf", "dl")
+    df = kept(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "terms")
+    documents = texts.select("vector_id", "dl").dropDuplicates(["vector_id"]) if ids < n else texts.select("vector_id", "dl")
+    return Bm25Index(counts, documents, df, n, avgdl, k1, b)
 
 
 def search(index: Bm25Index, queries: DataFrame, k: int, query_col: str = "query") -> DataFrame:
     """``(query_id, vector_id, score, rank)``: the best ``k`` with a positive score; fewer if fewer have one."""
     asked = queries.select("query_id", F.explode(terms(query_col)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    by = ["term"]
+    asked, by = kept(index.terms.select("term", "df").join(kept(asked, "asked"), "term"), "known"), ["term"]
     if index.buckets is not None:  # the few buckets of the asked terms are all that is read
         asked, by = asked.withColumn("bucket", term_bucket("term", index.buckets)), ["bucket", "term"]
-    scores = index.postings.join(asked, by).groupBy("query_id", "vector_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    scores = index.counts.join(asked, by).groupBy("query_id", "vector_id").agg(F.sum(F.col("qtf") * index.weight()).alias("score"))
     # Sums depend on the order of their terms in the last bits; ties are decided on nine places.
     scores = scores.withColumn("score", F.round("score", 9)).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vector_id"))
