@@ -250,6 +250,55 @@ def build_ivf(corpus: DataFrame, index: InvertedFile) -> DataFrame:
     return corpus.select("vector_id", "embedding").mapInArrow(run, f"vector_id long, cell int, {what}")
 
 
+def _cell_sizes(table: DataFrame, nlist: int) -> np.ndarray:
+    sizes = np.zeros(nlist, np.int64)
+    for r in table.groupBy("cell").count().collect():  # nlist rows at most
+        sizes[r.cell] = r["count"]
+    return sizes
+
+
+def _probed(index: InvertedFile, qmat: np.ndarray, nprobe: int, sizes: np.ndarray | None, max_codes: int) -> np.ndarray:
+    """Which cells (rows) which queries (columns) visit; with sizes, as many as :func:`ivf_search` allows."""
+    probed = np.zeros((len(index.centroids), len(qmat)), bool)
+    for q, cells in enumerate(index.probes(qmat, nprobe)):
+        if sizes is not None:
+            cells = cells[np.cumsum(sizes[cells]) - sizes[cells] < max_codes]
+        probed[cells, q] = True
+    return probed
+
+
+def ivf_visits(table: DataFrame, index: InvertedFile, queries: DataFrame, nprobe: int = 16, max_codes: int = 0) -> DataFrame:
+    """``(query_id, visited)``: how many vectors :func:`ivf_search` visits, which is how many hits it has if ``k`` is as large; queries that visit
+    none have no row.
+
+    Tasks count their vectors by cell and send a number a query, so rows grow with the queries and not with the pairs.
+    """
+    if not 0 < nprobe <= len(index.centroids):
+        raise ValueError("nprobe is from 1 to nlist")
+    spark, parts, nlist = table.sparkSession, [], len(index.centroids)
+    sizes = _cell_sizes(table, nlist) if max_codes else None
+    for qids, qmat in query_blocks(queries):
+        shared = spark.sparkContext.broadcast((index, qids, qmat))  # QUERY_BLOCK vectors at most
+
+        def run(batches, shared=shared):
+            index, qids, qmat = shared.value
+            here = np.zeros(nlist, np.int64)
+            for b in batches:
+                here += np.bincount(b.column(0).to_numpy(), minlength=nlist)
+            if here.any():
+                visited = here @ _probed(index, qmat, nprobe, sizes, max_codes)
+                yield pa.RecordBatch.from_pydict({"query_id": qids[visited > 0], "visited": visited[visited > 0]})
+
+        parts.append(table.select("cell").mapInArrow(run, "query_id long, visited long"))
+        if len(parts) == BLOCKS_A_PLAN:  # so many scans make one table before more are added
+            parts = [checkpointed(_summed(parts))]
+    return _summed(parts) if parts else spark.createDataFrame([], "query_id long, visited long")
+
+
+def _summed(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, parts).groupBy("query_id").agg(F.sum("visited").alias("visited"))
+
+
 def ivf_search(table: DataFrame, index: InvertedFile, queries: DataFrame, k: int, nprobe: int = 16, max_codes: int = 0) -> DataFrame:
     """Top ``k`` among the ``nprobe`` cells nearest to each query; all cells give the exact result for whole vectors.
 
@@ -260,21 +309,12 @@ def ivf_search(table: DataFrame, index: InvertedFile, queries: DataFrame, k: int
     if not 0 < nprobe <= nlist:
         raise ValueError("nprobe is from 1 to nlist")
     shared = table.sparkSession.sparkContext.broadcast(index)
-    sizes = None
-    if max_codes:
-        sizes = np.zeros(nlist, np.int64)
-        for r in table.groupBy("cell").count().collect():  # nlist rows at most
-            sizes[r.cell] = r["count"]
+    sizes = _cell_sizes(table, nlist) if max_codes else None
     coded = index.books is not None
 
     def kernel(batches, qids, qmat):
         index = shared.value
-        order = index.probes(qmat, nprobe)
-        probed = np.zeros((nlist, len(qids)), bool)
-        for q, cells in enumerate(order):
-            if sizes is not None:
-                cells = cells[np.cumsum(sizes[cells]) - sizes[cells] < max_codes]
-            probed[cells, q] = True
+        probed = _probed(index, qmat, nprobe, sizes, max_codes)
         held = None
         for b in batches:
             cell = b.column(1).to_numpy()

@@ -185,3 +185,12 @@ def test_kmeans_on_executors(spark):
         assert max(np.linalg.norm(c - m, axis=1).min() for m in centres) < 0.1
     two = V.clustering.fit(df, 4, 3, view=lambda m: m[:, :4].reshape(len(m), 2, 2))
     assert two.shape == (2, 4, 2) and np.isfinite(two).all()
+
+
+def test_visits_are_the_hits_of_a_search_for_all(spark):
+    x, df, q = corpus(spark)
+    index = V.train_ivf(df, nlist=8, train_size=500)
+    table = V.build_ivf(df, index)
+    for nprobe, most in ((8, 601), (8, 1), (3, 0), (5, 150)):
+        found = V.ivf_search(table, index, q, 10_000, nprobe=nprobe, max_codes=most).groupBy("query_id").count()
+        assert sorted(map(tuple, V.ivf_visits(table, index, q, nprobe, most).collect())) == sorted(map(tuple, found.collect()))
