@@ -28,8 +28,12 @@ def limit_by_plan(ranked: DataFrame, plans: DataFrame, depth: str, most: int) ->
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits with their chunks' columns; after the top-k, so only returned texts are read into the join. A hit without a chunk raises."""
-    found = hits.join(chunks.withColumn("_there", F.lit(True)), "vector_id", "left")
+    """Hits with their chunks' columns; after the top-k, so only returned texts are read into the join. A hit without a chunk raises.
+
+    Chunks are first reduced to those of hits: a left join alone can't ship the hits, and would shuffle all texts.
+    """
+    mine = chunks.join(hits.select("vector_id").distinct(), "vector_id", "left_semi")
+    found = hits.join(mine.withColumn("_there", F.lit(True)), "vector_id", "left")
     known = F.when(F.col("_there"), F.col("vector_id")).otherwise(F.raise_error(F.concat(F.lit("no chunk has the id "), F.col("vector_id").cast("string"))).cast(hits.schema["vector_id"].dataType))
     return found.withColumn("vector_id", known).drop("_there")
 

@@ -42,3 +42,17 @@ def test_rows_alike_in_id_and_length_are_one_text(spark):
     got = {(r.term, r.vector_id): (r.tf, r.dl) for r in index.counts.collect()}
     assert got == {("red", 1): (3, 3), ("blue", 1): (2, 3), ("green", 1): (1, 3), ("red", 2): (1, 1), ("blue", None): (1, 2), ("green", None): (1, 2)}
     assert index.count == 5 and {r.term: (r.df, r.cf) for r in index.terms.collect()} == {"red": (2, 4), "blue": (2, 3), "green": (2, 2)}
+
+
+def test_texts_of_hits_are_found_without_a_shuffle_of_all(spark, tmp_path):
+    """Hits of a known, small size are shipped to the chunks; a left join alone shuffles every text."""
+    from quarry.operators import retrieval
+
+    spark.range(2000).selectExpr("id AS vector_id", "repeat(sha2(string(id), 256), 400) AS text").write.parquet(str(tmp_path / "c"))
+    hits = bm25.kept(spark.createDataFrame([(1, 5, 1), (1, 7, 2), (2, 5, 1)], "query_id long, vector_id long, rank int"), "hits")
+    found = retrieval.with_chunks(hits, spark.read.parquet(str(tmp_path / "c")))
+    assert sorted((r.query_id, r.vector_id, len(r.text)) for r in found.collect()) == [(1, 5, 25600), (1, 7, 25600), (2, 5, 25600)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    with pytest.raises(Exception, match="no chunk has the id 9999"):
+        retrieval.with_chunks(hits.withColumn("vector_id", hits.vector_id * 0 + 9999), spark.read.parquet(str(tmp_path / "c"))).collect()
