@@ -32,10 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Whether what a query has shuffled goes from the local disks when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder, so a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts lineage through the shared folder, so a lost executor costs no recomputation; nothing needs what was shuffled for it then, so that goes at once."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting is taken where a query is made
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:
