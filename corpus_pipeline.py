@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, language_id, line_dedup, minhash_dedup, pack
+from quarry.llm import decontaminate, language_id, line_dedup, pack, simhash_similar
 from quarry.llm.common import NULL_ID, load, shared_dir
 from quarry.llm.queries import tokenizer_path
 
@@ -43,7 +43,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group linked by a similarity of 0.8 of five-word shingles stays; of rows alike in id and
     text, one. Groups without any id keep each different text."""
-    found = minhash_dedup.near_duplicates(docs, shingle=5, similarity=0.8).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = simhash_similar.near_duplicates(docs, shingle=5, similarity=0.8).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     found = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("keep"), "tie").distinct()
     own = docs.select(*COLUMNS).withColumn("keep", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("tie", F.xxhash64("text"))
     # The rows lie by these keys already, so repeated ones meet without another shuffle.
