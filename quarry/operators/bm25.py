@@ -7,12 +7,12 @@ as often as it stands there. The index keeps tf and dl, small numbers, and a sea
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.sources.checkpoints import shared_dir
+from quarry.sources.checkpoints import cleared, shared_dir
 
 # English stop words.
 STOP_WORDS = (
@@ -21,6 +21,8 @@ STOP_WORDS = (
 
 #: Postings of a stored bucket, and of one of its files.
 ROWS_A_BUCKET, ROWS_A_FILE = 20_000_000, 4_000_000
+#: Passes in which an index of more than one file is stored; each shuffles its own buckets only, and that goes before the next.
+PASSES = 2
 
 
 def terms(c: Column | str) -> Column:
@@ -41,6 +43,7 @@ class Bm25Index:
     k1: float
     b: float
     buckets: int | None = None  # where the counts are stored by bucket
+    folders: list[str] = field(default_factory=list)  # of the tables that a built index is made of
 
     @property
     def postings(self) -> DataFrame:
@@ -51,26 +54,39 @@ class Bm25Index:
         """The weight of a row with ``tf``, ``dl`` and its term's ``df``."""
         return weight(self, F.col("df"), F.col("tf"), F.col("dl"))
 
+    def number_of_postings(self) -> int:
+        return self.terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+
     def number_of_buckets(self) -> int:
-        total = self.terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-        return max(8, -(-total // ROWS_A_BUCKET))
+        return max(8, -(-self.number_of_postings() // ROWS_A_BUCKET))
 
     def write(self, path: str, buckets: int | None = None) -> None:
         """Counts in files by a hash of the term, so that a query's terms prune files.
 
         The number of buckets follows the postings, and a bucket's files its own rows, so that a term of very many documents is in many files. Terms tell
-        the sizes, so postings are made and shuffled once.
+        the sizes, so each posting is shuffled once, in the pass of its bucket.
         """
         if buckets is None:
             buckets = self.number_of_buckets()
+        passes = min(PASSES, buckets) if self.number_of_postings() > ROWS_A_FILE else 1
         sizes = self.terms.groupBy(term_bucket("term", buckets).alias("bucket")).agg(F.ceil(F.sum("df") / ROWS_A_FILE).alias("_files"))
         spread = self.counts.withColumn("bucket", term_bucket("term", buckets))
-        dealt_by_bucket(spread, "vector_id", sizes).sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        for n in range(passes):
+            with cleared(self.terms.sparkSession):
+                mine = spread.where(F.col("bucket") % passes == n) if passes > 1 else spread
+                dealt_by_bucket(mine, "vector_id", sizes).sortWithinPartitions("term").write.mode("append" if n else "overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         numbers = [(self.count, float(self.avgdl), float(self.k1), float(self.b), buckets)]
         self.terms.sparkSession.createDataFrame(numbers, "count long, avgdl double, k1 double, b double, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers")
 
+    def discard(self) -> None:
+        """Deletes the tables that :func:`build` has made; for an index that is used as it is written."""
+        sc = self.terms.sparkSession.sparkContext
+        for folder in self.folders:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> "Bm25Index":
         table = lambda name: spark.read.parquet(f"{path}/{name}")
@@ -90,10 +106,16 @@ def weight(numbers, df: Column, tf: Column, dl: Column) -> Column:
     return idf * tf / (tf + numbers.k1 * (1 - numbers.b + numbers.b * dl / F.lit(numbers.avgdl or 1.0)))
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: compressed, and of a size that the optimizer knows, so that what is small is broadcast."""
+def kept(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
+    """Written to the shared folder and read again: compressed, and of a size that the optimizer knows, so that what is small is broadcast.
+
+    What was shuffled for it goes at once; ``folders`` is told the table's folder.
+    """
     path = f"{shared_dir(df.sparkSession)}/bm25-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
+    with cleared(df.sparkSession):
+        df.select("*").write.parquet(path, compression="zstd")
+    if folders is not None:
+        folders.append(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -115,18 +137,19 @@ def build(chunks: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: str = "ve
     length count as one text."""
     if not (1e-6 <= k1 <= 100 and 0 <= b <= 1):
         raise ValueError("k1 is from 1e-6 to 100, b from 0 to 1")
-    texts = kept(_counted(chunks.select(F.col(id_col).alias("vector_id"), terms(text_col).alias("terms"))), "texts")
+    folders: list[str] = []
+    texts = kept(_counted(chunks.select(F.col(id_col).alias("vector_id"), terms(text_col).alias("terms"))), "texts", folders)
     n, total, ids = texts.agg(F.count("*"), F.sum("dl"), F.count_distinct(F.struct("vector_id"))).first()
     avgdl = (total or 0) / n if n else 0.0
     if ids < n:
         one = texts.groupBy("vector_id", "dl").agg(F.count("*").alias("rows"), F.flatten(F.collect_list("words")).alias("words"))
         again = F.flatten(F.transform("words", lambda w: F.array_repeat(w["term"], w["tf"].cast("int"))))
         merged = _counted(one.where("rows > 1").select(F.struct("vector_id", "dl").alias("vector_id"), again.alias("terms")))
-        texts = kept(one.where("rows = 1").drop("rows").unionByName(merged.select("vector_id.*", "words")), "merged")
+        texts = kept(one.where("rows = 1").drop("rows").unionByName(merged.select("vector_id.*", "words")), "merged", folders)
     counts = texts.select("vector_id", "dl", F.inline("words")).select("term", "vector_id", "tf", "dl")
-    df = kept(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "terms")
+    df = kept(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "terms", folders)
     documents = texts.select("vector_id", "dl").dropDuplicates(["vector_id"]) if ids < n else texts.select("vector_id", "dl")
-    return Bm25Index(counts, documents, df, n, avgdl, k1, b)
+    return Bm25Index(counts, documents, df, n, avgdl, k1, b, folders=folders)
 
 
 def search(index: Bm25Index, queries: DataFrame, k: int, query_col: str = "query") -> DataFrame:

@@ -36,6 +36,32 @@ def test_blocks_keep_less_than_the_texts(spark, texts, tmp_path):
     assert 0 < _size(folder) - before + _size(tmp_path / "b") < 2 * sum(map(len, texts))
 
 
+def test_an_index_stored_in_passes_is_whole(spark, texts, tmp_path, monkeypatch):
+    index = bm25.build(spark.createDataFrame(list(enumerate(texts)), "vector_id long, text string"))
+    monkeypatch.setattr(bm25, "ROWS_A_FILE", 50_000)
+    index.write(str(tmp_path / "i"))
+    back = bm25.Bm25Index.read(spark, str(tmp_path / "i"))
+    columns = ["term", "vector_id", "tf", "dl"]
+    assert back.counts.count() == index.counts.count() > bm25.ROWS_A_FILE
+    assert back.counts.select(columns).exceptAll(index.counts.select(columns)).isEmpty()
+
+
+def test_a_stored_index_leaves_nothing_else_on_disk(spark, tmp_path):
+    """Neither what was shuffled for it nor the tables it was made of; the driver's garbage collection isn't waited for."""
+    from quarry.plans import catalogue
+
+    rows = [(k, f"word{k % 7} other{k % 5} text", "en", "s", 1) for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    files = lambda: sum(f.startswith("shuffle_") for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString() for _, _, names in os.walk(d) for f in names)
+    held = files()
+    index = catalogue.lexical_index(spark, str(tmp_path))
+    assert files() <= held
+    made = set(os.listdir(folder)) - before
+    assert [m for m in made if m.startswith(("bm25-texts", "bm25-terms", "bm25-merged"))] == [] and index.counts.count() == 900
+
+
 def test_rows_alike_in_id_and_length_are_one_text(spark):
     rows = [(1, "red red blue"), (1, "red green blue"), (2, "red"), (None, "blue green"), (3, None)]
     index = bm25.build(spark.createDataFrame(rows, "vector_id long, text string"))
