@@ -66,13 +66,17 @@ def masks() -> Column:
 
 
 def bucketed(marked: DataFrame) -> DataFrame:
-    """``(key, block, value, variant, tie)`` of all variants ``(tie, blocks)`` that several texts have."""
+    """``(key, tie, value, n, size, shared, blocks)`` of all variants that several texts have; ``n`` is how many have it.
+
+    What a text's pairs are judged by travels with its variants, so that no row of a bucket is joined with its text or its bucket again.
+    """
     tasks = max(4, -(-marked.count() * BLOCKS * (WIDTH + 1) // VARIANTS_A_TASK))
-    each = marked.select("tie", "blocks").repartition(tasks, "tie").select("tie", F.posexplode("blocks").alias("block", "value"))
-    each = each.select("tie", "block", "value", F.explode(masks()).alias("mask")).withColumn("variant", F.col("value").bitwiseXOR(F.col("mask")))
+    own = ["tie", "size", "shared", "blocks"]
+    each = marked.select(own).repartition(tasks, "tie").select(*own, F.posexplode("blocks").alias("block", "value"))
+    each = each.select(*own, "block", "value", F.explode(masks()).alias("mask")).withColumn("variant", F.col("value").bitwiseXOR(F.col("mask")))
     key = (F.shiftleft(F.col("block").cast("long"), 32) + F.col("variant")).alias("key")
-    rows = each.select(key, "tie", "value").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    return checkpointed(rows.select("key", "tie", "value", "n"))
+    rows = each.select(key, *own, "value").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    return checkpointed(rows.select("key", "tie", "value", "n", "size", "shared", "blocks"))
 
 
 def links(distinct: DataFrame, texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -92,7 +96,7 @@ def links(distinct: DataFrame, texts: DataFrame, shingle: int = 5, similarity: f
     marked = checkpointed(marked.join(company, "tie"))
     members = bucketed(marked)
     n_members = members.count()
-    places = homes(members.join(marked.select("tie", "size"), "tie"))
+    places = homes(members)
     found, roots = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
 
     def near(p: str, q: str) -> Column:
@@ -105,17 +109,21 @@ def links(distinct: DataFrame, texts: DataFrame, shingle: int = 5, similarity: f
         return F.zip_with(f"{p}blocks", f"{q}blocks", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
 
     for k in range(NEIGHBOUR_ROUNDS + 1):
-        of = marked.join(roots, F.col("tie") == F.col("node"), "left").select("tie", "size", "shared", "blocks", F.coalesce("root", "tie").alias("root"))
-        named = members.select("key", "tie", "value").join(of.select("tie", "root"), "tie")
-        counted = named.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own")).where("n * n > own")
-        counted = checkpointed(counted)
-        n_pairs = counted.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()[0]
+        if k == 0:  # nothing is connected yet, so all rows of all buckets are apart
+            left = members.withColumn("root", F.col("tie"))
+            n_pairs = members.agg(F.coalesce(F.sum((F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
+        else:
+            named = members.join(roots.withColumnRenamed("node", "tie"), "tie", "left").withColumn("root", F.coalesce("root", "tie"))
+            bucket = Window.partitionBy("key")
+            named = named.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)})
+            left = checkpointed(named.where("low < high").drop("low", "high"))
+            members = left.drop("root")  # a bucket of one group stays one
+            counted = left.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
+            n_pairs = counted.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()[0]
         if n_pairs == 0:
             break
-        left = members.select("key", "tie", "value").join(counted.select("key"), "key").join(of, "tie")
         last = n_pairs <= PAIRS_A_MEMBER * n_members or k == NEIGHBOUR_ROUNDS
         if last:
-            left = checkpointed(left)
             other = left.select("key", *[F.col(c).alias(f"b_{c}") for c in ("tie", "value", "size", "shared", "root", "blocks")])
             # A pair with several keys is made once: in the first block that is near, at the lesser of the variants that are shared.
             variant, both = F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"), F.col("value").bitwiseXOR(F.col("b_value"))

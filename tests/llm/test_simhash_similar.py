@@ -66,3 +66,15 @@ def test_odd_rows(spark):
     extra = df.withColumns({c: df.text for c in ("tie", "least", "need", "blocks", "root")})
     assert sorted(((r.doc_id, r.component_id) for r in S.near_duplicates(extra).collect()), key=str) == sorted([(None, 7), (None, 1), (1, 1), (7, 7), (7, 7)], key=str)
     assert S.near_duplicates(extra.limit(0)).count() == 0
+
+
+def test_rows_of_buckets_are_joined_for_pairs_only(spark, monkeypatch):
+    """A text may have 600 rows in buckets; no join has them as its result, so it is that of pairs at most."""
+    rng, plans = random.Random(5), []
+    base = [f"w{k}" for k in range(200)]
+    df = spark.createDataFrame([(k, edited(rng, base, 3), None, None, None) for k in range(40)], SCHEMA)
+    held = S.checkpointed
+    monkeypatch.setattr(S, "checkpointed", lambda made: plans.append((made.columns, made._jdf.queryExecution().optimizedPlan().toString())) or held(made))
+    S.near_duplicates(df).collect()
+    joined = [(c, p) for c, p in plans if "key" in c and "Join" in p]
+    assert joined == [] and any(c == ["a", "b"] and "Join Inner" in p for c, p in plans)
