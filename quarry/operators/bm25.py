@@ -155,10 +155,15 @@ def build(chunks: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: str = "ve
 def search(index: Bm25Index, queries: DataFrame, k: int, query_col: str = "query") -> DataFrame:
     """``(query_id, vector_id, score, rank)``: the best ``k`` with a positive score; fewer if fewer have one."""
     asked = queries.select("query_id", F.explode(terms(query_col)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked, by = kept(index.terms.select("term", "df").join(kept(asked, "asked"), "term"), "known"), ["term"]
+    asked = kept(asked, "asked")
+    words = index.terms.select("term", "df").join(asked, "term", "left_semi").withColumn("number", F.monotonically_increasing_id())
+    words, by = kept(words, "words"), ["term"]
+    asked = kept(asked.join(words, "term").select("number", "query_id", "qtf", "df"), "known")
     if index.buckets is not None:  # the few buckets of the asked terms are all that is read
-        asked, by = asked.withColumn("bucket", term_bucket("term", index.buckets)), ["bucket", "term"]
-    scores = index.counts.join(asked, by).groupBy("query_id", "vector_id").agg(F.sum(F.col("qtf") * index.weight()).alias("score"))
+        words, by = words.withColumn("bucket", term_bucket("term", index.buckets)), ["bucket", "term"]
+    # A document's postings of all asked terms meet in one task, each once, and are given to the queries there: rows of a query and a document are never shuffled.
+    met = index.counts.join(words.drop("df"), by).select("number", "vector_id", "tf", "dl").repartition("vector_id")
+    scores = met.join(asked, "number").groupBy("query_id", "vector_id").agg(F.sum(F.col("qtf") * index.weight()).alias("score"))
     # Sums depend on the order of their terms in the last bits; ties are decided on nine places.
     scores = scores.withColumn("score", F.round("score", 9)).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vector_id"))

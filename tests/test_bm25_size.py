@@ -62,6 +62,16 @@ def test_a_stored_index_leaves_nothing_else_on_disk(spark, tmp_path):
     assert [m for m in made if m.startswith(("bm25-texts", "bm25-terms", "bm25-merged"))] == [] and index.counts.count() == 900
 
 
+def test_rows_of_a_query_and_a_document_are_not_shuffled(spark, texts, tmp_path):
+    bm25.build(spark.createDataFrame(list(enumerate(texts)), "vector_id long, text string")).write(str(tmp_path / "i"))
+    asked = spark.createDataFrame([(k, texts[k]) for k in range(5)], "query_id long, query string")
+    hits = bm25.search(bm25.Bm25Index.read(spark, str(tmp_path / "i")), asked, 3)
+    assert {r.query_id: r.vector_id for r in hits.where("rank = 1").collect()} == {k: k for k in range(5)}
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(vector_id" in plan and "Exchange hashpartitioning(query_id#" in plan
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "query_id" in x and "vector_id" in x]
+
+
 def test_rows_alike_in_id_and_length_are_one_text(spark):
     rows = [(1, "red red blue"), (1, "red green blue"), (2, "red"), (None, "blue green"), (3, None)]
     index = bm25.build(spark.createDataFrame(rows, "vector_id long, text string"))
